@@ -17,6 +17,8 @@ N, PERCENT = 5, 75
 SKETCH_BITS, FILTER_BITS = 17, 23
 #: A shingle of more postings than this, and than 4 times the mean counter, is dealt over several partial buckets.
 HOT = 20_000
+#: Stands for a null id inside.
+NO_ID = -(1 << 63)
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -74,6 +76,12 @@ def _print(s: np.ndarray, key: np.uint64) -> int:
     return int(mix(s ^ key).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0
 
 
+def _node(s: np.ndarray, twice: set) -> int:
+    """A set's name: the first half of its print, or the second where another set has the same first."""
+    node = _print(s, _K1)
+    return _print(s, _K2) if node in twice else node
+
+
 def _counter(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -139,11 +147,9 @@ def postings(docs: DataFrame, n: int, percent: int, sketch, doubled) -> DataFram
             for _, _, data, offsets in text_chunks(b.column(0)):
                 parts = []
                 for s in shingle_sets(data, offsets, n):
-                    node = _print(s, _K1)
+                    node = _node(s, twice)
                     if not len(s) or not seen.new(node):
                         continue
-                    if node in twice:
-                        node = _print(s, _K2)
                     size, c = len(s), counts[_counter(s)]
                     p = size - (percent * size + 99) // 100 + 1
                     order = np.lexsort((s, c))[:p]
@@ -194,16 +200,16 @@ def _filter_bits(ids: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame, n: int, doubled) -> DataFrame:
     """(node, set) for wanted (node, doc_id). The texts are read again but not shuffled: a filter of bounded size keeps
     most other documents from giving rows, and a join drops the rest."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(_filter_bits(wanted))
-    bit = lambda seed: F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), F.lit(1 << FILTER_BITS))
-    schema = pa.schema([("doc_id", pa.int64()), ("set", pa.list_(pa.int64()))])
+    bit = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << FILTER_BITS))
+    names = ["doc_id", "node", "set"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
+        bits, twice = sent.value, doubled.value
         on = lambda c: (bits[c >> 6] >> (c & 63).astype(np.uint64)) & np.uint64(1) == 1
         for b in batches:
             b = b.filter(pa.array(on(b.column(2).to_numpy()) & on(b.column(3).to_numpy())))
@@ -211,10 +217,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 sets = shingle_sets(data, offsets, n)
                 flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], schema=schema)
+                nodes = [_node(s, twice) for s in sets]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=names)
 
-    made = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", bit(1).alias("b1"), bit(2).alias("b2")).mapInArrow(run, "doc_id long, set array<long>")
-    return made.join(wanted, "doc_id").select("node", "set")
+    made = docs.select("doc_id", "text", bit(1).alias("b1"), bit(2).alias("b2")).mapInArrow(run, "doc_id long, node long, set array<long>")
+    return made.join(wanted, ["doc_id", "node"]).dropDuplicates(["node"]).select("node", "set")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -225,11 +232,11 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, percent: int, doubled) -> DataFrame:
     """The links among pairs, as a written table."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.where("doc_id IS NOT NULL"), "node").select("node", "doc_id")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "doc_id")
     wanted = written(wanted, "jaccard-wanted")
-    return written(linked(pairs, written(sets_of(docs, wanted, n), "jaccard-sets"), percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "jaccard-links")
+    return written(linked(pairs, written(sets_of(docs, wanted, n, doubled), "jaccard-sets"), percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "jaccard-links")
 
 
 def near_duplicates(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -244,15 +251,17 @@ def near_duplicates(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> D
     that the bounds allow. Pairs inside a component can add nothing and are never made.
     """
     spark = docs.sparkSession
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     known, sketch = facts(docs, n)
     clash = known.where("n > 0").groupBy("f1").agg(F.min("f2").alias("x"), F.max("f2").alias("y")).where("x <> y")
     doubled = {r["f1"] for r in clash.toLocalIterator()}  # 64-bit prints that two sets share: none below a billion sets
     node = F.when(F.col("f1").isin(list(doubled)), F.col("f2")).otherwise(F.col("f1")) if doubled else F.col("f1")
     known = known.withColumn("node", node)
-    nodes = written(known.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "jaccard-nodes")
+    nodes = written(known.where("n > 0").groupBy("node").agg(F.coalesce(F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))), F.lit(NO_ID)).alias("doc_id"), F.count("*").alias("copies")), "jaccard-nodes")
 
     sc = spark.sparkContext
-    made = postings(docs, n, percent, sc.broadcast(sketch), sc.broadcast(doubled))
+    twice = sc.broadcast(doubled)
+    made = postings(docs, n, percent, sc.broadcast(sketch), twice)
     bucket = Window.partitionBy("shingle", "salt")
     made = made.withColumns({"low": F.min("node").over(bucket), "high": F.max("node").over(bucket), "mid": F.min(F.struct("pos", "node", "n")).over(bucket)})
     kept = written(made.where("low <> high OR salts > 1").drop("low", "high"), "jaccard-buckets")
@@ -262,7 +271,7 @@ def near_duplicates(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> D
     tops = heads.groupBy("shingle").agg(F.min("mid").alias("top"))
     heads = heads.join(tops, "shingle").select(F.struct("mid.node", "mid.n", "mid.pos").alias("x"), F.struct("top.node", "top.n", "top.pos").alias("y"))
     stars = written(_bounded(_pairs(members.unionByName(heads)), percent), "jaccard-stars")
-    links = _verified(docs, stars, nodes, n, percent)
+    links = _verified(docs, stars, nodes, n, percent, twice)
 
     parts = components(links)
     labelled = kept.drop("mid", "salt", "salts").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).distinct()
@@ -274,14 +283,15 @@ def near_duplicates(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> D
     across = _bounded(_pairs(one.join(two, "shingle").where(fits)), percent)
     across = written(across.join(stars.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-across")
     if not across.isEmpty():
-        links = written(links.unionByName(_verified(docs, across, nodes, n, percent)), "jaccard-links")
+        links = written(links.unionByName(_verified(docs, across, nodes, n, percent, twice)), "jaccard-links")
         parts = components(links)
 
     named = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    smallest = named.groupBy("component").agg(F.min(real("doc_id")).alias("component_id"))
     named = written(named.join(smallest, "component").select("node", "component_id", "copies"), "jaccard-components")
     out = known.join(named, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("copies", F.lit(1)).alias("n_copies"))
+    return out.select(real("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", real("doc_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).alias("n_copies"))
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:

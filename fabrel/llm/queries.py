@@ -13,6 +13,7 @@ from .line_dedup import deduplicate_units
 from .mixing import mix_sources
 from .quality import score_documents, train
 from .shard import shard_documents
+from .suffix_dedup import deduplicate_strings
 from .topk import top_k
 from .url_filter import filter_urls
 
@@ -30,6 +31,10 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicate_strings(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
@@ -56,6 +61,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_topk_search, op5_quality, op6_sharding, op7_jaccard_join, op8_mixing, op9_license_scan, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_topk_search, op4_suffix_array_dedup, op5_quality, op6_sharding, op7_jaccard_join, op8_mixing, op9_license_scan, op10_url_filter)}
 
 ORACLE_SQL: dict[str, str] = {}
