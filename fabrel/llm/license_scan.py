@@ -211,7 +211,9 @@ def detections(words: Column, rules: list[tuple]) -> Column:
         spans = F.aggregate(F.filter(pairs, lambda x: x["hit"].isNotNull()), none, step)
         return F.transform(spans, lambda x: F.struct(rule["priority"], (x["s"] - x["e"]).alias("shorter"), rule["rule_id"], x["s"].alias("start"), x["e"].alias("end"), rule["label"], rule["score"]))
 
-    return F.flatten(F.transform(F.filter(table, lambda r: F.array_contains(held, r["keyword"])), matches))
+    once = F.array(held)  # as an element, the keywords are found once a text and not once a rule
+    tried = F.element_at(F.transform(once, lambda h: F.filter(table, lambda r: F.array_contains(h, r["keyword"]))), 1)
+    return F.flatten(F.transform(tried, matches))
 
 
 def standing(found: Column) -> Column:
