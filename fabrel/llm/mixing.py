@@ -89,3 +89,14 @@ def mix_sources(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, share: flo
     copies = F.col("__sure") + F.col("__more")
     out = rest.unionByName(edge.drop("__sum"))
     return out.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs, each as often as the mix takes its document, with their columns as they are.
+
+    Ids must be unique. Only ids and counts are shuffled besides the texts; a text that the mix leaves out goes before.
+    """
+    taken = mix_sources(docs, **how).where("copies > 0").select(F.col("doc_id").alias("__id"), "copies")
+    taken = written(taken, "mix-copies")
+    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"]))
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
