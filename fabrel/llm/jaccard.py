@@ -17,6 +17,8 @@ N, PERCENT = 5, 75
 SKETCH_BITS, FILTER_BITS = 17, 23
 #: A shingle of more postings than this, and than 4 times the mean counter, is dealt over several partial buckets.
 HOT = 20_000
+#: Into how many buckets a shingle is dealt, at most, and what mixes the number into a bucket's name.
+SALTS, MIX = 1000, 0x1D8E4E27C47D
 #: Stands for a null id inside.
 NO_ID = -(1 << 63)
 
@@ -76,6 +78,20 @@ def _print(s: np.ndarray, key: np.uint64) -> int:
     return int(mix(s ^ key).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0
 
 
+def _marks(s: np.ndarray) -> bytes:
+    """A bitmap of at least twice as many bits as s has shingles: bit (shingle mod size) for each."""
+    bits = 1 << max(6, (2 * len(s) - 1).bit_length())
+    on = np.zeros(bits, bool)
+    on[(s & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(on, bitorder="little").tobytes()
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """Shingles that stand in one of two sets only, at least: bits of one bitmap only, the larger folded to the smaller."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_or.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
 def _node(s: np.ndarray, twice: set) -> int:
     """A set's name: the first half of its print, or the second where another set has the same first."""
     node = _print(s, _K1)
@@ -102,28 +118,30 @@ class Seen:
 
 
 def facts(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, f1, f2) for each document, n its set's size and f1, f2 a 128-bit print of the set; and how often the
-    shingles of each counter stand in all documents. The counters are summed by Spark; 2**SKETCH_BITS numbers arrive."""
-    schema = pa.schema([("counter", pa.bool_()), ("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64())])
+    """(doc_id, n, f1, f2, marks) for each document: n its set's size, f1 and f2 a 128-bit print of the set, marks a
+    bitmap of it; and how often the shingles of each counter stand in all documents. The counters are summed by Spark;
+    2**SKETCH_BITS numbers arrive."""
+    schema = pa.schema([("counter", pa.bool_()), ("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("marks", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros(1 << SKETCH_BITS, np.int64), Seen()
         for b in batches:
-            size, f1, f2 = [], [], []
+            size, f1, f2, marks = [], [], [], []
             for _, _, data, offsets in text_chunks(b.column(1)):
                 sets = shingle_sets(data, offsets, n)
                 size += map(len, sets)
                 mine = [_print(s, _K1) for s in sets]
                 f1 += mine
                 f2 += [_print(s, _K2) for s in sets]
+                marks += map(_marks, sets)
                 new = [s for s, x in zip(sets, mine, strict=True) if seen.new(x)]
                 if new:
                     total += np.bincount(_counter(np.concatenate(new)), minlength=1 << SKETCH_BITS)
-            yield pa.RecordBatch.from_arrays([pa.array([False] * len(size), pa.bool_()), b.column(0), *(pa.array(x, pa.int64()) for x in (size, f1, f2))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([False] * len(size), pa.bool_()), b.column(0), *(pa.array(x, pa.int64()) for x in (size, f1, f2)), pa.array(marks, pa.binary())], schema=schema)
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([True] * len(used), pa.bool_()), pa.array(used, pa.int64()), pa.array(total[used], pa.int64()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([True] * len(used), pa.bool_()), pa.array(used, pa.int64()), pa.array(total[used], pa.int64()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.binary())], schema=schema)
 
-    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "counter boolean, doc_id long, n long, f1 long, f2 long")
+    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "counter boolean, doc_id long, n long, f1 long, f2 long, marks binary")
     made = written(made, "jaccard-facts")
     sums = made.where("counter").groupBy("doc_id").agg(F.sum("n").alias("n")).toArrow()
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -132,13 +150,14 @@ def facts(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
 
 
 def postings(docs: DataFrame, n: int, percent: int, sketch, doubled) -> DataFrame:
-    """(shingle, salt, salts, node, n, pos) of each set's prefix: its shingles in order of (counter, hash), rare ones first.
+    """(bucket, node, info) for each shingle of each set's prefix: its shingles in order of (counter, hash), rare ones first.
 
     Sets that overlap by percent share a shingle of their first n - ceil(percent n / 100) + 1. Any order that is the same
     for all sets gives this; the counters only keep common shingles out of prefixes. A set is named by its print, so
-    copies are one node. A very common shingle is dealt over `salts` buckets by node.
+    copies are one node. info packs the set's size, the shingle's place and, for a very common shingle, a salt from 1
+    on by node, which is mixed into the bucket: such a shingle is dealt over many buckets.
     """
-    schema = pa.schema([("shingle", pa.int64()), ("salt", pa.int32()), ("salts", pa.int32()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+    schema = pa.schema([("bucket", pa.int64()), ("node", pa.int64()), ("info", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, twice = sketch.value, doubled.value
@@ -153,12 +172,20 @@ def postings(docs: DataFrame, n: int, percent: int, sketch, doubled) -> DataFram
                     size, c = len(s), counts[_counter(s)]
                     p = size - (percent * size + 99) // 100 + 1
                     order = np.lexsort((s, c))[:p]
-                    salts = np.maximum(-(-c[order] // hot), 1)
-                    parts.append((s[order].view(np.int64), (node % (1 << 31)) % salts, salts, np.full(p, node), np.full(p, size), np.arange(p)))
+                    salts = np.minimum(-(-c[order] // hot), SALTS)
+                    salt = np.where(salts > 1, 1 + (node % (1 << 31)) % np.maximum(salts, 1), 0)
+                    parts.append((s[order].view(np.int64) ^ (salt * MIX), np.full(p, node), (size << 36) | (np.arange(p) << 10) | salt))
                 if parts:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(f.type.to_pandas_dtype()), f.type) for x, f in zip(zip(*parts, strict=True), schema, strict=True)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*parts, strict=True)], schema=schema)
 
-    return docs.select("text").mapInArrow(run, "shingle long, salt int, salts int, node long, n int, pos int")
+    return docs.select("text").mapInArrow(run, "bucket long, node long, info long")
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """(shingle, salt, x: (node, n, pos)) of postings."""
+    salt = F.col("info").bitwiseAND(1023)
+    n, pos = F.shiftright("info", 36).cast("int"), F.shiftright("info", 10).bitwiseAND((1 << 26) - 1).cast("int")
+    return rows.withColumns({"salt": salt, "shingle": F.col("bucket").bitwiseXOR(salt * F.lit(MIX)), "x": F.struct("node", n.alias("n"), pos.alias("pos"))})
 
 
 def _need(a: Column, b: Column, percent: int) -> Column:
@@ -201,27 +228,26 @@ def _filter_bits(ids: DataFrame) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int, doubled) -> DataFrame:
-    """(node, set) for wanted (node, doc_id). The texts are read again but not shuffled: a filter of bounded size keeps
-    most other documents from giving rows, and a join drops the rest."""
+    """(node, set) for wanted (node, doc_id), and maybe others. The texts are read again but not shuffled: a filter of
+    bounded size keeps most other documents from giving rows; what it lets through meets no pair later."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(_filter_bits(wanted))
     bit = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << FILTER_BITS))
-    names = ["doc_id", "node", "set"]
+    names = ["node", "set"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, twice = sent.value, doubled.value
         on = lambda c: (bits[c >> 6] >> (c & 63).astype(np.uint64)) & np.uint64(1) == 1
         for b in batches:
             b = b.filter(pa.array(on(b.column(2).to_numpy()) & on(b.column(3).to_numpy())))
-            for i, j, data, offsets in text_chunks(b.column(1)):
+            for _, _, data, offsets in text_chunks(b.column(1)):
                 sets = shingle_sets(data, offsets, n)
                 flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 nodes = [_node(s, twice) for s in sets]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=names)
 
-    made = docs.select("doc_id", "text", bit(1).alias("b1"), bit(2).alias("b2")).mapInArrow(run, "doc_id long, node long, set array<long>")
-    return made.join(wanted, ["doc_id", "node"]).dropDuplicates(["node"]).select("node", "set")
+    return docs.select("doc_id", "text", bit(1).alias("b1"), bit(2).alias("b2")).mapInArrow(run, "node long, set array<long>")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -229,14 +255,32 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one, two = (sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
     both = pairs.join(one, "a").join(two, "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
-    return both.where(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
+    return both.where(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b").distinct()
+
+
+def _sifted(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose bitmaps do not prove that they overlap too little."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            na, nb = (b.column(k).to_numpy() for k in (2, 3))
+            apart = np.array([_apart(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)], dtype=np.int64)
+            most = (na + nb - apart) // 2
+            yield b.select([0, 1, 2, 3]).filter(pa.array(100 * most >= percent * (na + nb - most)))
+
+    one, two = (nodes.select(F.col("node").alias(c), F.col("marks").alias(f"marks_{c}")) for c in "ab")
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "marks_a", "marks_b")
+    return both.mapInArrow(run, "a long, b long, na int, nb int")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, percent: int, doubled) -> DataFrame:
     """The links among pairs, as a written table."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "doc_id")
-    wanted = written(wanted, "jaccard-wanted")
-    return written(linked(pairs, written(sets_of(docs, wanted, n, doubled), "jaccard-sets"), percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "jaccard-links")
+    left = written(_sifted(pairs, nodes, percent), "jaccard-sifted")
+    if left.isEmpty():
+        return left.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    wanted = left.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "doc_id")
+    sets = written(sets_of(docs, wanted, n, doubled), "jaccard-sets")
+    return written(linked(left, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "jaccard-links")
 
 
 def near_duplicates(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -257,28 +301,29 @@ def near_duplicates(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> D
     doubled = {r["f1"] for r in clash.toLocalIterator()}  # 64-bit prints that two sets share: none below a billion sets
     node = F.when(F.col("f1").isin(list(doubled)), F.col("f2")).otherwise(F.col("f1")) if doubled else F.col("f1")
     known = known.withColumn("node", node)
-    nodes = written(known.where("n > 0").groupBy("node").agg(F.coalesce(F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))), F.lit(NO_ID)).alias("doc_id"), F.count("*").alias("copies")), "jaccard-nodes")
+    nodes = written(known.where("n > 0").groupBy("node").agg(F.coalesce(F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))), F.lit(NO_ID)).alias("doc_id"), F.count("*").alias("copies"), F.first("marks").alias("marks")), "jaccard-nodes")
 
     sc = spark.sparkContext
     twice = sc.broadcast(doubled)
     made = postings(docs, n, percent, sc.broadcast(sketch), twice)
-    bucket = Window.partitionBy("shingle", "salt")
-    made = made.withColumns({"low": F.min("node").over(bucket), "high": F.max("node").over(bucket), "mid": F.min(F.struct("pos", "node", "n")).over(bucket)})
-    kept = written(made.where("low <> high OR salts > 1").drop("low", "high"), "jaccard-buckets")
-
-    members = kept.select(F.struct("node", "n", "pos").alias("x"), F.struct("mid.node", "mid.n", "mid.pos").alias("y"))
-    heads = kept.where("salts > 1").select("shingle", "mid").distinct()
-    tops = heads.groupBy("shingle").agg(F.min("mid").alias("top"))
-    heads = heads.join(tops, "shingle").select(F.struct("mid.node", "mid.n", "mid.pos").alias("x"), F.struct("top.node", "top.n", "top.pos").alias("y"))
+    bucket = Window.partitionBy("bucket")
+    made = made.withColumns({"low": F.min("node").over(bucket), "high": F.max("node").over(bucket), "mid": F.min(F.struct(F.shiftright("info", 10).bitwiseAND((1 << 26) - 1).alias("pos"), "node", "info")).over(bucket)})
+    kept = written(made.where("low <> high OR info & 1023 > 0").select("bucket", "node", "info", F.col("mid.node").alias("mid"), F.col("mid.info").alias("mid_info")), "jaccard-buckets")
+
+    members = unpacked(kept).select("shingle", "salt", "x", F.struct(F.col("mid").alias("node"), F.shiftright("mid_info", 36).cast("int").alias("n"), F.shiftright("mid_info", 10).bitwiseAND((1 << 26) - 1).cast("int").alias("pos")).alias("y"))
+    heads = members.where("salt > 0").select("shingle", "y").distinct()
+    tops = heads.groupBy("shingle").agg(F.min(F.struct("y.pos", "y.node", "y.n")).alias("top"))
+    heads = heads.join(tops, "shingle").select(F.col("y").alias("x"), F.struct("top.node", "top.n", "top.pos").alias("y"))
+    members = members.select("x", "y")
     stars = written(_bounded(_pairs(members.unionByName(heads)), percent), "jaccard-stars")
     links = _verified(docs, stars, nodes, n, percent, twice)
 
     parts = components(links)
-    labelled = kept.drop("mid", "salt", "salts").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).distinct()
+    labelled = unpacked(kept).select("shingle", "node", "x").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).distinct()
     apart = labelled.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
-    rest = written(labelled.join(apart, "shingle"), "jaccard-rest")
-    one = rest.select("shingle", F.col("component").alias("cx"), F.struct("node", "n", "pos").alias("x"))
-    two = rest.select("shingle", F.col("component").alias("cy"), F.struct("node", "n", "pos").alias("y"))
+    rest = written(labelled.join(apart, "shingle").select("shingle", "component", "x"), "jaccard-rest")
+    one = rest.select("shingle", F.col("component").alias("cx"), "x")
+    two = rest.select("shingle", F.col("component").alias("cy"), F.col("x").alias("y"))
     fits = (F.col("cx") < F.col("cy")) & _fits(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent)
     across = _bounded(_pairs(one.join(two, "shingle").where(fits)), percent)
     across = written(across.join(stars.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-across")
@@ -290,7 +335,7 @@ def near_duplicates(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> D
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     smallest = named.groupBy("component").agg(F.min(real("doc_id")).alias("component_id"))
     named = written(named.join(smallest, "component").select("node", "component_id", "copies"), "jaccard-components")
-    out = known.join(named, "node", "left")
+    out = known.drop("marks").join(named, "node", "left")
     return out.select(real("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", real("doc_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).alias("n_copies"))
 
 
