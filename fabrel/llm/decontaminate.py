@@ -188,10 +188,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, *, rate: float = EDIT_
     parts = []
     for i in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
-        sent = spark.sparkContext.broadcast(build_index([(r["item_id"], r["text"]) for r in mine.toLocalIterator()], rate=rate))
+        sent = spark.sparkContext.broadcast(vars(build_index([(r["item_id"], r["text"]) for r in mine.toLocalIterator()], rate=rate)))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ix = sent.value
+            ix = Index(**sent.value)
             for b in batches:
                 ids, rows = b.column(0).to_pylist(), []
                 for first, _, data, offsets in text_chunks(b.column(1)):

@@ -102,9 +102,12 @@ def bucket_sizes(docs: DataFrame, length: int, q: int) -> np.ndarray:
 
 
 def suffixes(docs: DataFrame, length: int, q: int, sizes) -> DataFrame:
-    """(bucket, salt, salts, refined, key, place): a row for each anchor. bucket is that of its q-gram, refined that of
-    all bytes that its strings cover; place packs the first start, the way to the anchor and the number of further starts."""
-    schema = pa.schema([("bucket", pa.int64()), ("salt", pa.int32()), ("salts", pa.int32()), ("refined", pa.int64()), ("key", pa.int64()), ("place", pa.int64())])
+    """(bucket, salt, salts, refined, right, left, key, place): a row for each anchor. bucket is that of its q-gram,
+    refined that of all bytes that its strings cover; right and left (32 bits) are those of the q-gram with half of the
+    rest of a string behind it or before it. place packs the first start, the way to the anchor and the number of
+    further starts."""
+    schema = pa.schema([("bucket", pa.int64()), ("salt", pa.int32()), ("salts", pa.int32()), ("refined", pa.int64()), ("right", pa.int32()), ("left", pa.int32()), ("key", pa.int64()), ("place", pa.int64())])
+    half = (length - q) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sizes.value
@@ -120,13 +123,15 @@ def suffixes(docs: DataFrame, length: int, q: int, sizes) -> DataFrame:
                 bucket = mix(r.of(q)[at])
                 doc = np.searchsorted(offsets, lo, "right") - 1
                 key = keys[row + doc]
+                sides = r.of(q + half)
+                right, left = (mix(sides[np.clip(x, 0, max(len(sides) - 1, 0))]).view(np.int64).astype(np.int32) for x in (at, at - half))
                 salts = np.maximum(-(-counts[_counter(bucket)] // hot), 1)
                 salt = (mix(key.view(np.uint64)) >> np.uint64(33)).astype(np.int64) % salts
                 place = (lo - offsets[doc]) << 16 | (at - lo) << 8 | (hi - lo)
-                cols = (bucket.view(np.int64), salt.astype(np.int32), salts.astype(np.int32), refined.view(np.int64), key, place)
+                cols = (bucket.view(np.int64), salt.astype(np.int32), salts.astype(np.int32), refined.view(np.int64), right, left, key, place)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return docs.select("__key", "text").mapInArrow(run, "bucket long, salt int, salts int, refined long, key long, place long")
+    return docs.select("__key", "text").mapInArrow(run, "bucket long, salt int, salts int, refined long, right int, left int, key long, place long")
 
 
 def window_ids(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -139,10 +144,10 @@ def window_ids(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             keys, runs = b.column(0).to_numpy(), b.column(2)
             ends = runs.offsets.to_numpy()
             flat = runs.flatten()
-            bucket, place = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+            bucket, lo, hi = (flat.field(i).to_numpy() for i in range(3))
             ends = ends - ends[0]
             of = np.repeat(np.arange(len(keys)), np.diff(ends))
-            lo, more = place >> 16, place & 255
+            more = hi - lo
             for c in range(0, len(lo), 20_000):
                 o, s, m = of[c : c + 20_000], lo[c : c + 20_000], more[c : c + 20_000]
                 size = m + length
@@ -172,21 +177,31 @@ def repeated_strings(docs: DataFrame, *, length: int = LENGTH, q: int = Q) -> Da
 
     docs has __key, in the order that makes a document earlier, and text. Initial buckets hold the anchors of one q-gram;
     a bucket of one is done. Others are refined by the identifiers of the bytes around: a suffix with an earlier one in
-    its refined bucket is a repeat as a whole. The first of each refined bucket is refined down to its single strings,
-    if its bucket has other refined ones; a string with an earlier equal is a repeat. Very large buckets are split by
-    document first: each part refers to its own first, and those firsts meet at the last level, which sums before it shuffles.
+    its refined bucket is a repeat as a whole. The firsts of the refined buckets are refined on one side: a string
+    reaches half of its other bytes beyond the q-gram on the right or on the left, so only strings of a side that two
+    firsts share can repeat, and they are compared one by one; a string with an earlier equal is a repeat. Very large
+    buckets are split by document: each part refers to its own first, and those firsts meet at the last level, which
+    sums before it shuffles.
     """
     spark = docs.sparkSession
     sizes = spark.sparkContext.broadcast(bucket_sizes(docs, length, q))
     rows = suffixes(docs, length, q, sizes)
     bucket, refined = Window.partitionBy("bucket", "salt"), Window.partitionBy("bucket", "salt", "refined").orderBy("key", "place")
-    rows = rows.withColumn("turn", F.row_number().over(refined)).withColumns({"n": F.count("*").over(bucket), "low": F.min("refined").over(bucket), "high": F.max("refined").over(bucket)})
-    rows = rows.where("turn > 1 OR low <> high OR salts > 1").select("key", "bucket", "place", (F.col("turn") > 1).alias("repeat"))
+    rows = rows.withColumn("turn", F.row_number().over(refined)).withColumns({"low": F.min("refined").over(bucket), "high": F.max("refined").over(bucket)})
+    rows = rows.where("turn > 1 OR low <> high OR salts > 1").drop("low", "high", "refined")
+    peers = lambda side: F.count(F.when(F.col("turn") == 1, 1)).over(Window.partitionBy("bucket", "salt", side))
+    shared = {side: (F.col("salts") > 1) | (peers(side) > 1) for side in ("right", "left")}
+    rows = rows.withColumns({f"{side}_shared": c for side, c in shared.items()}).where("turn > 1 OR right_shared OR left_shared")
+    lo, way, more = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(255), F.col("place").bitwiseAND(255)
+    # Starts from the anchor's way back of half a string's rest on have the right side in them, those up to it the left.
+    middle = lo + way - (length - q) // 2
+    first, last = F.when(F.col("left_shared"), lo).otherwise(F.greatest(lo, middle)), F.when(F.col("right_shared"), lo + more).otherwise(F.least(lo + more, middle))
+    repeat = F.col("turn") > 1
+    rows = rows.select("key", "bucket", repeat.alias("repeat"), F.when(repeat, lo).otherwise(first).alias("first"), F.when(repeat, lo + more).otherwise(last).alias("last")).where("first <= last")
     rows = written(rows, "suffix-buckets")
 
-    lo, more = F.shiftright("place", 16), F.col("place").bitwiseAND(255)
-    whole = rows.where("repeat").select("key", F.struct(lo.alias("lo"), (lo + more + length).alias("hi")).alias("span"))
-    open_ = rows.where("NOT repeat").groupBy("key").agg(F.collect_list(F.struct("bucket", "place")).alias("runs"))  # of one document
+    whole = rows.where("repeat").select("key", F.struct(F.col("first").alias("lo"), (F.col("last") + length).alias("hi")).alias("span"))
+    open_ = rows.where("NOT repeat").groupBy("key").agg(F.collect_list(F.struct("bucket", "first", "last")).alias("runs"))  # of one document
     strings = written(window_ids(docs, open_, length), "suffix-strings")
     first = strings.groupBy("bucket", "string").agg(F.count("*").alias("n"), F.min(F.struct("key", "start")).alias("first")).where("n > 1").drop("n")
     again = strings.join(first, ["bucket", "string"]).where((F.col("key") != F.col("first.key")) | (F.col("start") != F.col("first.start")))
