@@ -13,19 +13,22 @@ PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"),
 # Hand-written signatures: label, priority, keyword, regex over lower-cased words joined by single blanks.
 # A keyword is one word that every match of its regex holds; among overlapping detections the lower priority wins.
 SIGNATURES = """
-agpl-3.0|10|affero|gnu affero general public license(?: as published by the free software foundation)? (?:either )?(?:version|v) 3
+agpl-3.0|10|affero|gnu affero general public license(?: as published by the free software foundation)? (?:either )?(?:version|v) ?3
 agpl|20|affero|(?:gnu )?affero general public license
-agpl|30|agpl|agpl(?:v| v| version )?[0-9]?
-lgpl-2.1|10|lesser|gnu lesser general public license(?: as published by the free software foundation)? (?:either )?(?:version|v) 2 1
-lgpl-3.0|10|lesser|gnu lesser general public license(?: as published by the free software foundation)? (?:either )?(?:version|v) 3
+agpl|30|agpl|agpl(?: v ?[0-9]| version [0-9]| [0-9])?
+agpl-3.0|15|agplv3|agplv3(?: or later)?
+lgpl-2.1|10|lesser|gnu lesser general public license(?: as published by the free software foundation)? (?:either )?(?:version|v) ?2 1
+lgpl-3.0|10|lesser|gnu lesser general public license(?: as published by the free software foundation)? (?:either )?(?:version|v) ?3
 lgpl|20|lesser|(?:gnu )?lesser general public license
 lgpl-2.0|20|library|gnu library general public license
-lgpl|30|lgpl|(?:gnu )?lgpl(?:v| v| version )?[0-9]?
-gpl-2.0|10|general|gnu general public license(?: as published by the free software foundation)? (?:either )?(?:version|v) 2
-gpl-3.0|10|general|gnu general public license(?: as published by the free software foundation)? (?:either )?(?:version|v) 3
-gpl-1.0|10|general|gnu general public license(?: as published by the free software foundation)? (?:either )?(?:version|v) 1
+lgpl|30|lgpl|(?:gnu )?lgpl(?: v ?[0-9]| version [0-9]| [0-9])?
+lgpl-2.1|15|lgplv2|lgplv2(?: 1)?(?: or later)?
+lgpl-3.0|15|lgplv3|lgplv3(?: or later)?
+gpl-2.0|10|general|gnu general public license(?: as published by the free software foundation)? (?:either )?(?:version|v) ?2
+gpl-3.0|10|general|gnu general public license(?: as published by the free software foundation)? (?:either )?(?:version|v) ?3
+gpl-1.0|10|general|gnu general public license(?: as published by the free software foundation)? (?:either )?(?:version|v) ?1
 gpl|25|general|gnu general public license
-gpl|30|gpl|(?:gnu )?gpl(?: v| version )?[0-9]?
+gpl|30|gpl|(?:gnu )?gpl(?: v ?[0-9]| version [0-9]| [0-9])?
 gpl-2.0|15|gplv2|gplv2(?: or later)?
 gpl-3.0|15|gplv3|gplv3(?: or later)?
 gpl-cpe|10|classpath|gnu general public license version 2 with (?:the )?classpath exception
@@ -61,7 +64,7 @@ mpl-2.0|10|mozilla|mozilla public license (?:version|v) ?2(?: 0)?
 mpl-2.0|12|mozilla|subject to the terms of the mozilla public license v 2 0
 mpl-1.1|10|mozilla|mozilla public license (?:version|v) ?1 1
 mpl|25|mozilla|mozilla public license
-mpl|30|mpl|mpl ?[0-9]
+mpl|30|mpl|mpl [0-9]
 epl-1.0|10|eclipse|eclipse public license (?:version|v)? ?1(?: 0)?
 epl-2.0|10|eclipse|eclipse public license (?:version|v)? ?2(?: 0)?
 epl|25|eclipse|eclipse public license
@@ -87,7 +90,8 @@ public-domain|30|domain|(?:dedicated to|released into|placed in) the public doma
 public-domain|35|domain|no copyright public domain
 wtfpl|20|wtfpl|wtfpl
 wtfpl|10|fuck|do what the fuck you want to public license
-beerware|20|beer|beer ?ware license
+beerware|20|beerware|beerware license
+beerware|20|beer|beer ware license
 postgresql|20|postgresql|postgresql licen[cs]e
 python-2.0|20|python|python software foundation license(?: version 2)?
 php-3.01|20|php|php license(?: version 3 01)?
@@ -121,8 +125,10 @@ odc-by|20|commons|open data commons attribution license
 pddl|20|domain|public domain dedication and license
 cdla|20|cdla|(?:community data license agreement )?cdla (?:permissive|sharing)
 ogl|20|government|open government licen[cs]e(?: v ?[0-9])?
-llama|20|llama|llama ?[0-9]* community license
-openrail|20|openrail|(?:creativeml |bigscience )?open ?rail(?: m)?
+llama|20|llama|llama(?: [0-9]+)? community license
+llama|20|llama2|llama2 community license
+llama|20|llama3|llama3 community license
+openrail|20|openrail|(?:creativeml |bigscience )?openrail(?: m)?
 proprietary|40|reserved|all rights reserved
 proprietary|30|proprietary|proprietary and confidential
 commercial|40|commercial|commercial license(?: agreement)?

@@ -100,3 +100,24 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     taken = written(taken, "mix-copies")
     rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"]))
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+
+
+#: DuckDB SQL of doc_id, size, source_size, target and taken, with the weights, share, cap and seed above.
+MIX_SQL = r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT as size from documents),
+t as (select *, 500 + size * 500 // (size + 20) as tilt from d),
+p as (select source, sum(size)::BIGINT as source_size, sum(size * tilt)::BIGINT as mass from t group by source),
+w as (select *, ([5, 2, 1])[(row_number() over (order by source is null, source) - 1) % 3 + 1] as w from p),
+r as (select *, source_size * 2.0::DOUBLE as cap, source_size * 2.0::DOUBLE / w as ratio from w),
+l as (select *, row_number() over o as pos, ((sum(source_size) over ())::BIGINT * 1.5::DOUBLE - coalesce(sum(cap) over b, 0.0::DOUBLE))
+        / ((sum(w) over ())::BIGINT - coalesce(sum(w) over b, 0))::BIGINT as level
+      from r window o as (order by ratio, source is null, source), b as (order by ratio, source is null, source rows between unbounded preceding and 1 preceding)),
+g as (select *, (select level from l where ratio > level order by pos limit 1) as final from l),
+s as (select source, source_size, mass, case when final is null or ratio <= final then cap else final * w end as target from g),
+e as (select t.*, s.source_size, s.target, case when size > 0 then least(2.0::DOUBLE, s.target * t.tilt / s.mass) else 0.0::DOUBLE end as e from t join s on t.source is not distinct from s.source),
+q as (select *, floor(e)::BIGINT as sure, e - floor(e)::BIGINT as p, ((('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) as u from e),
+k as (select *, case when p > 0 and size > 0 then (u / (1 - u)) / (p / (1 - p)) end as q from q),
+c as (select *, target - sum(size * sure) over (partition by source) as room,
+        sum(case when q is not null then size else 0 end) over (partition by source order by floor(q / (1 + q) * 4096) nulls last, q, doc_id, size rows between unbounded preceding and current row) as run from k)
+select doc_id, size, source_size, target, (size * (sure + case when q is not null and run - size / 2.0::DOUBLE <= room then 1 else 0 end))::BIGINT as taken from c
+"""

@@ -10,7 +10,7 @@ from .decontaminate import contaminations
 from .jaccard import near_duplicates
 from .license_scan import scan_licenses
 from .line_dedup import deduplicate_units
-from .mixing import mix_sources
+from .mixing import MIX_SQL, mix_sources
 from .quality import score_documents, train
 from .shard import shard_documents
 from .suffix_dedup import deduplicate_strings
@@ -63,4 +63,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_topk_search, op4_suffix_array_dedup, op5_quality, op6_sharding, op7_jaccard_join, op8_mixing, op9_license_scan, op10_url_filter)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_topk_search": """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256.0::DOUBLE * x::DOUBLE)::BIGINT) as v from embeddings
+           where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: coalesce(p[1] * p[2], 0)))::BIGINT as score
+      from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::INTEGER as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+""",
+    "op8_mixing": MIX_SQL,
+}
