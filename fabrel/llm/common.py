@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy step handles; a longer document is handled alone.
 CHUNK_BYTES = 1 << 21
+#: Bits of a filter of keys: 2**FILTER_BITS.
+FILTER_BITS = 23
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,5 +86,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def key_filter(keys: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter of a column of numbers, or-ed together by Spark: 2**FILTER_BITS bits arrive, whatever the keys."""
+    bit = lambda seed: F.pmod(F.xxhash64(F.lit(seed), column), F.lit(1 << FILTER_BITS))
+    rows = keys.select(F.explode(F.array(bit(1), bit(2))).alias("bit"))
+    rows = rows.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def met(df: DataFrame, column: str, bits: np.ndarray, *, want: bool = True) -> DataFrame:
+    """The rows of df whose key the filter holds, or (want=False) those whose key is surely not among its keys.
+
+    Before a join on the key this keeps most other rows from being shuffled; a full filter lets all rows through.
+    """
+    sent = df.sparkSession.sparkContext.broadcast(bits)
+    names = df.columns
+    bit = lambda seed: F.pmod(F.xxhash64(F.lit(seed), column), F.lit(1 << FILTER_BITS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = sent.value
+        on = lambda c: (words[c >> 6] >> (c & 63).astype(np.uint64)) & np.uint64(1) == 1
+        for b in batches:
+            held = on(b.column(len(names)).to_numpy()) & on(b.column(len(names) + 1).to_numpy())
+            yield b.select(names).filter(pa.array(held == want))
+
+    return df.select(*names, bit(1).alias("__b1"), bit(2).alias("__b2")).mapInArrow(run, df.schema)
+
+
 def arrow_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, text_chunks, written
+from .common import key_filter, met, mix, text_chunks, written
 from .graph import components
 
 N, PERCENT = 5, 75
-#: Counters of shingle frequency: 2**SKETCH_BITS; bits of the filter of documents whose sets are fetched: 2**FILTER_BITS.
-SKETCH_BITS, FILTER_BITS = 17, 23
+#: Counters of shingle frequency: 2**SKETCH_BITS.
+SKETCH_BITS = 17
 #: A shingle of more postings than this, and than 4 times the mean counter, is dealt over several partial buckets.
 HOT = 20_000
 #: Into how many buckets a shingle is dealt, at most, and what mixes the number into a bucket's name.
@@ -216,38 +216,22 @@ def _bounded(rows: DataFrame, percent: int) -> DataFrame:
     return summed.where(F.col("c") + F.least(na - ia - 1, nb - ib - 1) >= _need(na, nb, percent)).select("a", "b", "na", "nb")
 
 
-def _filter_bits(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of the column doc_id, or-ed together by Spark: 2**FILTER_BITS bits arrive."""
-    words = 1 << (FILTER_BITS - 6)
-    bit = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << FILTER_BITS))
-    rows = ids.select(F.explode(F.array(bit(1), bit(2))).alias("bit"))
-    rows = rows.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(words, np.int64)
-    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
-    return out.view(np.uint64)
-
-
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int, doubled) -> DataFrame:
     """(node, set) for wanted (node, doc_id), and maybe others. The texts are read again but not shuffled: a filter of
     bounded size keeps most other documents from giving rows; what it lets through meets no pair later."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(_filter_bits(wanted))
-    bit = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << FILTER_BITS))
     names = ["node", "set"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, twice = sent.value, doubled.value
-        on = lambda c: (bits[c >> 6] >> (c & 63).astype(np.uint64)) & np.uint64(1) == 1
+        twice = doubled.value
         for b in batches:
-            b = b.filter(pa.array(on(b.column(2).to_numpy()) & on(b.column(3).to_numpy())))
-            for _, _, data, offsets in text_chunks(b.column(1)):
+            for _, _, data, offsets in text_chunks(b.column(0)):
                 sets = shingle_sets(data, offsets, n)
                 flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 nodes = [_node(s, twice) for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=names)
 
-    return docs.select("doc_id", "text", bit(1).alias("b1"), bit(2).alias("b2")).mapInArrow(run, "node long, set array<long>")
+    return met(docs.select("doc_id", "text"), "doc_id", key_filter(wanted, "doc_id")).select("text").mapInArrow(run, "node long, set array<long>")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
