@@ -17,6 +17,8 @@ N, PERCENT = 5, 75
 SKETCH_BITS = 17
 #: A shingle of more postings than this, and than 4 times the mean counter, is dealt over several partial buckets.
 HOT = 20_000
+#: Bytes of a long document that are hashed at once.
+PIECE = 4 << 20
 #: Into how many buckets a shingle is dealt, at most, and what mixes the number into a bucket's name.
 SALTS, MIX = 1000, 0x1D8E4E27C47D
 #: Stands for a null id inside.
@@ -39,9 +41,8 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = N) -> list[np.ndarray]:
-    """For each document the sorted 64-bit hashes of its distinct n-word shingles; of all its words, if it has fewer."""
-    count = len(offsets) - 1
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hash of each word and the document that it is in."""
     t = _FOLD[data]
     blank = _BLANK[t]
     first, last = np.ones(len(t), bool), np.ones(len(t), bool)
@@ -51,7 +52,30 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = N) -> list[np.n
     start, end = np.flatnonzero(~blank & first), np.flatnonzero(~blank & last) + 1
     run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_SYMBOL[t] * _powers(_BASE, len(t)))])
     word = mix((run[end] - run[start]) * _powers(_UNBASE, len(t) + 1)[start] + (end - start).astype(np.uint64) * _K1)
-    doc = np.searchsorted(offsets, start, "right") - 1
+    return word, np.searchsorted(offsets, start, "right") - 1
+
+
+def _words_of_long(data: np.ndarray) -> np.ndarray:
+    """The word hashes of one long document, piece by piece between blanks, in memory of a few times its words."""
+    parts, at = [np.zeros(0, np.uint64)], 0
+    while at < len(data):
+        end = at + PIECE
+        while end < len(data) and not (blanks := np.flatnonzero(_BLANK[data[at:end]])).size:
+            end += PIECE
+        end = len(data) if end >= len(data) else at + int(blanks[-1]) + 1
+        parts.append(_words(data[at:end], np.array([0, end - at]))[0])
+        at = end
+    return np.concatenate(parts)
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = N) -> list[np.ndarray]:
+    """For each document the sorted 64-bit hashes of its distinct n-word shingles; of all its words, if it has fewer."""
+    count = len(offsets) - 1
+    if count == 1 and len(data) > PIECE:
+        word = _words_of_long(data)
+        doc = np.zeros(len(word), np.int64)
+    else:
+        word, doc = _words(data, offsets)
     words = np.bincount(doc, minlength=count)
     begin = np.concatenate([[0], np.cumsum(words)])
     full = word[: max(len(word) - n + 1, 0)].copy()
@@ -239,7 +263,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one, two = (sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
     both = pairs.join(one, "a").join(two, "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
-    return both.where(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b").distinct()
+    return both.where(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
 
 
 def _sifted(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:

@@ -7,7 +7,7 @@ from collections import defaultdict
 
 import pytest
 
-from fabrel.llm import jaccard, suffix_dedup
+from fabrel.llm import common, jaccard, suffix_dedup
 from fabrel.llm.jaccard import near_duplicates, one_of_each
 from fabrel.llm.line_dedup import deduplicate_units, without_repeats
 from fabrel.llm.suffix_dedup import deduplicate_strings
@@ -53,10 +53,13 @@ def brute_strings(docs, length):
     return out
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(1, 20_000), (2, 3)])
-def test_strings(spark, monkeypatch, seed, hot):
-    """hot: at 3 nearly all buckets are split."""
+@pytest.mark.parametrize(("seed", "hot", "piece"), [(1, 20_000, 4 << 20), (2, 3, 4 << 20), (5, 20_000, 150)])
+def test_strings(spark, monkeypatch, seed, hot, piece):
+    """hot: at 3 nearly all buckets are split; piece: at 150 bytes most documents are long ones."""
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+    if piece < 1000:
+        monkeypatch.setattr(suffix_dedup, "text_chunks", lambda c: common.text_chunks(c, 1))
     docs = corpus(seed)
     got = {r[0]: tuple(r)[1:] for r in deduplicate_strings(spark.createDataFrame(docs, SCHEMA).repartition(3)).collect()}
     assert got == brute_strings(docs, 100)
@@ -91,9 +94,12 @@ def brute_components(docs):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(1, 20_000), (2, 20_000), (3, 2)])
-def test_components(spark, monkeypatch, seed, hot):
+@pytest.mark.parametrize(("seed", "hot", "piece"), [(1, 20_000, 4 << 20), (2, 20_000, 40), (3, 2, 4 << 20)])
+def test_components(spark, monkeypatch, seed, hot, piece):
     monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "PIECE", piece)
+    if piece < 1000:
+        monkeypatch.setattr(jaccard, "text_chunks", lambda c: common.text_chunks(c, 1))
     docs = corpus(seed)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(docs, SCHEMA).repartition(3)).collect()}
     assert got == brute_components(docs)
