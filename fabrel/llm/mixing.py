@@ -96,10 +96,10 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
 
     Ids must be unique. Only ids and counts are shuffled besides the texts; a text that the mix leaves out goes before.
     """
-    taken = mix_sources(docs, **how).where("copies > 0").select(F.col("doc_id").alias("__id"), "copies")
+    taken = mix_sources(docs, **how).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
     taken = written(taken, "mix-copies")
     rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"]))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 
 
 #: DuckDB SQL of doc_id, size, source_size, target and taken, with the weights, share, cap and seed above.
