@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 #: Whitespace of the word rule `[^\x20\x09-\x0D]+`.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy step handles; a longer document is handled alone.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
+#: Rows of an Arrow batch of texts, at most.
+BATCH_ROWS = 1000
 #: Bits of a filter of keys: 2**FILTER_BITS.
 FILTER_BITS = 23
 
@@ -40,6 +42,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Holds the session's Arrow batches at `rows` rows at most: texts are long, and a batch stands in the executor and in
+    Python several times over. It stays set, as lazy results are planned later."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, rows)
+
+
 def width(spark: SparkSession) -> int:
     """Partitions for an explicit repartitioning: the session's own number."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks, written
+from .common import small_batches, text_chunks, written
 
 #: Bytes of a q-gram; a q-gram is one 64-bit number, so equal numbers are equal q-grams.
 Q = 8
@@ -181,6 +181,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, *, rate: float = EDIT_
     The benchmark goes out in blocks of bounded size, so it may grow; documents are never shuffled.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.octet_length("text") >= Q)
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import key_filter, met, mix, text_chunks, written
+from .common import key_filter, met, mix, small_batches, text_chunks, written
 from .graph import components
 
 N, PERCENT = 5, 75
@@ -18,7 +18,7 @@ SKETCH_BITS = 17
 #: A shingle of more postings than this, and than 4 times the mean counter, is dealt over several partial buckets.
 HOT = 20_000
 #: Bytes of a long document that are hashed at once.
-PIECE = 4 << 20
+PIECE = 1 << 20
 #: Into how many buckets a shingle is dealt, at most, and what mixes the number into a bucket's name.
 SALTS, MIX = 1000, 0x1D8E4E27C47D
 #: Stands for a null id inside.
@@ -303,6 +303,7 @@ def near_duplicates(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> D
     that the bounds allow. Pairs inside a component can add nothing and are never made.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     known, sketch = facts(docs, n)
     clash = known.where("n > 0").groupBy("f1").agg(F.min("f2").alias("x"), F.max("f2").alias("y")).where("x <> y")

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: How a text is cut: into lines, or into the sentences of its lines. A unit keeps what separates it from the next.
 UNITS = {"line": r"[^\n]*\n|[^\n]+", "sentence": r"[^\n.!?]*(?:[.!?]+(?:\s+|$)|\n|$|[.!?])", "paragraph": r"(?:[^\n]|\n(?!\n))*(?:\n{2,}|$)"}
 #: Units of fewer words are too common by nature to judge.
@@ -24,6 +26,7 @@ def units(docs: DataFrame, *, unit: str = "sentence", min_words: int = MIN_WORDS
     Normalised: lower case, single blanks, no punctuation at the ends. start and end are characters of the text as it is.
     """
     cut = re.compile(UNITS[unit])
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

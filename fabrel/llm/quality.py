@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, text_bytes
+from .common import arrow_batch, small_batches, text_bytes
 
 #: Labelled rows that the model is fitted on, at most: those of the smallest hash of the id.
 SAMPLE = 20_000
@@ -103,6 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> dict:
     Only labels 0 and 1 count; without any, every text scores 1. The sample is bounded, so it can be broadcast to the
     scan of the texts, and its features fit on the driver.
     """
+    small_batches(docs.sparkSession)
     chosen = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("quality").cast("int").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
@@ -121,6 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> dict:
 
 def score_documents(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs; null counts as the empty text. Only texts are read."""
+    small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,6 +135,7 @@ def score_documents(docs: DataFrame, model: dict) -> DataFrame:
 
 def keep_quality(docs: DataFrame, model: dict) -> DataFrame:
     """The rows of docs whose text scores `ACCEPT` or more, with their columns as they are."""
+    small_batches(docs.sparkSession)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

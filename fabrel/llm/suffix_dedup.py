@@ -10,10 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, text_bytes, text_chunks, written
+from .common import key_filter, met, mix, small_batches, text_bytes, text_chunks, written
 
 #: Bytes of a repeated string, and of the q-gram that an initial bucket stands for.
 LENGTH, Q = 100, 20
+#: Stretches around an anchor by which the firsts of a bucket are compared; they divide LENGTH - Q.
+QUARTERS = 4
+#: Bytes of a long document that are looked at together.
+PIECE = 1 << 20
 #: Counters of bucket sizes: 2**SKETCH_BITS. A bucket of more suffixes than HOT, and than 4 times the mean counter, is split.
 SKETCH_BITS, HOT = 17, 20_000
 
@@ -78,6 +82,17 @@ def anchors(r: Refinement, offsets: np.ndarray, length: int, q: int) -> tuple[np
     return start[first], start[last], anchor[first]
 
 
+def _pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first byte, bytes, offsets): some documents at once, or one long document in pieces that share length - 1 bytes, so
+    that each of its strings is in one piece in full."""
+    if len(data) <= PIECE or len(offsets) > 2:
+        yield 0, data, offsets
+        return
+    for at in range(0, len(data), PIECE):
+        part = data[at : at + PIECE + length - 1]
+        yield at, part, np.array([0, len(part)])
+
+
 def _counter(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -88,10 +103,11 @@ def bucket_sizes(docs: DataFrame, length: int, q: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for b in batches:
-            for _, _, data, offsets in text_chunks(b.column(0)):
-                r = Refinement(data)
-                _, _, at = anchors(r, offsets, length, q)
-                total += np.bincount(_counter(mix(r.of(q)[at])), minlength=1 << SKETCH_BITS)
+            for _, _, whole, bounds in text_chunks(b.column(0)):
+                for _, data, offsets in _pieces(whole, bounds, length):
+                    r = Refinement(data)
+                    _, _, at = anchors(r, offsets, length, q)
+                    total += np.bincount(_counter(mix(r.of(q)[at])), minlength=1 << SKETCH_BITS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["counter", "n"])
 
@@ -102,41 +118,49 @@ def bucket_sizes(docs: DataFrame, length: int, q: int) -> np.ndarray:
 
 
 def suffixes(docs: DataFrame, length: int, q: int, sizes) -> DataFrame:
-    """(bucket, salt, salts, refined, right, left, key, place): a row for each anchor. bucket is that of its q-gram,
-    refined that of all bytes that its strings cover; right and left (32 bits) are those of the q-gram with half of the
-    rest of a string behind it or before it. place packs the first start, the way to the anchor and the number of
-    further starts."""
-    schema = pa.schema([("bucket", pa.int64()), ("salt", pa.int32()), ("salts", pa.int32()), ("refined", pa.int64()), ("right", pa.int32()), ("left", pa.int32()), ("key", pa.int64()), ("place", pa.int64())])
-    half = (length - q) // 2
+    """(bucket, refined, sides, key, place): a row for each anchor. bucket is that of its q-gram, refined that of all
+    bytes that its strings cover; sides has those (16 bits each) of the QUARTERS stretches of which each string with the
+    anchor has one in full: the q-gram with three quarters of the rest of a string around it. place packs the first start, the way to the anchor, the number of further starts and whether the
+    bucket is so large that it is split by document."""
+    names = ["bucket", "refined", "sides", "key", "place"]
+    step = (length - q) // QUARTERS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sizes.value
         hot = max(HOT, 4 * int(counts.mean()))
         for b in batches:
             keys = b.column(0).to_numpy()
-            for row, _, data, offsets in text_chunks(b.column(1)):
+            pieces = ((row, *piece) for row, _, texts, bounds in text_chunks(b.column(1)) for piece in _pieces(texts, bounds, length))
+            for row, base, data, offsets in pieces:
                 r = Refinement(data)
                 lo, hi, at = anchors(r, offsets, length, q)
-                whole = r.of(length)
+                whole, part_ids = r.of(length), r.of(length - step)
                 shape = ((at - lo) << 16 | (hi - lo)).astype(np.uint64)
                 refined = mix(_join(_join(whole[lo], whole[hi]), mix(shape + _A)))
+                sides = np.zeros(len(at), np.uint64)
+                for k in range(QUARTERS):
+                    side = mix(part_ids[np.clip(at - k * step, 0, max(len(part_ids) - 1, 0))])
+                    sides |= side >> np.uint64(48) << np.uint64(16 * k)
                 bucket = mix(r.of(q)[at])
                 doc = np.searchsorted(offsets, lo, "right") - 1
                 key = keys[row + doc]
-                sides = r.of(q + half)
-                right, left = (mix(sides[np.clip(x, 0, max(len(sides) - 1, 0))]).view(np.int64).astype(np.int32) for x in (at, at - half))
-                salts = np.maximum(-(-counts[_counter(bucket)] // hot), 1)
-                salt = (mix(key.view(np.uint64)) >> np.uint64(33)).astype(np.int64) % salts
-                place = (lo - offsets[doc]) << 16 | (at - lo) << 8 | (hi - lo)
-                cols = (bucket.view(np.int64), salt.astype(np.int32), salts.astype(np.int32), refined.view(np.int64), right, left, key, place)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+                parts = np.maximum(-(-counts[_counter(bucket)] // hot), 1)
+                part = (mix(key.view(np.uint64)) >> np.uint64(33)).astype(np.int64) % parts
+                split = (parts > 1).astype(np.int64)
+                bucket = bucket ^ mix(part.astype(np.uint64) * _B) * split.astype(np.uint64)
+                place = (base + lo - offsets[doc]) << 17 | (at - lo) << 9 | (hi - lo) << 1 | split
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (bucket.view(np.int64), refined.view(np.int64), sides.view(np.int64), key, place)], names=names)
 
-    return docs.select("__key", "text").mapInArrow(run, "bucket long, salt int, salts int, refined long, right int, left int, key long, place long")
+    return docs.select("__key", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def window_ids(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(bucket, string, key, start) for each string of the anchors in wanted (key, runs): its identifier of `length` bytes."""
-    schema = pa.schema([("bucket", pa.int64()), ("string", pa.int64()), ("key", pa.int64()), ("start", pa.int64())])
+def strings_of(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """(string, key, rest) for each string of the anchors in wanted (key, runs: first and last start). string is its
+    identifier; rest packs 31 more bits of it, whether the batch at hand has an earlier equal one, and the start.
+
+    A string that is met again in a batch is a repeat already: it gets an identifier of its own, so that the occurrences
+    of one string come together a batch each at most, however many documents have it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,22 +168,28 @@ def window_ids(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             keys, runs = b.column(0).to_numpy(), b.column(2)
             ends = runs.offsets.to_numpy()
             flat = runs.flatten()
-            bucket, lo, hi = (flat.field(i).to_numpy() for i in range(3))
-            ends = ends - ends[0]
+            lo, hi = (flat.field(i).to_numpy() for i in range(2))
             of = np.repeat(np.arange(len(keys)), np.diff(ends))
-            more = hi - lo
-            for c in range(0, len(lo), 20_000):
-                o, s, m = of[c : c + 20_000], lo[c : c + 20_000], more[c : c + 20_000]
-                size = m + length
+            for c in range(0, len(lo), 50_000):
+                o, s, more = of[c : c + 50_000], lo[c : c + 50_000], (hi - lo)[c : c + 50_000]
+                size = more + length
                 begin = np.concatenate([[0], np.cumsum(size)])
                 inner = np.arange(begin[-1]) - np.repeat(begin[:-1], size)
                 ids = Refinement(data[np.repeat(offsets[o] + s, size) + inner]).of(length)
-                on = np.flatnonzero(inner <= np.repeat(m, size))
+                on = np.flatnonzero(inner <= np.repeat(more, size))
                 each = np.repeat(np.arange(len(o)), size)[on]
-                cols = (bucket[c : c + 20_000][each], ids[on].view(np.int64), keys[o[each]], s[each] + inner[on])
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, schema, strict=True)], schema=schema)
+                string, key, start = mix(ids[on]), keys[o[each]], s[each] + inner[on]
+                extra = (mix(ids[on] ^ _B) >> np.uint64(33)).astype(np.int64)
+                order = np.lexsort((start, key, string))
+                again = np.zeros(len(order), bool)
+                again[order[1:]] = string[order[1:]] == string[order[:-1]]
+                string[again] = mix(mix(key[again].view(np.uint64)) + start[again].astype(np.uint64) * _A)
+                rest = extra << 32 | again.astype(np.int64) << 31 | start
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (string.view(np.int64), key, rest)], names=["string", "key", "rest"])
 
-    return docs.select("__key", "text").join(wanted, docs["__key"] == wanted["key"]).select("__key", "text", "runs").mapInArrow(run, "bucket long, string long, key long, start long")
+    some = met(docs.select("__key", "text"), "__key", key_filter(wanted, "key"))
+    joined = some.join(wanted, some["__key"] == wanted["key"]).select("__key", "text", "runs")
+    return joined.mapInArrow(run, "string long, key long, rest long")
 
 
 def ordered_keys(docs: DataFrame) -> DataFrame:
@@ -177,35 +207,40 @@ def repeated_strings(docs: DataFrame, *, length: int = LENGTH, q: int = Q) -> Da
 
     docs has __key, in the order that makes a document earlier, and text. Initial buckets hold the anchors of one q-gram;
     a bucket of one is done. Others are refined by the identifiers of the bytes around: a suffix with an earlier one in
-    its refined bucket is a repeat as a whole. The firsts of the refined buckets are refined on one side: a string
-    reaches half of its other bytes beyond the q-gram on the right or on the left, so only strings of a side that two
-    firsts share can repeat, and they are compared one by one; a string with an earlier equal is a repeat. Very large
-    buckets are split by document: each part refers to its own first, and those firsts meet at the last level, which
-    sums before it shuffles.
+    its refined bucket is a repeat as a whole. The firsts of the refined buckets are refined by the stretches around the
+    anchor: each string with the anchor has one of them in full, so only strings of a stretch that two firsts share can
+    repeat, and they are compared one by one; a string with an earlier equal is a repeat. Very large buckets are split by document: each part refers to its own first, and those firsts meet at the last level, where
+    every batch has dropped its own repeats before the shuffle.
     """
     spark = docs.sparkSession
     sizes = spark.sparkContext.broadcast(bucket_sizes(docs, length, q))
     rows = suffixes(docs, length, q, sizes)
-    bucket, refined = Window.partitionBy("bucket", "salt"), Window.partitionBy("bucket", "salt", "refined").orderBy("key", "place")
+    bucket, refined = Window.partitionBy("bucket"), Window.partitionBy("bucket", "refined").orderBy("key", "place")
+    split = F.col("place").bitwiseAND(1) == 1
     rows = rows.withColumn("turn", F.row_number().over(refined)).withColumns({"low": F.min("refined").over(bucket), "high": F.max("refined").over(bucket)})
-    rows = rows.where("turn > 1 OR low <> high OR salts > 1").drop("low", "high", "refined")
-    peers = lambda side: F.count(F.when(F.col("turn") == 1, 1)).over(Window.partitionBy("bucket", "salt", side))
-    shared = {side: (F.col("salts") > 1) | (peers(side) > 1) for side in ("right", "left")}
-    rows = rows.withColumns({f"{side}_shared": c for side, c in shared.items()}).where("turn > 1 OR right_shared OR left_shared")
-    lo, way, more = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(255), F.col("place").bitwiseAND(255)
-    # Starts from the anchor's way back of half a string's rest on have the right side in them, those up to it the left.
-    middle = lo + way - (length - q) // 2
-    first, last = F.when(F.col("left_shared"), lo).otherwise(F.greatest(lo, middle)), F.when(F.col("right_shared"), lo + more).otherwise(F.least(lo + more, middle))
+    rows = rows.where((F.col("turn") > 1) | (F.col("low") != F.col("high")) | split).drop("low", "high", "refined")
+    step = (length - q) // QUARTERS
+    rows = rows.withColumns({f"side{k}": F.shiftright("sides", 16 * k).bitwiseAND(65535) for k in range(QUARTERS)})
+    peers = lambda k: F.count(F.when(F.col("turn") == 1, 1)).over(Window.partitionBy("bucket", f"side{k}"))
+    rows = rows.withColumns({f"shared{k}": split | (peers(k) > 1) for k in range(QUARTERS)})
+    lo, way, more = F.shiftright("place", 17), F.shiftright("place", 9).bitwiseAND(255), F.shiftright("place", 1).bitwiseAND(255)
+    # Strings that start k to k + 1 steps before the anchor have stretch k in them.
+    start = lambda k: lo + way - k * step
+    first = F.greatest(lo, F.least(*[F.when(F.col(f"shared{k}"), start(k + 1)) for k in range(QUARTERS)]))
+    last = F.least(lo + more, F.greatest(*[F.when(F.col(f"shared{k}"), start(k)) for k in range(QUARTERS)]))
+    rows = rows.where(F.greatest(F.col("turn") > 1, *[F.col(f"shared{k}") for k in range(QUARTERS)]))
     repeat = F.col("turn") > 1
-    rows = rows.select("key", "bucket", repeat.alias("repeat"), F.when(repeat, lo).otherwise(first).alias("first"), F.when(repeat, lo + more).otherwise(last).alias("last")).where("first <= last")
+    rows = rows.select("key", repeat.alias("repeat"), F.when(repeat, lo).otherwise(first).alias("first"), F.when(repeat, lo + more).otherwise(last).alias("last")).where("first <= last")
     rows = written(rows, "suffix-buckets")
 
     whole = rows.where("repeat").select("key", F.struct(F.col("first").alias("lo"), (F.col("last") + length).alias("hi")).alias("span"))
-    open_ = rows.where("NOT repeat").groupBy("key").agg(F.collect_list(F.struct("bucket", "first", "last")).alias("runs"))  # of one document
-    strings = written(window_ids(docs, open_, length), "suffix-strings")
-    first = strings.groupBy("bucket", "string").agg(F.count("*").alias("n"), F.min(F.struct("key", "start")).alias("first")).where("n > 1").drop("n")
-    again = strings.join(first, ["bucket", "string"]).where((F.col("key") != F.col("first.key")) | (F.col("start") != F.col("first.start")))
-    single = again.select("key", F.struct(F.col("start").alias("lo"), (F.col("start") + length).alias("hi")).alias("span"))
+    open_ = rows.where("NOT repeat").groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("runs"))  # of one document
+    open_ = written(open_, "suffix-open")
+    strings = strings_of(docs, open_, length)
+    start = F.col("rest").bitwiseAND((1 << 31) - 1)
+    same = Window.partitionBy("string", F.shiftright("rest", 32)).orderBy("key", start)
+    single = strings.withColumn("turn", F.row_number().over(same)).where((F.col("turn") > 1) | (F.col("rest").bitwiseAND(1 << 31) != 0))
+    single = single.select("key", F.struct(start.alias("lo"), (start + length).alias("hi")).alias("span"))
     return whole.unionByName(single).groupBy("key").agg(F.collect_list("span").alias("spans"))
 
 
@@ -224,6 +259,7 @@ def deduplicate_strings(docs: DataFrame, *, length: int = LENGTH, q: int = Q, te
     Bytes covered by a `length`-byte string that also starts earlier (smaller doc_id, or earlier in the document) go.
     Null and empty texts have no bytes. Rows that share an id, or have none, rank by id (null first), then text.
     """
+    small_batches(docs.sparkSession)
     keyed = ordered_keys(docs)
     spans = repeated_strings(keyed, length=length, q=q)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * texts]
@@ -247,5 +283,9 @@ def deduplicate_strings(docs: DataFrame, *, length: int = LENGTH, q: int = Q, te
                 out.append((doc, len(raw) + gone, gone, n, hashlib.sha256(raw).hexdigest(), *[raw] * texts))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
 
-    made = keyed.join(spans, keyed["__key"] == spans["key"], "left").select("doc_id", "text", "spans")
+    spans = written(spans, "suffix-spans")
+    bits = key_filter(spans, "key")
+    some, rest = met(keyed, "__key", bits), met(keyed, "__key", bits, want=False)  # most documents lose nothing and stay where they are
+    made = some.join(spans, some["__key"] == spans["key"], "left").select("doc_id", "text", "spans")
+    made = made.unionByName(rest.select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
     return made.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
