@@ -97,16 +97,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def filter_places(column: str) -> list[Column]:
+    """The two places of a key in a filter, as columns __b1 and __b2."""
+    return [F.pmod(F.xxhash64(F.lit(seed), column), F.lit(1 << FILTER_BITS)).alias(f"__b{seed}") for seed in (1, 2)]
+
+
 def key_filter(keys: DataFrame, column: str) -> np.ndarray:
     """A Bloom filter of a column of numbers, or-ed together by Spark: 2**FILTER_BITS bits arrive, whatever the keys."""
-    bit = lambda seed: F.pmod(F.xxhash64(F.lit(seed), column), F.lit(1 << FILTER_BITS))
-    rows = keys.select(F.explode(F.array(bit(1), bit(2))).alias("bit"))
+    rows = keys.select(F.explode(F.array(*filter_places(column))).alias("bit"))
     rows = rows.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
     out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
     return out.view(np.uint64)
 
 
+def held(bits: np.ndarray, one: pa.Array, two: pa.Array) -> np.ndarray:
+    """Whether a filter has both places of each key."""
+    on = lambda c: (bits[c >> 6] >> (c & 63).astype(np.uint64)) & np.uint64(1) == 1
+    return on(one.to_numpy()) & on(two.to_numpy())
+
+
 def met(df: DataFrame, column: str, bits: np.ndarray, *, want: bool = True) -> DataFrame:
     """The rows of df whose key the filter holds, or (want=False) those whose key is surely not among its keys.
 
@@ -114,16 +124,12 @@ def met(df: DataFrame, column: str, bits: np.ndarray, *, want: bool = True) -> D
     """
     sent = df.sparkSession.sparkContext.broadcast(bits)
     names = df.columns
-    bit = lambda seed: F.pmod(F.xxhash64(F.lit(seed), column), F.lit(1 << FILTER_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = sent.value
-        on = lambda c: (words[c >> 6] >> (c & 63).astype(np.uint64)) & np.uint64(1) == 1
         for b in batches:
-            held = on(b.column(len(names)).to_numpy()) & on(b.column(len(names) + 1).to_numpy())
-            yield b.select(names).filter(pa.array(held == want))
+            yield b.select(names).filter(pa.array(held(sent.value, b.column(len(names)), b.column(len(names) + 1)) == want))
 
-    return df.select(*names, bit(1).alias("__b1"), bit(2).alias("__b2")).mapInArrow(run, df.schema)
+    return df.select(*names, *filter_places(column)).mapInArrow(run, df.schema)
 
 
 def arrow_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:

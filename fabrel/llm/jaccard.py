@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import key_filter, met, mix, small_batches, text_chunks, written
+from .common import filter_places, held, key_filter, mix, small_batches, text_chunks, written
 from .graph import components
 
 N, PERCENT = 5, 75
@@ -242,20 +242,23 @@ def _bounded(rows: DataFrame, percent: int) -> DataFrame:
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int, doubled) -> DataFrame:
     """(node, set) for wanted (node, doc_id), and maybe others. The texts are read again but not shuffled: a filter of
-    bounded size keeps most other documents from giving rows; what it lets through meets no pair later."""
+    bounded size keeps most other documents from giving rows; what it lets through meets no pair later. The filter is
+    asked where the sets are made, so a task has one Python worker."""
     names = ["node", "set"]
+    sent = docs.sparkSession.sparkContext.broadcast(key_filter(wanted, "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = doubled.value
         for b in batches:
-            for _, _, data, offsets in text_chunks(b.column(0)):
+            texts = b.column(0).filter(pa.array(held(sent.value, b.column(1), b.column(2))))
+            for _, _, data, offsets in text_chunks(texts):
                 sets = shingle_sets(data, offsets, n)
                 flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 nodes = [_node(s, twice) for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=names)
 
-    return met(docs.select("doc_id", "text"), "doc_id", key_filter(wanted, "doc_id")).select("text").mapInArrow(run, "node long, set array<long>")
+    return docs.select("text", *filter_places("doc_id")).mapInArrow(run, "node long, set array<long>")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

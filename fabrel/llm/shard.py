@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,10 +63,10 @@ def hilbert_order(docs: DataFrame, dims: Sequence[Column], ties: Sequence[str],
     cuts = docs.agg(*[F.percentile_approx(n, share, 10_000).alias(n) for n in names]).first()  # 2**bits - 1 numbers a dimension
     edges = [np.array(sorted(set(cuts[n] or [])), dtype=np.int64) for n in names]
 
-    @F.pandas_udf("long")
-    def index(*cols: pd.Series) -> pd.Series:
+    @F.arrow_udf("long")
+    def index(*cols: pa.Array) -> pa.Array:
         points = np.stack([np.searchsorted(e, c.to_numpy(), "right") for e, c in zip(edges, cols, strict=True)], axis=1)
-        return pd.Series(hilbert_index(points, bits))
+        return pa.array(hilbert_index(points, bits))
 
     order = [F.col("__hilbert"), F.xxhash64(ties[0]), *[F.col(t) for t in ties]]
     ranged = (
