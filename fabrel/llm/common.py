@@ -17,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 1 << 19
 #: Rows of an Arrow batch of texts, at most.
 BATCH_ROWS = 1000
+#: Column of the key of a row.
+ROW = "__row"
 #: Bits of a filter of keys: 2**FILTER_BITS.
 FILTER_BITS = 23
 
@@ -42,6 +44,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_keys(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(docs with `__row`, a number of its own for each row; whether that is the id). It is the id, where ids are unique and
+    none is null; else it is made once, on a written table, so that each later read of a row finds the same number."""
+    rows, ids = docs.agg(F.count("*"), F.count_distinct(F.col("doc_id").cast("long"))).first()
+    if rows == ids:
+        return docs.withColumn(ROW, F.col("doc_id").cast("long")), True
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "row-keys"), False
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Holds the session's Arrow batches at `rows` rows at most: texts are long, and a batch stands in the executor and in
     Python several times over. It stays set, as lazy results are planned later."""

@@ -6,24 +6,53 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import ROW, row_keys, small_batches
 
 #: How a text is cut: into lines, or into the sentences of its lines. A unit keeps what separates it from the next.
 UNITS = {"line": r"[^\n]*\n|[^\n]+", "sentence": r"[^\n.!?]*(?:[.!?]+(?:\s+|$)|\n|$|[.!?])", "paragraph": r"(?:[^\n]|\n(?!\n))*(?:\n{2,}|$)"}
 #: Units of fewer words are too common by nature to judge.
 MIN_WORDS = 5
 
-_UNIT_SCHEMA = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("doc_id", pa.int64()), ("unit", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+_UNIT_SCHEMA = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
-def units(docs: DataFrame, *, unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
-    """d1, d2 (a 128-bit digest), doc_id, unit, start, end of each unit of min_words words or more.
+def runs(words: list[int], least: int) -> list[tuple[int, int]]:
+    """(first, last) of what is judged of consecutive units of so many words: each unit of `least` words or more, and for each
+    shorter one the shortest run of `least` words that begins with it and the shortest that ends with it.
+
+    Every unit of a stretch of whole units that has `least` words in all lies in a run inside that stretch, so a repeated
+    line, paragraph or passage of short sentences is met as a whole.
+    """
+    full = [k for k, n in enumerate(words) if n]
+    out = set()
+    for at, k in enumerate(full):
+        if words[k] >= least:
+            out.add((k, k))
+            continue
+        n, z = words[k], at
+        while n < least and (z := z + 1) < len(full):
+            n += words[full[z]]
+        if n >= least:
+            out.add((k, full[z]))
+        n, z = words[k], at
+        while n < least and (z := z - 1) >= 0:
+            n += words[full[z]]
+        if n >= least:
+            out.add((full[z], k))
+    return sorted(out)
+
+
+def units(docs: DataFrame, *, unit: str = "sentence", min_words: int = MIN_WORDS, join_short: bool = False) -> DataFrame:
+    """d1, d2 (a 128-bit digest), doc_id, row, start, end of each unit of min_words words or more; with join_short also of the
+    runs of units that `runs` joins.
 
     Normalised: lower case, single blanks, no punctuation at the ends. start and end are characters of the text as it is.
+    row is the row's number, if docs have one (`row_keys`), or 0.
     """
     cut = re.compile(UNITS[unit])
     small_batches(docs.sparkSession)
@@ -31,13 +60,14 @@ def units(docs: DataFrame, *, unit: str = "sentence", min_words: int = MIN_WORDS
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in _UNIT_SCHEMA]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k, m in enumerate(cut.finditer(text or "")):
-                    words = m[0].lower().split()
-                    if len(words) < min_words:
-                        continue
+            for doc, text, at in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                found = [(m.start(), m.end(), m[0].lower().split()) for m in cut.finditer(text or "")]
+                counts = [len(w) for _, _, w in found]
+                for i, j in runs(counts, min_words) if join_short else [(k, k) for k, n in enumerate(counts) if n >= min_words]:
+                    start, end = found[i][0], found[j][1]
+                    words = found[i][2] if i == j else text[start:end].lower().split()
                     key = hashlib.blake2b(" ".join(words).strip(".,;:!?\"'()").encode("utf-8", "replace"), digest_size=16).digest()
-                    row = (int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True), doc, k, m.start(), m.end())
+                    row = (int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True), doc, at, start, end)
                     for c, v in zip(out, row, strict=True):
                         c.append(v)
                 if len(out[0]) >= 50_000:
@@ -45,39 +75,69 @@ def units(docs: DataFrame, *, unit: str = "sentence", min_words: int = MIN_WORDS
                     out = [[] for _ in _UNIT_SCHEMA]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _UNIT_SCHEMA, strict=True)], schema=_UNIT_SCHEMA)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "d1 long, d2 long, doc_id long, unit long, start long, end long")
+    number = F.col(ROW) if ROW in docs.columns else F.lit(0).cast("long")
+    return docs.select(F.col("doc_id").cast("long"), "text", number).mapInArrow(run, "d1 long, d2 long, doc_id long, row long, start long, end long")
 
 
-def repeated_units(docs: DataFrame, *, unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_units(docs: DataFrame, **how) -> DataFrame:
     """One row for each unit that also stands earlier (smaller doc_id, or earlier in the document):
-    doc_id, start, end of what goes and kept_doc_id, kept_start of the occurrence that stays.
+    doc_id, row, start, end of what goes and kept_doc_id, kept_start of the occurrence that stays.
 
-    Null and empty texts have no units; a null id ranks before all others. Digests are counted before the shuffle, so
-    a line of a third of all documents is a few rows; the join that finds its occurrences is split where it is skewed.
+    Null and empty texts have no units; a null id ranks before all others, and rows that share an id rank by row. A run of
+    units that overlaps the occurrence that stays is no repeat. Digests are counted before the shuffle, so a line of a
+    third of all documents is a few rows; the join that finds its occurrences is split where it is skewed.
     """
-    cut = units(docs, unit=unit, min_words=min_words)
-    first = cut.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("kept")).where("n > 1")
-    kept = first.select("d1", "d2", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"))
-    stays = F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("start") == F.col("kept_start"))
-    return cut.join(kept, ["d1", "d2"]).where(~stays).select("doc_id", "start", "end", "kept_doc_id", "kept_start")
-
-
-def deduplicate_units(docs: DataFrame, *, unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
+    cut = units(docs, **how)
+    first = cut.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "start", "end")).alias("kept")).where("n > 1")
+    kept = first.select("d1", "d2", *(F.col(f"kept.{c}").alias(f"kept_{c}") for c in ("doc_id", "row", "start", "end")))
+    stays = F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("row") == F.col("kept_row")) & (F.col("start") < F.col("kept_end"))
+    return cut.join(kept, ["d1", "d2"]).where(~stays).select("doc_id", "row", "start", "end", "kept_doc_id", "kept_start")
+
+
+def _outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, row, spans) as (doc_id, row, n_removed, removed_chars, removed): spans that lie in another one are left out."""
+    for b in batches:
+        spans = b.column(2)
+        flat, size = spans.flatten(), spans.value_lengths().to_numpy()
+        start, end = (flat.field(k).to_numpy() for k in ("start", "end"))
+        row = np.repeat(np.arange(len(size)), size)
+        order = np.lexsort((-end, start, row))
+        start, end, row = start[order], end[order], row[order]
+        base = row * (int(end.max(initial=0)) + 1)  # the farthest end so far does not pass from one document to the next
+        before = np.concatenate([[0], np.maximum.accumulate(base + end)[:-1]])[: len(end)] - base
+        keep = end > before
+        n = np.bincount(row[keep], minlength=len(size))
+        chars = np.zeros(len(size), np.int64)
+        np.add.at(chars, row[keep], (end - np.maximum(start, before))[keep])
+        ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(chars), pa.ListArray.from_arrays(ends, flat.take(pa.array(order[keep])))], names=["doc_id", "row", "n_removed", "removed_chars", "removed"])
+
+
+def _losses(docs: DataFrame, **how) -> DataFrame:
+    rows = repeated_units(docs, **how).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "end", "kept_doc_id", "kept_start")).alias("spans"))
+    return rows.mapInArrow(_outer, "doc_id long, row long, n_removed long, removed_chars long, removed array<struct<start: long, end: long, kept_doc_id: long, kept_start: long>>")
+
+
+def deduplicate_units(docs: DataFrame, **how) -> DataFrame:
     """doc_id, n_removed (units), removed_chars and removed (sorted array of start, end, kept_doc_id, kept_start),
-    a row for each document that loses something. Other documents stay as they are."""
-    rows = repeated_units(docs, unit=unit, min_words=min_words)
-    spans = F.sort_array(F.collect_list(F.struct("start", "end", "kept_doc_id", "kept_start")))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n_removed"), F.sum(F.col("end") - F.col("start")).alias("removed_chars"), spans.alias("removed"))
+    a row for each row of docs that loses something, whether or not others share its id. Other documents stay as they are.
+
+    how: unit, min_words and join_short of `units`. Runs that are joined may overlap: none lies in another, and
+    removed_chars counts each character once.
+    """
+    keyed, unique = row_keys(docs)
+    return _losses(docs if unique else keyed, **how).drop("row")
 
 
 def without_repeats(docs: DataFrame, **how) -> DataFrame:
-    """docs with the repeated units cut out of text; n_chars, if there, follows. Ids must be unique."""
-    spans = deduplicate_units(docs, **how).select(F.col("doc_id").alias("__id"), F.col("removed").alias("__cut"))
+    """docs with the repeated units cut out of text; n_chars, if there, follows."""
+    keyed, _ = row_keys(docs)
+    spans = _losses(keyed, **how).select(F.col("row").alias("__id"), F.col("removed").alias("__cut"))
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("__cut", lambda s: s["end"]))
     starts = F.concat(F.transform("__cut", lambda s: s["start"]), F.array(F.length("text").cast("long")))
     keep = F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda p: F.substring("text", (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int")))
     text = F.when(F.col("__cut").isNull(), F.col("text")).otherwise(F.array_join(keep, ""))
-    out = docs.join(spans, F.col("doc_id") == F.col("__id"), "left").withColumn("text", text)
+    out = keyed.join(spans, F.col(ROW) == F.col("__id"), "left").withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)

@@ -19,7 +19,7 @@ from .url_filter import filter_urls
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate_units(table(spark, sf_dir, "documents"))
+    return deduplicate_units(table(spark, sf_dir, "documents"), join_short=True)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

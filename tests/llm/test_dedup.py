@@ -9,7 +9,7 @@ import pytest
 
 from fabrel.llm import common, jaccard, suffix_dedup
 from fabrel.llm.jaccard import near_duplicates, one_of_each
-from fabrel.llm.line_dedup import deduplicate_units, without_repeats
+from fabrel.llm.line_dedup import deduplicate_units, runs, without_repeats
 from fabrel.llm.suffix_dedup import deduplicate_strings
 
 SCHEMA = "doc_id long, text string"
@@ -154,3 +154,36 @@ def test_units_of_odd_tables(spark):
     line = "a line of more than five words"
     out = deduplicate_units(spark.createDataFrame([(1, f"{line}\n{line}\n"), (1, line), (None, line), (2, None), (3, "short one\nshort one")], SCHEMA)).collect()
     assert sum(r.n_removed for r in out) == 3 and all(r.doc_id == 1 for r in out)
+
+
+def test_passages_of_short_units(spark):
+    """A passage whose sentences are all short goes as a whole; what stays of it stays whole."""
+    words = [f"w{i}" for i in range(60)]
+    short = " ".join(f"{w}." for w in words)
+    pairs = " ".join(f"{a} {b}." for a, b in zip(words[::2], words[1::2], strict=True))
+    docs = [(1, f"Start here.\n{short}\nEnd."), (2, short), (3, f"x y. {short} z."), (4, pairs), (5, f"q r.\n{pairs}\ns t."), (6, "No. " * 12), (7, "one two. three.")]
+    rows = {r.doc_id: r for r in deduplicate_units(spark.createDataFrame(docs, SCHEMA), join_short=True).collect()}
+    kept = {r.doc_id: r.text for r in without_repeats(spark.createDataFrame(docs, SCHEMA), join_short=True).collect()}
+    assert kept == {1: docs[0][1], 2: "", 3: "x y. z.", 4: pairs, 5: "q r.\ns t.", 6: "No. " * 5, 7: docs[6][1]}
+    for i, t in docs:
+        assert len(t) - len(kept[i]) == (rows[i].removed_chars if i in rows else 0)
+    assert all((a.start, a.end) < (b.start, b.end) and a.end < b.end for r in rows.values() for a, b in zip(r.removed, r.removed[1:]))
+
+
+def test_copies_that_share_an_id_lose_their_units(spark):
+    line = "a line of more than five words"
+    rows = [(None, line), (None, line), (4, line), (4, line), (4, f"{line}\nand another one of five words")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted((r.doc_id or 0, r.n_removed, r.removed_chars) for r in deduplicate_units(df).collect()) == [(0, 1, 30), (4, 1, 30), (4, 1, 30), (4, 1, 31)]
+    assert sorted(r.text for r in without_repeats(df).collect()) == ["", "", "", line, "and another one of five words"]
+
+
+def test_every_stretch_of_units_is_met_as_a_whole():
+    r = random.Random(8)
+    for _ in range(300):
+        counts = [r.choice([0, 1, 1, 2, 3, 4, 5, 9]) for _ in range(r.randint(1, 14))]
+        found = runs(counts, 5)
+        for i in range(len(counts)):
+            for j in range(i, len(counts)):
+                inside = {k for a, b in found if i <= a and b <= j for k in range(a, b + 1)}
+                assert sum(counts[i : j + 1]) < 5 or inside >= {k for k in range(i, j + 1) if counts[k]}
