@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count, written
+from .common import ROW, row_keys, word_count, written
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -45,8 +45,8 @@ def uniform(key: Column, seed: int) -> Column:
     return (h + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def mix_sources(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, share: float = 1.5, cap: int = 2, seed: int = 17) -> DataFrame:
-    """doc_id, size, source, source_size, target, copies, taken for every row of docs.
+def mix_sources(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, share: float = 1.5, cap: int = 2, seed: int = 17, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, size, source, source_size, target, copies, taken for every row of docs, and the columns of docs in `carry`.
 
     A document's expected copies are its source's target over its size, tilted by a weight that grows with its
     words (from 0.5 to 1, by size / (size + 20)), `cap` at most. The whole part is taken for certain; the rest is its
@@ -54,7 +54,7 @@ def mix_sources(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, share: flo
     come in until the source's words are as near to the target as whole documents allow. Texts that are null or have
     no words take 0. Rows that share an id are one document: they rank together and each may come in by itself.
     """
-    base = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    base = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *carry), "mix-sizes")
     base = base.withColumn("__tilt", F.expr("500 + size * 500 div (size + 20)"))
     per = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("__tilt")).alias("__mass"))
     targets = written(source_targets(per, weights, share, float(cap)).join(per.select(F.col("source").alias("__s"), "__mass"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s"), "mix-targets")
@@ -88,17 +88,19 @@ def mix_sources(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, share: flo
     rest = rows.where("__at <> 'cut'").withColumn("__more", (F.col("__at") == "in").cast("long"))
     copies = F.col("__sure") + F.col("__more")
     out = rest.unionByName(edge.drop("__sum"))
-    return out.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *carry)
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs, each as often as the mix takes its document, with their columns as they are.
+    """The rows of docs, each as often as the mix takes it, with their columns as they are.
 
-    Ids must be unique. Only ids and counts are shuffled besides the texts; a text that the mix leaves out goes before.
+    Rows may share an id or have none: counts meet rows by a key of each row. Only keys and counts are shuffled besides
+    the texts; a text that the mix leaves out goes before.
     """
-    taken = mix_sources(docs, **how).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
+    keyed, _ = row_keys(docs)
+    taken = mix_sources(keyed, carry=[ROW], **how).where("copies > 0").select(F.col(ROW).alias("__id"), F.col("copies").alias("__copies"))
     taken = written(taken, "mix-copies")
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"]))
+    rows = keyed.join(taken, keyed[ROW] == taken["__id"])
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 
 

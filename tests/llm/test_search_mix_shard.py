@@ -92,6 +92,18 @@ def test_mix_of_odd_tables(spark):
     assert [(x.size, x.taken, x.target) for x in out] == [(0, 0, 0.0)] * 3
 
 
+def test_mixed_takes_rows_that_share_an_id_twice_at_most(spark):
+    schema = "doc_id long, source string, text string, at int"
+    r = random.Random(6)
+    docs = [(r.choice([None, 7, 7, 100 + i]), r.choice("ab"), " ".join(["w"] * r.choice([1, 5, 30])), i) for i in range(120)]
+    df = spark.createDataFrame(docs, schema).repartition(3)
+    rows = mixed(df).collect()
+    copies = Counter(x.at for x in rows)
+    assert max(copies.values()) == 2 and all(tuple(x) == docs[x.at] for x in rows)
+    taken = sum(x.taken for x in mix_sources(df).collect())
+    assert sum(len(x.text.split()) for x in rows) == taken
+
+
 def test_top_k_in_sql(spark, sf):
     d = duckdb.connect()
     d.sql(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
