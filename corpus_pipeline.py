@@ -20,13 +20,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group."""
+    """Keeps one row of each group, that of the smallest id."""
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents in which a benchmark item stands."""
-    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Drops the rows in which a benchmark item stands, those without an id too."""
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"), by_row=True)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

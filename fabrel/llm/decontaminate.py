@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_chunks, written
+from .common import ROW, row_keys, small_batches, text_chunks, written
 
 #: Bytes of a q-gram; a q-gram is one 64-bit number, so equal numbers are equal q-grams.
 Q = 8
@@ -208,8 +208,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, *, rate: float = EDIT_
     return found.groupBy("doc_id", "item_id").agg(least["edits"].alias("edits"), F.count("*").alias("n_places"), least["end"].alias("end"))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, *, rate: float = EDIT_RATE) -> DataFrame:
-    """docs without the documents in which an item stands; rows with a null id stay."""
-    bad = contaminations(docs, benchmark, rate=rate).select(F.col("doc_id").alias("__id")).distinct()
+def decontaminated(docs: DataFrame, benchmark: DataFrame, *, rate: float = EDIT_RATE, by_row: bool = False) -> DataFrame:
+    """docs without the documents in which an item stands. Rows that share an id go together and rows with a null id stay;
+    by_row judges each row by its own text, whatever its id."""
+    keyed = row_keys(docs)[0] if by_row else docs.withColumn(ROW, F.col("doc_id"))
+    bad = contaminations(keyed.select(F.col(ROW).alias("doc_id"), "text"), benchmark, rate=rate).select(F.col("doc_id").alias("__id")).distinct()
     bad = written(bad, "leaky-ids")  # so that Spark knows its size when it chooses the join
-    return docs.join(bad, docs["doc_id"] == bad["__id"], "left_anti")
+    return keyed.join(bad, keyed[ROW] == bad["__id"], "left_anti").select(*docs.columns)

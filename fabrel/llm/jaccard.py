@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import filter_places, held, key_filter, mix, small_batches, text_chunks, written
+from .common import ROW, filter_places, held, key_filter, mix, row_keys, small_batches, text_chunks, written
 from .graph import components
 
 N, PERCENT = 5, 75
@@ -352,6 +352,15 @@ def near_duplicates(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> D
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """docs with the row of the smallest id of each group of near-duplicates; rows with a null id stay."""
-    gone = near_duplicates(docs, **how).where("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
-    return docs.join(written(gone, "jaccard-gone"), docs["doc_id"] == F.col("__id"), "left_anti")
+    """docs with one row of each group of near-duplicates: that of the smallest id. A row without an id comes after those
+    with one; of rows that share it, or have none, one stays."""
+    keyed, unique = row_keys(docs)
+    groups = near_duplicates(keyed.select(F.col(ROW).alias("doc_id"), "text"), **how)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
+    if not unique:  # the smallest row number is not that of the smallest id
+        groups = written(groups.select(F.col("doc_id").alias("__id"), "component_id"), "jaccard-groups")
+        ranks = keyed.select(F.col(ROW), F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.xxhash64("text"), F.col(ROW)).alias("__rank"))
+        best = groups.join(ranks, groups["__id"] == ranks[ROW]).groupBy("component_id").agg(F.min("__rank").alias("__rank"))
+        gone = groups.select("__id").join(best.select(F.col(f"__rank.{ROW}").alias("__id")), "__id", "left_anti")
+    gone = written(gone, "jaccard-gone")
+    return keyed.join(gone, keyed[ROW] == gone["__id"], "left_anti").select(*docs.columns)

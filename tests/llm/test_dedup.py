@@ -123,6 +123,13 @@ def test_components_of_odd_tables(spark):
     assert sorted(map(tuple, kept.collect())) == [(1, text, "a"), (4, "x y", "c")]
 
 
+def test_one_row_stays_of_copies_that_share_an_id(spark):
+    text, other = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(None, text, 0), (8, text, 1), (8, text, 2), (3, text, 3), (None, other, 4), (None, other, 5), (8, "x y z", 6), (None, None, 7), (None, "", 8)]
+    kept = one_of_each(spark.createDataFrame(rows, SCHEMA + ", at int").repartition(3)).collect()
+    assert len(kept) == 5 and {r.at for r in kept} - {4, 5} == {3, 6, 7, 8} and all(tuple(r) == rows[r.at] for r in kept)
+
+
 def brute_units(docs, min_words=5):
     seen, out = {}, defaultdict(list)
     for i, t in docs:

@@ -69,6 +69,15 @@ def test_decontaminated_keeps_the_rest(spark):
     assert contaminations(docs, bench.limit(0)).isEmpty() and contaminations(docs.limit(0), bench).isEmpty()
 
 
+def test_pipeline_drops_leaks_of_rows_without_an_id_of_their_own(spark, tmp_path):
+    import corpus_pipeline
+
+    item = "the quick brown fox jumps over the lazy dog and runs away"
+    docs = spark.createDataFrame([(None, item, 1), (None, "clean text", 2), (5, f"{item} yy", 3), (5, "more clean text", 4), (6, item, 5)], SCHEMA + ", at int")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(x["at"] for x in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()) == [2, 4]
+
+
 def test_quality_on_held_out_rows(spark, sf):
     big = sf.replace("0.001", "0.01")
     docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
