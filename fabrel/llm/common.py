@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import Scratch, written  # noqa: F401
+
 #: Whitespace of the word rule `[^\x20\x09-\x0D]+`.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy step handles; a longer document is handled alone.
@@ -27,30 +28,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='fabrel-')}"
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cuts lineage: df as a table in the shared folder, so that a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/fabrel/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def row_keys(docs: DataFrame) -> tuple[DataFrame, bool]:
     """(docs with `__row`, a number of its own for each row; whether that is the id). It is the id, where ids are unique and
-    none is null; else it is made once, on a written table, so that each later read of a row finds the same number."""
+    none is null; else the number of the row's file and its place there, where docs are read from Parquet; else it is made
+    once, on a written table. So each later read of a row finds the same number."""
     rows, ids = docs.agg(F.count("*"), F.count_distinct(F.col("doc_id").cast("long"))).first()
     if rows == ids:
         return docs.withColumn(ROW, F.col("doc_id").cast("long")), True
-    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "row-keys"), False
+    try:
+        placed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__index"))
+    except AnalysisException:  # not a scan of Parquet files
+        return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "row-keys"), False
+    files = placed.select("__path").distinct().withColumn("__file", F.row_number().over(Window.orderBy("__path")))  # a row for each file
+    keyed = placed.join(written(files, "row-files"), "__path").withColumn(ROW, F.shiftleft(F.col("__file").cast("long"), 36) + F.col("__index"))
+    return keyed.drop("__path", "__index", "__file"), False
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -143,5 +134,19 @@ def met(df: DataFrame, column: str, bits: np.ndarray, *, want: bool = True) -> D
     return df.select(*names, *filter_places(column)).mapInArrow(run, df.schema)
 
 
+def looked_up(rows: DataFrame, facts: DataFrame, on: list[str], total: int, how: str = "inner") -> DataFrame:
+    """rows joined with facts, which has one row for each key `on` and `__n`, how many of the `total` rows have it.
+
+    Keys of more than a thousandth of the rows (1000 at least) are broadcast: there are below a thousand of them, whatever
+    the input, and their rows stay where they are. The others are few rows each and are joined by a shuffle. Both tables
+    are read twice, so they should be written ones.
+    """
+    most = max(1000, total // 1000)
+    hot = facts.where(F.col("__n") > most).drop("__n")
+    cold = facts.where(F.col("__n") <= most).drop("__n")
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how)
+    return rows.join(F.broadcast(hot), on).unionByName(rest)
+
+
 def arrow_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

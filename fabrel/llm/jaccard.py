@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, filter_places, held, key_filter, mix, row_keys, small_batches, text_chunks, written
+from .common import ROW, Scratch, filter_places, held, key_filter, looked_up, mix, row_keys, small_batches, text_chunks
 from .graph import components
 
 N, PERCENT = 5, 75
@@ -21,6 +21,10 @@ HOT = 20_000
 PIECE = 1 << 20
 #: Into how many buckets a shingle is dealt, at most, and what mixes the number into a bucket's name.
 SALTS, MIX = 1000, 0x1D8E4E27C47D
+#: Sets of more shingles than this are multiplied in 2**BLOCK_BITS blocks of shingles, so that no row holds a long set.
+WHOLE, BLOCK_BITS = 2048, 6
+#: Rows of one size band of a shingle that a task compares with each other, about.
+CELL = 2000
 #: Stands for a null id inside.
 NO_ID = -(1 << 63)
 
@@ -141,7 +145,7 @@ class Seen:
         return True
 
 
-def facts(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
+def facts(docs: DataFrame, n: int, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n, f1, f2, marks) for each document: n its set's size, f1 and f2 a 128-bit print of the set, marks a
     bitmap of it; and how often the shingles of each counter stand in all documents. The counters are summed by Spark;
     2**SKETCH_BITS numbers arrive."""
@@ -166,7 +170,7 @@ def facts(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array([True] * len(used), pa.bool_()), pa.array(used, pa.int64()), pa.array(total[used], pa.int64()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.binary())], schema=schema)
 
     made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "counter boolean, doc_id long, n long, f1 long, f2 long, marks binary")
-    made = written(made, "jaccard-facts")
+    made = scratch.written(made, "facts")
     sums = made.where("counter").groupBy("doc_id").agg(F.sum("n").alias("n")).toArrow()
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     sketch[sums["doc_id"].to_numpy()] = sums["n"].to_numpy()
@@ -240,11 +244,13 @@ def _bounded(rows: DataFrame, percent: int) -> DataFrame:
     return summed.where(F.col("c") + F.least(na - ia - 1, nb - ib - 1) >= _need(na, nb, percent)).select("a", "b", "na", "nb")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, n: int, doubled) -> DataFrame:
-    """(node, set) for wanted (node, doc_id), and maybe others. The texts are read again but not shuffled: a filter of
-    bounded size keeps most other documents from giving rows; what it lets through meets no pair later. The filter is
-    asked where the sets are made, so a task has one Python worker."""
-    names = ["node", "set"]
+def sets_of(docs: DataFrame, wanted: DataFrame, n: int, percent: int, doubled) -> DataFrame:
+    """(node, block, set) for wanted (node, doc_id), and maybe others: the rows of the incidence matrix, cut into blocks of
+    shingles. Block -1 is a whole set; a long set has blocks by the top bits of its shingles, and sets whose partner may
+    be on the other side of `WHOLE` have both. The texts are read again but not shuffled: a filter of bounded size
+    keeps most other documents from giving rows; what it lets through meets no pair later. The filter is asked where the
+    sets are made, so a task has one Python worker."""
+    names = ["node", "block", "set"]
     sent = docs.sparkSession.sparkContext.broadcast(key_filter(wanted, "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,21 +258,32 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int, doubled) -> DataFrame:
         for b in batches:
             texts = b.column(0).filter(pa.array(held(sent.value, b.column(1), b.column(2))))
             for _, _, data, offsets in text_chunks(texts):
-                sets = shingle_sets(data, offsets, n)
-                flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                nodes = [_node(s, twice) for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=names)
+                nodes, blocks, parts = [], [], []
+                for s in shingle_sets(data, offsets, n):
+                    node = _node(s, twice)
+                    if len(s) <= WHOLE:
+                        nodes.append(node), blocks.append(-1), parts.append(s)
+                    if 100 * len(s) > percent * WHOLE:
+                        at = np.searchsorted(s >> np.uint64(64 - BLOCK_BITS), np.arange((1 << BLOCK_BITS) + 1, dtype=np.uint64))
+                        nodes += [node] * (1 << BLOCK_BITS)
+                        blocks += range(1 << BLOCK_BITS)
+                        parts += [s[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+                flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in parts])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(blocks, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=names)
 
-    return docs.select("text", *filter_places("doc_id")).mapInArrow(run, "node long, set array<long>")
+    return docs.select("text", *filter_places("doc_id")).mapInArrow(run, "node long, block int, set array<long>")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets overlap by percent, counted in full."""
-    one, two = (sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
-    both = pairs.join(one, "a").join(two, "b")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    return both.where(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
+    """The pairs (a, b) whose sets overlap by percent: the entries of the product of the incidence matrix with its transpose
+    at the pairs, their counts accumulated block by block."""
+    longest = F.greatest("na", "nb")
+    blocks = F.when(longest > WHOLE, F.sequence(F.lit(0), F.lit((1 << BLOCK_BITS) - 1))).otherwise(F.array(F.lit(-1)))
+    one, two = (sets.select(F.col("node").alias(c), "block", F.col("set").alias(f"set_{c}")) for c in "ab")
+    both = pairs.withColumn("block", F.explode(blocks)).join(one, ["a", "block"]).join(two, ["b", "block"])
+    counted = both.select("a", "b", "na", "nb", F.size(F.array_intersect("set_a", "set_b")).alias("c")).groupBy("a", "b").agg(F.sum("c").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return counted.where(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
 
 def _sifted(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -284,14 +301,43 @@ def _sifted(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, na int, nb int")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, percent: int, doubled) -> DataFrame:
-    """The links among pairs, as a written table."""
-    left = written(_sifted(pairs, nodes, percent), "jaccard-sifted")
+def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, percent: int, doubled, scratch: Scratch, turn: str) -> DataFrame:
+    """The links (u, v) among pairs, as a written table."""
+    left = scratch.written(_sifted(pairs, nodes, percent), f"sifted-{turn}")
     if left.isEmpty():
         return left.select(F.col("a").alias("u"), F.col("b").alias("v"))
     wanted = left.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "doc_id")
-    sets = written(sets_of(docs, wanted, n, doubled), "jaccard-sets")
-    return written(linked(left, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "jaccard-links")
+    sets = scratch.written(sets_of(docs, wanted, n, percent, doubled), f"sets-{turn}")
+    links = scratch.written(linked(left, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v")), f"links-{turn}")
+    scratch.drop(f"sifted-{turn}", f"sets-{turn}")
+    return links
+
+
+def across(rest: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(x, y) for rows of rest (shingle, component, x: node, n, pos) of one shingle and two components, where sizes and
+    places leave room for the least overlap.
+
+    Sets that can link are of one size band or of neighbouring ones (a band is a factor of 100 / percent), so only those
+    meet. The rows of a band of a shingle, if they are more than `CELL`, are dealt into g parts and meet in g * g cells:
+    no task compares more than a cell's rows, and no pair is made twice.
+    """
+    band = F.floor(F.log(F.col("x.n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
+    rest = scratch.written(rest.withColumn("band", band), "rest")
+    sizes = rest.groupBy("shingle", "band").agg(F.count("*").alias("n"))
+    large = sizes.select("shingle", F.explode(F.array("band", F.col("band") - 1)).alias("band"), "n").groupBy("shingle", "band").agg(F.sum("n").alias("n"))
+    large = scratch.written(large.where(F.col("n") > CELL).select("shingle", "band", F.ceil(F.col("n") / CELL).cast("int").alias("g"), F.col("n").alias("__n")), "cells")
+    # Bands a factor of 100 / percent apart at most, with room for rounding at the edges of a band.
+    sides = rest.withColumns({"own": F.col("band"), "band": F.explode(F.array("band", F.col("band") - 1))})
+    if large.isEmpty():
+        sides = sides.withColumn("g", F.lit(1))
+    else:
+        sides = scratch.written(sides, "sides")
+        sides = looked_up(sides, large, ["shingle", "band"], sides.count(), "left").withColumn("g", F.coalesce("g", F.lit(1)))
+    part, every = F.pmod(F.xxhash64("x.node"), F.col("g")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("g") - 1))
+    one = sides.where("own = band").select("shingle", "band", part.alias("i"), every.alias("j"), F.col("component").alias("cx"), "x")
+    two = sides.select("shingle", "band", part.alias("j"), every.alias("i"), F.col("component").alias("cy"), F.col("x").alias("y"), "own")
+    once = F.when(F.col("own") == F.col("band"), F.col("cx") < F.col("cy")).otherwise(F.col("cx") != F.col("cy"))
+    return one.join(two, ["shingle", "band", "i", "j"]).where(once & _fits(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent)).select("x", "y")
 
 
 def near_duplicates(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -299,7 +345,7 @@ def near_duplicates(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> D
 
     Two documents link when 100 * intersection >= percent * union of their sets; component_id is the smallest doc_id
     reachable. Null and wordless texts have the empty set and stand alone. Rows with a null id take part, but lend no
-    id. Equal sets are one node from the start (n_copies counts its rows).
+    id. Equal sets are one node from the start (n_copies counts its rows). Other columns of docs are not read.
 
     First every set is held against the most central set of each of its buckets (a star, so a group of copies gives as
     many pairs as members, not their square); then, only between what those links left apart, all pairs of a bucket
@@ -307,60 +353,69 @@ def near_duplicates(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> D
     """
     spark = docs.sparkSession
     small_batches(spark)
+    scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    known, sketch = facts(docs, n)
+    known, sketch = facts(docs, n, scratch)
     clash = known.where("n > 0").groupBy("f1").agg(F.min("f2").alias("x"), F.max("f2").alias("y")).where("x <> y")
     doubled = {r["f1"] for r in clash.toLocalIterator()}  # 64-bit prints that two sets share: none below a billion sets
     node = F.when(F.col("f1").isin(list(doubled)), F.col("f2")).otherwise(F.col("f1")) if doubled else F.col("f1")
     known = known.withColumn("node", node)
-    nodes = written(known.where("n > 0").groupBy("node").agg(F.coalesce(F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))), F.lit(NO_ID)).alias("doc_id"), F.count("*").alias("copies"), F.first("marks").alias("marks")), "jaccard-nodes")
+    nodes = scratch.written(known.where("n > 0").groupBy("node").agg(F.coalesce(F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))), F.lit(NO_ID)).alias("doc_id"), F.count("*").alias("copies"), F.first("marks").alias("marks")), "nodes")
+    known = scratch.written(known.select("doc_id", "n", "node"), "rows")
+    scratch.drop("facts")
 
     sc = spark.sparkContext
     twice = sc.broadcast(doubled)
     made = postings(docs, n, percent, sc.broadcast(sketch), twice)
     bucket = Window.partitionBy("bucket")
     made = made.withColumns({"low": F.min("node").over(bucket), "high": F.max("node").over(bucket), "mid": F.min(F.struct(F.shiftright("info", 10).bitwiseAND((1 << 26) - 1).alias("pos"), "node", "info")).over(bucket)})
-    kept = written(made.where("low <> high OR info & 1023 > 0").select("bucket", "node", "info", F.col("mid.node").alias("mid"), F.col("mid.info").alias("mid_info")), "jaccard-buckets")
+    kept = scratch.written(made.where("low <> high OR info & 1023 > 0").select("bucket", "node", "info", F.col("mid.node").alias("mid"), F.col("mid.info").alias("mid_info")), "buckets")
 
     members = unpacked(kept).select("shingle", "salt", "x", F.struct(F.col("mid").alias("node"), F.shiftright("mid_info", 36).cast("int").alias("n"), F.shiftright("mid_info", 10).bitwiseAND((1 << 26) - 1).cast("int").alias("pos")).alias("y"))
     heads = members.where("salt > 0").select("shingle", "y").distinct()
     tops = heads.groupBy("shingle").agg(F.min(F.struct("y.pos", "y.node", "y.n")).alias("top"))
     heads = heads.join(tops, "shingle").select(F.col("y").alias("x"), F.struct("top.node", "top.n", "top.pos").alias("y"))
     members = members.select("x", "y")
-    stars = written(_bounded(_pairs(members.unionByName(heads)), percent), "jaccard-stars")
-    links = _verified(docs, stars, nodes, n, percent, twice)
+    stars = scratch.written(_bounded(_pairs(members.unionByName(heads)), percent), "stars")
+    links = _verified(docs, stars, nodes, n, percent, twice, scratch, "one")
 
     parts = components(links)
     labelled = unpacked(kept).select("shingle", "node", "x").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).distinct()
-    apart = labelled.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
-    rest = written(labelled.join(apart, "shingle").select("shingle", "component", "x"), "jaccard-rest")
-    one = rest.select("shingle", F.col("component").alias("cx"), "x")
-    two = rest.select("shingle", F.col("component").alias("cy"), F.col("x").alias("y"))
-    fits = (F.col("cx") < F.col("cy")) & _fits(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent)
-    across = _bounded(_pairs(one.join(two, "shingle").where(fits)), percent)
-    across = written(across.join(stars.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-across")
-    if not across.isEmpty():
-        links = written(links.unionByName(_verified(docs, across, nodes, n, percent, twice)), "jaccard-links")
+    labelled = scratch.written(labelled.select("shingle", "component", "x"), "labelled")
+    scratch.drop("buckets")
+    apart = labelled.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("__n")).where("lo <> hi").select("shingle", "__n")
+    rest = looked_up(labelled, scratch.written(apart, "apart"), ["shingle"], labelled.count())
+    found = _bounded(_pairs(across(rest, percent, scratch)), percent)
+    found = scratch.written(found.join(stars.select("a", "b"), ["a", "b"], "left_anti"), "across")
+    scratch.drop("labelled", "apart", "rest", "cells", "sides", "stars")
+    if not found.isEmpty():
+        links = links.unionByName(_verified(docs, found, nodes, n, percent, twice, scratch, "two"))
         parts = components(links)
 
-    named = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # Only nodes with a link need another id than their own.
+    member = scratch.written(nodes.select("node", "doc_id").join(parts, "node"), "members")
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    smallest = named.groupBy("component").agg(F.min(real("doc_id")).alias("component_id"))
-    named = written(named.join(smallest, "component").select("node", "component_id", "copies"), "jaccard-components")
-    out = known.drop("marks").join(named, "node", "left")
-    return out.select(real("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", real("doc_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).alias("n_copies"))
+    least = scratch.written(member.groupBy("component").agg(F.min(real("doc_id")).alias("least"), F.count("*").alias("__n")), "least")
+    named = looked_up(member.select("node", "component"), least, ["component"], member.count()).select("node", "least")
+    named = nodes.select("node", "doc_id", "copies").join(named, "node", "left").select("node", F.coalesce("least", real("doc_id")).alias("component_id"), "copies", F.col("copies").alias("__n"))
+    named = scratch.written(named, "named")
+    scratch.drop("nodes", "members", "least", "across", "links-one", "links-two")
+    some = scratch.written(known.where("n > 0"), "some")
+    out = looked_up(some, named, ["node"], some.count()).unionByName(known.where("n = 0").withColumns({"component_id": real("doc_id"), "copies": F.lit(1).cast("long")}))
+    return out.select(real("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("copies").alias("n_copies"))
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """docs with one row of each group of near-duplicates: that of the smallest id. A row without an id comes after those
-    with one; of rows that share it, or have none, one stays."""
+    with one; of rows that share it, or have none, one stays. Columns stay as they are."""
     keyed, unique = row_keys(docs)
-    groups = near_duplicates(keyed.select(F.col(ROW).alias("doc_id"), "text"), **how)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
+    scratch = Scratch(docs.sparkSession, "jaccard-one")
+    groups = scratch.written(near_duplicates(keyed.select(F.col(ROW).alias("doc_id"), "text"), **how).select(F.col("doc_id").alias("__id"), "component_id"), "groups")
+    gone = groups.where("__id <> component_id").select("__id")
     if not unique:  # the smallest row number is not that of the smallest id
-        groups = written(groups.select(F.col("doc_id").alias("__id"), "component_id"), "jaccard-groups")
         ranks = keyed.select(F.col(ROW), F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.xxhash64("text"), F.col(ROW)).alias("__rank"))
         best = groups.join(ranks, groups["__id"] == ranks[ROW]).groupBy("component_id").agg(F.min("__rank").alias("__rank"))
         gone = groups.select("__id").join(best.select(F.col(f"__rank.{ROW}").alias("__id")), "__id", "left_anti")
-    gone = written(gone, "jaccard-gone")
+    gone = scratch.written(gone, "gone")
+    scratch.drop("groups")
     return keyed.join(gone, keyed[ROW] == gone["__id"], "left_anti").select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, row_keys, word_count, written
+from .common import ROW, Scratch, row_keys, word_count
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -45,33 +45,32 @@ def uniform(key: Column, seed: int) -> Column:
     return (h + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def mix_sources(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, share: float = 1.5, cap: int = 2, seed: int = 17, carry: Sequence[str] = ()) -> DataFrame:
-    """doc_id, size, source, source_size, target, copies, taken for every row of docs, and the columns of docs in `carry`.
-
-    A document's expected copies are its source's target over its size, tilted by a weight that grows with its
-    words (from 0.5 to 1, by size / (size + 20)), `cap` at most. The whole part is taken for certain; the rest is its
-    inclusion probability p in a Pareto sample: documents rank by (u / (1 - u)) / (p / (1 - p)), u a hash of the id, and
-    come in until the source's words are as near to the target as whole documents allow. Texts that are null or have
-    no words take 0. Rows that share an id are one document: they rank together and each may come in by itself.
-    """
-    base = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *carry), "mix-sizes")
-    base = base.withColumn("__tilt", F.expr("500 + size * 500 div (size + 20)"))
-    per = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("__tilt")).alias("__mass"))
-    targets = written(source_targets(per, weights, share, float(cap)).join(per.select(F.col("source").alias("__s"), "__mass"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s"), "mix-targets")
-    rows = base.join(F.broadcast(targets) if targets.count() <= 100_000 else targets, base["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-
+def ranked(base: DataFrame, targets: DataFrame, cap: int, seed: int) -> DataFrame:
+    """base (doc_id, source, size) with what the sample needs, from a row for each source in targets (source_size, target,
+    __mass): __sure copies, and __q, the Pareto rank of what is left to chance (null: nothing). Functions of the row alone."""
+    small = F.broadcast(targets) if targets.count() <= 100_000 else targets
+    tilted = base.withColumn("__tilt", F.expr("500 + size * 500 div (size + 20)"))
+    rows = tilted.join(small, tilted["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     expected = F.when(F.col("size") > 0, F.least(F.lit(float(cap)), F.col("target") * F.col("__tilt") / F.col("__mass"))).otherwise(F.lit(0.0))
     rows = rows.withColumn("__e", expected).withColumn("__sure", F.floor("__e").cast("long")).withColumn("__p", F.col("__e") - F.col("__sure"))
     u = uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), seed)
     odds = (u / (1 - u)) / (F.col("__p") / (1 - F.col("__p")))
-    rows = rows.withColumn("__q", F.when((F.col("__p") > 0) & (F.col("size") > 0), odds))
-    rows = rows.withColumn("__b", F.floor(F.col("__q") / (1 + F.col("__q")) * BUCKETS))
+    return rows.withColumn("__q", F.when((F.col("__p") > 0) & (F.col("size") > 0), odds)).drop("__tilt", "__e", "__p")
+
+
+def _sampled(docs: DataFrame, scratch: Scratch, weights: Sequence[int], share: float, cap: int, seed: int, row: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(a row for each row of docs with __sure and __more, whole copies and whether the sample has another; the targets).
+    Rows of equal rank come in by doc_id, size and the columns in `row`."""
+    base = scratch.written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *row), "sizes")
+    per = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.expr("500 + size * 500 div (size + 20)")).alias("__mass"))
+    targets = scratch.written(source_targets(per, weights, share, float(cap)).join(per.select(F.col("source").alias("__s"), "__mass"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s"), "targets")
+    rows = ranked(base, targets, cap, seed).withColumn("__b", F.floor(F.col("__q") / (1 + F.col("__q")) * BUCKETS))
 
     # Words by source and bucket: a small table, in which the bucket of each source's cut is found.
     by = rows.groupBy("source", "__b").agg(F.sum(F.when(F.col("__q").isNotNull(), F.col("size")).otherwise(0)).alias("__words"), F.sum(F.col("size") * F.col("__sure")).alias("__sure_words"), F.first("target").alias("target"))
     run = Window.partitionBy("source").orderBy(F.col("__b").asc_nulls_last())
     by = by.withColumns({"__room": F.col("target") - F.sum("__sure_words").over(Window.partitionBy("source")), "__before": F.sum("__words").over(run) - F.col("__words")})
-    by = written(by.select("source", F.col("__b"), "__room", "__before", "__words"), "mix-buckets")
+    by = scratch.written(by.select("source", F.col("__b"), "__room", "__before", "__words"), "buckets")
     whole = F.col("__before") + F.col("__words") <= F.col("__room")
     cut = by.where(F.col("__b").isNotNull() & ~whole & (F.col("__before") < F.col("__room")))
 
@@ -81,27 +80,47 @@ def mix_sources(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, share: flo
     found = full.join(cut, full["__s"].eqNullSafe(cut["__s"]), "left").drop(cut["__s"])
     rows = rows.join(F.broadcast(found) if found.count() <= 100_000 else found, rows["source"].eqNullSafe(found["__s"]), "left").drop("__s")
     rows = rows.withColumn("__at", F.when(F.col("__b") <= F.col("__full"), "in").when(F.col("__b") == F.col("__cut"), "cut").otherwise("out"))
-    rows = written(rows, "mix-ranked")
-    at_cut = Window.partitionBy("source").orderBy("__q", "doc_id", "size")
+    rows = scratch.written(rows, "ranked")
+    scratch.drop("sizes", "buckets")
+    at_cut = Window.partitionBy("source").orderBy("__q", "doc_id", "size", *row)
     edge = rows.where("__at = 'cut'").withColumn("__sum", F.col("__before") + F.sum("size").over(at_cut.rowsBetween(Window.unboundedPreceding, 0)))
     edge = edge.withColumn("__more", (F.col("__sum") - F.col("size") / 2.0 <= F.col("__room")).cast("long"))
     rest = rows.where("__at <> 'cut'").withColumn("__more", (F.col("__at") == "in").cast("long"))
+    return rest.unionByName(edge.drop("__sum")), targets
+
+
+def mix_sources(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, share: float = 1.5, cap: int = 2, seed: int = 17) -> DataFrame:
+    """doc_id, size, source, source_size, target, copies, taken for every row of docs; its other columns are not read.
+
+    A document's expected copies are its source's target over its size, tilted by a weight that grows with its
+    words (from 0.5 to 1, by size / (size + 20)), `cap` at most. The whole part is taken for certain; the rest is its
+    inclusion probability p in a Pareto sample: documents rank by (u / (1 - u)) / (p / (1 - p)), u a hash of the id, and
+    come in until the source's words are as near to the target as whole documents allow. Texts that are null or have
+    no words take 0. Rows that share an id are one document: they rank together and each may come in by itself.
+    """
+    out, _ = _sampled(docs, Scratch(docs.sparkSession, "mix"), weights, share, cap, seed)
     copies = F.col("__sure") + F.col("__more")
-    out = rest.unionByName(edge.drop("__sum"))
-    return out.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *carry)
+    return out.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
+def mixed(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, share: float = 1.5, cap: int = 2, seed: int = 17) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with their columns as they are.
 
-    Rows may share an id or have none: counts meet rows by a key of each row. Only keys and counts are shuffled besides
-    the texts; a text that the mix leaves out goes before.
+    Rows may share an id or have none: each row counts by a key of its own. The sample takes all rows of a source up to a
+    rank, so a row for each source says where it ends, and the texts are read again without a shuffle.
     """
     keyed, _ = row_keys(docs)
-    taken = mix_sources(keyed, carry=[ROW], **how).where("copies > 0").select(F.col(ROW).alias("__id"), F.col("copies").alias("__copies"))
-    taken = written(taken, "mix-copies")
-    rows = keyed.join(taken, keyed[ROW] == taken["__id"])
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    scratch = Scratch(docs.sparkSession, "mix")
+    out, targets = _sampled(keyed, scratch, weights, share, cap, seed, [ROW])
+    place = F.struct("__q", F.col("doc_id").cast("long"), "size", ROW)
+    ends = scratch.written(targets.join(out.where("__more = 1").groupBy(F.col("source").alias("__s")).agg(F.max(place).alias("__end")), F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s", "source_size"), "ends")
+    scratch.drop("ranked", "targets")
+    names = [F.col(f"`{c}`").alias(f"__col{i}") for i, c in enumerate(docs.columns)]
+    rows = ranked(keyed.select("doc_id", "source", ROW, word_count(F.col("text")).alias("size"), *names), ends, cap, seed)
+    more = F.coalesce(place <= F.col("__end"), F.lit(False)) & F.col("__q").isNotNull()
+    copies = (F.col("__sure") + more.cast("long")).cast("int")
+    rows = rows.withColumn("__copies", copies).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return rows.select(*[F.col(f"__col{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 #: DuckDB SQL of doc_id, size, source_size, target and taken, with the weights, share, cap and seed above.

@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import width, written
+from .common import ROW, Scratch, looked_up, row_keys, width
 
 
 def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
@@ -43,74 +43,120 @@ def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def string_axis(c: Column) -> Column:
-    """A number in the code-point order of the first six bytes, so that ranges of it are ranges of the string."""
-    head = F.rpad(F.substring(F.hex(F.encode(F.coalesce(c, F.lit("")), "UTF-8")), 1, 12), 12, "0")
-    return F.conv(head, 16, 10).cast("long")
+def size_level(size: Column) -> Column:
+    """A quarter of an octave of a size, from 16 bytes to a megabyte in 64 levels: integers only, so alike on all machines."""
+    bits = F.length(F.bin(size))
+    level = 4 * (bits - 1) + F.expr("shiftright(size * 4, length(bin(size)) - 1)") % 4 - 16
+    return F.greatest(F.lit(0), F.least(F.lit(63), level)).cast("long")
 
 
-def hilbert_order(docs: DataFrame, dims: Sequence[Column], ties: Sequence[str], *, bits: int = 6) -> tuple[DataFrame, int]:
-    """docs as a written table with `__rank`, its position from 0 in the order of the Hilbert index; and the row count.
+def ranked(df: DataFrame, order: Sequence[Column], scratch: Scratch, label: str) -> tuple[DataFrame, int]:
+    """df as a written table with `__part`, `__at` and `__rank`, its exact position from 0 in an order; and the row count.
+    Ranges are sorted by themselves; a number for each of them reaches the driver."""
+    spark = df.sparkSession
+    sorted_ = df.repartitionByRange(width(spark), *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    sorted_ = scratch.written(sorted_, label)
+    part = F.shiftright("__at", 33).cast("int")
+    begin, n = begins(sorted_.groupBy(part.alias("part")).agg(F.count("*").alias("n")), "__begin")
+    out = sorted_.withColumn("__part", part).join(F.broadcast(begin), "__part")
+    return out.withColumn("__rank", F.col("__begin") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__begin"), n
+
+
+def begins(sizes: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """(`__part`, name: the sum of n of the parts before) of sizes (part, n), which has a row for each partition; and the sum."""
+    rows = sorted(map(tuple, sizes.collect()))
+    starts = np.concatenate([[0], np.cumsum([n for _, n in rows])]).astype(int).tolist()
+    return sizes.sparkSession.createDataFrame([(p, s) for (p, _), s in zip(rows, starts, strict=False)], f"__part int, {name} long"), starts[-1]
 
-    Each dimension is quantised at 2**bits quantiles of all rows. Rows of one cell are spread and ordered by
-    a hash of the first of `ties`, then `ties`, so no cell is too large for a range partition. Equal rows take
-    successive ranks; null dimensions sort first. An empty table gives no rows.
-    """
-    spark, cells = docs.sparkSession, 1 << bits
-    names = [f"__dim{i}" for i in range(len(dims))]
-    docs = docs.withColumns({n: F.coalesce(d.cast("long"), F.lit(-1)) for n, d in zip(names, dims, strict=True)})
-    share = [i / cells for i in range(1, cells)]
-    cuts = docs.agg(*[F.percentile_approx(n, share, 10_000).alias(n) for n in names]).first()  # 2**bits - 1 numbers a dimension
-    edges = [np.array(sorted(set(cuts[n] or [])), dtype=np.int64) for n in names]
 
+def value_level(rows: DataFrame, name: str, n_rows: int, bits: int, scratch: Scratch) -> DataFrame:
+    """rows with `__level_<name>`: the place of a text column's value among its distinct values in order of code points (null
+    first), in 2**bits levels of equally many values."""
+    values = rows.groupBy(name).agg(F.count("*").alias("__n"))
+    values, n = ranked(values, [F.col(name).asc_nulls_first()], scratch, f"values-{name}")
+    level = F.expr(f"__rank * {min(n, 1 << bits)} div {max(n, 1)}")
+    values = values.select(F.coalesce(name, F.lit("")).alias("__value"), F.col(name).isNull().alias("__null"), level.alias(f"__level_{name}"), "__n")
+    rows = rows.withColumns({"__value": F.coalesce(name, F.lit("")), "__null": F.col(name).isNull()})
+    return scratch.written(looked_up(rows, values, ["__value", "__null"], n_rows).drop("__value", "__null"), f"with-{name}")
+
+
+def hilbert_column(levels: Sequence[str], bits: int) -> Column:
     @F.arrow_udf("long")
     def index(*cols: pa.Array) -> pa.Array:
-        points = np.stack([np.searchsorted(e, c.to_numpy(), "right") for e, c in zip(edges, cols, strict=True)], axis=1)
-        return pa.array(hilbert_index(points, bits))
-
-    order = [F.col("__hilbert"), F.xxhash64(ties[0]), *[F.col(t) for t in ties]]
-    ranged = (
-        docs.withColumn("__hilbert", index(*names)).drop(*names)
-        .repartitionByRange(width(spark), *order).sortWithinPartitions(*order)
-        .withColumn("__at", F.monotonically_increasing_id())
-    )
-    ranged = written(ranged, "hilbert")
-    part = F.shiftright("__at", 33)
-    sizes = sorted(map(tuple, ranged.groupBy(part.alias("part")).count().collect()))  # a row for each partition
-    starts = np.concatenate([[0], np.cumsum([n for _, n in sizes])]).astype(int).tolist()
-    begin = spark.createDataFrame([(p, s) for (p, _), s in zip(sizes, starts, strict=False)], "__part int, __begin long")
-    ranked = (
-        ranged.withColumn("__part", part.cast("int")).join(F.broadcast(begin), "__part")
-        .withColumn("__rank", F.col("__begin") + F.col("__at").bitwiseAND((1 << 33) - 1))
-        .drop("__part", "__begin", "__at")
-    )
-    return ranked, starts[-1]
-
-
-def cut_runs(ranked: DataFrame, n_rows: int, shards: int) -> DataFrame:
-    """Adds `shard` and `slot`: runs of the order, with row counts at most one apart; slots are gapless from 0."""
-    shard = F.expr(f"__rank * {shards} div {max(n_rows, 1)}")
-    start = F.expr(f"(shard * {n_rows} + {shards - 1}) div {shards}")
-    return ranked.withColumn("shard", shard.cast("int")).withColumn("slot", F.col("__rank") - start)
+        return pa.array(hilbert_index(np.stack([c.to_numpy() for c in cols], axis=1), bits))
+
+    return index(*levels)
+
+
+def cut_runs(ranks: DataFrame, n: int, shards: int, scratch: Scratch) -> DataFrame:
+    """Adds `shard` and `slot`: runs of the order, with row counts at most one apart; slots are gapless from 0.
+
+    ranks has `__rank`, `__part`, `__at`, `__single` (no other row is equal to it) and `__group`. Where a cut would fall into a
+    group of equal rows, as many single rows as stand in it before the cut are drawn forward from behind the group, so that
+    the group begins at the cut; it stays cut only if there are too few of them before the next cut.
+    """
+    before = F.sum(F.col("__single").cast("long")).over(Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1))
+    ranks = ranks.withColumn("__before", F.coalesce(before, F.lit(0)))
+    begin, _ = begins(ranks.groupBy(F.col("__part").alias("part")).agg(F.sum(F.col("__single").cast("long")).alias("n")), "__base")
+    ranks = scratch.written(ranks.join(F.broadcast(begin), "__part").withColumn("__before", F.col("__before") + F.col("__base")).drop("__base"), "ranks")
+    cuts = [-(-i * n // shards) for i in range(1, shards) if 0 < -(-i * n // shards) < n]
+    at = ranks.where(F.col("__rank").isin([c - 1 for c in cuts] + cuts)).select("__rank", "__group").collect()  # two rows a cut
+    group = {r["__rank"]: r["__group"] for r in at}
+    split = [c for c in cuts if group[c - 1] == group[c]]
+    spans = {r["__group"]: r for r in ranks.where(F.col("__group").isin([group[c] for c in split])).groupBy("__group").agg(F.min("__rank").alias("s"), (F.max("__rank") + 1).alias("e"), F.max("__before").alias("singles")).collect()} if split else {}
+    moves = [(c, g["s"], g["e"], g["singles"]) for c in split for g in [spans[group[c]]] if g["e"] - g["s"] <= n // shards]
+    lasts = ranks.where(F.col("__single") & F.col("__before").isin([singles + c - s - 1 for c, s, _, singles in moves])).select("__before", "__rank").collect() if moves else []
+    last = {r["__before"]: r["__rank"] for r in lasts}  # the single that is the last to be drawn forward
+    rank = F.col("__rank")
+    done = 0
+    new = rank
+    for c, s, e, singles in moves:
+        k, t = c - s, last.get(singles + c - s - 1)
+        if t is None or s < done or t >= min([x for x in cuts if x >= e] or [n]):
+            continue
+        done, drawn = t + 1, F.col("__before") - singles
+        here = F.when(rank < e, rank + k).when(F.col("__single"), s + drawn).otherwise(rank + k - drawn)
+        new = F.when((rank >= s) & (rank <= t), here).otherwise(new)
+    shard = F.expr(f"__rank * {shards} div {max(n, 1)}")
+    start = F.expr(f"(shard * {n} + {shards - 1}) div {shards}")
+    return ranks.withColumn("__rank", new).withColumn("shard", shard.cast("int")).withColumn("slot", F.col("__rank") - start)
 
 
 def shard_documents(docs: DataFrame, *, shards: int = 16, bits: int = 6, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Shards of `documents` by Hilbert order of (lang, source, text size).
 
     Returns the columns of `carry` with size (UTF-8 bytes of the text plus 1; null: 1), text_crc32 (null text: that
-    of the empty one), shard and slot. Shard row counts differ by one at most, however many rows are equal: a group
-    of copies that outgrows a shard is cut. Null ids sort first; columns of the same names are replaced.
+    of the empty one), hilbert, shard and slot. Shard row counts differ by one at most. Rows of equal text stand together, at
+    the place of the smallest id among them, and in one shard, as far as the row counts allow: a group that outgrows a shard
+    is cut. Null ids, languages and sources sort first; columns of the same names are replaced.
+
+    All is found on narrow rows: texts are read once for them, and once more to meet their places, if `carry` asks for more
+    than ids; each is shuffled once at most. An empty table gives no rows.
     """
+    scratch = Scratch(docs.sparkSession, "shard")
+    keyed, _ = row_keys(docs)
     text = F.coalesce(F.col("text"), F.lit(""))
-    axes = {"__lang": string_axis(F.col("lang")), "__source": string_axis(F.col("source"))}
-    made = {"size": (F.octet_length(text) + 1).cast("long"), "text_crc32": F.crc32(F.encode(text, "UTF-8"))}
-    kept = [F.col(c) for c in carry if c not in ("size", "text_crc32", "shard", "slot", "hilbert")]
-    rows = docs.select(*kept, *[v.alias(k) for k, v in (made | axes).items()])
-    if "text" not in carry:
-        rows = written(rows, "shard-meta")  # so that the quantiles do not read the texts again
-    ties = ["doc_id", "text_crc32", "size", "__source", "__lang"]
-    ranked, n = hilbert_order(rows, [F.col("__lang"), F.col("__source"), F.col("size")], ties, bits=bits)
-    return cut_runs(ranked, n, shards).withColumnRenamed("__hilbert", "hilbert").drop("__rank", "__lang", "__source")
+    meta = keyed.select(ROW, F.col("doc_id").alias("__id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("__text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
+    meta = scratch.written(meta, "meta")
+    n = meta.count()
+    equal = ["__text", "text_crc32", "size"]
+    groups = meta.groupBy(*equal).agg(F.count("*").alias("__n"), F.min(F.struct("__id", "lang", "source")).alias("__first")).where("__n > 1")
+    rows = looked_up(meta, scratch.written(groups, "groups"), equal, n, "left")
+    single = F.col("__first").isNull()
+    rows = rows.select(ROW, "__id", *equal, single.alias("__single"), *[F.when(single, F.col(c)).otherwise(F.col(f"__first.{c}")).alias(c) for c in ("lang", "source")])
+    for c in ("lang", "source"):
+        rows = value_level(rows, c, n, bits, scratch)
+    rows = rows.withColumn("__level_size", F.shiftright(size_level(F.col("size")), 6 - bits))
+    rows = rows.withColumn("hilbert", hilbert_column(["__level_lang", "__level_source", "__level_size"], bits)).withColumn("__group", F.xxhash64("hilbert", *equal))
+    order = [F.col("hilbert"), *map(F.col, equal), F.col("__id").asc_nulls_first(), F.col(ROW)]
+    ranks, _ = ranked(rows.select(ROW, "__id", *equal, "__single", "hilbert", "__group"), order, scratch, "order")
+    out = cut_runs(ranks, n, shards, scratch)
+    scratch.drop("meta", "groups", "values-lang", "values-source", "with-lang", "with-source", "order")
+    made = ["size", "text_crc32", "hilbert", "shard", "slot"]
+    if tuple(carry) == ("doc_id",):
+        return out.select(F.col("__id").alias("doc_id"), *made)
+    kept = [F.col(f"`{c}`") for c in carry if c not in made]
+    return keyed.select(ROW, *kept).join(out.select(ROW, *made), ROW).drop(ROW)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

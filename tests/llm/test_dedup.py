@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from fabrel.llm import common, jaccard, suffix_dedup
 from fabrel.llm.jaccard import near_duplicates, one_of_each
@@ -105,6 +106,32 @@ def test_components(spark, monkeypatch, seed, hot, piece):
     assert got == brute_components(docs)
 
 
+def test_components_in_small_cells_and_blocks(spark, monkeypatch):
+    """Texts of one template, of which most do not link: their bands are dealt over cells, long sets over blocks."""
+    monkeypatch.setattr(jaccard, "CELL", 3)
+    monkeypatch.setattr(jaccard, "WHOLE", 40)
+    r = random.Random(8)
+    template = [f"t{i}" for i in range(60)]
+    docs = [(i, " ".join([*template[: r.choice([38, 40, 44, 60])], *(f"own{i}_{k}" for k in range(r.choice([2, 6, 9, 14])))])) for i in range(60)]
+    docs += [(60 + i, t) for i, t in corpus(9)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(docs, SCHEMA).repartition(3)).collect()}
+    assert got == brute_components(docs)
+
+
+def test_hubs_are_joined_by_broadcast(spark, monkeypatch):
+    from fabrel.llm import graph
+
+    monkeypatch.setattr(graph, "looked_up", lambda rows, facts, on, total: common.looked_up(rows, facts.withColumn("__n", F.when(F.col("__n") > 3, F.lit(1_000_000)).otherwise(F.col("__n"))), on, total))
+    r = random.Random(2)
+    edges = [(5, 10 + i) for i in range(40)] + [(r.randrange(100, 140), r.randrange(100, 140)) for _ in range(25)] + [(200 + i, 201 + i) for i in range(9)]
+    parent = {x: x for e in edges for x in e}
+    for _ in range(50):
+        for u, v in edges:
+            parent[u] = parent[v] = min(parent[u], parent[v])
+    out = {x.node: x.component for x in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert out == {x: c for x, c in parent.items() if x in out} and set(out) == {x for u, v in edges if u != v for x in (u, v)}
+
+
 def test_chain_of_near_copies(spark):
     """Neighbours link, ends do not: the component is found over all steps."""
     words = [f"w{i}" for i in range(80)]

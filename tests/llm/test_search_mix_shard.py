@@ -150,6 +150,83 @@ def test_shards_of_odd_tables(spark):
     assert {x.size for x in out} == {1, 5}
 
 
+def brute_shards(docs, shards=16):
+    """{row number: (shard, slot)} of (doc_id, text, lang, source), unique by id, by sorting in one list."""
+    import zlib
+
+    import xxhash
+
+    by = defaultdict(list)
+    for row in docs:
+        by[row[1]].append(row)
+    level = {}
+    place = {r[0]: min(by[r[1]], key=lambda x: x[0]) for r in docs}
+    for c in (2, 3):
+        values = sorted({p[c] for p in place.values()}, key=lambda v: (v is not None, v))
+        level |= {(c, v): i * min(len(values), 64) // len(values) for i, v in enumerate(values)}
+    seq = []
+    for i, text, *_ in docs:
+        b = text.encode()
+        size = len(b) + 1
+        bits = size.bit_length()
+        small = max(0, min(63, 4 * (bits - 1) + ((size * 4) >> (bits - 1)) % 4 - 16))
+        p = place[i]
+        h = int(hilbert_index(np.array([[level[2, p[2]], level[3, p[3]], small]]), 6)[0])
+        x = xxhash.xxh64(b, seed=42).intdigest()
+        seq.append(((h, x - (1 << 64) if x >> 63 else x, zlib.crc32(b), size), i))
+    seq.sort()
+    n, done = len(seq), 0
+    cuts = [-(-k * n // shards) for k in range(1, shards)]
+    for c in cuts:
+        if seq[c - 1][0] != seq[c][0]:
+            continue
+        same = [k for k in range(n) if seq[k][0] == seq[c][0]]
+        s, e = same[0], same[-1] + 1
+        lone = [k for k in range(e, n) if len(by[next(d[1] for d in docs if d[0] == seq[k][1])]) == 1][: c - s]
+        if len(lone) < c - s or s < done or lone[-1] >= min([x for x in cuts if x >= e] or [n]) or e - s > n // shards:
+            continue
+        done = lone[-1] + 1
+        seq = seq[:s] + [seq[k] for k in lone] + seq[s:e] + [seq[k] for k in range(e, done) if k not in lone] + seq[done:]
+    return {i: (r * shards // n, r - -(-(r * shards // n) * n // shards)) for r, (_, i) in enumerate(seq)}
+
+
+def test_shards_against_one_sorted_list_and_equal_texts_together(spark, sf):
+    docs = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    r = random.Random(4)
+    docs += [(10_000 + i, f"copy {r.randrange(12)}", r.choice(["en", "de", None]), r.choice(["src1", "src1_a", "src1_b", None])) for i in range(90)]
+    schema = "doc_id long, text string, lang string, source string"
+    out = {x.doc_id: (x.shard, x.slot) for x in shard_documents(spark.createDataFrame(docs, schema).repartition(3)).collect()}
+    assert out == brute_shards(docs)
+    shards = defaultdict(set)
+    for i, text, *_ in docs:
+        shards[text].add(out[i][0])
+    assert sum(len(s) > 1 for s in shards.values()) <= 2  # those with too few single rows before the next cut
+
+
+def test_a_group_larger_than_a_shard_is_cut(spark):
+    schema = "doc_id long, text string, lang string, source string"
+    rows = [(i, "same" if i % 3 else f"text {i}", "en", "s") for i in range(300)]
+    check_shards(shard_documents(spark.createDataFrame(rows, schema)).collect(), 300)
+
+
+def test_pipeline_keeps_columns_and_meets_odd_rows(spark, sf, tmp_path):
+    """Null and empty texts, null and repeated ids, a further column named like one that a stage makes, an empty table."""
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", "doc_id as size", "'x' as copies", "1 as __n")
+    odd = spark.createDataFrame([(None, None, None, None, 0, 1, "y", 2), (None, "", "en", "s", 0, 2, "y", 2), (1, "", "en", "s", 0, 3, "y", 2), (1, "One short text.", "en", "s", 15, 4, "y", 2)], docs.schema)
+    for name, rows in (("odd", docs.unionByName(odd)), ("none", docs.limit(0))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for other in ("labels", "benchmark"):
+            spark.read.parquet(f"{sf}/{other}.parquet").write.parquet(f"{tmp_path}/{name}/{other}.parquet")
+        out = p.run(spark, f"{tmp_path}/{name}")
+        assert set(docs.columns) | {"shard", "slot", "hilbert", "text_crc32"} == set(out.columns)
+        got = out.collect()
+        assert bool(got) == (name == "odd")
+        if got:
+            check_shards(got, len(got))
+
+
 def test_pipeline(spark, sf):
     """Each stage on what the one before it kept."""
     import corpus_pipeline as p
