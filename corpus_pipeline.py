@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fabrel.llm.common import table, written
+from fabrel.llm.common import Scratch, table
 from fabrel.llm.decontaminate import decontaminated
 from fabrel.llm.jaccard import one_of_each
 from fabrel.llm.mixing import mixed
 from fabrel.llm.quality import keep_quality, train
 from fabrel.llm.shard import shard_documents
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier rejects; it is fitted on the labelled ones among docs."""
@@ -35,8 +33,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds size, text_crc32, hilbert, shard and slot to the documents, in runs of the Hilbert curve."""
-    return shard_documents(docs, carry=[c for c in docs.columns if c in COLUMNS])
+    """Adds size, text_crc32, hilbert, shard and slot to the documents and all their columns, in runs of the Hilbert curve."""
+    return shard_documents(docs, carry=docs.columns)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
@@ -46,8 +44,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each but the last written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over `documents`, each but the last written to the shared folder and read again; what a stage has read goes."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    scratch = Scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = scratch.written(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
