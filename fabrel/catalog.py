@@ -49,9 +49,9 @@ def draw(name: str, rid: Column | None = None) -> Draw:
     return Draw(SEED, "G", name, F.col("rid") if rid is None else rid)
 
 
-def h(name: str, salt: str = "", rid: str = "rid") -> str:
+def h(name: str, salt: str = "", rid: str = "rid", entity: str = "G", attempt: int = 0) -> str:
     """SQL of Draw.h."""
-    return f"('0x' || substr(md5(concat_ws('|', '{SEED}|G|{name}', ({rid})::VARCHAR, '{salt}', '0')), 1, 13))::BIGINT"
+    return f"('0x' || substr(md5(concat_ws('|', '{SEED}|{entity}|{name}', ({rid})::VARCHAR, '{salt}', '{attempt}')), 1, 13))::BIGINT"
 
 
 def u(name: str, salt: str = "", rid: str = "rid") -> str:
@@ -174,11 +174,10 @@ def gen_dist_geometric(spark, sf_dir):
 
 
 def _zipf_sql(s: float, n: int) -> str:
-    mass = f"list_transform(range(1, {n + 1}), k -> 1.0::DOUBLE / (k::DOUBLE ** {s}::DOUBLE))"
     return f"""with w as (select k, 1.0::DOUBLE / (k::DOUBLE ** {s}::DOUBLE) as m from range(1, {n + 1}) t(k)),
     c as (select k, sum(m) over (order by k) / sum(m) over () as hi from w)
     select rid, (select count(*) from c where k < {n} and hi <= x)::INTEGER + 1 as rank
-    from (select c_custkey as rid, {u('n', 'z', 'c_custkey')} as x from customer)""" if mass else ""
+    from (select c_custkey as rid, {u('n', 'z', 'c_custkey')} as x from customer)"""
 
 
 @query(_zipf_sql(1.5, 50))
@@ -319,39 +318,148 @@ def gen_location_bundle(spark, sf_dir):
     return people(spark, sf_dir).select("rid", *[d.pick([c[i] for c in CITIES], "row").alias(n) for i, n in ((0, "city"), (1, "state"), (2, "zip"), (3, "timezone"))])
 
 
-@query("select c_custkey as rid, true as valid, 16 as digits from customer")
+def _luhn_sql() -> str:
+    """Sixteen digits: a 4, fourteen draws, and what makes the sum of Luhn a multiple of ten."""
+    body = ["4", *[f"({h('cc', f'c{i}')}) % 10" for i in range(14)]]
+    part = lambda i: f"(list_sum(list_transform(str_split(({body[i]} * {2 - i % 2})::VARCHAR, ''), lambda c: c::INTEGER)))"
+    total = " + ".join(part(i) for i in range(15))
+    return f"select rid, {' || '.join(f'({x})::VARCHAR' for x in body)} || ((10 - ({total}) % 10) % 10)::INTEGER::VARCHAR as card, true as valid" + FROM
+
+
+@query(_luhn_sql())
 def gen_credit_card_luhn(spark, sf_dir):
     card = luhn_card(draw("cc"))
-    return people(spark, sf_dir).select("rid", F.call_function("luhn_check", card).alias("valid"), F.length(card).alias("digits"))
+    return people(spark, sf_dir).select("rid", card.alias("card"), F.call_function("luhn_check", card).alias("valid"))
 
 
-@query(f"select rid, timestamp '2024-01-01 00:00:00' + to_seconds(({h('pl', 'v')}) % 86400) as placed, timestamp '2024-01-01 00:00:00' + to_seconds(({h('pl', 'v')}) % 86400 + ({h('sh', 'gap')}) % 2592000 + 1) as shipped" + FROM)
-def gen_temporal_after(spark, sf_dir):
-    at = lambda s: F.timestamp_add("SECOND", s.cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
-    placed = draw("pl").h("v") % 86_400
-    return people(spark, sf_dir).select("rid", at(placed).alias("placed"), at(placed + draw("sh").h("gap") % 2_592_000 + 1).alias("shipped"))
+# Documents, end to end. Row n of an entity has the draws of (seed, entity, field, n); `numbered` is the table of those n.
 
+numbered = "(select unnest(range((select count(*) from customer))) as rid)"
 
-@query("select 'tier_rows' as test, (select count(*) from customer)::BIGINT as n, true as ok")
-def gen_document(spark, sf_dir):
-    """A document end to end: every order's key meets a user's, and ages and addresses keep their constraints."""
+
+def made(spark: SparkSession, sf_dir: str, text: str, *names: str) -> dict[str, DataFrame]:
+    """The entities of a document, with as many rows as there are customers in those named, by default G."""
     from .plans.generate import generate
 
     n = read(spark, sf_dir, "customer").count()
-    doc = parse_document("""
-domain: shop
-seed: 7
+    return generate(spark, parse_document(f"domain: x\nseed: {SEED}\n{text}"), volume=dict.fromkeys(names or ("G",), n))
+
+
+@query(f"""with d as (select rid, timestamp '2004-01-01 00:00:00' + to_seconds(({h('placed', 'v')}) % (epoch(timestamp '2024-01-01 00:00:00') - epoch(timestamp '2004-01-01 00:00:00') + 1)::BIGINT) as placed from {numbered})
+    select rid + 1 as id, placed, placed + to_seconds(({h('shipped', 'gap')}) % 2592000 + 1) as shipped, placed - to_seconds(({h('asked', 'gap')}) % 2592000 + 1) as asked, placed + to_seconds(({h('paid', 'gap')}) % 604800 + 1) as paid from d""")
+def gen_temporal_after(spark, sf_dir):
+    """Moments after, before and within days of another field."""
+    return made(spark, sf_dir, """
 entities:
-  User: {id: uuid @primary, name: person.full, email: email @from(name), age: int @range(18..65)}
-  Order: {id: 'string @primary @pattern("ORD-{000000}")', user: ->User, amount: float @range(1..500), buyer: string @derived(user.name), fee: "float @derived(round(amount * 0.1, 2))"}
+  G: {id: int @primary, placed: 'datetime @range(2004-01-01..2024-01-01)', shipped: datetime @after(placed), asked: datetime @before(placed), paid: 'datetime @within(7d, placed)'}
+""")["G"]
+
+
+@query(f"""with u as (select rid, 18 + ({h('age', 'v', 'rid', 'User')}) % 48 as age from {numbered}),
+    o as (select rid, ({h('user', 'ref', 'rid', 'Order')}) % (select count(*) from customer) as parent, round((1.0::DOUBLE + (({h('amount', 'v', 'rid', 'Order')})::DOUBLE / 4503599627370496.0) * 499.0::DOUBLE) * 100) / 100.0::DOUBLE as amount from {numbered})
+    select o.rid + 1 as id, parent + 1 as "user", amount, u.age as buyer_age, round((amount * 0.1::DOUBLE) * 100) / 100.0::DOUBLE as fee,
+        case when u.age >= 40 then 'senior' else 'junior' end as class from o join u on u.rid = o.parent""")
+def gen_document(spark, sf_dir):
+    """A document end to end: references, dereferenced, computed and derived fields and a strict rule."""
+    return made(spark, sf_dir, """
+entities:
+  User: {id: int @primary, name: person.full, email: email @from(name), age: int @range(18..65)}
+  Order:
+    id: int @primary
+    user: ->User
+    amount: float @range(1..500)
+    buyer_age: int @derived(user.age)
+    fee: float @derived(round(amount * 0.1, 2))
+    class: {type: string, compute: [{when: "user.age >= 40", value: "'senior'"}, {else: "'junior'"}]}
 rules: [Order.amount > 0 @strict]
-""")
-    data = generate(spark, doc, volume={"User": n, "Order": n})
-    bad = references.orphans(data["Order"], data["User"], "user", "id").select(F.lit(1).alias("x"))
-    bad = bad.unionByName(data["User"].where(~F.col("age").between(18, 65) | ~F.col("email").contains("@")).select(F.lit(1).alias("x")))
-    bad = bad.unionByName(data["Order"].where("buyer is null or abs(fee - amount * 0.1) > 0.006").select(F.lit(1).alias("x")))
-    rows = data["Order"].agg(F.count("*").alias("n"))
-    return rows.crossJoin(bad.agg(F.count("*").alias("b"))).select(F.lit("tier_rows").alias("test"), "n", (F.col("b") == 0).alias("ok"))
+""", "User", "Order")["Order"]
+
+
+def _rounds(value: str, attempts: int = 4) -> str:
+    """CTEs r0, r1, ...: rows that take their value at attempt k, the first by rid of those that ask for a free one."""
+    out, before = [], []
+    for k in range(attempts):
+        open_ = " ".join(f"and rid not in (select rid from r{j})" for j in before)
+        free = " ".join(f"and v not in (select v from r{j})" for j in before)
+        out.append(f"t{k} as (select rid, {value.replace('ATTEMPT', str(k))} as v from {numbered} where true {open_})")
+        out.append(f"r{k} as (select min(rid) as rid, v from t{k} where true {free} group by v)")
+        before.append(k)
+    return ", ".join(out) + ", won as (" + " union all ".join(f"select * from r{k}" for k in before) + ")"
+
+
+@query(f"with {_rounds('1 + (' + h('n', 'v').replace(chr(39) + '0' + chr(39), chr(39) + 'ATTEMPT' + chr(39)) + ') % 100000')} select rid + 1 as id, v as n, 2 * v as twice from won")
+def doc_unique_derived(spark, sf_dir):
+    """Uniqueness is resolved before derived fields and rules, which see the final values."""
+    return made(spark, sf_dir, "entities: {G: {id: int @primary, n: 'int @range(1..100000) @unique', twice: int @derived(n * 2)}}\nrules: [G.twice > G.n @strict]")["G"]
+
+
+@query(f"with {_rounds('1000 * (1 + (' + h('k', 'v').replace(chr(39) + '0' + chr(39), chr(39) + 'ATTEMPT' + chr(39)) + ') % 300) + (1 + (' + h('v', 'v').replace(chr(39) + '0' + chr(39), chr(39) + 'ATTEMPT' + chr(39)) + ') % 300)')} select rid + 1 as id, v // 1000 as k, v % 1000 as v from won")
+def doc_rule_unique(spark, sf_dir):
+    """No two rows agree on both fields: those that do are made again."""
+    return made(spark, sf_dir, "entities: {G: {id: int @primary, k: int @range(1..300), v: int @range(1..300)}}\nrules: ['unique(G.k, G.v) @strict']")["G"]
+
+
+@query(f"""with p as (select rid, 0::BIGINT as mixed from (select unnest(range((select count(*) from customer))) as rid)),
+    c as (select rid, ({h('p', 'ref', 'rid', 'C')}) % (select count(*) from customer) as p, (['a', 'b'])[({h('v', 'v', 'rid', 'C')}) % 2 + 1] as v from {numbered}),
+    hit as (select p from c group by p having count(*) >= 2 and min(v) <> max(v) and (('0x' || substr(md5(concat_ws('|', '{SEED}|C|rule0', (p + 1)::VARCHAR, 'bind', '0')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0) < 0.6)
+    select rid + 1 as id, case when rid in (select p from hit) then 1 else 0 end::BIGINT as mixed from p""")
+def doc_rule_cross_row(spark, sf_dir):
+    """Parents whose children do not agree are marked, with a probability."""
+    return made(spark, sf_dir, """
+entities:
+  P: {id: int @primary, mixed: int @range(0..0)}
+  C: {id: int @primary, p: ->P, v: "enum(a, b)"}
+rules:
+  - cross_row: {entity: C, group_by: p, check: all_equal(v), probability: 0.6, on_violation: {set: {P.mixed: "1"}}}
+""", "P", "C")["P"]
+
+
+@query(f"""select rid + 1 as id, 1 + ({h('label', 'v', '(' + h('a', 'ref', 'rid', 'B') + ') % (select count(*) from customer)', 'A')}) % 900000 as a,
+    (['red', 'green', 'blue'])[({h('name', 'v', '(' + h('c', 'ref', 'rid', 'B') + ') % (select count(*) from customer)', 'C')}) % 3 + 1] as c from {numbered}""")
+def doc_string_key(spark, sf_dir):
+    """Parents without a primary key are known by their first field, whatever its type."""
+    return made(spark, sf_dir, """
+entities:
+  A: {label: int @range(1..900000), other: int}
+  C: {name: "enum(red, green, blue)"}
+  B: {id: int @primary, a: ->A, c: ->C}
+""", "A", "B", "C")["B"]
+
+
+@query(f"""with g as (select rid, 1 + ({h('v', 'v')}) % 500 as v from {numbered}), t as (select sum(v)::BIGINT as total, count(*) as n, avg(v) as mean, max(v) as top from g)
+    select rid + 1 as id, total, n, round(mean * 1000) / 1000.0::DOUBLE as mean, 2 * top as twice, n > 10 and total > 0 as many from t, range(3) r(rid)""")
+def doc_agg_sum(spark, sf_dir):
+    """Derived fields over all rows of another entity."""
+    return made(spark, sf_dir, """
+volume: {T: 3}
+entities:
+  G: {id: int @primary, v: int @range(1..500)}
+  T: {id: int @primary, total: int @derived(sum(G.v)), n: int @derived(count(G)), mean: "float @derived(round(avg(G.v), 3))", twice: int @derived(max(G.v) * 2), many: bool @derived(count(G) > 10 and sum(G.v) > 0)}
+""")["T"]
+
+
+@query(f"""with p as (select rid, ({h('at', 'v', 'rid', 'C')}) % 40 as at, 1 + ({h('v', 'v', 'rid', 'C')}) % 500 as v, ({h('p', 'ref', 'rid', 'C')}) % (select count(*) from customer) as p from {numbered})
+    select g.rid + 1 as id, coalesce(sum(v), 0)::BIGINT as total, count(v) as n, coalesce(sum(v), 0)::BIGINT * 2 + count(v) as both from {numbered} g left join p on p.p = g.rid group by 1""")
+def doc_agg_children(spark, sf_dir):
+    """Derived fields over the children of each row, also within larger expressions."""
+    return made(spark, sf_dir, """
+entities:
+  P: {id: int @primary, cs: "[C]", total: int @derived(sum(cs.v)), n: int @derived(count(cs)), both: int @derived(sum(cs.v) * 2 + count(cs))}
+  C: {id: int @primary, p: ->P, at: int @range(0..39), v: int @range(1..500)}
+rules: ["P.n >= 0 @strict", "count(P.cs) >= 0 @strict"]
+""", "P", "C")["P"]
+
+
+@query(f"""with g as (select rid, 1 + ({h('v', 'v')}) % 500 as v from {numbered}), l as (select max_by(v, rid) as last from g), t as (select rid, 1 + ({h('x', 'v', 'rid', 'T')}) % 9 as x from {numbered})
+    select rid + 1 as id, x, last, x + last as both from t, l""")
+def doc_cross_entity(spark, sf_dir):
+    """A path that begins with another entity leads to its last row."""
+    return made(spark, sf_dir, """
+entities:
+  G: {id: int @primary, v: int @range(1..500)}
+  T: {id: int @primary, x: int @range(1..9), last: int @derived(G.v), both: int @derived(x + G.v)}
+rules: ["T.x <= 9 @strict"]
+""", "G", "T")["T"]
 
 
 # ---- expressions over the tables ---------------------------------------------------------------------------------------
@@ -540,10 +648,10 @@ def agg_list(spark, sf_dir):
 # ---- rules ---------------------------------------------------------------------------------------------------------------
 
 
-@query("select o_orderkey from orders where not (o_totalprice >= 1000)")
+@query("select o_orderkey from orders where not (o_totalprice >= 50000)")
 def rule_comparison(spark, sf_dir):
     df = read(spark, sf_dir, "orders")
-    return rules.violations(df, Rule("orders", "o_totalprice >= 1000"), Compiler(columns_of(df.schema))).select("o_orderkey")
+    return rules.violations(df, Rule("orders", "o_totalprice >= 50000"), Compiler(columns_of(df.schema))).select("o_orderkey")
 
 
 @query("select o_orderkey from orders where o_orderstatus = 'F' and not (o_totalprice < 200000)")
@@ -608,9 +716,9 @@ def tool_list_date_range(spark, sf_dir):
     return df.where(tools.condition({"o_orderdate_after": datetime(1997, 1, 1), "o_orderdate_before": datetime(1998, 1, 1)}, df.columns))
 
 
-@query("select * from part where lower(p_name) like '%1%' or lower(p_type) like '%1%'")
+@query("select * from part where lower(p_name) like '%lt%' or lower(p_type) like '%lt%'")
 def tool_search(spark, sf_dir):
-    return read(spark, sf_dir, "part").where(tools.searched("1", ["p_name", "p_type"]))
+    return read(spark, sf_dir, "part").where(tools.searched("LT", ["p_name", "p_type"]))
 
 
 @query("select * from customer order by c_acctbal desc, c_custkey limit 25 offset 25")

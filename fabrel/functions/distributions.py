@@ -20,12 +20,25 @@ def normal(d: Draw, mean: float, sd: float, salt: str = "n") -> Column:
     return F.lit(float(mean)) + F.lit(float(sd)) * r * F.cos(F.lit(2 * pi) * d.u(salt + "2"))
 
 
+def shares_passed(shares: list[float], x: Column) -> Column:
+    """How many of the rising shares x has reached, by bisection; x is evaluated once."""
+    table, n = F.array(*[F.lit(c) for c in shares]), len(shares)
+    start = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"), x.alias("x"))
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.shiftright(at["lo"] + at["hi"], 1)
+        passed = F.get(table, middle) <= at["x"]
+        lo, hi = F.when(passed, middle + 1).otherwise(at["lo"]), F.when(passed, at["hi"]).otherwise(middle)
+        return F.when(at["lo"] < at["hi"], F.struct(lo.alias("lo"), hi.alias("hi"), at["x"].alias("x"))).otherwise(at)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(n.bit_length(), 1))), start, halve, lambda at: at["lo"])
+
+
 def zipf(d: Draw, s: float, n: int = ZIPF_RANKS) -> Column:
     """Rank by the cumulated shares of 1 / k**s: the number of shares that u passes, plus one."""
     mass = [1 / k**s for k in range(1, n + 1)]
     total = sum(mass)
-    shares = F.array(*[F.lit(x / total) for x in accumulate(mass[:-1])])
-    return F.size(F.filter(shares, lambda c: c <= d.u("z"))) + 1
+    return shares_passed([x / total for x in accumulate(mass[:-1])], d.u("z")) + 1 if n > 1 else F.lit(1)
 
 
 def sample(spec: Decorator, d: Draw, low: float | None, high: float | None) -> Column:

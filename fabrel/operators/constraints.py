@@ -5,9 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ParseError, UniquenessExhausted
@@ -123,31 +122,25 @@ def decorated(x: Column, f: Field, d: Draw, spark_type: str) -> Column:
     return x
 
 
-def unique_values(rows: DataFrame, make: Callable[[Column], Column], name: str, *, key: str = "_rid", attempts: int = UNIQUE_ATTEMPTS) -> DataFrame:
-    """(key, name): make(attempt) for each row, with the attempt raised until no two rows share a value.
+def unique_values(rows: DataFrame, make: Callable[[Column], Column], name: str, *, key: str = "_rid", attempts: int = UNIQUE_ATTEMPTS, taken: DataFrame | None = None) -> DataFrame:
+    """(key, name): make(attempt) for each row, with the attempt raised until no two rows share a value; none has a value
+    that `taken` (key, name) has.
 
-    Of rows with the same value the first by key keeps it; nulls may repeat. Rounds join only what is still open, and
-    each is a written table.
+    Of rows with the same value the first by key keeps it; nulls may repeat. Firsts are found by a minimum, which is
+    taken before the shuffle, so neither nulls nor a common value gather in one task. Rounds join only what is
+    still open, and each is a written table.
     """
-    taken = None
-    left = rows.select(key)
+    found, left = None, rows.select(key)
     for attempt in range(attempts):
         tried = left.withColumn(name, make(F.lit(attempt)))
-        turn = F.row_number().over(Window.partitionBy(name).orderBy(key))
-        tried = tried.withColumn("__turn", turn)
-        if taken is not None:
-            tried = tried.join(taken.select(F.col(name).alias("__used")).distinct(), F.col(name) == F.col("__used"), "left")
-        else:
-            tried = tried.withColumn("__used", F.lit(None).cast("string"))
-        ok = F.col(name).isNull() | ((F.col("__turn") == 1) & F.col("__used").isNull())
-        tried = written(tried.select(key, name, ok.alias("__ok")), f"unique-{name}")
+        firsts = tried.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(key).alias("__first"))
+        for used in (u for u in (taken, found) if u is not None):
+            firsts = firsts.join(used.select(name), name, "left_anti")
+        marked = tried.join(firsts.select(F.col("__first"), F.lit(True).alias("__won")), F.col(key) == F.col("__first"), "left")
+        tried = written(marked.select(key, name, (F.col(name).isNull() | F.coalesce("__won", F.lit(False))).alias("__ok")), f"unique-{name}")
         good = tried.where("__ok").select(key, name)
-        taken = good if taken is None else taken.unionByName(good)
+        found = good if found is None else found.unionByName(good)
         left = tried.where("NOT __ok").select(key)
         if left.isEmpty():
-            return taken
+            return found
     raise UniquenessExhausted(f"{name}: no unique values after {attempts} attempts")
-
-
-def all_of(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, tests, F.lit(True))

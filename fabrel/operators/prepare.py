@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import Draw
+from ..storage import written
 
 
 def top(df: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -69,12 +70,19 @@ def moments(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
 def weighted_pick(rows: DataFrame, weights: DataFrame, value: str, weight: str, d: Draw, name: str) -> DataFrame:
     """rows with a value drawn by weight: the one in whose interval of the cumulated weights the roll falls.
 
-    The running sum is over the list of values, which has one row each; the join is on the interval.
+    The running sum is over the list of values, which has one row each. Intervals are listed under the cells of an even grid
+    that they touch, so the join is on a cell, and Spark broadcasts the list if its size allows it.
     """
-    run = Window.orderBy(value)
-    total = Window.partitionBy()
-    cdf = weights.select(F.col(value).alias("__v"), F.sum(weight).over(run.rowsBetween(Window.unboundedPreceding, 0)).alias("__hi"), F.sum(weight).over(total).alias("__all"), F.col(weight).alias("__w"))
-    steps = cdf.agg(F.array_sort(F.collect_list(F.struct(F.col("__hi").cast("double").alias("hi"), F.col("__v").alias("v")))).alias("__steps"), F.max("__all").cast("double").alias("__total"))
-    rolled = rows.crossJoin(F.broadcast(steps)).withColumn("__roll", d.u("pick") * F.col("__total"))  # one row
-    chosen = F.element_at(F.filter("__steps", lambda s: s["hi"] > F.col("__roll")), 1)["v"]
-    return rolled.withColumn(name, chosen).drop("__steps", "__total", "__roll")
+    run = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    listed = written(weights.where(F.col(weight) > 0).select(F.col(value).alias("__v"), F.sum(weight).over(run).cast("double").alias("__hi"), F.col(weight).cast("double").alias("__w")), "weights")
+    n, total = listed.agg(F.count("*"), F.max("__hi")).first()
+    if not n:
+        return rows.withColumn(name, F.lit(None).cast(weights.schema[value].dataType))
+    cells = 4 * n
+    cell = lambda x: F.least(F.floor(x * F.lit(cells / total)), F.lit(cells - 1)).cast("long")
+    lo = F.col("__hi") - F.col("__w")
+    grid = listed.select("__v", "__hi", lo.alias("__lo"), F.explode(F.sequence(F.greatest(cell(lo) - 1, F.lit(0)), F.least(cell(F.col("__hi")) + 1, F.lit(cells - 1)))).alias("__cell"))
+    rolled = rows.withColumn("__roll", d.u("pick") * F.lit(float(total)))
+    rolled = rolled.withColumn("__at", cell(F.col("__roll")))
+    inside = (F.col("__at") == F.col("__cell")) & (F.col("__roll") >= F.col("__lo")) & (F.col("__roll") < F.col("__hi"))
+    return rolled.join(grid, inside).withColumn(name, F.col("__v")).drop("__roll", "__at", "__cell", "__lo", "__hi", "__v")

@@ -6,10 +6,10 @@ import ast
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import ConstraintViolation
+from ..errors import ParseError
 from ..functions.expressions import Compiler, Value, display
 from ..functions.rng import Draw
 from ..model import Rule
@@ -34,13 +34,6 @@ def violations(df: DataFrame, rule: Rule, compiler: Compiler) -> DataFrame:
     return df.where(~verdict(rule, compiler))
 
 
-def check_strict(df: DataFrame, rule: Rule, compiler: Compiler) -> DataFrame:
-    """df, if no row breaks the rule; else an error."""
-    if not violations(df, rule, compiler).isEmpty():
-        raise ConstraintViolation(rule.error or f"rule broken: {rule.check}")
-    return df
-
-
 def count_violations(df: DataFrame, rules: Sequence[tuple[str, Column]]) -> DataFrame:
     """One row with the number of rows that break each of the named rules."""
     return df.agg(*[F.sum(F.when(~F.coalesce(ok, F.lit(False)), 1).otherwise(0)).cast("long").alias(name) for name, ok in rules])
@@ -77,10 +70,28 @@ def cross_row(df: DataFrame, group_by: Value, check: str, columns: dict[str, Val
     return rows.groupBy("group").agg(F.count("*").alias("n"), agree.alias("ok")).where("n >= 2")
 
 
-def marked(df: DataFrame, group: str, field: str, mark: str) -> DataFrame:
-    """df with mark: whether the row's group disagrees on field."""
-    w = Window.partitionBy(group)
-    return df.withColumn(mark, ~F.min(field).over(w).eqNullSafe(F.max(field).over(w)))
+def first_of_each(df: DataFrame, fields: Sequence[str], taken: DataFrame | None, free: Column, *, key: str = "_rid") -> DataFrame:
+    """The rows of df that are the first by key of those that agree on fields (nulls agree), where taken has none of them; and
+    the free ones. Firsts are found by a minimum, which is taken before the shuffle, so a common value is no large group."""
+    bound = df.where(~free)
+    firsts = bound.groupBy(*fields).agg(F.min(key).alias("__first"))
+    if taken is not None:
+        used = taken.select(*[F.col(f).alias(f"__{f}") for f in fields]).distinct()
+        same = [F.col(f).eqNullSafe(F.col(f"__{f}")) for f in fields]
+        firsts = firsts.join(used, same, "left_anti")
+    return bound.join(firsts.select(F.col("__first").alias(key)), key, "left_semi").unionByName(df.where(free))
+
+
+def count_bounds(text: str) -> tuple[tuple[str, ...], int | None, int | None]:
+    """(path, least, most) of `count(E.x) op n` or `count(E.x) in a..b`."""
+    m = re.fullmatch(r"\s*count\(\s*([\w.]+)\s*\)\s*(?:(==|>=|<=|>|<)\s*(\d+)|in\s+(\d+)\s*\.\.\s*(\d+))\s*", text)
+    if not m:
+        raise ParseError(f"not a rule on a count: {text}")
+    path = tuple(m[1].split("."))
+    if m[4]:
+        return path, int(m[4]), int(m[5])
+    n = int(m[3])
+    return path, *{"==": (n, n), ">=": (n, None), ">": (n + 1, None), "<=": (None, n), "<": (None, n - 1)}[m[2]]
 
 
 def fields_of(text: str) -> list[tuple[str, ...]]:

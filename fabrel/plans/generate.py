@@ -1,8 +1,8 @@
 """Generates the entities of a document as lazy DataFrames.
 
 Every value is a pure function of seed, entity, field and row number, so datasets do not depend on partitioning and
-parents' keys are known without a join. Fields come in this order: coherence groups, plain fields, dependent_required,
-default_chain, compute, derived, timestamps; then rules.
+parents' keys are known without a join. Fields come in this order: unique ones, coherence groups, plain fields,
+dependent_required, default_chain, compute, derived, timestamps; then rules, on the row as it is then.
 """
 
 from __future__ import annotations
@@ -17,16 +17,16 @@ from pyspark.sql import functions as F
 
 from ..errors import ConstraintViolation, GenerationError, ParseError
 from ..functions.distributions import sample
-from ..functions.expressions import Compiler, Value, compute, default_chain, kind_of
+from ..functions.expressions import Compiler, Value, columns_of, compute, default_chain, display, kind_of
 from ..functions.patterns import expand, uuid_of
 from ..functions.rng import Draw
 from ..functions.semantic import CITIES, email_of, person, phone, semantic, street, username_of, words
-from ..model import Document, Entity, Field, Type
-from ..operators.constraints import bounds_of, decorated, length_of, unique_values
+from ..model import Document, Entity, Field, Rule, Type
+from ..operators.constraints import UNIQUE_ATTEMPTS, bounds_of, decorated, length_of, unique_values
 from ..operators.references import dereference, earlier_index, parent_index
-from ..operators.rules import verdict
+from ..operators.rules import cardinality, count_bounds, cross_row, duplicates, fields_of, first_of_each
 from ..storage import written
-from .order import closure, entity_order, volumes
+from .order import closure, entity_order, targets, volumes
 
 NOW = datetime(2025, 1, 15, 10, 30)
 RULE_ATTEMPTS = 10
@@ -70,16 +70,32 @@ class Generator:
     # -- values ------------------------------------------------------------------------------------------------
 
     def key(self, entity: Entity, rid: Column) -> Column:
-        """The key of row rid: a pattern spread over its texts, else a UUID (or the number, for integer keys)."""
+        """The key of row rid. A primary key is a pattern spread over its texts, a number or a UUID; another key is the
+        value of its field, which is drawn once for a row."""
         f = entity.key
+        if self.late_key(entity):
+            raise GenerationError(f"{entity.name}.{f.name} is known only once the rows are made; refer to it by a plain reference field of another entity")
         d = self.draw(entity.name, f.name, rid)
+        if not f.has("primary"):
+            return self.field(entity, f, d)
         if p := f.get("pattern"):
             return expand(p.args[0], d, distinct=True)
         if spark_type(f.type) in ("long", "int", "smallint", "tinyint"):
             return (rid + 1).cast(spark_type(f.type))
-        if f.has("primary") or f.type.name == "uuid":
-            return uuid_of(F.concat_ws("|", F.lit(f"{self.seed}|{entity.name}|{f.name}"), rid.cast("string")))
-        return self.value(entity, f, d)
+        return uuid_of(F.concat_ws("|", F.lit(f"{self.seed}|{entity.name}|{f.name}"), rid.cast("string")))
+
+    def resolved_unique(self, entity: Entity) -> list[Field]:
+        """Unique fields whose values are made unique in rounds."""
+        spread = lambda f: f.has("primary") or (f.get("pattern") and "{" in f.get("pattern").args[0])
+        return [f for f in self.stored(entity) if f.has("unique") and not spread(f) and not f.has("from") and not f.is_derived and all(f.name not in g for _, g in entity.coherence)]
+
+    def late_key(self, entity: Entity) -> bool:
+        """Whether keys are no function of the row's number, so that a reference to them is a join."""
+        f = entity.key
+        return not f.has("primary") and (f in self.resolved_unique(entity) or f.is_derived or f.has("from", "after", "before", "within", "correlated") or any(f.name in g for _, g in entity.coherence))
+
+    def referred_to(self, entity: Entity) -> bool:
+        return any(entity.name in targets(f.type) or (e is entity and "self" in targets(f.type)) for e in self.doc.entities.values() for f in e.fields)
 
     def primitive(self, t: Type, f: Field, d: Draw) -> Column:
         b = bounds_of(f)
@@ -200,7 +216,8 @@ class Generator:
                 return F.lit(None).cast(spark_type(target.key.type))
             raise GenerationError(f"{entity.name}.{f.name}: {t.name} has no rows")
         index = earlier_index(d) if own else parent_index(d, self.rows[target.name])
-        found = F.when(index.isNotNull(), self.key(target, index))
+        late = not own and self.late_key(target) and f is entity.field(f.name)  # the row's number for now; `plain` joins the key
+        found = index if late else F.when(index.isNotNull(), self.key(target, index))
         share = f.get("null_rate")
         p = float(share.args[0]) if share else 0.7 if own and t.optional else 0.2 if t.optional else 0
         return F.when(d.chance(p, "null"), F.lit(None)).otherwise(found) if p else found
@@ -272,9 +289,11 @@ class Generator:
         made: dict[str, Column] = {}
         for group, names in entity.coherence:
             made |= self.bundle(entity, group, names, rid, attempt)
+        made |= {n: F.col(n) for n in rows.columns if n != "_rid"}
+        fixed = entity.key.name if self.referred_to(entity) else None  # others know it by the row's number
         for f in self.stored(entity):
             if f.name not in made and not f.is_derived and not f.has("from"):
-                made[f.name] = self.field(entity, f, self.draw(entity.name, f.name, rid, attempt))
+                made[f.name] = self.field(entity, f, self.draw(entity.name, f.name, rid, None if f.name == fixed else attempt))
         for f in self.stored(entity):
             if (s := f.get("from")) and f.name not in made:
                 source = made.get(s.args[0])
@@ -282,6 +301,11 @@ class Generator:
                     raise GenerationError(f"{entity.name}.{f.name}: no field {s.args[0]}")
                 made[f.name] = self.copied(f, source, self.draw(entity.name, f.name, rid, attempt))
         df = rows.select("_rid", *[c.alias(n) for n, c in made.items()])
+        for f in self.stored(entity):
+            target = self.doc.entities.get(f.type.name) if f.type.kind == "ref" and f.type.name not in ("self", entity.name) else None
+            if target and f.name in df.columns and self.late_key(target):
+                keys = self.frames[target.name].select(F.col("_rid").alias("__at"), F.col(target.key.name).alias("__key"))
+                df = df.join(keys, df[f.name] == keys["__at"], "left").withColumn(f.name, F.col("__key")).drop("__at", "__key")
         return self.temporal(entity, df, attempt)
 
     def temporal(self, entity: Entity, df: DataFrame, attempt: Column) -> DataFrame:
@@ -311,16 +335,20 @@ class Generator:
         return df
 
     def path(self, entity: Entity, df: DataFrame, path: tuple[str, ...]) -> tuple[DataFrame, Value]:
-        """df with what a dotted path leads to; each hop is joined once."""
+        """df with what a dotted path leads to; each hop is joined once. A path that begins with another entity's name leads to
+        its last row."""
         at, prefix = entity, ""
+        if len(path) == 2 and entity.field(path[0]) is None and path[0] in self.doc.entities:
+            source = self.made(path[0])
+            if path[1] not in source.columns:
+                raise GenerationError(f"no field {'.'.join(path)}")
+            return df, Value(source.agg(F.max_by(path[1], "_rid")).scalar(), kind_of(source.schema[path[1]].dataType))
         for hop in path[:-1]:
             f = at.field(hop)
             if f is None or f.type.kind != "ref":
                 raise GenerationError(f"{entity.name}: {'.'.join(path)} does not lead to a field")
             target = at if f.type.name == "self" else self.doc.entities[f.type.name]
-            source = self.frames.get(target.name)
-            if source is None:
-                raise GenerationError(f"{target.name} is not made yet")
+            source = self.made(target.name)
             mark = f"{prefix}{hop}."
             if f"__has.{mark}" not in df.columns:
                 fields = {c: f"{mark}{c}" for c in source.columns if c != "_rid"}
@@ -331,6 +359,26 @@ class Generator:
             raise GenerationError(f"{entity.name}: no field {'.'.join(path)}")
         return df, Value(F.col(f"`{name}`"), kind_of(df.schema[name].dataType))
 
+    def made(self, name: str) -> DataFrame:
+        if name not in self.frames:
+            raise GenerationError(f"{name} is not made yet")
+        return self.frames[name]
+
+    def over_entity(self, function: str, path: tuple[str, ...]) -> Value | None:
+        """An aggregate over all rows of another entity, `count(E)` or `sum(E.f)`: one value, found by a subquery."""
+        if path[0] not in self.doc.entities or len(path) > 2 or (len(path) == 1 and function != "count"):
+            return None
+        rows = self.made(path[0])
+        if function == "count":
+            return Value(rows.agg(F.count("*")).scalar(), "int")
+        value = columns_of(rows.schema)(path[1:])
+        number = value.col if value.kind == "int" else value.col.cast("double")
+        found = {"sum": F.sum(number), "avg": F.avg(number), "min": F.min(value.col), "max": F.max(value.col), "all_equal": F.count_distinct(value.col) + F.max(value.col.isNull().cast("int")) <= 1}[function]
+        kind = {"avg": "float", "all_equal": "bool"}.get(function, value.kind if function in ("min", "max") or value.kind == "int" else "float")
+        empty = {"sum": F.lit(0).cast("long" if value.kind == "int" else "double"), "avg": F.lit(0.0), "all_equal": F.lit(True)}.get(function)
+        one = rows.agg(found.alias("x")).scalar()
+        return Value(one if empty is None else F.coalesce(one, empty), kind)
+
     def compiled(self, entity: Entity, df: DataFrame, text: str) -> tuple[DataFrame, Value]:
         """df with all joins that an expression needs, and its value. `Entity.a` is field a of the entity's own row."""
         text = re.sub(rf"\b{entity.name}\.", "", text)
@@ -339,16 +387,20 @@ class Generator:
         except SyntaxError as e:
             raise ParseError(f"not an expression: {text}") from e
         reader, found = Compiler(lambda p: Value(F.lit(None))), {}
-        calls = {n.func.id for n in ast.walk(tree) if isinstance(n, ast.Call) and isinstance(n.func, ast.Name)}
+        called = [n for n in ast.walk(tree) if isinstance(n, ast.Call) and isinstance(n.func, ast.Name)]
+        calls = {n.func.id for n in called}
+        others = {reader.path(n.args[0]) for n in called if n.func.id in Compiler.AGGREGATES and len(n.args) == 1}
+        others = {p for p in others if p and p[0] in self.doc.entities and entity.field(p[0]) is None}
         for node in ast.walk(tree):
             p = reader.path(node) if isinstance(node, (ast.Name, ast.Attribute)) else None
-            if p and p[0] not in calls and p not in found:
+            if p and p[0] not in calls and p not in found and p not in others:
                 try:
                     df, found[p] = self.path(entity, df, p)
                 except GenerationError:
                     if len(p) > 1:
                         raise
-        return df, Compiler(lambda p: found[p], today=self.now.date()).compile(text)
+        over = lambda function, p: self.over_entity(function, p) if p in others else None
+        return df, Compiler(lambda p: found[p], aggregate=over, today=self.now.date()).compile(text)
 
     def derived(self, entity: Entity, df: DataFrame, attempt: Column) -> DataFrame:
         for f in self.stored(entity):
@@ -388,7 +440,7 @@ class Generator:
                 raise GenerationError(f"{entity.name}: derived fields refer to each other: " + ", ".join(sorted(names)))
             left.remove(ready)
             text = ready.get("derived").args[0]
-            if AGGREGATE.search(text) and any(g.name == m[1] for m in AGGREGATE.findall(text) for g in entity.fields if g not in self.stored(entity)):
+            if self.over_children(entity, ready):
                 df = df.withColumn(ready.name, F.lit(None).cast(spark_type(ready.type)))  # from the children, in collect()
                 continue
             df, v = self.compiled(entity, df, text)
@@ -406,66 +458,114 @@ class Generator:
         names = [f.name for f in self.stored(entity)]
         return [*names, *[c for c in extra if c not in names]]
 
-    def rows_of(self, entity: Entity, rows: DataFrame, attempt: Column) -> DataFrame:
-        df = self.derived(entity, self.plain(entity, rows, attempt), attempt)
-        return df
+    def over_children(self, entity: Entity, f: Field) -> list[tuple[str, str, str]]:
+        """The (function, collection, field) of a derived field that go over the entity's children."""
+        text = f.get("derived").args[0] if f.has("derived") else ""
+        return [m for m in AGGREGATE.findall(text) if (g := entity.field(m[1])) is not None and g not in self.stored(entity)]
+
+    def rules_of(self, entity: Entity, kind: str) -> list[tuple[int, Rule]]:
+        """The rules of a kind that bind while rows are made, with their numbers; those on what children give bind later."""
+        late = {f.name for f in entity.fields if self.over_children(entity, f)}
+        on_late = lambda r: any(re.search(rf"\b{entity.name}\.{n}\b", f"{r.check} {r.when or ''}") for n in late)
+        return [(i, r) for i, r in enumerate(self.doc.rules) if r.entity == entity.name and r.kind == kind and r.mode in ("strict", "probability") and not on_late(r)]
+
+    def verdict(self, entity: Entity, df: DataFrame, rule: Rule) -> tuple[DataFrame, Column]:
+        """df with all joins that a rule needs, and whether a row keeps it; true where its `when` does not hold."""
+        df, check = self.compiled(entity, df, rule.check)
+        test = F.coalesce(check.col.cast("boolean"), F.lit(False))
+        if rule.when:
+            df, when = self.compiled(entity, df, rule.when)
+            test = F.when(F.coalesce(when.col.cast("boolean"), F.lit(False)), test).otherwise(F.lit(True))
+        return df, test
+
+    def rows_of(self, entity: Entity, left: DataFrame, attempt: int, accepted: DataFrame | None) -> DataFrame:
+        """The rows of left at an attempt; unique fields first, apart from the values of the rows that are accepted."""
+        rows, number = left.select("_rid"), F.lit(attempt)
+        for f in self.resolved_unique(entity):
+            make = lambda a, f=f: self.field(entity, f, self.draw(entity.name, f.name, F.col("_rid"), a + F.lit(attempt * UNIQUE_ATTEMPTS)))
+            values = unique_values(left, make, f.name, taken=None if accepted is None else accepted.select("_rid", f.name))
+            rows = rows.join(values, "_rid")
+        return self.derived(entity, self.plain(entity, rows, number), number)
 
     def make(self, entity: Entity) -> DataFrame:
-        n = self.rows[entity.name]
-        rows = self.spark.range(n).select(F.col("id").alias("_rid"))
-        unique = [f for f in self.stored(entity) if f.has("unique") and not f.has("primary") and not (f.get("pattern") and "{" in f.get("pattern").args[0]) and not f.has("from") and not f.is_derived and all(f.name not in g for _, g in entity.coherence)]
-        rules = [r for r in self.doc.rules if r.entity == entity.name and r.kind == "row" and r.mode in ("strict", "probability")]
-        if not rules:
-            df = self.rows_of(entity, rows, F.lit(0))
-        else:
-            # Rows that break a rule are made again with the next attempt; the others stay as they are.
-            parts, left = [], rows
-            for attempt in range(RULE_ATTEMPTS + 1):
-                df = self.rows_of(entity, left, F.lit(attempt))
-                ok = F.lit(True)
-                for i, r in enumerate(rules):
-                    when = None
-                    df, check = self.compiled(entity, df, r.check)
-                    test = F.coalesce(check.col.cast("boolean"), F.lit(False))
-                    if r.when:
-                        df, when = self.compiled(entity, df, r.when)
-                        test = F.when(F.coalesce(when.col.cast("boolean"), F.lit(False)), test).otherwise(F.lit(True))
-                    if r.mode == "probability":
-                        test = test | ~self.draw(entity.name, f"rule{i}", F.col("_rid")).chance(r.probability, "bind")
-                    ok = ok & test
-                df = written(df.select("_rid", *self.columns(entity), ok.alias("__ok")), f"gen-{entity.name}")
-                parts.append(df.where("__ok").drop("__ok"))
-                left = df.where("NOT __ok").select("_rid")
-                if left.isEmpty():
-                    break
-            else:
-                broken = "; ".join(r.error or r.check for r in rules)
-                raise ConstraintViolation(f"{entity.name}: rows still break a rule after {RULE_ATTEMPTS} attempts: {broken}")
-            df = parts[0]
-            for p in parts[1:]:
-                df = df.unionByName(p)
-        for f in unique:
-            values = unique_values(rows, lambda a, f=f: self.field(entity, f, self.draw(entity.name, f.name, F.col("_rid"), a)), f.name)
-            df = df.drop(f.name).join(values, "_rid", "left")
-        return df.select("_rid", *self.columns(entity))
+        """All rows of an entity. Rows that break a rule on rows or repeat what `unique(...)` names are made again, with the
+        next attempt; the others stay as they are."""
+        left = self.spark.range(self.rows[entity.name]).select(F.col("id").alias("_rid"))
+        rules, sets = self.rules_of(entity, "row"), self.rules_of(entity, "unique")
+        if not rules and not sets:
+            return self.rows_of(entity, left, 0, None).select("_rid", *self.columns(entity))
+        accepted = None
+        for attempt in range(RULE_ATTEMPTS + 1):
+            df, ok = self.rows_of(entity, left, attempt, accepted), F.lit(True)
+            for i, r in rules:
+                df, test = self.verdict(entity, df, r)
+                if r.mode == "probability":
+                    test = test | ~self.draw(entity.name, f"rule{i}", F.col("_rid")).chance(r.probability, "bind")
+                ok = ok & test
+            df = written(df.select("_rid", *self.columns(entity), ok.alias("__ok")), f"gen-{entity.name}")
+            good = df.where("__ok").drop("__ok")
+            for i, r in sets:
+                free = ~self.draw(entity.name, f"rule{i}", F.col("_rid")).chance(r.probability, "bind") if r.mode == "probability" else F.lit(False)
+                good = first_of_each(good, [p[-1] for p in fields_of(r.check)], accepted, free)
+            if sets:
+                good = written(good, f"gen-{entity.name}")
+            accepted = good if accepted is None else accepted.unionByName(good)
+            left = df.select("_rid").join(good.select("_rid"), "_rid", "left_anti") if sets else df.where("NOT __ok").select("_rid")
+            if left.isEmpty():
+                return accepted
+        broken = "; ".join(r.error or r.check for _, r in [*rules, *sets])
+        raise ConstraintViolation(f"{entity.name}: rows still break a rule after {RULE_ATTEMPTS} attempts: {broken}")
+
+    def child_of(self, entity: Entity, collection: str) -> tuple[Entity, str]:
+        """The entity that a has-many field holds, and its field that refers back."""
+        g = entity.field(collection)
+        inner = g.type.items[0].name if g is not None and g.type.kind == "list" and g.type.items[0].kind == "named" else g.type.name if g is not None and g.type.many else None
+        if inner not in self.doc.entities:
+            raise GenerationError(f"{entity.name}.{collection} is no collection of an entity")
+        child = self.doc.entities[inner]
+        ref = next((c.name for c in child.fields if c.type.kind == "ref" and c.type.name == entity.name and not c.type.many), None)
+        if ref is None:
+            raise GenerationError(f"{inner} has no reference to {entity.name}")
+        return child, ref
 
     def children(self, entity: Entity) -> DataFrame:
-        """entity with derived fields that count or sum over its children."""
+        """entity with derived fields that go over its children: one aggregation of a child table for each of them."""
         df = self.frames[entity.name]
         for f in entity.fields:
-            text = f.get("derived").args[0] if f.has("derived") else ""
-            for function, collection, value in AGGREGATE.findall(text):
-                g = entity.field(collection)
-                if g is None or g in self.stored(entity):
-                    continue
-                child = self.doc.entities[g.type.items[0].name]
-                ref = next(c.name for c in child.fields if c.type.kind == "ref" and c.type.name == entity.name)
-                of = F.count("*") if function == "count" else getattr(F, function)(F.col(value))
-                sums = self.frames[child.name].groupBy(F.col(ref).alias("__ref")).agg(of.alias("__agg"))
+            found = {}
+            for i, (function, collection, name) in enumerate(self.over_children(entity, f)):
+                child, ref = self.child_of(entity, collection)
+                rows = self.made(child.name)
+                of = Value(F.count("*"), "int") if function == "count" else columns_of(rows.schema)((name,))
+                made = of.col if function == "count" else getattr(F, function)(of.col)
+                sums = rows.where(F.col(ref).isNotNull()).groupBy(F.col(ref).alias("__ref")).agg(made.alias(f"__agg{i}"))
+                df = df.join(sums, df[entity.key.name] == sums["__ref"], "left").drop("__ref")
                 empty = {"count": F.lit(0), "avg": F.lit(0.0), "sum": F.lit(0)}.get(function, F.lit(None))
-                joined = df.drop(f.name).join(sums, df[entity.key.name] == F.col("__ref"), "left")
-                df = joined.withColumn(f.name, F.coalesce("__agg", empty).cast(spark_type(f.type))).drop("__ref", "__agg").select(*df.columns)
-        return df
+                found[function, (collection, name) if name else (collection,)] = Value(F.coalesce(F.col(f"__agg{i}"), empty), "float" if function == "avg" else of.kind)
+            if found:
+                plain = columns_of(df.schema)
+                v = Compiler(plain, aggregate=lambda function, p, found=found: found.get((function, p)), today=self.now.date()).compile(f.get("derived").args[0])
+                df = df.withColumn(f.name, v.col.cast(spark_type(f.type))).drop(*[c for c in df.columns if c.startswith("__agg")])
+        return df.select("_rid", *self.columns(entity))
+
+    def crossed(self, rule: Rule, number: int) -> None:
+        """A rule across rows: groups of two rows or more that do not agree get, with the rule's probability, what `set` says;
+        in the rows of the group itself or in the row of the parent by whose key they are grouped."""
+        entity, df = self.doc.entities[rule.entity], self.made(rule.entity)
+        columns = {c: Value(F.col(f"`{c}`"), kind_of(df.schema[c].dataType)) for c in df.columns}
+        group = columns[rule.group_by] if rule.group_by else Value(F.lit("all"), "str")
+        chosen = Draw(self.seed, rule.entity, f"rule{number}", F.col("group")).chance(rule.probability, "bind")
+        hit = cross_row(df, group, rule.check, columns).where(~F.col("ok") & chosen).select(F.col("group").alias("__group"))
+        for path, text in rule.set_values:
+            name, field_name = path.split(".")
+            target = self.doc.entities.get(name)
+            if target is None or field_name not in self.made(name).columns:
+                raise GenerationError(f"a rule across rows sets unknown field {path}")
+            rows = self.made(name)
+            key = group if target is entity else Value(F.col(target.key.name), kind_of(rows.schema[target.key.name].dataType))
+            value = Compiler(columns_of(rows.schema), today=self.now.date()).compile(text).col.cast(rows.schema[field_name].dataType)
+            met = rows.join(hit, display(key) == hit["__group"], "left").withColumn(field_name, F.when(F.col("__group").isNotNull(), value).otherwise(F.col(field_name)))
+            self.frames[name] = met.select(*rows.columns)
 
     def links(self, entity: Entity) -> None:
         """A bridge table `Entity.field` for each many-to-many field."""
@@ -483,10 +583,37 @@ class Generator:
         for name in entity_order(self.doc):
             if only is None or name in only:
                 self.frames[name] = self.make(self.doc.entities[name])
-        out = {n: self.children(self.doc.entities[n]).drop("_rid") for n in self.frames}
+                for i, r in enumerate(self.doc.rules):
+                    if r.kind == "cross_row" and r.entity == name and r.set_values:
+                        self.crossed(r, i)
+        for n in self.frames:
+            self.frames[n] = self.children(self.doc.entities[n])
+        self.check()
         for n in self.frames:
             self.links(self.doc.entities[n])
-        return {n: out[n] for n in self.doc.entities if n in out} | self.bridges
+        return {n: self.frames[n].drop("_rid") for n in self.doc.entities if n in self.frames} | self.bridges
+
+    def broken(self, rule: Rule) -> DataFrame:
+        """The rows (of a unique rule the groups, of a count rule the parents) that break a rule; across rows: the groups."""
+        entity, df = self.doc.entities[rule.entity], self.made(rule.entity)
+        if rule.kind == "unique":
+            return duplicates(df, [p[-1] for p in fields_of(rule.check)])
+        if rule.kind == "count":
+            path, low, high = count_bounds(rule.check)
+            child, ref = self.child_of(entity, path[-1])
+            return cardinality(df, self.made(child.name), entity.key.name, ref, low, high)
+        if rule.kind == "cross_row":
+            columns = {c: Value(F.col(f"`{c}`"), kind_of(df.schema[c].dataType)) for c in df.columns}
+            return cross_row(df, columns[rule.group_by] if rule.group_by else Value(F.lit("all"), "str"), rule.check, columns).where("NOT ok")
+        df, ok = self.verdict(entity, df, rule)
+        return df.where(~ok)
+
+    def check(self) -> None:
+        """Strict rules that need the children: counts of them, and what is derived from them."""
+        bound = {i for e in self.frames for kind in ("row", "unique") for i, _ in self.rules_of(self.doc.entities[e], kind)}
+        for i, r in enumerate(self.doc.rules):
+            if r.mode == "strict" and r.kind in ("row", "count") and i not in bound and r.entity in self.frames and not self.broken(r).isEmpty():
+                raise ConstraintViolation(f"{r.entity}: {r.error or r.check}")
 
 
 def generate(spark: SparkSession, doc: Document, *, seed: int | None = None, volume: dict[str, int] | None = None, entity: str | None = None, now: datetime = NOW) -> dict[str, DataFrame]:
@@ -496,14 +623,7 @@ def generate(spark: SparkSession, doc: Document, *, seed: int | None = None, vol
 
 
 def warnings(data: dict[str, DataFrame], doc: Document) -> dict[str, int]:
-    """How many rows break each warn rule that needs no other entity."""
-    out = {}
-    for r in doc.rules:
-        if r.mode == "warn" and r.kind == "row" and r.entity in data:
-            df = data[r.entity]
-            bare = lambda t: t and re.sub(rf"\b{r.entity}\.", "", t)  # noqa: B023, E731
-            from ..functions.expressions import columns_of
-
-            rule = type(r)(r.entity, bare(r.check), bare(r.when), r.mode)
-            out[r.check] = df.where(~verdict(rule, Compiler(columns_of(df.schema)))).count()
-    return out
+    """How many rows (groups, parents) break each warn rule; rules that need rows' numbers count nothing."""
+    frames = {n: df for n, df in data.items() if n in doc.entities}
+    g = Generator(next(iter(data.values())).sparkSession, doc, doc.seed, volumes(doc), frames=frames)
+    return {r.check: g.broken(r).count() for r in doc.rules if r.mode == "warn" and r.entity in frames}

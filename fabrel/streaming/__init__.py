@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import GenerationError
 from ..model import Document
 from ..plans.generate import Generator
 from ..plans.order import entity_order, volumes
@@ -25,4 +26,7 @@ def entity_rows(spark: SparkSession, doc: Document, entity: str, numbers: DataFr
             break
         g.frames[name] = g.make(doc.entities[name])
     e = doc.entities[entity]
-    return g.rows_of(e, numbers, F.lit(0)).select("_rid", *g.columns(e))
+    if g.resolved_unique(e) or g.rules_of(e, "row") or g.rules_of(e, "unique"):
+        raise GenerationError(f"{entity} has unique fields or rules that need all rows at once")
+    first = F.lit(0)
+    return g.derived(e, g.plain(e, numbers, first), first).select("_rid", *g.columns(e))

@@ -125,3 +125,41 @@ def test_failures(spark):
 def test_warnings(shop):
     n = warnings(shop, parse_document(SHOP))
     assert n == {"User.age >= 30": shop["User"].where("age < 30").count()}
+
+
+def doc(text):
+    return parse_document("domain: x\nseed: 5\n" + text)
+
+
+def test_rules_see_unique_and_derived_values(spark):
+    rows = generate(spark, doc("volume: {A: 40}\nentities: {A: {id: uuid @primary, n: 'int @range(1..60) @unique', m: int @range(1..90), twice: int @derived(n * 2)}}\nrules: [A.n < A.m @strict]"))["A"].collect()
+    assert len({r.n for r in rows}) == 40 and all(r.n < r.m and r.twice == 2 * r.n for r in rows)
+
+
+def test_unique_rule_that_cannot_hold(spark):
+    with pytest.raises(ConstraintViolation):
+        generate(spark, doc("volume: {A: 40}\nentities: {A: {id: uuid @primary, k: int @range(1..2), v: int @range(1..2)}}\nrules: ['unique(A.k, A.v) @strict']"))
+    rows = generate(spark, doc("volume: {A: 30}\nentities: {A: {id: uuid @primary, k: int @range(1..20), v: int @range(1..20)}}\nrules: ['unique(A.k, A.v)', A.k <= A.v]"))["A"].collect()
+    assert len({(r.k, r.v) for r in rows}) == 30 and all(r.k <= r.v for r in rows)
+
+
+def test_parents_known_by_any_first_field(spark):
+    """A text, a unique number (known only once rows are made), and rules that make parents again."""
+    out = generate(spark, doc("volume: {A: 8, U: 9, B: 30}\nentities:\n  A: {name: string, n: int @range(1..9), up: '->self?'}\n  U: {n: 'int @range(1..40) @unique', t: string}\n  B: {id: uuid @primary, a: ->A, u: ->U, t: string @derived(u.t)}\nrules: [A.n > 3 @strict]"))
+    assert out["A"].where("n <= 3").isEmpty() and out["B"].count() == 30
+    assert orphans(out["B"], out["A"], "a", "name").isEmpty() and orphans(out["B"], out["U"], "u", "n").isEmpty() and orphans(out["A"], out["A"], "up", "name").isEmpty()
+    assert out["B"].where("a is null or u is null or t is null").isEmpty()
+
+
+def test_count_rules_and_all_kinds_of_warnings(spark):
+    text = "volume: {P: 6, C: 30}\nentities:\n  P: {id: int @primary, cs: '[C]', n: int @derived(count(cs))}\n  C: {id: int @primary, p: ->P, k: int @range(1..3), v: 'enum(a, b)'}\nrules: ['count(P.cs) > {} @strict', 'unique(C.k) @warn', 'C.p.n >= 3 @warn', 'count(P.cs) in 0..4 @warn']"
+    out = generate(spark, doc(text.replace("{}", "0")))
+    n = warnings(out, doc(text.replace("{}", "0")))
+    assert n == {"unique(C.k)": 3, "C.p.n >= 3": out["P"].where("n < 3").selectExpr("sum(n)").first()[0] or 0, "count(P.cs) in 0..4": out["P"].where("n > 4").count()}
+    with pytest.raises(ConstraintViolation):
+        generate(spark, doc(text.replace("{}", "20")))
+
+
+def test_rule_across_rows_sets_fields_of_its_own_groups(spark):
+    out = generate(spark, doc("volume: {A: 60}\nentities: {A: {id: uuid @primary, g: int @range(1..9), v: 'enum(a, b)'}}\nrules: [{cross_row: {entity: A, group_by: g, check: all_equal(v), probability: 1.0, on_violation: {set: {A.v: \"'x'\"}}}}]"))["A"]
+    assert out.groupBy("g").agg(F.count_distinct("v").alias("n")).where("n > 1").isEmpty() and not out.where("v = 'x'").isEmpty()
