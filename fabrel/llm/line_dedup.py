@@ -11,14 +11,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, row_keys, small_batches
+from .common import ROW, Scratch, looked_up, row_keys, small_batches
 
 #: How a text is cut: into lines, or into the sentences of its lines. A unit keeps what separates it from the next.
 UNITS = {"line": r"[^\n]*\n|[^\n]+", "sentence": r"[^\n.!?]*(?:[.!?]+(?:\s+|$)|\n|$|[.!?])", "paragraph": r"(?:[^\n]|\n(?!\n))*(?:\n{2,}|$)"}
-#: Units of fewer words are too common by nature to judge.
+#: Units of fewer words are too common by nature to judge by themselves.
 MIN_WORDS = 5
+#: Words of a stretch of repeated units, at least, for the query: half of a passage of 50 words, whose ends may lie within units.
+MIN_RUN = 25
 
-_UNIT_SCHEMA = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+#: What is told of a unit that goes.
+SHOWN = ("start", "end", "kept_doc_id", "kept_start")
+_UNIT_SCHEMA = pa.schema([(c, pa.int64()) for c in ("d1", "d2", "doc_id", "row", "start", "end", "seq", "words")])
 
 
 def runs(words: list[int], least: int) -> list[tuple[int, int]]:
@@ -48,11 +52,11 @@ def runs(words: list[int], least: int) -> list[tuple[int, int]]:
 
 
 def units(docs: DataFrame, *, unit: str = "sentence", min_words: int = MIN_WORDS, join_short: bool = False) -> DataFrame:
-    """d1, d2 (a 128-bit digest), doc_id, row, start, end of each unit of min_words words or more; with join_short also of the
-    runs of units that `runs` joins.
+    """d1, d2 (a 128-bit digest), doc_id, row, start, end, seq, words of each unit of min_words words or more; with join_short
+    also of the runs of units that `runs` joins.
 
-    Normalised: lower case, single blanks, no punctuation at the ends. start and end are characters of the text as it is.
-    row is the row's number, if docs have one (`row_keys`), or 0.
+    Normalised: lower case, single blanks, no punctuation at the ends. start and end are characters of the text as it is;
+    seq numbers the text's units that have words. row is the row's number, if docs have one (`row_keys`), or 0.
     """
     cut = re.compile(UNITS[unit])
     small_batches(docs.sparkSession)
@@ -63,11 +67,12 @@ def units(docs: DataFrame, *, unit: str = "sentence", min_words: int = MIN_WORDS
             for doc, text, at in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 found = [(m.start(), m.end(), m[0].lower().split()) for m in cut.finditer(text or "")]
                 counts = [len(w) for _, _, w in found]
+                seq = np.cumsum(np.array([0, *counts]) > 0).tolist()
                 for i, j in runs(counts, min_words) if join_short else [(k, k) for k, n in enumerate(counts) if n >= min_words]:
                     start, end = found[i][0], found[j][1]
                     words = found[i][2] if i == j else text[start:end].lower().split()
                     key = hashlib.blake2b(" ".join(words).strip(".,;:!?\"'()").encode("utf-8", "replace"), digest_size=16).digest()
-                    row = (int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True), doc, at, start, end)
+                    row = (int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True), doc, at, start, end, seq[i], sum(counts[i : j + 1]))
                     for c, v in zip(out, row, strict=True):
                         c.append(v)
                 if len(out[0]) >= 50_000:
@@ -76,32 +81,47 @@ def units(docs: DataFrame, *, unit: str = "sentence", min_words: int = MIN_WORDS
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _UNIT_SCHEMA, strict=True)], schema=_UNIT_SCHEMA)
 
     number = F.col(ROW) if ROW in docs.columns else F.lit(0).cast("long")
-    return docs.select(F.col("doc_id").cast("long"), "text", number).mapInArrow(run, "d1 long, d2 long, doc_id long, row long, start long, end long")
+    return docs.select(F.col("doc_id").cast("long"), "text", number).mapInArrow(run, ", ".join(f"{f.name} long" for f in _UNIT_SCHEMA))
 
 
 def repeated_units(docs: DataFrame, **how) -> DataFrame:
-    """One row for each unit that also stands earlier (smaller doc_id, or earlier in the document):
-    doc_id, row, start, end of what goes and kept_doc_id, kept_start of the occurrence that stays.
+    """One row for each unit that also stands earlier (smaller doc_id, or earlier in the document), as a written table:
+    doc_id, row, start, end, seq, words of what goes and kept_doc_id, kept_start of the occurrence that stays.
 
     Null and empty texts have no units; a null id ranks before all others, and rows that share an id rank by row. A run of
-    units that overlaps the occurrence that stays is no repeat. Digests are counted before the shuffle, so a line of a
-    third of all documents is a few rows; the join that finds its occurrences is split where it is skewed.
+    units that overlaps the occurrence that stays is no repeat. Texts are cut once. Digests are counted before the shuffle;
+    the few that a thousandth of all units have are met by broadcast, so a line of a third of all documents is in no one task.
     """
-    cut = units(docs, **how)
-    first = cut.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "start", "end")).alias("kept")).where("n > 1")
-    kept = first.select("d1", "d2", *(F.col(f"kept.{c}").alias(f"kept_{c}") for c in ("doc_id", "row", "start", "end")))
+    scratch = Scratch(docs.sparkSession, "units")
+    cut = scratch.written(units(docs, **how), "units")
+    first = cut.groupBy("d1", "d2").agg(F.count("*").alias("__n"), F.min(F.struct("doc_id", "row", "start", "end")).alias("kept")).where("__n > 1")
+    first = scratch.written(first.select("d1", "d2", "__n", *(F.col(f"kept.{c}").alias(f"kept_{c}") for c in ("doc_id", "row", "start", "end"))), "firsts")
     stays = F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("row") == F.col("kept_row")) & (F.col("start") < F.col("kept_end"))
-    return cut.join(kept, ["d1", "d2"]).where(~stays).select("doc_id", "row", "start", "end", "kept_doc_id", "kept_start")
+    found = looked_up(cut, first, ["d1", "d2"], cut.count()).where(~stays)
+    found = scratch.written(found.select("doc_id", "row", "start", "end", "seq", "words", "kept_doc_id", "kept_start"), "repeats")
+    scratch.drop("units", "firsts")
+    return found
 
 
-def _outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, row, spans) as (doc_id, row, n_removed, removed_chars, removed): spans that lie in another one are left out."""
+def _long_runs(row: np.ndarray, seq: np.ndarray, words: np.ndarray, least: int) -> np.ndarray:
+    """Which of some units, in order of row and seq, lie in stretches of neighbours that have `least` words in all."""
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (seq[1:] > seq[:-1] + 1)
+    run = np.cumsum(new) - 1
+    return np.bincount(run, words, minlength=1)[run] >= least
+
+
+def _outer(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, row, spans) as (doc_id, row, n_removed, removed_chars, removed): spans that lie in another one are left out, and
+    so are stretches of fewer than `least` words."""
     for b in batches:
         spans = b.column(2)
         flat, size = spans.flatten(), spans.value_lengths().to_numpy()
-        start, end = (flat.field(k).to_numpy() for k in ("start", "end"))
+        start, end, seq, words = (flat.field(k).to_numpy() for k in ("start", "end", "seq", "words"))
         row = np.repeat(np.arange(len(size)), size)
         order = np.lexsort((-end, start, row))
+        if least:
+            order = order[_long_runs(row[order], seq[order], words[order], least)]
         start, end, row = start[order], end[order], row[order]
         base = row * (int(end.max(initial=0)) + 1)  # the farthest end so far does not pass from one document to the next
         before = np.concatenate([[0], np.maximum.accumulate(base + end)[:-1]])[: len(end)] - base
@@ -110,20 +130,25 @@ def _outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chars = np.zeros(len(size), np.int64)
         np.add.at(chars, row[keep], (end - np.maximum(start, before))[keep])
         ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(chars), pa.ListArray.from_arrays(ends, flat.take(pa.array(order[keep])))], names=["doc_id", "row", "n_removed", "removed_chars", "removed"])
+        kept = flat.take(pa.array(order[keep]))
+        shown = pa.StructArray.from_arrays([kept.field(k) for k in SHOWN], names=list(SHOWN))
+        out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(chars), pa.ListArray.from_arrays(ends, shown)], names=["doc_id", "row", "n_removed", "removed_chars", "removed"])
+        yield out.filter(pa.array(n > 0))
 
 
-def _losses(docs: DataFrame, **how) -> DataFrame:
-    rows = repeated_units(docs, **how).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "end", "kept_doc_id", "kept_start")).alias("spans"))
-    return rows.mapInArrow(_outer, "doc_id long, row long, n_removed long, removed_chars long, removed array<struct<start: long, end: long, kept_doc_id: long, kept_start: long>>")
+def _losses(docs: DataFrame, min_run: int = 0, **how) -> DataFrame:
+    rows = repeated_units(docs, **how).groupBy("doc_id", "row").agg(F.collect_list(F.struct(*SHOWN, "seq", "words")).alias("spans"))
+    return rows.mapInArrow(lambda it: _outer(it, min_run), "doc_id long, row long, n_removed long, removed_chars long, removed array<struct<start: long, end: long, kept_doc_id: long, kept_start: long>>")
 
 
 def deduplicate_units(docs: DataFrame, **how) -> DataFrame:
     """doc_id, n_removed (units), removed_chars and removed (sorted array of start, end, kept_doc_id, kept_start),
     a row for each row of docs that loses something, whether or not others share its id. Other documents stay as they are.
 
-    how: unit, min_words and join_short of `units`. Runs that are joined may overlap: none lies in another, and
-    removed_chars counts each character once.
+    how: unit, min_words and join_short of `units`, and min_run: repeated units go only in stretches of neighbours that have
+    that many words in all, so that single common lines and sentences stay. Runs that are joined may overlap: none lies
+    in another, and removed_chars counts each character once. Of rows that share an id, the first by row number stays
+    whole; null ids rank first. Null and empty texts and an empty table lose nothing; other columns are not read.
     """
     keyed, unique = row_keys(docs)
     return _losses(docs if unique else keyed, **how).drop("row")

@@ -9,7 +9,7 @@ from .common import table
 from .decontaminate import contaminations
 from .jaccard import near_duplicates
 from .license_scan import scan_licenses
-from .line_dedup import deduplicate_units
+from .line_dedup import MIN_RUN, deduplicate_units
 from .mixing import MIX_SQL, mix_sources
 from .quality import score_documents, train
 from .shard import shard_documents
@@ -19,7 +19,8 @@ from .url_filter import filter_urls
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate_units(table(spark, sf_dir, "documents"), join_short=True)
+    """Sentences of lines, each with a digest; what repeats goes in stretches of `MIN_RUN` words or more."""
+    return deduplicate_units(table(spark, sf_dir, "documents"), min_words=1, min_run=MIN_RUN)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

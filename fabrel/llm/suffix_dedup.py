@@ -10,16 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import key_filter, met, mix, small_batches, text_bytes, text_chunks, written
+from .common import Scratch, key_filter, met, mix, small_batches, text_bytes, text_chunks, written
 
 #: Bytes of a repeated string, and of the q-gram that an initial bucket stands for.
 LENGTH, Q = 100, 20
 #: Stretches around an anchor by which the firsts of a bucket are compared; they divide LENGTH - Q.
 QUARTERS = 4
+#: Bits of the way from a start to its anchor, and of the number of further starts, in a row's place: length - q stays below 2**WAY.
+WAY = 11
 #: Bytes of a long document that are looked at together.
 PIECE = 1 << 20
-#: Counters of bucket sizes: 2**SKETCH_BITS. A bucket of more suffixes than HOT, and than 4 times the mean counter, is split.
-SKETCH_BITS, HOT = 17, 20_000
+#: Counters of bucket sizes: 2**SKETCH_BITS. A bucket of more suffixes than HOT, and than 4 times the mean counter, is split; so
+#: one that is not has 2**(2 - SKETCH_BITS) of all suffixes at most (0.003 %), whatever the input.
+SKETCH_BITS, HOT = 17, 4_000
 
 _SYMBOL = mix(np.arange(1, 257, dtype=np.uint64))
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
@@ -120,8 +123,8 @@ def bucket_sizes(docs: DataFrame, length: int, q: int) -> np.ndarray:
 def suffixes(docs: DataFrame, length: int, q: int, sizes) -> DataFrame:
     """(bucket, refined, sides, key, place): a row for each anchor. bucket is that of its q-gram, refined that of all
     bytes that its strings cover; sides has those (16 bits each) of the QUARTERS stretches of which each string with the
-    anchor has one in full: the q-gram with three quarters of the rest of a string around it. place packs the first start, the way to the anchor, the number of further starts and whether the
-    bucket is so large that it is split by document."""
+    anchor has one in full: the q-gram with three quarters of the rest of a string around it. place packs the first start, the way to the anchor, the number of
+    further starts and whether the bucket is so large that it is split by document."""
     names = ["bucket", "refined", "sides", "key", "place"]
     step = (length - q) // QUARTERS
 
@@ -148,7 +151,7 @@ def suffixes(docs: DataFrame, length: int, q: int, sizes) -> DataFrame:
                 part = (mix(key.view(np.uint64)) >> np.uint64(33)).astype(np.int64) % parts
                 split = (parts > 1).astype(np.int64)
                 bucket = bucket ^ mix(part.astype(np.uint64) * _B) * split.astype(np.uint64)
-                place = (base + lo - offsets[doc]) << 17 | (at - lo) << 9 | (hi - lo) << 1 | split
+                place = (base + lo - offsets[doc]) << (2 * WAY + 1) | (at - lo) << (WAY + 1) | (hi - lo) << 1 | split
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (bucket.view(np.int64), refined.view(np.int64), sides.view(np.int64), key, place)], names=names)
 
     return docs.select("__key", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
@@ -202,7 +205,7 @@ def ordered_keys(docs: DataFrame) -> DataFrame:
     return written(docs.orderBy("doc_id", "text").withColumn("__key", F.monotonically_increasing_id()), "suffix-keys")
 
 
-def repeated_strings(docs: DataFrame, *, length: int = LENGTH, q: int = Q) -> DataFrame:
+def repeated_strings(docs: DataFrame, scratch: Scratch, *, length: int = LENGTH, q: int = Q) -> DataFrame:
     """(key, spans: array of first start and end): bytes covered by a string of `length` bytes that also starts earlier.
 
     docs has __key, in the order that makes a document earlier, and text. Initial buckets hold the anchors of one q-gram;
@@ -223,7 +226,8 @@ def repeated_strings(docs: DataFrame, *, length: int = LENGTH, q: int = Q) -> Da
     rows = rows.withColumns({f"side{k}": F.shiftright("sides", 16 * k).bitwiseAND(65535) for k in range(QUARTERS)})
     peers = lambda k: F.count(F.when(F.col("turn") == 1, 1)).over(Window.partitionBy("bucket", f"side{k}"))
     rows = rows.withColumns({f"shared{k}": split | (peers(k) > 1) for k in range(QUARTERS)})
-    lo, way, more = F.shiftright("place", 17), F.shiftright("place", 9).bitwiseAND(255), F.shiftright("place", 1).bitwiseAND(255)
+    few = (1 << WAY) - 1
+    lo, way, more = F.shiftright("place", 2 * WAY + 1), F.shiftright("place", WAY + 1).bitwiseAND(few), F.shiftright("place", 1).bitwiseAND(few)
     # Strings that start k to k + 1 steps before the anchor have stretch k in them.
     start = lambda k: lo + way - k * step
     first = F.greatest(lo, F.least(*[F.when(F.col(f"shared{k}"), start(k + 1)) for k in range(QUARTERS)]))
@@ -231,11 +235,11 @@ def repeated_strings(docs: DataFrame, *, length: int = LENGTH, q: int = Q) -> Da
     rows = rows.where(F.greatest(F.col("turn") > 1, *[F.col(f"shared{k}") for k in range(QUARTERS)]))
     repeat = F.col("turn") > 1
     rows = rows.select("key", repeat.alias("repeat"), F.when(repeat, lo).otherwise(first).alias("first"), F.when(repeat, lo + more).otherwise(last).alias("last")).where("first <= last")
-    rows = written(rows, "suffix-buckets")
+    rows = scratch.written(rows, "buckets")
 
     whole = rows.where("repeat").select("key", F.struct(F.col("first").alias("lo"), (F.col("last") + length).alias("hi")).alias("span"))
     open_ = rows.where("NOT repeat").groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("runs"))  # of one document
-    open_ = written(open_, "suffix-open")
+    open_ = scratch.written(open_, "open")
     strings = strings_of(docs, open_, length)
     start = F.col("rest").bitwiseAND((1 << 31) - 1)
     same = Window.partitionBy("string", F.shiftright("rest", 32)).orderBy("key", start)
@@ -257,11 +261,16 @@ def deduplicate_strings(docs: DataFrame, *, length: int = LENGTH, q: int = Q, te
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and, with texts, kept as binary) for every row of docs.
 
     Bytes covered by a `length`-byte string that also starts earlier (smaller doc_id, or earlier in the document) go.
-    Null and empty texts have no bytes. Rows that share an id, or have none, rank by id (null first), then text.
+    Null and empty texts have no bytes. Rows that share an id, or have none, rank by id (null first), then text. Other
+    columns are not read. length - q is a multiple of `QUARTERS` from 1 to 2**WAY - 1; a text has below 2**31 bytes.
     """
+    if q < 1 or (length - q) % QUARTERS or not 0 < length - q < 1 << WAY:
+        raise ValueError(f"length - q must be a multiple of {QUARTERS} from {QUARTERS} to {(1 << WAY) - QUARTERS}: length={length}, q={q}")
     small_batches(docs.sparkSession)
     keyed = ordered_keys(docs)
-    spans = repeated_strings(keyed, length=length, q=q)
+    scratch = Scratch(docs.sparkSession, "suffix")
+    spans = scratch.written(repeated_strings(keyed, scratch, length=length, q=q), "spans")
+    scratch.drop("buckets", "open")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * texts]
     kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * texts
 
@@ -283,7 +292,6 @@ def deduplicate_strings(docs: DataFrame, *, length: int = LENGTH, q: int = Q, te
                 out.append((doc, len(raw) + gone, gone, n, hashlib.sha256(raw).hexdigest(), *[raw] * texts))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
 
-    spans = written(spans, "suffix-spans")
     bits = key_filter(spans, "key")
     some, rest = met(keyed, "__key", bits), met(keyed, "__key", bits, want=False)  # most documents lose nothing and stay where they are
     made = some.join(spans, some["__key"] == spans["key"], "left").select("doc_id", "text", "spans")

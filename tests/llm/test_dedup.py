@@ -221,3 +221,59 @@ def test_every_stretch_of_units_is_met_as_a_whole():
             for j in range(i, len(counts)):
                 inside = {k for a, b in found if i <= a and b <= j for k in range(a, b + 1)}
                 assert sum(counts[i : j + 1]) < 5 or inside >= {k for k in range(i, j + 1) if counts[k]}
+
+
+def brute_runs(docs, min_run):
+    """doc_id: [(start, end)] of repeated sentences, of one word or more, in stretches of min_run words."""
+    seen, out = set(), {}
+    for i, t in docs:
+        run, spans = [], []
+        found = [(m.start(), m.end(), m[0].lower().split()) for m in re.finditer(r"[^\n.!?]*(?:[.!?]+(?:\s+|$)|\n|$|[.!?])", t or "")]
+        for start, end, w in [*((a, b, w) for a, b, w in found if w), (0, 0, None)]:
+            key = w and " ".join(w).strip(".,;:!?\"'()")
+            if w and key in seen:
+                run.append((start, end, len(w)))
+                continue
+            if sum(n for *_, n in run) >= min_run:
+                spans += [x[:2] for x in run]
+            run = []
+            seen.add(key)
+        if spans:
+            out[i] = spans
+    return out
+
+
+def test_only_long_stretches_of_repeated_units_go(spark):
+    """Single common lines stay; passages of short sentences go; long texts and further columns of clashing names are met."""
+    r = random.Random(12)
+    sentence = lambda n: " ".join(r.choice("abcdefgh") + str(r.randrange(40)) for _ in range(n)) + "."
+    common, passages, docs = sentence(9), [[sentence(r.choice([1, 2, 3, 8, 15])) for _ in range(9)] for _ in range(4)], []
+    for i in range(60):
+        parts = [sentence(r.randint(1, 12)) for _ in range(r.randint(0, 6))]
+        if r.random() < 0.5:
+            p, a = r.choice(passages), r.randrange(4)
+            at = r.randrange(len(parts) + 1)
+            parts[at:at] = p[a : a + r.randint(1, 9)]
+        if r.random() < 0.5:
+            parts.insert(r.randrange(len(parts) + 1), common)
+        docs.append((i, r.choice([" ", "\n", "\n\n"]).join(parts)))
+    docs += [(60, " ".join(sentence(7) for _ in range(20_000))), (61, None), (62, ""), (63, docs[5][1])]
+    df = spark.createDataFrame([(*d, 0, 0, 0) for d in docs], SCHEMA + ", start int, __n int, kept int").repartition(3)
+    out = {x.doc_id: [(s.start, s.end) for s in x.removed] for x in deduplicate_units(df, min_words=1, min_run=25).collect()}
+    assert out == brute_runs(docs, 25) and 0 < len(out) < 60
+
+
+@pytest.mark.parametrize(("length", "q"), [(24, 8), (60, 20), (420, 20), (1020, 20)])
+def test_strings_of_other_lengths(spark, length, q):
+    r = random.Random(length)
+    base = "".join(r.choice("abcdefgh ") for _ in range(4000))
+    docs = [(i, base[a : a + r.randint(0, 1500)] + "".join(r.choice("xyz ") for _ in range(r.randint(0, 300))) + base[:a][-400:]) for i in range(14) for a in [r.randrange(2500)]]
+    df = spark.createDataFrame([(*d, "k", 1) for d in docs], SCHEMA + ", key string, place int")
+    got = {x[0]: tuple(x)[1:] for x in deduplicate_strings(df, length=length, q=q).collect()}
+    assert got == brute_strings(docs, length)
+
+
+@pytest.mark.parametrize(("length", "q"), [(20, 20), (101, 20), (3000, 20), (100, 0)])
+def test_lengths_that_cannot_be_packed_are_refused(spark, length, q):
+    with pytest.raises(ValueError, match="length"):
+        deduplicate_strings(spark.createDataFrame([(1, "a")], SCHEMA), length=length, q=q)
