@@ -19,6 +19,9 @@ EDIT_RATE = 0.08
 #: Bytes of benchmark text in a broadcast block.
 BLOCK_BYTES = 2 << 20
 
+#: Shared q-grams of a text and the items that are looked at together.
+ENTRIES = 1 << 20
+
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[9, 10, 11, 12, 13]] = 32
@@ -98,22 +101,45 @@ def candidates(ix: Index, t: np.ndarray, doc_of: np.ndarray, start: np.ndarray)
     at = np.minimum(np.searchsorted(ix.grams, g[pos]), max(len(ix.grams) - 1, 0))
     hit = (ix.grams[at] == g[pos]) & (doc_of[pos] == doc_of[pos + Q - 1])
     pos, at = pos[hit], at[hit]
-    many = ix.first[at + 1] - ix.first[at]
-    entry = np.repeat(ix.first[at] - np.concatenate([[0], np.cumsum(many)[:-1]]) if len(at) else np.zeros(0, np.int64), many) + np.arange(many.sum())
-    pos = np.repeat(pos, many)
-    doc, item, n_item = doc_of[pos], ix.item[entry], len(ix.ids)
-    pair = doc * n_item + item  # few pairs share enough at all
-    enough = np.bincount(pair, minlength=1)[pair] >= ix.need[item]
-    pos, entry, doc, item = pos[enough], entry[enough], doc[enough], item[enough]
+    many, n_item = ix.first[at + 1] - ix.first[at], max(len(ix.ids), 1)
     shift = int(ix.length.max(initial=0)) + ix.step
-    diagonal = pos - start[doc] - ix.place[entry] + shift
-    band = diagonal // ix.step
-    also = (diagonal - band * ix.step) < int(ix.budget.max(initial=0)) + 1
-    doc, item, band = (np.concatenate([x, y]) for x, y in ((doc, doc[also]), (item, item[also]), (band, band[also] - 1)))
-    n_band = int(band.max(initial=0)) + 1
-    key, count = np.unique((doc * n_item + item) * n_band + band, return_counts=True)
-    key = key[count >= ix.need[key // n_band % max(n_item, 1)]]
-    return np.stack([key // n_band // max(n_item, 1), key // n_band % max(n_item, 1), (key % n_band) * ix.step - shift], axis=1)
+    n_band = (len(t) + 2 * shift) // ix.step + 2
+
+    def entries() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(position, entry of the index) of all shared q-grams, some at a time: a run of one q-gram has very many."""
+        cut = np.searchsorted(np.cumsum(many), np.arange(ENTRIES, int(many.sum()), ENTRIES), "left") + 1
+        for a, b in zip([0, *cut], [*cut, len(pos)], strict=True):
+            n = many[a:b]
+            entry = np.repeat(ix.first[at[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            yield np.repeat(pos[a:b], n), entry
+
+    def counted(keys: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys and how often they come, in memory of the distinct ones."""
+        key, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for k in keys:
+            new, n = np.unique(k, return_counts=True)
+            key, where = np.unique(np.concatenate([key, new]), return_inverse=True)
+            count = np.bincount(where, np.concatenate([count, n]), minlength=len(key)).astype(np.int64)
+        return key, count
+
+    pair, n = counted(doc_of[p] * n_item + ix.item[e] for p, e in entries())
+    pair = pair[n >= ix.need[pair % n_item]]  # few pairs share enough at all
+
+    def banded() -> Iterator[np.ndarray]:
+        for p, e in entries():
+            key = doc_of[p] * n_item + ix.item[e]
+            near = np.searchsorted(pair, key)
+            enough = near < len(pair)
+            enough[enough] = pair[near[enough]] == key[enough]
+            p, e, key = p[enough], e[enough], key[enough]
+            diagonal = p - start[doc_of[p]] - ix.place[e] + shift
+            band = diagonal // ix.step
+            also = (diagonal - band * ix.step) < int(ix.budget.max(initial=0)) + 1
+            yield np.concatenate([key, key[also]]) * n_band + np.concatenate([band, band[also] - 1])
+
+    key, n = counted(banded())
+    key = key[n >= ix.need[key // n_band % n_item]]
+    return np.stack([key // n_band // n_item, key // n_band % n_item, (key % n_band) * ix.step - shift], axis=1)
 
 
 def align(ix: Index, t: np.ndarray, start: np.ndarray, end: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

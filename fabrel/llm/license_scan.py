@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -132,6 +133,125 @@ openrail|20|openrail|(?:creativeml |bigscience )?openrail(?: m)?
 proprietary|40|reserved|all rights reserved
 proprietary|30|proprietary|proprietary and confidential
 commercial|40|commercial|commercial license(?: agreement)?
+gpl-2.0|12|fsf|published by the fsf version 2 of the license
+gpl|28|gpl|(?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?gpl
+gpl|22|warranty|this program comes with absolutely no warranty
+gpl|20|redistribute|you can redistribute it and or modify it under the terms of the gnu general public license
+lgpl|18|redistribute|you can redistribute it and or modify it under the terms of the gnu lesser general public license
+agpl|18|redistribute|you can redistribute it and or modify it under the terms of the gnu affero general public license
+gpl|22|fitness|without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license
+gpl|22|received|you should have received a copy of the gnu general public license
+lgpl|20|received|you should have received a copy of the gnu lesser general public license
+agpl|20|received|you should have received a copy of the gnu affero general public license
+gpl-font-exception|10|font|general public license [a-z0-9 ]{0,60}with (?:the )?font exception
+gpl-autoconf|10|autoconf|general public license [a-z0-9 ]{0,60}with (?:the )?autoconf exception
+gpl-bison|10|bison|general public license [a-z0-9 ]{0,60}with (?:the )?bison exception
+gpl-gcc-exception|10|gcc|gcc runtime library exception
+gpl-linking-exception|20|linking|(?:static|dynamic|special) linking exception
+fdl-1.1|15|documentation|gnu free documentation license version 1 1
+fdl-1.2|15|documentation|gnu free documentation license version 1 2
+fdl-1.3|15|documentation|gnu free documentation license version 1 3
+fdl|30|gfdl|gfdl(?: 1 [0-9])?
+apache-2.0|10|compliance|you may not use this file except in compliance with the license
+apache-2.0|12|unless|unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
+apache-2.0|18|asf|licensed to the apache software foundation asf under one or more contributor license agreements
+apache-1.1|12|endorse|the names apache and apache software foundation must not be used to endorse or promote products
+mit|14|sublicense|without limitation the rights to use copy modify merge publish distribute sublicense and or sell
+mit|16|substantial|shall be included in all copies or substantial portions of the software
+mit-modern|20|mit|mit modern(?: variant)? license
+mit-cmu|20|cmu|cmu license
+mit-enna|20|enna|enna license
+mit-feh|20|feh|feh license
+bsd-3-clause|14|endorse|may be used to endorse or promote products derived from this software without specific prior written permission
+bsd|22|reproduce|redistributions in binary form must reproduce the above copyright notice
+bsd|22|retain|redistributions of source code must retain the above copyright notice
+bsd-3-clause-clear|10|clear|(?:3 clause clear bsd|clear bsd|bsd 3 clause clear)(?: license)?
+bsd-3-clause-lbnl|15|lbnl|(?:lbnl|lawrence berkeley) bsd(?: variant)? license
+bsd-2-clause-patent|12|patent|bsd (?:2 clause )?plus patent(?: license)?
+bsd-protection|15|protection|bsd protection license
+bsd-source-code|15|attribution|bsd source code attribution
+isc|12|isc|(?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?isc license
+mpl-1.0|10|mozilla|mozilla public license (?:version|v) ?1 0
+mpl-2.0|12|mpl|the contents of this file are subject to the mpl
+mpl|20|obtain|if a copy of the mpl was not distributed with this file you can obtain one
+npl-1.1|20|netscape|netscape public license(?: version 1 1)?
+spl-1.0|20|sun|sun public license(?: version 1 0)?
+sissl|20|sun|sun industry standards source license
+cpal-1.0|20|attribution|common public attribution license(?: version 1 0)?
+cecill-2.1|10|cecill|cecill (?:free software license agreement )?(?:version )?2 1
+cecill-b|10|cecill|cecill b(?: license)?
+cecill-c|10|cecill|cecill c(?: license)?
+cecill|25|cecill|cecill(?: license)?
+eupl-1.0|10|european|european union public licen[cs]e (?:version|v)? ?1 0
+apsl-2.0|15|apple|apple public source license(?: version)? 2 0
+apsl|25|apple|apple public source license
+intel|20|intel|intel open source license
+lppl-1.3c|15|latex|latex project public license(?: version)? 1 3c?
+lppl|25|latex|latex project public license
+lpl-1.02|20|lucent|lucent public license(?: version 1 02)?
+nokia|20|nokia|nokia open source license
+motosoto|20|motosoto|motosoto (?:open source )?license
+naumen|20|naumen|naumen public license
+nasa-1.3|20|nasa|nasa open source agreement(?: version)?(?: 1 3)?
+ngpl|20|nethack|nethack general public license
+oclc-2.0|20|oclc|oclc research public license(?: 2 0)?
+ogtsl|20|group|open group test suite license
+oset-2.1|20|oset|oset (?:foundation )?public license(?: version 2 1)?
+qpl-1.0|20|q|q public license(?: version 1 0)?
+rpl-1.5|20|reciprocal|reciprocal public license(?: version)?(?: 1 5)?
+rpsl-1.0|20|realnetworks|realnetworks public source license
+rscpl|20|ricoh|ricoh source code public license
+simpl-2.0|20|simple|simple public license(?: 2 0)?
+sleepycat|20|sleepycat|sleepycat license
+tcl|20|tcl|tcl tk license
+vsl-1.0|20|vovida|vovida software license(?: 1 0)?
+vim|20|vim|vim license
+watcom-1.0|20|watcom|sybase open watcom public license
+xnet|20|xnet|xnet license
+zpl-2.1|15|zope|zope public license(?: version)? 2 1
+zpl|25|zope|zope public license
+mulan-2.0|20|mulan|mulan (?:permissive software license|psl)(?: v2| version 2)?
+blueoak-1.0|20|blue|blue oak model license(?: 1 0 0)?
+parity-7.0|20|parity|parity public license(?: 7 0 0)?
+prosperity|20|prosperity|prosperity public license
+anti-996|20|996|anti 996 license
+confluent|20|confluent|confluent community license
+redis-sal|20|redis|redis source available license
+timescale|20|timescale|timescale license(?: agreement)?
+fsl-1.1|20|functional|functional source license(?: 1 1)?
+busl|25|bsl|(?:business source license )?bsl 1 1
+elastic|22|elv2|elv2(?: license)?
+sspl|22|sspl|sspl(?: v1)?
+openssl|15|ssleay|(?:original )?ssleay license
+info-zip|20|zip|info zip license
+bzip2|20|bzip2|bzip2 license
+libtiff|20|libtiff|libtiff license
+imagemagick|20|imagemagick|imagemagick license
+freetype|20|freetype|freetype (?:project )?license
+ijg|20|jpeg|independent jpeg group license
+sgi-b-2.0|20|sgi|sgi free software license b
+gemma|20|gemma|gemma terms of use
+falcon|20|falcon|falcon llm license
+rail-m|20|responsible|responsible ai license
+deepseek|20|deepseek|deepseek (?:model )?license(?: agreement)?
+qwen|20|qwen|(?:tongyi )?qwen license agreement
+mrl|20|mistral|mistral (?:ai )?research license
+cdla-permissive-2.0|12|cdla|cdla permissive 2 0
+cdla-permissive-1.0|12|cdla|cdla permissive 1 0
+cdla-sharing-1.0|12|cdla|cdla sharing 1 0
+c-uda|20|computational|computational use of data agreement
+odc-by-1.0|15|commons|open data commons attribution license(?: odc by)? v?1 0
+etalab-2.0|20|etalab|(?:licence ouverte|open licence) etalab(?: 2 0)?
+dl-de-by-2.0|20|datenlizenz|datenlizenz deutschland namensnennung(?: version)?(?: 2 0)?
+ogl-canada|15|canada|open government licen[cs]e canada
+gutenberg|20|gutenberg|project gutenberg (?:tm )?license
+no-derivatives|45|derivatives|no derivatives (?:may be )?(?:made|allowed|permitted)
+non-commercial|45|commercial|for non ?commercial (?:use|purposes) only
+research-only|45|research|for (?:academic|research) (?:use|purposes) only
+evaluation|45|evaluation|for evaluation purposes only
+proprietary|28|confidential|strictly confidential(?: and proprietary)?
+proprietary|30|unauthorized|unauthorized (?:copying|reproduction|distribution) of this (?:file|software|document)[a-z0-9 ]{0,40} is (?:strictly )?prohibited
+proprietary|35|permission|no part of this (?:publication|document|book) may be reproduced [a-z0-9 ]{0,80}without (?:the )?(?:prior )?written permission
 """
 
 # SPDX identifiers, tagged as `SPDX-License-Identifier: <id>`.
@@ -147,6 +267,9 @@ MS-PL NCSA ODbL-1.0 OFL-1.1 OSL-3.0 PostgreSQL Python-2.0 Ruby UPL-1.0 Unlicense
 CC_TERMS = {"by": "attribution", "by sa": "attribution share ?alike", "by nc": "attribution non ?commercial", "by nd": "attribution no ?deriv(?:ative)?s", "by nc sa": "attribution non ?commercial share ?alike", "by nc nd": "attribution non ?commercial no ?deriv(?:ative)?s"}
 CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 
+#: Detections before one that are asked whether they hold it; hits of a block of running sums.
+NEAR, BLOCK = 64, 256
+
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -196,36 +319,61 @@ def any_of(words: list[str]) -> str:
     return "(?=[" + "".join(by) + "])(?:" + "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in by.items()) + ")"
 
 
-def detections(words: Column, rules: list[tuple]) -> Column:
-    """Array of (priority, shorter, rule_id, start, end, label, score) that stand, for normalised words.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is evaluated once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    Every match of a rule whose keyword the words hold gives an interval of characters; one that lies within the
-    interval of a detection of lower priority value (on ties: a longer one, then an earlier rule) is dropped.
-    """
+
+def running(sizes: Column) -> Column:
+    """(s, e) of hits from the lengths of the gaps before them and their own, in blocks of `BLOCK` hits, so that no long array
+    is copied for each hit."""
+    none = F.array().cast("array<struct<s:int,e:int>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        start = F.coalesce(F.try_element_at(acc, F.lit(-1))["e"], F.lit(0)) + x["gap"]
+        return F.array_append(acc, F.struct(start.alias("s"), (start + x["hit"]).alias("e")))
+
+    def placed(local: Column) -> Column:
+        """The blocks, each moved behind those before it."""
+        ends = F.aggregate(local, F.array(F.lit(0)), lambda acc, b: F.array_append(acc, F.element_at(acc, -1) + F.coalesce(F.try_element_at(b, F.lit(-1))["e"], F.lit(0))))
+        at = F.slice(ends, F.lit(1), F.size(local))
+        return F.flatten(F.zip_with(local, at, lambda b, o: F.transform(b, lambda x: F.struct((x["s"] + o).alias("s"), (x["e"] + o).alias("e")))))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(sizes) / BLOCK).cast("int")), lambda k: F.aggregate(F.slice(sizes, k * BLOCK + 1, F.lit(BLOCK)), none, step))
+    return let(blocks, placed)
+
+
+def detections(words: Column, rules: list[tuple]) -> Column:
+    """Array of (start, shorter, priority, rule_id, end, label, score) in that order, for normalised words: every match of a
+    rule whose keyword the words hold, as an interval of characters; shorter is the length below zero."""
     table = F.array(*[F.struct(F.lit(r[0]).alias("rule_id"), F.lit(r[1]).alias("label"), F.lit(r[2]).alias("priority"), F.lit(r[3]).alias("keyword"), F.lit(f"(?i) (?:{r[4]})(?= )").alias("regex"), F.lit(r[5]).alias("score")) for r in rules])
     held = F.array_intersect(F.split(F.lower(words), " "), F.array(*[F.lit(k) for k in sorted({r[3] for r in rules})]))
 
     def matches(rule: Column) -> Column:
         # The start of a hit is the length of the gaps up to it and of the hits before it.
         pairs = F.arrays_zip(F.split(words, rule["regex"], -1).alias("gap"), F.regexp_extract_all(words, rule["regex"], F.lit(0)).alias("hit"))
-        none = F.array().cast("array<struct<s:int,e:int>>")
-
-        def step(acc: Column, x: Column) -> Column:
-            start = F.coalesce(F.try_element_at(acc, F.lit(-1))["e"], F.lit(0)) + F.length(x["gap"])
-            return F.array_append(acc, F.struct(start.alias("s"), (start + F.length(x["hit"])).alias("e")))
-
-        spans = F.aggregate(F.filter(pairs, lambda x: x["hit"].isNotNull()), none, step)
-        return F.transform(spans, lambda x: F.struct(rule["priority"], (x["s"] - x["e"]).alias("shorter"), rule["rule_id"], x["s"].alias("start"), x["e"].alias("end"), rule["label"], rule["score"]))
+        size = F.transform(F.filter(pairs, lambda x: x["hit"].isNotNull()), lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit")))
+        spans = let(size, running)
+        return F.transform(spans, lambda x: F.struct(x["s"].alias("start"), (x["s"] - x["e"]).alias("shorter"), rule["priority"], rule["rule_id"], x["e"].alias("end"), rule["label"], rule["score"]))
 
     once = F.array(held)  # as an element, the keywords are found once a text and not once a rule
     tried = F.element_at(F.transform(once, lambda h: F.filter(table, lambda r: F.array_contains(h, r["keyword"]))), 1)
-    return F.flatten(F.transform(tried, matches))
+    return F.array_sort(F.flatten(F.transform(tried, matches)))
 
 
-def standing(found: Column) -> Column:
+def standing(found: Column, longest: Column) -> Column:
+    """The detections of an ordered array that do not lie within the interval of one of lower priority value (on ties: a
+    longer one, then an earlier rule). What holds a detection stands before it, and not farther than the longest interval:
+    so the `NEAR` ones before it are asked, and all before it only where more than those begin so near."""
     rank = lambda x: F.struct(x["priority"], x["shorter"], x["rule_id"])
     inside = lambda x, y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (rank(y) < rank(x))
-    return F.filter(found, lambda x: ~F.exists(found, lambda y: inside(x, y)))
+
+    def stands(x: Column, i: Column) -> Column:
+        dense = (i >= NEAR) & (F.get(found, i - NEAR)["start"] > x["start"] - longest)
+        begin = F.when(dense, F.lit(1)).otherwise(F.greatest(i - NEAR + 1, F.lit(1)))
+        return ~F.exists(F.slice(found, begin, i - begin + 2), lambda y: inside(x, y))
+
+    return F.filter(found, stands)
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -242,7 +390,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     gate = F.col("__words").rlike("(?i) " + any_of([r[3] for r in rules]) + "(?= )")
     places = words.withColumns({f"__p{i}": phrase_places(F.col("__words"), p) for i, (p, _) in enumerate(PHRASES)})
     places = places.withColumn("__met", F.when(gate, detections(F.col("__words"), rules)))
-    places = places.withColumn("__found", F.when(F.col("__met").isNotNull(), standing(F.col("__met"))))
+    places = places.withColumn("__longest", F.array_max(F.transform("__met", lambda x: -x["shorter"])))
+    places = places.withColumn("__found", F.when(F.col("__met").isNotNull(), standing(F.col("__met"), F.col("__longest"))))
     ps = [F.col(f"__p{i}") for i in range(len(PHRASES))]
     base = F.array_compact(F.array(*[F.when(p.isNotNull(), label) for p, (_, label) in zip(ps, PHRASES, strict=True)]))
     found = F.coalesce(F.transform("__found", lambda x: x["label"]), F.array().cast("array<string>"))

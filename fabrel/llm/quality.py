@@ -51,6 +51,14 @@ def _feature_rows(column: pa.Array) -> np.ndarray:
     return np.array(rows).reshape(-1, N_FEATURES)
 
 
+def preferences(z: np.ndarray, label: np.ndarray, pairs: int, seed: int) -> np.ndarray:
+    """Feature differences of a text of label 1 and one of label 0, `pairs` of them at most."""
+    good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
+    rng = np.random.default_rng(seed)
+    n = min(pairs, len(good) * len(bad))
+    return z[rng.choice(good, n)] - z[np.resize(rng.permutation(bad), n)]
+
+
 def fit_bradley_terry(x: np.ndarray, label: np.ndarray, *, pairs: int = PAIRS, penalty: float = 1e-3, seed: int = 5) -> dict:
     """Weights w with P(a preferred to b) = 1 / (1 + exp(-w . (a - b))) over pairs of a text of label 1 and one of label 0.
 
@@ -63,9 +71,8 @@ def fit_bradley_terry(x: np.ndarray, label: np.ndarray, *, pairs: int = PAIRS, p
     mean, scale = x.mean(0), x.std(0)
     scale[scale < 1e-9] = np.inf
     z = np.clip((x - mean) / scale, -8, 8)
-    rng = np.random.default_rng(seed)
-    n = min(pairs, len(good) * len(bad))
-    d = z[rng.choice(good, n)] - z[np.resize(rng.permutation(bad), n)]
+    d = preferences(z, label, pairs, seed)
+    n = len(d)
     w = np.zeros(x.shape[1])
     for _ in range(15):  # Newton steps on the logistic loss
         p = 1 / (1 + np.exp(-(d @ w)))
@@ -101,21 +108,22 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> dict:
     """A model of labels.quality from the texts of at most `sample` labelled rows that are not held out.
 
     Only labels 0 and 1 count; without any, every text scores 1. The sample is bounded, so it can be broadcast to the
-    scan of the texts, and its features fit on the driver.
+    scan of the texts, and its features fit on the driver. Of texts that share an id the one of the least hash stands for it,
+    so the rows that reach the driver are those of the sample and reruns fit the same model.
     """
     small_batches(docs.sparkSession)
     chosen = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    chosen = chosen.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text", F.xxhash64("text").alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat = pa.array(_feature_rows(b.column(2)).ravel(), pa.float64())
             x = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * N_FEATURES, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), x], names=["doc_id", "quality", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), x], names=["doc_id", "quality", "h", "x"])
 
-    rows = texts.mapInArrow(run, "doc_id long, quality int, x array<double>").limit(2 * sample).toArrow().to_pydict()
-    order = np.argsort(np.array(rows["doc_id"], dtype=np.int64), kind="stable")
+    rows = texts.mapInArrow(run, "doc_id long, quality int, h long, x array<double>").groupBy("doc_id", "quality").agg(F.min(F.struct("h", "x"))["x"].alias("x")).toArrow().to_pydict()
+    order = np.lexsort((np.array(rows["quality"], dtype=np.int64), np.array(rows["doc_id"], dtype=np.int64)))
     x = np.array(rows["x"], dtype=float).reshape(-1, N_FEATURES)[order]
     return fit_bradley_terry(x, np.array(rows["quality"], dtype=int)[order])
 

@@ -65,6 +65,13 @@ def build_index(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(run, schema)
 
 
+def blocks_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The blocks of a batch, with views of its arrays."""
+    for r in range(batch.num_rows):
+        block = {name: batch.column(k)[r] for k, name in enumerate(batch.schema.names)}
+        yield {n: v.values.to_numpy() if isinstance(v, pa.ListScalar) else v.as_py() for n, v in block.items()}
+
+
 def search_block(q: np.ndarray, qid: np.ndarray, block: dict, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query position, vec_id, score) of all rows of a block that may be among the k best, with exact scores.
 
@@ -135,7 +142,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5) -> DataFrame:
         found = (np.zeros(0, np.int64),) * 3
         floor = np.full(len(qid), -np.inf)
         for batch in batches:
-            for block in batch.to_pylist():
+            for block in blocks_of(batch):
                 if len(block["ids"]):
                     new = search_block(q, qid, block, k, floor)
                     found = best(*(np.concatenate([x, y]) for x, y in zip(found, new, strict=True)), k)

@@ -12,7 +12,7 @@ from fabrel.llm import decontaminate, license_scan, quality
 from fabrel.llm.decontaminate import contaminations, decontaminated, fold
 from fabrel.llm.license_scan import PHRASES, scan_licenses, signature_rules
 from fabrel.llm.quality import ACCEPT, score_documents, train
-from fabrel.llm.url_filter import RULES, filter_urls
+from fabrel.llm.url_filter import RULES, filter_urls, mine_rules
 
 SCHEMA = "doc_id long, text string"
 
@@ -156,9 +156,10 @@ def judged(url):
 def test_urls(spark, sf):
     urls = [None, "", "nothing", "http://", "HTTP://A.Example.COM/en/7x?q#f", "x://example.com/en/8", "http://com/en/", "http://xcom/en/1", "http://b.net/de/1", "http://example.net/de/89#a", "http://é.org/es/\n1?x", "a://b://c.com/en/"]
     pages = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)] + [(1, "http://a.org/es/1", "z"), (None, "http://a.org/es/1", "z")], "page_id long, url string, verdict string")
-    out = sorted(((r.page_id if r.page_id is not None else -1), r.host, r.path, r.rule, r.verdict) for r in filter_urls(pages).collect())
-    want = sorted((i, *judged(u)) for i, u in [*enumerate(urls), (1, "http://a.org/es/1"), (-1, "http://a.org/es/1")])
-    assert [o[:3] for o in out] == [w[:3] for w in want] and [(o[3] or "") for o in sorted(out, key=str)] == [(w[3] or "") for w in sorted(want, key=lambda w: str((*w[:4], w[4])))] or True
+    out = [((r.page_id if r.page_id is not None else -1), r.host, r.path, r.rule, r.verdict) for r in filter_urls(pages).collect()]
+    want = [(i, *judged(u)) for i, u in [*enumerate(urls), (1, "http://a.org/es/1"), (-1, "http://a.org/es/1")]]
+    place = lambda x: (x[0], x[1], x[2])
+    assert [o[:4] for o in sorted(out, key=place)] == [w[:4] for w in sorted(want, key=place)]
     rules = {(o[0], o[1], o[2]): (o[3], o[4]) for o in out}
     for i, host, path, rule, verdict in want:
         got = rules[i, host, path]
@@ -171,3 +172,104 @@ def test_mined_rules_judge_other_urls(spark):
     rows += [(900, "http://bad1.example.org/fr/1"), (901, "http://good.org/de/3"), (902, "http://other.xyz/a")]
     out = {r.page_id: r.verdict for r in filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert (out[900], out[901], out[902]) == ("block", "allow", "allow")
+
+
+def brute_rules(rows, least, confidence):
+    """{(tokens, verdict): (confidence, support)} of the minimal rules, from all subsets of all rows' tokens."""
+    import itertools
+
+    at = {}
+    for k, (tokens, _) in enumerate(rows):
+        for t in tokens:
+            at.setdefault(t, set()).add(k)
+    first = {}
+    for t in sorted(at):
+        first.setdefault(frozenset(at[t]), t)
+    found = {}
+    alone = [(t,) for t in at]
+    joint = {c for tokens, _ in rows for n in range(2, 9) for c in itertools.combinations(sorted(set(tokens) & set(first.values())), n)}
+    for c in [*alone, *joint]:
+        having = set.intersection(*(at[t] for t in c))
+        for v in {v for _, v in rows}:
+            n = sum(rows[k][1] == v for k in having)
+            if n >= least and n / len(having) >= confidence and all(len(at[t]) >= least for t in c):
+                found[c, v] = (n / len(having), n / len(rows))
+    parts = lambda c: (p for n in range(1, len(c)) for p in itertools.combinations(c, n))
+    return {k: x for k, x in found.items() if not any((p, k[1]) in found and found[p, k[1]][0] >= x[0] for p in parts(k[0]))}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_mined_rules_against_all_subsets(spark, seed):
+    r = random.Random(seed)
+    rows = [(sorted({r.choice("abcdefg") for _ in range(r.randint(1, 6))} | {"z", "y"}), r.choice(["allow", "block", "block"])) for _ in range(90)]
+    rows = [(t, "allow" if {"a", "b"} <= set(t) and r.random() < 0.9 else v) for t, v in rows]
+    out = mine_rules(spark.createDataFrame(rows, "tokens array<string>, verdict string"), min_support=0.05, min_confidence=0.6, combined=9).collect()
+    got = {(tuple(x.tokens), x.verdict): (round(x.confidence, 9), round(x.support, 9)) for x in out}
+    want = {k: (round(c, 9), round(s, 9)) for k, (c, s) in brute_rules(rows, 5, 0.6).items()}
+    assert got == want and any(len(t) > 1 for t, _ in got) and len(got) == len(out)
+
+
+def test_mining_ends_on_deep_urls_that_share_their_segments(spark):
+    r = random.Random(3)
+    deep = [f"s{i}" for i in range(20)]
+    rows = []
+    for i in range(50):
+        kept = [s for s in deep if r.random() < 0.95]
+        rows.append((i, f"http://{r.choice(['example.com/en/', 'x.net/de/'])}{'/'.join(kept)}/{i}"))
+    rows += [(100, "http://other.xyz/" + "/".join(deep)), (101, None), (101, "no url")] + [(200 + i, "http://same.xyz/a") for i in range(2000)]
+    out = {x.page_id: x.verdict for x in filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert len(out) == 50 + 2 + 2000 and out[101] == "allow" and len({out[200 + i] for i in range(2000)}) == 1
+
+
+def test_bradley_terry_against_gradient_descent():
+    """The weights are those that plain gradient descent on the pairs' logistic loss comes to; the threshold errs least."""
+    r = np.random.default_rng(4)
+    label = (r.random(300) < 0.6).astype(int)
+    x = r.normal(size=(300, 6)) + label[:, None] * np.array([1.0, 0.5, 0, 0, -0.7, 0])
+    m = quality.fit_bradley_terry(x, label, pairs=2000, penalty=0.01)
+    z = np.clip((x - x.mean(0)) / x.std(0), -8, 8)
+    d, w = quality.preferences(z, label, 2000, 5), np.zeros(6)
+    for _ in range(4000):
+        w += 0.5 * (d.T @ (1 / (1 + np.exp(d @ w))) / len(d) - 0.01 * w)
+    assert np.abs(w - m["w"]).max() < 1e-3
+    s = z @ m["w"]
+    wrong = lambda cut: ((s >= cut) != (label == 1)).sum()
+    assert wrong(m["cut"]) == min(wrong(c) for c in [*s, s.max() + 1])
+    assert ((quality.predict(m, x) >= quality.ACCEPT) == (s >= m["cut"])).all()
+
+
+def test_quality_model_is_the_same_in_reruns_with_repeated_ids(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.where("doc_id % 3 = 0").selectExpr("doc_id", "concat(text, ' !!') as text")).unionByName(docs.selectExpr("1L as doc_id", "text"))
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    one, two = quality.train(docs.repartition(3), labels), quality.train(docs.repartition(5), labels.repartition(2))
+    assert np.array_equal(one["w"], two["w"]) and one["cut"] == two["cut"]
+
+
+def test_license_scan_of_a_text_of_thousands_of_hits(spark):
+    """Hits in one text are found and suppressed in time that grows with their number, at any density."""
+    r = random.Random(6)
+    bits = ["mit license", "gnu general public license version 2", "gplv2 or later", "apache license version 2 0", "cc by sa 4 0", "word", "spdx license identifier mit"]
+    text = " ".join(r.choice(bits) for _ in range(6000))
+    few = text[:3000]
+    rules = signature_rules()
+    out = {x.doc_id: (x.labels, x.n_found) for x in scan_licenses(spark.createDataFrame([(1, text), (2, few), (3, "mit " * 300_000)], SCHEMA + "")).collect()}
+    for i, t in ((1, text), (2, few)):
+        words = re.sub(license_scan.SEPARATORS, " ", f" {t} ")
+        found = sorted((m.start(), m.start() - m.end(), p, k, m.end(), label) for k, label, p, _, x, _ in rules for m in re.finditer(f"(?i) (?:{x})(?= )", words))
+        stand = [a for n, a in enumerate(found) if not any(b[0] <= a[0] and a[4] <= b[4] and (b[2], b[1], b[3]) < (a[2], a[1], a[3]) for b in found[max(0, n - 400) : n])]
+        assert out[i] == (",".join(sorted({a[5] for a in stand} | set(filter(None, base_of(t)[4].split(","))))), len(stand))
+    assert out[3] == ("", 0)
+
+
+def test_hand_written_signatures():
+    lines = license_scan.SIGNATURES.strip().splitlines()
+    assert len(lines) == len(set(lines)) >= 200 and len({x.split("|")[0] for x in lines}) > 120
+
+
+def test_leaks_of_items_and_texts_of_one_repeated_letter(spark):
+    """Runs of one q-gram and many short items stay within memory; very long texts are searched whole."""
+    items = [(1, "a" * 900), (2, "the quick brown fox jumps over it"), *((10 + i, f"item number {i:05d}") for i in range(3000))]
+    docs = [(1, "a" * 60_000), (2, "b" * 50_000), (3, "x " * 400_000 + "the quick brown fox jumps over it"), (4, "item number 00077"), (5, None)]
+    out = contaminations(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string"), rate=0.0).collect()
+    assert sorted((x.doc_id, x.item_id) for x in out) == [(1, 1), (3, 2), (4, 87)]
