@@ -29,6 +29,14 @@ CITIES = (
     ("Raleigh", "NC", "27601", "America/New_York", "919", "US", 468000), ("Seattle", "WA", "98101", "America/Los_Angeles", "206", "US", 737000),
     ("Tampa", "FL", "33602", "America/New_York", "813", "US", 385000), ("Tucson", "AZ", "85701", "America/Phoenix", "520", "US", 543000),
 )
+# The area code that a US zip code stands for, by its first two digits; 555 for all others.
+AREA_CODES = {
+    "10": "212", "11": "212", "12": "212", "90": "213", "91": "213", "92": "213", "60": "312", "61": "312", "77": "214", "78": "214",
+    "73": "214", "75": "214", "76": "214", "85": "480", "19": "215", "15": "215", "94": "415", "95": "415", "98": "206", "80": "303",
+    "37": "615", "97": "503", "89": "702", "38": "901", "40": "502", "21": "410", "53": "414", "87": "505", "93": "559", "30": "404",
+    "64": "816", "68": "402", "27": "919", "33": "305", "55": "612", "44": "216", "45": "216", "32": "904", "46": "317", "48": "313",
+    "02": "617", "96": "808", "84": "801", "23": "804", "70": "504", "63": "314",
+}
 STREETS = "Maple Oak Cedar Pine Elm Lake Hill Park River Sunset Church Spring Mill Ridge Prairie".split()
 LOREM = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim minim veniam quis nostrud exercitation".split()
 COUNTRIES = (("US", "United States"), ("CA", "Canada"), ("MX", "Mexico"), ("BR", "Brazil"), ("GB", "United Kingdom"), ("DE", "Germany"), ("FR", "France"), ("ES", "Spain"), ("IT", "Italy"), ("JP", "Japan"), ("IN", "India"), ("AU", "Australia"))
@@ -129,6 +137,12 @@ def account(d: Draw, params: tuple[str, ...], low: int, high: int, part: int) ->
     return d.pick([r[part] for r in rows], "row")
 
 
+def area_code(zip_code: Column) -> Column:
+    """The area code of a US zip code; 555 where it is null or not listed."""
+    listed = F.create_map(*[F.lit(x) for pair in AREA_CODES.items() for x in pair])
+    return F.coalesce(F.try_element_at(listed, F.substring(zip_code, 1, 2)), F.lit("555"))
+
+
 def city_row(d: Draw, i: int, salt: str = "city") -> Column:
     """Field i of a city drawn by population: the same city for the same draw."""
     return d.weighted([c[i] for c in CITIES], [c[6] for c in CITIES], salt)

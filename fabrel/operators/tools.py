@@ -115,6 +115,17 @@ def children_of(child: DataFrame, ref: str, value: Any) -> DataFrame:
     return child.where(F.col(ref) == F.lit(value))
 
 
+def link(bridge: DataFrame, left: Any, right: Any) -> DataFrame:
+    """A many-to-many bridge (its first two columns) with one more link; a link that is there stays one."""
+    one = bridge.sparkSession.range(1).select(*[F.lit(v).cast(bridge.schema[c].dataType).alias(c) for c, v in zip(bridge.columns, (left, right), strict=True)])
+    return unlink(bridge, left, right).unionByName(one)
+
+
+def unlink(bridge: DataFrame, left: Any, right: Any) -> DataFrame:
+    a, b = bridge.columns
+    return bridge.where(~(F.col(a).eqNullSafe(F.lit(left)) & F.col(b).eqNullSafe(F.lit(right))))
+
+
 def masked(df: DataFrame, entity: Entity) -> DataFrame:
     """df without hidden and write-only fields, and with sensitive ones masked."""
     out = df.drop(*[f.name for f in entity.fields if f.has("hidden", "write_only")])

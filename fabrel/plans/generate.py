@@ -20,7 +20,7 @@ from ..functions.distributions import sample
 from ..functions.expressions import Compiler, Value, columns_of, compute, default_chain, display, kind_of
 from ..functions.patterns import expand, uuid_of
 from ..functions.rng import Draw
-from ..functions.semantic import CITIES, email_of, person, phone, semantic, street, username_of, words
+from ..functions.semantic import CITIES, area_code, email_of, person, phone, semantic, street, username_of, words
 from ..model import Document, Entity, Field, Rule, Type
 from ..operators.constraints import UNIQUE_ATTEMPTS, bounds_of, decorated, length_of, unique_values
 from ..operators.references import dereference, earlier_index, parent_index
@@ -31,6 +31,8 @@ from .order import closure, entity_order, targets, volumes
 NOW = datetime(2025, 1, 15, 10, 30)
 RULE_ATTEMPTS = 10
 LOCATION = ("city", "state", "zip", "timezone", "phone", "address", "street", "country")
+#: Decorators that describe a field and leave its values as they are.
+DESCRIBING = frozenset("index immutable sortable filterable searchable hidden sensitive readonly deprecated write_only examples cacheable cascade restrict set_null eager lazy domain locale".split())
 AGGREGATE = re.compile(r"\b(count|sum|avg|min|max)\s*\(\s*([A-Za-z_]\w*)(?:\.(\w+))?\s*\)")
 
 
@@ -299,7 +301,9 @@ class Generator:
                 source = made.get(s.args[0])
                 if source is None:
                     raise GenerationError(f"{entity.name}.{f.name}: no field {s.args[0]}")
-                made[f.name] = self.copied(f, source, self.draw(entity.name, f.name, rid, attempt))
+                d = self.draw(entity.name, f.name, rid, attempt)
+                by_zip = "phone" in f.name.lower() and any(w in s.args[0].lower() for w in ("zip", "postal"))
+                made[f.name] = phone(d, area_code(source)) if by_zip else self.copied(f, source, d)
         df = rows.select("_rid", *[c.alias(n) for n, c in made.items()])
         for f in self.stored(entity):
             target = self.doc.entities.get(f.type.name) if f.type.kind == "ref" and f.type.name not in ("self", entity.name) else None
@@ -591,7 +595,19 @@ class Generator:
         self.check()
         for n in self.frames:
             self.links(self.doc.entities[n])
-        return {n: self.frames[n].drop("_rid") for n in self.doc.entities if n in self.frames} | self.bridges
+        return {n: self.described(self.doc.entities[n], self.frames[n].drop("_rid")) for n in self.doc.entities if n in self.frames} | self.bridges
+
+    def described(self, entity: Entity, df: DataFrame) -> DataFrame:
+        """df with what the document says of its fields (label, description, decorators without an effect on values) as the
+        columns' metadata."""
+        def told(name: str) -> dict:
+            f = entity.field(name)
+            if f is None:
+                return {}
+            found = {"label": f.label, "description": f.description, "decorators": [d.name for d in f.decorators if d.name in DESCRIBING]}
+            return {k: v for k, v in found.items() if v}
+
+        return df.select(*[F.col(c).alias(c, metadata=m) if (m := told(c)) else F.col(c) for c in df.columns])
 
     def broken(self, rule: Rule) -> DataFrame:
         """The rows (of a unique rule the groups, of a count rule the parents) that break a rule; across rows: the groups."""

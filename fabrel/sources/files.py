@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def tables(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[str, DataFrame]:
     """The parquet tables of a folder, by name; Spark prunes columns and pushes filters into them."""
@@ -14,10 +17,16 @@ def tables(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[str,
 
 
 def delimited(spark: SparkSession, path: str, schema: str, *, sep: str = ",", header: bool = True, quote: str = '"') -> DataFrame:
-    """CSV, TSV and the like, compressed (gz, bz2) or not; rows that do not fit the schema are left out."""
+    """CSV, TSV and the like, compressed (gz, bz2) or not. Rows that do not fit the schema are left out; `rejected` tells them."""
     return spark.read.csv(path, schema=schema, sep=sep, header=header, quote=quote, mode="DROPMALFORMED")
 
 
+def rejected(spark: SparkSession, path: str, schema: str, *, sep: str = ",", header: bool = True, quote: str = '"') -> DataFrame:
+    """The rows that `delimited` leaves out, as a written table: the fields that could be read, and the line in `_line`."""
+    read = spark.read.csv(path, schema=f"{schema}, _line string", sep=sep, header=header, quote=quote, mode="PERMISSIVE", columnNameOfCorruptRecord="_line")
+    return written(read.where("_line IS NOT NULL"), "rejected")
+
+
 def fixed_width(spark: SparkSession, path: str, fields: Sequence[tuple[str, int, int, str]]) -> DataFrame:
     """Columns by place: (name, first character from 1, length, type)."""
     return spark.read.text(path).select(*[F.trim(F.substring("value", a, n)).try_cast(t).alias(name) for name, a, n, t in fields])
@@ -55,29 +64,52 @@ def xml(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
 
 
 def zipped(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
-    """(archive, member, line): the text lines of the members of zip archives whose names end in suffix.
-
-    Each archive is read by one task, line by line; many archives spread over the cluster.
-    """
+    """(archive, member, line): the text lines of the members of zip and tar archives (tar.gz and tar.bz2 too) whose names end
+    in suffix. Each archive is read by one task, line by line; many archives spread over the cluster."""
     import io
+    import tarfile
     import zipfile
     from collections.abc import Iterator
 
     import pandas as pd
 
+    def members(content: bytes) -> Iterator[tuple[str, io.BufferedIOBase]]:
+        if zipfile.is_zipfile(io.BytesIO(content)):
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                for name in z.namelist():
+                    with z.open(name) as f:
+                        yield name, f
+        else:
+            with tarfile.open(fileobj=io.BytesIO(content)) as t:
+                for m in t:
+                    if m.isfile():
+                        yield m.name, t.extractfile(m)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for archive, content in zip(frame["path"], frame["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for member in z.namelist():
-                        if member.endswith(suffix):
-                            with z.open(member) as f:
-                                lines: list[str] = []
-                                for line in io.TextIOWrapper(f, "utf-8", errors="replace"):
-                                    lines.append(line.rstrip("\r\n"))
-                                    if len(lines) == 10_000:
-                                        yield pd.DataFrame({"archive": archive, "member": member, "line": lines})
-                                        lines = []
+                for member, f in members(content):
+                    if member.endswith(suffix):
+                        lines: list[str] = []
+                        for line in io.TextIOWrapper(f, "utf-8", errors="replace"):
+                            lines.append(line.rstrip("\r\n"))
+                            if len(lines) == 10_000:
                                 yield pd.DataFrame({"archive": archive, "member": member, "line": lines})
+                                lines = []
+                        yield pd.DataFrame({"archive": archive, "member": member, "line": lines})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, member string, line string")
+
+
+def prepared_lists(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[str, DataFrame]:
+    """Prepared JSON lists (a file `<name>.json` holds an array of objects) of a folder, by name. Lists that are missing or
+    cannot be read are left out, so a caller falls back to the built-in ones."""
+    out = {}
+    for name in names:
+        try:
+            df = spark.read.json(f"{folder}/{name}.json", multiLine=True, mode="PERMISSIVE")
+        except AnalysisException:  # no such file
+            continue
+        if set(df.columns) - {"_corrupt_record"}:
+            out[name] = df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record") if "_corrupt_record" in df.columns else df
+    return out

@@ -81,3 +81,42 @@ def test_tools(spark):
     assert tools.masked(df, doc.entities["A"]).collect() == [("1", "***"), ("2", None)]
     with pytest.raises(ValueError, match="no such filter"):
         tools.condition({"zz": 1}, ["a"])
+
+
+def test_rows_that_do_not_fit_are_told(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k,v\n1,x\noops,y\n3,z\n")
+    path = f"{tmp_path}/a.csv"
+    assert files.delimited(spark, path, "k int, v string").collect() == [(1, "x"), (3, "z")]
+    assert [r._line for r in files.rejected(spark, path, "k int, v string").collect()] == ["oops,y"]
+    assert files.rejected(spark, path, "k int, v string").count() == 1
+
+
+def test_tar_members_and_prepared_lists(spark, tmp_path):
+    import io
+    import tarfile
+
+    with tarfile.open(tmp_path / "t.tar.gz", "w:gz") as t:
+        for name, text in (("in.dmp", b"1|a\n2|b\n"), ("no.bin", b"x")):
+            info = tarfile.TarInfo(name)
+            info.size = len(text)
+            t.addfile(info, io.BytesIO(text))
+    assert [(r.member, r.line) for r in files.zipped(spark, f"{tmp_path}/t.tar.gz", ".dmp").collect()] == [("in.dmp", "1|a"), ("in.dmp", "2|b")]
+    (tmp_path / "names.json").write_text('[{"name": "Ada", "weight": 3}, {"name": "Bo", "weight": 1}]')
+    (tmp_path / "bad.json").write_text("[[[ no")
+    lists = files.prepared_lists(spark, str(tmp_path), ["names", "bad", "absent"])
+    assert list(lists) == ["names"] and sorted(lists["names"].collect()) == [("Ada", 3), ("Bo", 1)]
+
+
+def test_links_area_codes_and_metadata(spark):
+    from pyspark.sql import functions as F
+
+    from fabrel.functions.semantic import area_code
+    from fabrel.plans.generate import generate
+
+    b = spark.createDataFrame([("1", "x"), ("2", "y")], "a_id string, b_id string")
+    assert sorted(tools.link(b, "1", "x").collect()) == [("1", "x"), ("2", "y")] and tools.link(b, "1", "y").count() == 3
+    assert tools.unlink(b, "1", "x").collect() == [("2", "y")]
+    zips = spark.createDataFrame([("10001",), ("02108",), ("99999",), (None,)], "z string")
+    assert [r[0] for r in zips.select(area_code(F.col("z"))).collect()] == ["212", "617", "555", "555"]
+    a = generate(spark, parse_document("domain: d\nvolume: {A: 3}\nentities: {A: {id: uuid @primary, zip: address.zip, phone: phone @from(zip), n: {type: 'int @range(1..3) @searchable', label: Number, description: A number}}}"))["A"]
+    assert a.schema["n"].metadata == {"label": "Number", "description": "A number", "decorators": ["searchable"]} and a.schema["zip"].metadata == {}
