@@ -14,7 +14,7 @@ from .functions.patterns import WORDS, expand, uuid_of
 from .functions.rng import Draw
 from .functions.semantic import CITIES, DOMAINS, FIRST, LAST, email_of, luhn_card, person
 from .model import Decorator, Field, Rule, Type
-from .operators import prepare, references, rules, tools
+from .operators import lists, prepare, references, rules, tools
 from .operators.constraints import decorated, fitted, snapped, within
 from .sinks import csv_rows, display_rows, insert_batches, ndjson_rows
 from .sources.ddl import parse_document, parse_field
@@ -814,6 +814,40 @@ def profile_frequencies(spark, sf_dir):
     return prepare.frequencies(read(spark, sf_dir, "events"), "event_type")
 
 
+# ---- prepared lists ------------------------------------------------------------------------------------------------------
+
+
+@query("select upper(left(w, 1)) || lower(substr(w, 2)) as name, sum(n)::BIGINT as weight from (select event_type as w, count(*) as n from events group by 1) group by 1 order by weight desc, name limit 3")
+def list_surnames(spark, sf_dir):
+    counts = read(spark, sf_dir, "events").groupBy(F.upper("event_type").alias("name")).agg(F.count("*").alias("n"))
+    return lists.surnames(counts, 3)
+
+
+@query("select url as path, trim(string_split(url, '/')[-1]) as name, len(string_split(url, '/'))::INTEGER as depth from pages where url is not null and trim(url) <> '' and trim(url) <> '\\N'")
+def list_categories(spark, sf_dir):
+    return lists.categories(read(spark, sf_dir, "pages").select(F.col("url").alias("path")), "/")
+
+
+@query("select n_name as code, min(n_comment_) as name, 2 as digits, coalesce(min(r_name), n_name) as symbol from (select n_name, 'n' || n_nationkey::VARCHAR as n_comment_, r_name from nation left join (select * from region where r_regionkey < 3) on n_regionkey = r_regionkey) group by n_name")
+def list_currencies(spark, sf_dir):
+    nations, places = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region").where("r_regionkey < 3")
+    codes = nations.select(F.col("n_name").alias("code"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("name"), F.lit(None).cast("int").alias("digits"))
+    symbols = references.dereference(nations, places, "n_regionkey", "r_regionkey", {"r_name": "symbol"}).where("symbol is not null")
+    return lists.currencies(codes, symbols.select(F.col("n_name").alias("code"), "symbol"))
+
+
+@query("select n_regionkey::VARCHAR as country, 'r' || n_nationkey::VARCHAR as region, n_name as name from nation")
+def list_regions(spark, sf_dir):
+    return lists.regions(read(spark, sf_dir, "nation").select(F.concat_ws(".", F.col("n_regionkey").cast("string"), F.concat(F.lit("r"), F.col("n_nationkey").cast("string"))).alias("code"), F.col("n_name").alias("name")))
+
+
+@query("""with c as (select p_brand as code, p_name as name from part union all select s_name, s_name from supplier)
+    select prefix, min_by(name, struct_pack(a := code, b := name)) as name from (select unnest([substr(code, 1, 1), substr(code, 1, 2)]) as prefix, * from c) group by 1""")
+def list_accounts(spark, sf_dir):
+    part, supplier = read(spark, sf_dir, "part"), read(spark, sf_dir, "supplier")
+    return lists.accounts(part.select(F.col("p_brand").alias("code"), F.col("p_name").alias("name")), supplier.select(F.col("s_name").alias("code"), F.col("s_name").alias("name")))
+
+
 # ---- writers -------------------------------------------------------------------------------------------------------------
 
 
