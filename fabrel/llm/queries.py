@@ -13,6 +13,7 @@ from .line_dedup import MIN_RUN, deduplicate_units
 from .mixing import MIX_SQL, mix_sources
 from .quality import score_documents, train
 from .shard import shard_documents
+from .simhash import simhash_groups
 from .suffix_dedup import deduplicate_strings
 from .topk import top_k
 from .url_filter import filter_urls
@@ -62,7 +63,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_topk_search, op4_suffix_array_dedup, op5_quality, op6_sharding, op7_jaccard_join, op8_mixing, op9_license_scan, op10_url_filter)}
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_topk_search, op4_suffix_array_dedup, op5_quality, op6_sharding, op7_jaccard_join, op8_mixing, op9_license_scan, op10_url_filter, op11_simhash)}
 
 ORACLE_SQL = {
     "op3_topk_search": """
