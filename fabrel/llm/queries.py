@@ -11,6 +11,7 @@ from .jaccard import near_duplicates
 from .license_scan import scan_licenses
 from .line_dedup import MIN_RUN, deduplicate_units
 from .mixing import MIX_SQL, mix_sources
+from .prefix_trie import TRIE_SQL, shared_prefixes
 from .quality import score_documents, train
 from .shard import shard_documents
 from .simhash import simhash_groups
@@ -67,7 +68,11 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_topk_search, op4_suffix_array_dedup, op5_quality, op6_sharding, op7_jaccard_join, op8_mixing, op9_license_scan, op10_url_filter, op11_simhash)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_prefixes(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_topk_search, op4_suffix_array_dedup, op5_quality, op6_sharding, op7_jaccard_join, op8_mixing, op9_license_scan, op10_url_filter, op11_simhash, op13_prefix_trie)}
 
 ORACLE_SQL = {
     "op3_topk_search": """
@@ -79,4 +84,5 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, rank, vec_id, score from r where rank <= 5
 """,
     "op8_mixing": MIX_SQL,
+    "op13_prefix_trie": TRIE_SQL,
 }
