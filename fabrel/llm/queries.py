@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .align import align_tokens
 from .common import table
 from .decontaminate import contaminations
 from .jaccard import near_duplicates
@@ -68,11 +69,15 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_prefixes(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_topk_search, op4_suffix_array_dedup, op5_quality, op6_sharding, op7_jaccard_join, op8_mixing, op9_license_scan, op10_url_filter, op11_simhash, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_topk_search, op4_suffix_array_dedup, op5_quality, op6_sharding, op7_jaccard_join, op8_mixing, op9_license_scan, op10_url_filter, op11_simhash, op12_token_alignment, op13_prefix_trie)}
 
 ORACLE_SQL = {
     "op3_topk_search": """
