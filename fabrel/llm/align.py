@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,13 @@ HELD, ROW_PAIRS = 1 << 19, 1 << 14
 #: Id pairs, those of the most documents, whose counts go to all tasks; the others meet their links by a shuffle.
 SENT = 1 << 21
 
+#: Segments, and characters of them, that a worker remembers before it starts anew.
+KNOWN, KNOWN_CHARS = 1 << 17, 1 << 23
+#: What may be or join white space for one encoder or another; a text is cut at no space beside it.
+_ODD = r"\s\x00-\x1f\x7f-\xa0\u180e\u200b-\u200f\u2028-\u202f\u205f-\u206f\u2581\ufeff"
+PROBE = " two  spaces, a ligature \ufb01, e\u0301 and a blank "
+CUT = re.compile(f"(?<=[^{_ODD}]) (?=[^{_ODD}])")
+
 _CODES = pa.schema([("counts", pa.bool_()), ("row", pa.int64()), ("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string()), ("pairs", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))])
 
 
@@ -49,6 +57,8 @@ class ByteLevel:
         self.bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.bytes[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
+        # A space goes with the word behind it, so that no token reaches over a single space between words.
+        self.cuts = json.loads(model)["pre_tokenizer"].get("type") == "ByteLevel" and not any(CUT.search(x.decode(errors="replace")) for x in self.bytes)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
@@ -62,6 +72,8 @@ class Pieces:
 
         self.model = SentencePieceProcessor(model_proto=model)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        # Merges stay between spaces where no piece has one behind another character, and nothing rewrites the text.
+        self.cuts = not any("▁" in p.lstrip("▁") for p in names) and self.model.decode(self.model.encode(PROBE)) == PROBE
         self.bytes = [bytes([int(m[1], 16)]) if (m := re.fullmatch(r"<0x([0-9A-F]{2})>", p)) else p.replace("▁", " ").encode() for p in names]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -69,25 +81,71 @@ class Pieces:
 
 
 class Aligner:
-    """Aligns texts under two encoders; made once in each Python worker."""
+    """Aligns texts under two encoders; made once in each Python worker.
+
+    A text is cut at single spaces between other characters (`CUT`). No token of either encoder reaches over such a cut, so both
+    have an end there and groups do not cross it; what stands between two cuts is encoded and aligned once and remembered.
+    """
 
     def __init__(self, a, b) -> None:
         self.a, self.b = a, b
         self.length_a, self.length_b = (np.array([len(x) for x in e.bytes], np.int64) for e in (a, b))
         self.width = len(b.bytes)
+        self.span = len(a.bytes) * self.width
         # What a token adds to the text of groups: its id and what stands behind it.
         self.text = [f"{i}{sep}".encode() for e, seps in ((a, ",|"), (b, ",;")) for sep in seps for i in range(len(e.bytes))]
-
-    def align(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+        self.cuts = a.cuts and b.cuts
+        self.forget()
+
+    def forget(self) -> None:
+        self.place, self.chars, self.groups = {}, 0, []
+        self.good, self.numbers = np.zeros(0, bool), np.zeros((0, 4), np.int64)
+        self.ends, self.pair, self.times = (np.zeros(0, np.int64) for _ in range(3))
+
+    def learn(self, segments: list[str]) -> None:
+        for x, y in chunks(segments):
+            good, numbers, groups, link, times = self.align(segments[x:y])
+            self.place.update(zip(segments[x:y], range(len(self.groups), len(self.groups) + y - x), strict=True))
+            self.groups += groups
+            ends = np.cumsum(np.bincount(link // self.span, minlength=y - x)) + len(self.pair)
+            self.good, self.numbers, self.ends = np.append(self.good, good), np.concatenate([self.numbers, numbers]), np.append(self.ends, ends)
+            self.pair, self.times = np.append(self.pair, link % self.span), np.append(self.times, times)
+        self.chars += sum(map(len, segments))
+
+    def documents(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """(numbers: a row of n_a, n_b, n_groups, n_links for each text; the digests of groups; and the links, each distinct
         one once for each text: place of the text, id pair (a * width + b), times it is there)."""
+        parts = [(CUT.split(t) if self.cuts else [t]) if t else [] for t in texts]
+        flat = list(chain.from_iterable(parts))
+        if len(self.place) > KNOWN or self.chars > KNOWN_CHARS:
+            self.forget()
+        self.learn(list(dict.fromkeys(s for s in flat if s not in self.place)))
+        at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
+        ends = np.cumsum([len(p) for p in parts])
+        doc = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
+        good = np.array([bool(t) for t in texts])
+        good[doc[~self.good[at]]] = False
+        numbers = np.stack([np.bincount(doc, self.numbers[at, k], len(texts)) for k in range(4)], axis=1).astype(np.int64) * good[:, None]
+        digests = [hashlib.sha256(b";".join(map(self.groups.__getitem__, at[x:y].tolist()))).hexdigest() if g else "" for g, (x, y) in zip(good, pairwise([0, *ends.tolist()]), strict=True)]
+        # Segments of a text with how often they stand there, then their links.
+        key, n = np.unique((doc * len(self.groups) + at)[good[doc]], return_counts=True)
+        doc, at = key // max(len(self.groups), 1), key % max(len(self.groups), 1)
+        size = np.diff(self.ends, prepend=0)[at]
+        link = np.repeat(self.ends[at] - np.cumsum(size), size) + np.arange(size.sum())
+        key, times = summed([(np.repeat(doc, size) * self.span + self.pair[link], np.repeat(n, size) * self.times[link])])
+        return numbers, digests, key // self.span, key % self.span, times
+
+    def align(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+        """(whether both encoders give a text back; n_a, n_b, n_groups, n_links; the text of its groups; and the links, each
+        distinct one once for each text, as place of the text * span + id pair, with the times it is there)."""
         ids_a, ids_b = self.a.encode(texts), self.b.encode(texts)
-        good = [i for i, (t, a, b) in enumerate(zip(texts, ids_a, ids_b, strict=True)) if t and b"".join(map(self.a.bytes.__getitem__, a)) == b"".join(map(self.b.bytes.__getitem__, b)) == b" " + t.encode()]
-        numbers, digests = np.zeros((len(texts), 4), np.int64), [""] * len(texts)
-        if not good:
-            return numbers, digests, *(np.zeros(0, np.int64) for _ in range(3))
+        same = [b"".join(map(self.a.bytes.__getitem__, a)) == b"".join(map(self.b.bytes.__getitem__, b)) == b" " + t.encode() for t, a, b in zip(texts, ids_a, ids_b, strict=True)]
+        good = np.flatnonzero(same)
+        numbers, groups = np.zeros((len(texts), 4), np.int64), [b""] * len(texts)
+        if not len(good):
+            return np.array(same, bool), numbers, groups, np.zeros(0, np.int64), np.zeros(0, np.int64)
         count_a, count_b = (np.array([len(ids[i]) for i in good]) for ids in (ids_a, ids_b))
-        a, b = (np.concatenate([ids[i] for i in good]).astype(np.int64) for ids in (ids_a, ids_b))
+        a, b = (np.fromiter(chain.from_iterable(ids[i] for i in good), np.int64) for ids in (ids_a, ids_b))
         # The texts stand one behind the other; where one ends, both have an end.
         ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
         cuts = np.union1d(ends_a, ends_b)  # an elementary interval ends at each cut
@@ -96,9 +154,9 @@ class Aligner:
         group = np.cumsum(closes) - closes
         group_a, group_b = group[np.searchsorted(cuts, ends_a)], group[np.searchsorted(cuts, ends_b)]
         in_a, in_b = np.bincount(group_a), np.bincount(group_b)
-        doc = np.repeat(np.arange(len(good)), count_a)[np.cumsum(in_a) - in_a]  # of each group
-        for k, column in enumerate((count_a, count_b, np.bincount(doc), np.bincount(doc, in_a * in_b).astype(np.int64))):
-            numbers[good, k] = column
+        doc = np.repeat(good, count_a)[np.cumsum(in_a) - in_a]  # of each group
+        numbers[good, 0], numbers[good, 1] = count_a, count_b
+        numbers[:, 2], numbers[:, 3] = np.bincount(doc, minlength=len(texts)), np.bincount(doc, in_a * in_b, len(texts))
 
         # Text of groups: a group's tokens of A, then those of B; the last of each has another sign behind it.
         before_b, through_a = np.cumsum(in_b) - in_b, np.cumsum(in_a)
@@ -107,10 +165,8 @@ class Aligner:
         code[np.arange(len(a)) + before_b[group_a]] = a + len(self.length_a) * last_a
         code[np.arange(len(b)) + through_a[group_b]] = b + 2 * len(self.length_a) + self.width * last_b
         for i, (x, y) in zip(good, pairwise(np.concatenate([[0], np.cumsum(count_a + count_b)]).tolist()), strict=True):
-            digests[i] = hashlib.sha256(b"".join(map(self.text.__getitem__, code[x:y].tolist()))[:-1]).hexdigest()
-
-        link, times = self.links(a, b, in_a, in_b, doc)
-        return numbers, digests, np.array(good)[link // (len(self.length_a) * self.width)], link % (len(self.length_a) * self.width), times
+            groups[i] = b"".join(map(self.text.__getitem__, code[x:y].tolist()))[:-1]
+        return np.array(same, bool), numbers, groups, *self.links(a, b, in_a, in_b, doc)
 
     def links(self, a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The distinct links of groups that have in_a and in_b of the tokens a and b, in order, as (doc, a, b) in one number,
@@ -185,7 +241,7 @@ def aligned(docs: DataFrame, encoders: Callable) -> DataFrame:
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
             for x, y in chunks(texts):
-                numbers, digests, place, pair, times = aligner.align([t or "" for t in texts[x:y]])
+                numbers, digests, place, pair, times = aligner.documents([t or "" for t in texts[x:y]])
                 ends = np.cumsum(np.bincount(place, minlength=y - x))
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(y - x, bool)), pa.array(np.arange(row, row + y - x)), ids.slice(x, y - x), *(pa.array(numbers[:, k]) for k in range(4)), pa.array(digests, pa.string()), _lists(_steps(pair, ends), ends), _lists(times, ends)], schema=_CODES)
                 row += y - x

@@ -61,20 +61,33 @@ def found(df):
     return sorted(map(tuple, df.collect()), key=str)
 
 
-@pytest.mark.parametrize(("chunk", "expanded", "held", "sent"), [(1 << 18, 1 << 20, 1 << 19, 1 << 21), (100, 50, 40, 1 << 21), (1 << 18, 5, 1 << 19, 300), (1 << 18, 1 << 20, 1 << 19, 0)])
-def test_alignment(spark, monkeypatch, encoders, chunk, expanded, held, sent):
+@pytest.mark.parametrize(("chunk", "expanded", "held", "sent", "known"), [(1 << 18, 1 << 20, 1 << 19, 1 << 21, 1 << 17), (100, 50, 40, 1 << 21, 9), (1 << 18, 5, 1 << 19, 300, 1 << 17), (1 << 18, 1 << 20, 1 << 19, 0, 1 << 17)])
+def test_alignment(spark, monkeypatch, encoders, chunk, expanded, held, sent, known):
     """expanded: small, groups are expanded by distinct ids; held: small, counts are handed on in parts; sent: small or 0, some
     or all links meet their counts by a shuffle."""
-    for name, value in (("CHUNK", chunk), ("EXPANDED", expanded), ("HELD", held), ("SENT", sent)):
+    for name, value in (("CHUNK", chunk), ("EXPANDED", expanded), ("HELD", held), ("SENT", sent), ("KNOWN", known)):
         monkeypatch.setattr(align, name, value)
     docs = corpus(1)
     assert found(align_tokens(spark.createDataFrame(docs, SCHEMA).repartition(3))) == brute(docs, *encoders)
 
 
+def test_cutting_at_spaces_changes_nothing(encoders):
+    r = random.Random(5)
+    whole, cut = Aligner(*encoders), Aligner(*encoders)
+    whole.cuts = False
+    signs = ["a", "Zu", "é", "9", "!", "'s", " ", "  ", "\n", "\t ", "\u00a0", "\u3000", "\u200b", "\x1c", "\u0301", "日", "\U0001f600", "\u1c89", "▁"]
+    for _ in range(20):
+        texts = ["".join(r.choice(signs) for _ in range(r.randint(1, 12))) for _ in range(200)]
+        for x, y in zip(whole.documents(texts), cut.documents(texts), strict=True):
+            assert list(x) == list(y) if isinstance(x, list) else (x == y).all()
+    assert cut.place.keys() != whole.place.keys()
+
+
 def test_special_strings_are_plain_text(encoders):
     a, b = encoders
     assert 50256 not in a.encode(["<|endoftext|>"])[0]
-    numbers, digests, *_ = Aligner(a, b).align(["<|endoftext|>", "▁", "", "ok"])
+    assert a.cuts and b.cuts  # texts are cut at spaces
+    numbers, digests, *_ = Aligner(a, b).documents(["<|endoftext|>", "▁", "", "ok"])
     assert numbers[:, 0].astype(bool).tolist() == [True, False, False, True]  # U+2581 comes back as a space
     assert [bool(d) for d in digests] == [True, False, False, True]
 
@@ -84,7 +97,7 @@ def test_a_group_of_many_tokens(spark):
 
     class Every:
         def __init__(self, n):
-            self.n, self.bytes = n, [bytes([c]) * k for k in range(1, 4) for c in b" ab"]
+            self.n, self.cuts, self.bytes = n, False, [bytes([c]) * k for k in range(1, 4) for c in b" ab"]
 
         def encode(self, texts):
             return [self.cut(f" {t}".encode()) for t in texts]
