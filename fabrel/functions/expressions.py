@@ -134,6 +134,14 @@ def _list_aggregate(name: str, v: Value) -> Value:
     return made[name]()
 
 
+def parsed(text: str) -> ast.expr:
+    """The syntax tree of an expression."""
+    try:
+        return ast.parse(re.sub(r"\bif\s*\(", "if_(", text.strip()), mode="eval").body
+    except SyntaxError as e:
+        raise ParseError(f"not an expression: {text}") from e
+
+
 class Compiler:
     """Turns expression text into a Value; `aggregate` finds aggregates over other rows, where there are any."""
 
@@ -143,11 +151,7 @@ class Compiler:
         self.resolve, self.aggregate, self.today = resolve, aggregate, today
 
     def compile(self, text: str) -> Value:
-        try:
-            tree = ast.parse(re.sub(r"\bif\s*\(", "if_(", text.strip()), mode="eval")
-        except SyntaxError as e:
-            raise ParseError(f"not an expression: {text}") from e
-        return self.value(tree.body)
+        return self.value(parsed(text))
 
     def path(self, node: ast.expr) -> tuple[str, ...] | None:
         if isinstance(node, ast.Name):

@@ -44,6 +44,18 @@ def slots(template: str) -> int:
     return n
 
 
+def is_template(text: str) -> bool:
+    """Whether a pattern has placeholders of this module."""
+    return any(_alphabet(slot) or slot in ("word", "WORD", "uuid", "seq") for slot in PLACEHOLDER.findall(text)) or (PLACEHOLDER.search(text) is not None and not re.search(r"\{\d+(,\d*)?\}", text))
+
+
+def spread(d: Draw, total: int) -> Column:
+    """A place in [0, total) for the row, different for any `total` rows in a row: a step without common divisor."""
+    step = next(s for s in range(int(total * 0.618) | 1, 2 * total + 3) if gcd(s, total) == 1)
+    place = (d.rid.cast("decimal(38,0)") * F.lit(step).cast("decimal(20,0)") + F.lit(d.seed % total).cast("decimal(20,0)")) % F.lit(total).cast("decimal(20,0)")
+    return place.cast("long") if total < 1 << 62 else place
+
+
 def expand(template: str, d: Draw, *, distinct: bool = False) -> Column:
     """The template with its placeholders filled; unknown ones stay.
 
@@ -53,9 +65,7 @@ def expand(template: str, d: Draw, *, distinct: bool = False) -> Column:
     total = slots(template)
     place = None
     if distinct and total > 1:
-        step = next(s for s in range(int(total * 0.618) | 1, 2 * total + 3) if gcd(s, total) == 1)
-        place = (d.rid.cast("decimal(38,0)") * F.lit(step).cast("decimal(20,0)") + F.lit(d.seed % total).cast("decimal(20,0)")) % F.lit(total).cast("decimal(20,0)")
-        place = place.cast("long") if total < 1 << 62 else place
+        place = spread(d, total)
     parts, at, used = [], 0, 1
     for i, m in enumerate(PLACEHOLDER.finditer(template)):
         parts.append(F.lit(template[at : m.start()]))

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.rng import Draw
 
@@ -42,6 +43,23 @@ def bridge(left: DataFrame, d: Draw, targets: int, low: int, high: int, *, key:
     return rows.select("left", (draw.h("to") % F.lit(targets).cast("long")).alias("right")).dropDuplicates()
 
 
+def with_keys(df: DataFrame, column: str, keys: DataFrame, *, branch: str | None = None) -> DataFrame:
+    """df with keys (__at: row number, __key) in place of the row numbers in a column: plain ones, those in a list, or those of
+    one branch of a polymorphic reference (a struct of type and id). A list is put together again from its own elements."""
+    kind = df.schema[column].dataType
+    if branch is not None:
+        mine = F.col(f"{column}.type") == branch
+        met = df.join(keys, F.when(mine, F.col(f"{column}.id").cast("long")) == F.col("__at"), "left")
+        return met.withColumn(column, F.when(mine, F.col(column).withField("id", F.col("__key").cast(kind["id"].dataType))).otherwise(F.col(column))).drop("__at", "__key")
+    if isinstance(kind, ArrayType):
+        each = df.select("_rid", F.posexplode(column).alias("__place", "__of")).join(keys, F.col("__of") == F.col("__at"), "left")
+        lists = each.groupBy(F.col("_rid").alias("__row")).agg(F.array_sort(F.collect_list(F.struct("__place", "__key"))).alias("__list"))
+        empty = F.array().cast(f"array<{keys.schema['__key'].dataType.simpleString()}>")
+        met = df.join(lists, F.col("_rid") == F.col("__row"), "left")
+        return met.withColumn(column, F.when(F.col(column).isNotNull(), F.coalesce(F.transform("__list", lambda x: x["__key"]), empty))).drop("__row", "__list")
+    return df.join(keys, F.col(column) == F.col("__at"), "left").withColumn(column, F.col("__key")).drop("__at", "__key")
+
+
 def orphans(child: DataFrame, parent: DataFrame, ref: str, key: str) -> DataFrame:
     """The rows of child whose reference is set and meets no row of parent."""
     return child.where(F.col(ref).isNotNull()).join(parent.select(F.col(key).alias(ref)).distinct(), ref, "left_anti")

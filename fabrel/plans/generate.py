@@ -2,12 +2,12 @@
 
 Every value is a pure function of seed, entity, field and row number, so datasets do not depend on partitioning and
 parents' keys are known without a join. Fields come in this order: unique ones, coherence groups, plain fields,
-dependent_required, default_chain, compute, derived, timestamps; then rules, on the row as it is then.
+dependent_required, derived ones after what they read, timestamps; then rules, on the row as it is then. Fields that need rows
+of other tables which are not there yet, and rules that set fields, come after all rows, stage by stage (`stages`).
 """
 
 from __future__ import annotations
 
-import ast
 import re
 from dataclasses import dataclass, field
 from datetime import datetime
@@ -15,25 +15,29 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import ConstraintViolation, GenerationError, ParseError
+from ..errors import ConstraintViolation, GenerationError, UniquenessExhausted
 from ..functions.distributions import sample
-from ..functions.expressions import Compiler, Value, columns_of, compute, default_chain, display, kind_of
-from ..functions.patterns import expand, uuid_of
+from ..functions.expressions import Compiler, Value, columns_of, compute, default_chain, display, kind_of, parsed
+from ..functions.patterns import expand, is_template, spread, uuid_of
+from ..functions.regexes import Regex, is_regex
 from ..functions.rng import Draw
 from ..functions.semantic import CITIES, area_code, email_of, person, phone, semantic, street, username_of, words
 from ..model import Document, Entity, Field, Rule, Type
 from ..operators.constraints import UNIQUE_ATTEMPTS, bounds_of, decorated, length_of, unique_values
-from ..operators.references import dereference, earlier_index, parent_index
+from ..operators.references import bridge, dereference, earlier_index, parent_index, with_keys
 from ..operators.rules import cardinality, count_bounds, cross_row, duplicates, fields_of, first_of_each
+from ..operators.totals import apportioned, running_sum
 from ..storage import written
 from .order import closure, entity_order, targets, volumes
+from .stages import Read, Stages, child_of, is_collection, names_in, own, share_rule, text_reads
 
 NOW = datetime(2025, 1, 15, 10, 30)
 RULE_ATTEMPTS = 10
 LOCATION = ("city", "state", "zip", "timezone", "phone", "address", "street", "country")
 #: Decorators that describe a field and leave its values as they are.
 DESCRIBING = frozenset("index immutable sortable filterable searchable hidden sensitive readonly deprecated write_only examples cacheable cascade restrict set_null eager lazy domain locale".split())
-AGGREGATE = re.compile(r"\b(count|sum|avg|min|max)\s*\(\s*([A-Za-z_]\w*)(?:\.(\w+))?\s*\)")
+#: Children that a collection has at most above its least number, if nothing says how many.
+SPAN = 4
 
 
 def spark_type(t: Type) -> str:
@@ -65,6 +69,12 @@ class Generator:
     now: datetime = NOW
     frames: dict[str, DataFrame] = field(default_factory=dict)
     bridges: dict[str, DataFrame] = field(default_factory=dict)
+    fixed: set[str] = field(default_factory=set)  # entities whose number of rows is given
+    owners: dict[str, tuple[str, DataFrame]] = field(default_factory=dict)  # (reference, rows with __parent) of entities that are made as children
+    even: set[tuple[str, str]] = field(default_factory=set)  # references that give each parent as many children, or one more
+
+    def __post_init__(self) -> None:
+        self.stages = Stages(self.doc, self.late_key)
 
     def draw(self, entity: str, name: str, rid: Column, attempt: Column | None = None) -> Draw:
         return Draw(self.seed, entity, name, rid, attempt)
@@ -76,7 +86,7 @@ class Generator:
         value of its field, which is drawn once for a row."""
         f = entity.key
         if self.late_key(entity):
-            raise GenerationError(f"{entity.name}.{f.name} is known only once the rows are made; refer to it by a plain reference field of another entity")
+            raise GenerationError(f"{entity.name}.{f.name} is known only once the rows are made")
         d = self.draw(entity.name, f.name, rid)
         if not f.has("primary"):
             return self.field(entity, f, d)
@@ -88,8 +98,35 @@ class Generator:
 
     def resolved_unique(self, entity: Entity) -> list[Field]:
         """Unique fields whose values are made unique in rounds."""
-        spread = lambda f: f.has("primary") or (f.get("pattern") and "{" in f.get("pattern").args[0])
-        return [f for f in self.stored(entity) if f.has("unique") and not spread(f) and not f.has("from") and not f.is_derived and all(f.name not in g for _, g in entity.coherence)]
+        apart = lambda f: f.has("primary") or (f.get("pattern") and is_template(f.get("pattern").args[0])) or self.values_of(entity, f)
+        return [f for f in self.stored(entity) if f.has("unique") and not apart(f) and not f.has("from") and not f.is_derived and all(f.name not in g for _, g in entity.coherence)]
+
+    def values_of(self, entity: Entity, f: Field) -> int | None:
+        """How many values a unique field can take, if row numbers can be spread over them: a range of whole numbers, an enum or
+        a regex that makes each of its texts in one way. Not if a rule may ask for other values of a row."""
+        plain = not f.has("dist", "values", "multiple_of", "len", "not_empty", "default", "emin", "emax") and f.type.kind in ("prim", "enum", "named")
+        if not f.has("unique") or not plain or any(Read(entity.name, f.name, True) in text_reads(self.doc, entity, x) for r in self.doc.rules if r.entity == entity.name and r.kind in ("row", "unique") for x in (r.check, r.when) if x):
+            return None
+        if (p := f.get("pattern")) and f.type.name == "string":
+            return Regex(p.args[0]).spread if is_regex(p.args[0]) else None
+        if f.type.kind == "prim" and f.type.name == "int":
+            low, high = bounds_of(f).closed(True)
+            return None if low is None or high is None else int(high) - int(low) + 1
+        if f.type.kind == "enum":
+            return len(set(f.type.items))
+        return len(self.doc.enums[f.type.name]) if f.type.kind == "named" and f.type.name in self.doc.enums else None
+
+    def distinct(self, entity: Entity, f: Field, d: Draw, size: int) -> Column:
+        """The value of a row in a space of `size` values over which row numbers are spread by a bijection."""
+        if self.rows[entity.name] > size:
+            raise UniquenessExhausted(f"{entity.name}.{f.name}: {self.rows[entity.name]} rows, {size} values")
+        place = spread(d, size)
+        if p := f.get("pattern"):
+            return Regex(p.args[0]).text(place)
+        if f.type.kind == "prim":
+            return (place + F.lit(int(bounds_of(f).closed(True)[0]))).cast(spark_type(f.type))
+        values = list(dict.fromkeys(f.type.items)) if f.type.kind == "enum" else [v for v, _ in self.doc.enums[f.type.name]]
+        return F.element_at(F.array(*[F.lit(v) for v in values]), (place + 1).cast("int"))
 
     def late_key(self, entity: Entity) -> bool:
         """Whether keys are no function of the row's number, so that a reference to them is a join."""
@@ -106,9 +143,12 @@ class Generator:
             if dist := f.get("dist"):
                 x = sample(dist, d, low, high)
             elif t.name == "int":
-                top = {"8": 127, "16": 32767}.get(t.items[0] if t.items else "", 1_000_000)
-                lo = -top if low is None else int(low)
-                x = d.integer(lo, max(lo, (top if high is None else int(high))), "v")
+                width = {"8": 127, "16": 32767, "32": (1 << 31) - 1}.get(t.items[0] if t.items else "", (1 << 63) - 1)
+                top = min(width, 1_000_000)
+                lo = -top if low is None else max(int(low), -width - 1)
+                if lo > width:
+                    raise GenerationError(f"{f.name}: no int({t.items[0]}) is {lo} or more")
+                x = d.integer(lo, max(lo, (top if high is None else min(int(high), width))), "v")
             else:
                 p, s = (int(i) for i in (*t.items, "2")[:2]) if t.name == "decimal" and t.items else (6, 2)
                 lo, hi = 0.0 if low is None else low, (float(10 ** (p - s)) - 10.0**-s if t.name == "decimal" else 1e6) if high is None else high
@@ -202,13 +242,23 @@ class Generator:
         if t.kind == "poly":
             n, out = d.h("type") % len(t.items), None
             for k, i in enumerate(t.items):
-                v = F.struct(F.lit(i.name).alias("type"), self.reference(i, f, d.sub(i.name), entity).alias("id"))
+                v = F.struct(F.lit(i.name).alias("type"), self.reference(i, f, d.sub(i.name), entity).cast(self.poly_id(t, entity)).alias("id"))
                 out = F.when(n == k, v) if out is None else out.when(n == k, v)
             return out
         return F.trim(F.initcap(words(d, 3)))
 
+    def target(self, t: Type, entity: Entity) -> Entity:
+        return entity if t.name == "self" else self.doc.entities[t.name]
+
+    def poly_id(self, t: Type, entity: Entity, *, final: bool = False) -> str:
+        """The type of the ids of a polymorphic reference; numbers of rows whose keys come later stand in it as texts."""
+        kinds = {spark_type(self.target(i, entity).key.type) for i in t.items}
+        late = any(self.late_key(self.target(i, entity)) for i in t.items)
+        return "string" if len(kinds) > 1 or (late and not final) else kinds.pop()
+
     def reference(self, t: Type, f: Field, d: Draw, entity: Entity) -> Column:
-        """A parent's key, each parent as likely; of the same entity only earlier rows. No join: keys are functions of rows."""
+        """A parent's key, each parent as likely; of the same entity only earlier rows. No join: keys are functions of rows. Where
+        they are not, it is the row's number, and `keyed` joins the key."""
         own = t.name in ("self", entity.name)
         target = entity if own else self.doc.entities.get(t.name)
         if target is None:
@@ -217,13 +267,31 @@ class Generator:
             if t.optional:
                 return F.lit(None).cast(spark_type(target.key.type))
             raise GenerationError(f"{entity.name}.{f.name}: {t.name} has no rows")
-        index = earlier_index(d) if own else parent_index(d, self.rows[target.name])
-        late = not own and self.late_key(target) and f is entity.field(f.name)  # the row's number for now; `plain` joins the key
-        found = index if late else F.when(index.isNotNull(), self.key(target, index))
+        known = lambda index: index if self.late_key(target) else F.when(index.isNotNull(), self.key(target, index))
+        if self.owners.get(entity.name, ("",))[0] == f.name:
+            return known(F.col("__parent"))
+        if (entity.name, f.name) in self.even:
+            n = self.rows[entity.name]
+            return known(F.call_function("div", spread(d, n) * F.lit(self.rows[target.name]).cast("long"), F.lit(n).cast("long")))
+        found = known(earlier_index(d) if own else parent_index(d, self.rows[target.name]))
         share = f.get("null_rate")
         p = float(share.args[0]) if share else 0.7 if own and t.optional else 0.2 if t.optional else 0
         return F.when(d.chance(p, "null"), F.lit(None)).otherwise(found) if p else found
 
+    def keyed(self, entity: Entity, df: DataFrame, *, own: bool) -> DataFrame:
+        """df with keys where references are numbers of rows: of other entities, or (own) of its own, once all its rows are there."""
+        for f in self.stored(entity):
+            inner = f.type.items[0] if f.type.kind in ("list", "optional") else f.type
+            for t in inner.items if inner.kind == "poly" else [inner] if inner.kind == "ref" else []:
+                target = self.target(t, entity)
+                if f.name in df.columns and (target is entity) == own and self.late_key(target):
+                    df = df if not own else written(df, f"gen-{entity.name}")
+                    keys = (df if own else self.frames[target.name]).select(F.col("_rid").alias("__at"), F.col(target.key.name).alias("__key"))
+                    df = with_keys(df, f.name, keys, branch=t.name if inner.kind == "poly" else None)
+            if inner.kind == "poly" and f.name in df.columns and self.poly_id(inner, entity) != self.poly_id(inner, entity, final=True) and own == any(self.target(t, entity) is entity for t in inner.items):
+                df = df.withColumn(f.name, F.col(f.name).withField("id", F.col(f"{f.name}.id").cast(self.poly_id(inner, entity, final=True))))
+        return df
+
     def field(self, entity: Entity, f: Field, d: Draw) -> Column:
         """A plain field with its decorators."""
         if f.name == entity.key.name and f.has("primary"):
@@ -232,7 +300,11 @@ class Generator:
         if f.has("auto"):
             made = {"created_at": F.lit(self.now).cast("timestamp_ntz"), "updated_at": F.lit(self.now).cast("timestamp_ntz"), "version": F.lit(1).cast("long")}
             return made.get(f.name, F.lit(self.now).cast("timestamp_ntz") if kind == "timestamp_ntz" else F.lit(None).cast(kind))
-        if (p := f.get("pattern")) and "{" in p.args[0]:
+        if size := self.values_of(entity, f) if entity.field(f.name) is f else None:
+            x = self.distinct(entity, f, d, size)
+        elif (p := f.get("pattern")) and is_regex(p.args[0]):
+            x = Regex(p.args[0]).drawn(d)
+        elif (p := f.get("pattern")) and is_template(p.args[0]):
             x = expand(p.args[0], d, distinct=f.has("unique"))
         else:
             x = self.typed(f.type, f, d, entity)
@@ -284,7 +356,7 @@ class Generator:
 
     def stored(self, entity: Entity) -> list[Field]:
         """Fields that are columns: has-many and many-to-many ones live on the other side."""
-        return [f for f in entity.fields if not (f.type.many or (f.type.kind == "list" and f.type.items[0].kind == "named" and f.type.items[0].name in self.doc.entities))]
+        return [f for f in entity.fields if not is_collection(self.doc, f)]
 
     def plain(self, entity: Entity, rows: DataFrame, attempt: Column) -> DataFrame:
         rid = F.col("_rid")
@@ -294,7 +366,7 @@ class Generator:
         made |= {n: F.col(n) for n in rows.columns if n != "_rid"}
         fixed = entity.key.name if self.referred_to(entity) else None  # others know it by the row's number
         for f in self.stored(entity):
-            if f.name not in made and not f.is_derived and not f.has("from"):
+            if f.name not in made and not f.is_derived and not f.has("from") and (entity.name, f.name) not in self.stages.late:
                 made[f.name] = self.field(entity, f, self.draw(entity.name, f.name, rid, None if f.name == fixed else attempt))
         for f in self.stored(entity):
             if (s := f.get("from")) and f.name not in made:
@@ -305,16 +377,12 @@ class Generator:
                 by_zip = "phone" in f.name.lower() and any(w in s.args[0].lower() for w in ("zip", "postal"))
                 made[f.name] = phone(d, area_code(source)) if by_zip else self.copied(f, source, d)
         df = rows.select("_rid", *[c.alias(n) for n, c in made.items()])
-        for f in self.stored(entity):
-            target = self.doc.entities.get(f.type.name) if f.type.kind == "ref" and f.type.name not in ("self", entity.name) else None
-            if target and f.name in df.columns and self.late_key(target):
-                keys = self.frames[target.name].select(F.col("_rid").alias("__at"), F.col(target.key.name).alias("__key"))
-                df = df.join(keys, df[f.name] == keys["__at"], "left").withColumn(f.name, F.col("__key")).drop("__at", "__key")
+        df = self.keyed(entity, df, own=False)
         return self.temporal(entity, df, attempt)
 
-    def temporal(self, entity: Entity, df: DataFrame, attempt: Column) -> DataFrame:
+    def temporal(self, entity: Entity, df: DataFrame, attempt: Column, only: Field | None = None) -> DataFrame:
         """@after, @before, @within and @correlated, which need other fields of the row or of a parent."""
-        for f in self.stored(entity):
+        for f in [only] if only else [f for f in self.stored(entity) if (entity.name, f.name) not in self.stages.late]:
             d = self.draw(entity.name, f.name, F.col("_rid"), attempt)
             for deco in f.decorators:
                 if deco.name in ("after", "before", "within"):
@@ -383,28 +451,84 @@ class Generator:
         one = rows.agg(found.alias("x")).scalar()
         return Value(one if empty is None else F.coalesce(one, empty), kind)
 
+    def over_children(self, entity: Entity, df: DataFrame, function: str, path: tuple[str, ...]) -> tuple[DataFrame, Value]:
+        """df with an aggregate over each row's children: one aggregation of the child table, summed up before the shuffle."""
+        child, ref = child_of(self.doc, entity, path[0])
+        rows, name = self.made(child.name), f"__of.{function}.{'.'.join(path)}"
+        if len(path) > 2 or (len(path) == 2 and path[1] not in rows.columns) or (len(path) == 1 and function != "count"):
+            raise GenerationError(f"{entity.name}: {function}({'.'.join(path)}) is no aggregate of a child's field")
+        value = columns_of(rows.schema)(path[1:]) if len(path) == 2 else Value(F.lit(1), "int")
+        x, kind = value.col, {"count": "int", "avg": "float", "all_equal": "bool"}.get(function, value.kind)
+        made = {"count": lambda: F.count("*"), "sum": lambda: F.round(F.sum(x), 9) if value.kind == "float" else F.sum(x), "avg": lambda: F.avg(x), "min": lambda: F.min(x), "max": lambda: F.max(x), "all_equal": lambda: F.min(x).eqNullSafe(F.max(x)) & F.count(x).isin(0, F.count("*"))}
+        if name not in df.columns:
+            sums = rows.where(F.col(ref).isNotNull()).groupBy(F.col(ref).alias("__ref")).agg(made[function]().alias(name))
+            df = df.join(sums, df[entity.key.name] == sums["__ref"], "left").drop("__ref")
+        empty = {"count": F.lit(0), "avg": F.lit(0.0), "sum": F.lit(0), "all_equal": F.lit(True)}.get(function)
+        found = F.col(f"`{name}`")
+        return df, Value(found if empty is None else F.coalesce(found, empty), kind)
+
     def compiled(self, entity: Entity, df: DataFrame, text: str) -> tuple[DataFrame, Value]:
-        """df with all joins that an expression needs, and its value. `Entity.a` is field a of the entity's own row."""
-        text = re.sub(rf"\b{entity.name}\.", "", text)
-        try:
-            tree = ast.parse(re.sub(r"\bif\s*\(", "if_(", text.strip()), mode="eval")
-        except SyntaxError as e:
-            raise ParseError(f"not an expression: {text}") from e
-        reader, found = Compiler(lambda p: Value(F.lit(None))), {}
-        called = [n for n in ast.walk(tree) if isinstance(n, ast.Call) and isinstance(n.func, ast.Name)]
-        calls = {n.func.id for n in called}
-        others = {reader.path(n.args[0]) for n in called if n.func.id in Compiler.AGGREGATES and len(n.args) == 1}
-        others = {p for p in others if p and p[0] in self.doc.entities and entity.field(p[0]) is None}
-        for node in ast.walk(tree):
-            p = reader.path(node) if isinstance(node, (ast.Name, ast.Attribute)) else None
-            if p and p[0] not in calls and p not in found and p not in others:
-                try:
-                    df, found[p] = self.path(entity, df, p)
-                except GenerationError:
-                    if len(p) > 1:
-                        raise
-        over = lambda function, p: self.over_entity(function, p) if p in others else None
-        return df, Compiler(lambda p: found[p], aggregate=over, today=self.now.date()).compile(text)
+        """df with all joins that an expression needs, and its value."""
+        text = own(entity, text)
+        paths, calls = names_in(parsed(text))
+        found, over = {}, {}
+        for p in paths:
+            try:
+                df, found[p] = self.path(entity, df, p)
+            except GenerationError:
+                if len(p) > 1:
+                    raise
+        for function, p in calls:
+            if is_collection(self.doc, entity.field(p[0])):
+                df, over[function, p] = self.over_children(entity, df, function, p)
+            elif p[0] in self.doc.entities and entity.field(p[0]) is None:
+                over[function, p] = self.over_entity(function, p)
+            else:
+                df, found[p] = self.path(entity, df, p)
+
+        def known(p: tuple[str, ...]) -> Value:
+            if p not in found:
+                raise GenerationError(f"{entity.name}: no field {'.'.join(p)}")
+            return found[p]
+
+        return df, Compiler(known, aggregate=lambda function, p: over.get((function, p)), today=self.now.date()).compile(text)
+
+    def derive(self, entity: Entity, df: DataFrame, f: Field) -> DataFrame:
+        """df with one field by its default_chain, its compute branches or its expression."""
+        if f.default_chain:
+            values, when, fallback = [], None, None
+            for p in f.default_chain:
+                df, v = self.path(entity, df, tuple(p.split(".")))
+                values.append(v)
+            if f.chain_when:
+                df, when = self.compiled(entity, df, f.chain_when)
+            if f.fallback is not None:
+                df, fallback = self.compiled(entity, df, f.fallback)
+            made = default_chain(values, when, fallback)
+        elif f.compute:
+            branches = []
+            for b in f.compute:
+                test = None
+                if b.when is not None:
+                    df, test = self.compiled(entity, df, b.when)
+                df, value = self.compiled(entity, df, b.value)
+                branches.append((test, value))
+            made = compute(branches)
+        else:
+            df, v = self.compiled(entity, df, f.get("derived").args[0])
+            made = v.col
+        return df.withColumn(f.name, made.cast(spark_type(f.type)))
+
+    def derive_all(self, entity: Entity, df: DataFrame, left: list[Field]) -> DataFrame:
+        """df with derived fields, those first whose inputs in the row are there, else in the order of the document."""
+        while left:
+            names = {f.name for f in left}
+            ready = next((f for f in left if not {r.field for r in self.stages.reads.get((entity.name, f.name), ()) if r.local} & (names - {f.name})), None)
+            if ready is None:
+                raise GenerationError(f"{entity.name}: derived fields refer to each other: " + ", ".join(sorted(names)))
+            left.remove(ready)
+            df = self.derive(entity, df, ready)
+        return df
 
     def derived(self, entity: Entity, df: DataFrame, attempt: Column) -> DataFrame:
         for f in self.stored(entity):
@@ -414,41 +538,7 @@ class Generator:
                     kind = spark_type(g.type)
                     again = self.typed(g.type.items[0] if g.type.kind == "optional" else g.type, g, self.draw(entity.name, name, F.col("_rid"), attempt).sub("again"), entity)
                     df = df.withColumn(name, F.when(F.col(f.name).isNotNull(), F.coalesce(F.col(name), again.cast(kind))).otherwise(F.col(name)))
-        for f in self.stored(entity):
-            if f.default_chain:
-                values = []
-                for p in f.default_chain:
-                    df, v = self.path(entity, df, tuple(p.split(".")))
-                    values.append(v)
-                when = fallback = None
-                if f.chain_when:
-                    df, when = self.compiled(entity, df, f.chain_when)
-                if f.fallback is not None:
-                    df, fallback = self.compiled(entity, df, f.fallback)
-                df = df.withColumn(f.name, default_chain(values, when, fallback).cast(spark_type(f.type)))
-        for f in self.stored(entity):
-            if f.compute:
-                branches = []
-                for b in f.compute:
-                    test = None
-                    if b.when is not None:
-                        df, test = self.compiled(entity, df, b.when)
-                    df, value = self.compiled(entity, df, b.value)
-                    branches.append((test, value))
-                df = df.withColumn(f.name, compute(branches).cast(spark_type(f.type)))
-        left = [f for f in self.stored(entity) if f.has("derived")]
-        while left:  # those whose inputs are there first, else as in the document
-            names = {f.name for f in left}
-            ready = next((f for f in left if not {n for n in re.findall(r"[A-Za-z_]\w*", re.sub(r"\"[^\"]*\"|'[^']*'|\.\w+", "", f.get("derived").args[0])) if n in names and n != f.name}), None)
-            if ready is None:
-                raise GenerationError(f"{entity.name}: derived fields refer to each other: " + ", ".join(sorted(names)))
-            left.remove(ready)
-            text = ready.get("derived").args[0]
-            if self.over_children(entity, ready):
-                df = df.withColumn(ready.name, F.lit(None).cast(spark_type(ready.type)))  # from the children, in collect()
-                continue
-            df, v = self.compiled(entity, df, text)
-            df = df.withColumn(ready.name, v.col.cast(spark_type(ready.type)))
+        df = self.derive_all(entity, df, [f for f in self.stored(entity) if f.is_derived and (entity.name, f.name) not in self.stages.late])
         if entity.has("timestamps"):
             df = df.withColumns({c: F.lit(self.now).cast("timestamp_ntz") for c in ("created_at", "updated_at")})
         if entity.has("soft_delete"):
@@ -457,21 +547,17 @@ class Generator:
             df = df.withColumn("version", F.lit(1).cast("long"))
         return df
 
-    def columns(self, entity: Entity) -> list[str]:
+    def columns(self, entity: Entity, *, early: bool = False) -> list[str]:
+        """The columns of an entity in order; those that are made with its rows, or all."""
         extra = [c for flag, cs in (("timestamps", ("created_at", "updated_at")), ("soft_delete", ("deleted_at",)), ("versioned", ("version",))) if entity.has(flag) for c in cs]
-        names = [f.name for f in self.stored(entity)]
+        names = [f.name for f in self.stored(entity) if not (early and (entity.name, f.name) in self.stages.late)]
         return [*names, *[c for c in extra if c not in names]]
 
-    def over_children(self, entity: Entity, f: Field) -> list[tuple[str, str, str]]:
-        """The (function, collection, field) of a derived field that go over the entity's children."""
-        text = f.get("derived").args[0] if f.has("derived") else ""
-        return [m for m in AGGREGATE.findall(text) if (g := entity.field(m[1])) is not None and g not in self.stored(entity)]
-
     def rules_of(self, entity: Entity, kind: str) -> list[tuple[int, Rule]]:
-        """The rules of a kind that bind while rows are made, with their numbers; those on what children give bind later."""
-        late = {f.name for f in entity.fields if self.over_children(entity, f)}
-        on_late = lambda r: any(re.search(rf"\b{entity.name}\.{n}\b", f"{r.check} {r.when or ''}") for n in late)
-        return [(i, r) for i, r in enumerate(self.doc.rules) if r.entity == entity.name and r.kind == kind and r.mode in ("strict", "probability") and not on_late(r)]
+        """The rules of a kind that bind while rows are made, with their numbers; those on late fields, or that see to it
+        themselves that they hold, are checked at the end."""
+        early = lambda i, r: (r.entity, i) not in self.stages.sets and not any(self.stages.waits(entity.name, x) for t in (r.check, r.when) if t for x in text_reads(self.doc, entity, t))
+        return [(i, r) for i, r in enumerate(self.doc.rules) if r.entity == entity.name and r.kind == kind and r.mode in ("strict", "probability") and early(i, r)]
 
     def verdict(self, entity: Entity, df: DataFrame, rule: Rule) -> tuple[DataFrame, Column]:
         """df with all joins that a rule needs, and whether a row keeps it; true where its `when` does not hold."""
@@ -484,20 +570,22 @@ class Generator:
 
     def rows_of(self, entity: Entity, left: DataFrame, attempt: int, accepted: DataFrame | None) -> DataFrame:
         """The rows of left at an attempt; unique fields first, apart from the values of the rows that are accepted."""
-        rows, number = left.select("_rid"), F.lit(attempt)
+        rows, number = left, F.lit(attempt)
         for f in self.resolved_unique(entity):
             make = lambda a, f=f: self.field(entity, f, self.draw(entity.name, f.name, F.col("_rid"), a + F.lit(attempt * UNIQUE_ATTEMPTS)))
-            values = unique_values(left, make, f.name, taken=None if accepted is None else accepted.select("_rid", f.name))
+            values = unique_values(left.select("_rid"), make, f.name, taken=None if accepted is None else accepted.select("_rid", f.name))
             rows = rows.join(values, "_rid")
         return self.derived(entity, self.plain(entity, rows, number), number)
 
     def make(self, entity: Entity) -> DataFrame:
         """All rows of an entity. Rows that break a rule on rows or repeat what `unique(...)` names are made again, with the
         next attempt; the others stay as they are."""
-        left = self.spark.range(self.rows[entity.name]).select(F.col("id").alias("_rid"))
+        self.count_children(entity)
+        _, left = self.owners.get(entity.name) or ("", self.spark.range(self.rows[entity.name]).select(F.col("id").alias("_rid")))
+        columns, numbers = self.columns(entity, early=True), left.columns
         rules, sets = self.rules_of(entity, "row"), self.rules_of(entity, "unique")
         if not rules and not sets:
-            return self.rows_of(entity, left, 0, None).select("_rid", *self.columns(entity))
+            return self.keyed(entity, self.rows_of(entity, left, 0, None).select("_rid", *columns), own=True)
         accepted = None
         for attempt in range(RULE_ATTEMPTS + 1):
             df, ok = self.rows_of(entity, left, attempt, accepted), F.lit(True)
@@ -506,51 +594,80 @@ class Generator:
                 if r.mode == "probability":
                     test = test | ~self.draw(entity.name, f"rule{i}", F.col("_rid")).chance(r.probability, "bind")
                 ok = ok & test
-            df = written(df.select("_rid", *self.columns(entity), ok.alias("__ok")), f"gen-{entity.name}")
-            good = df.where("__ok").drop("__ok")
+            df = written(df.select(*numbers, *columns, ok.alias("__ok")), f"gen-{entity.name}")
+            good = df.where("__ok").select("_rid", *columns)
             for i, r in sets:
                 free = ~self.draw(entity.name, f"rule{i}", F.col("_rid")).chance(r.probability, "bind") if r.mode == "probability" else F.lit(False)
                 good = first_of_each(good, [p[-1] for p in fields_of(r.check)], accepted, free)
             if sets:
                 good = written(good, f"gen-{entity.name}")
             accepted = good if accepted is None else accepted.unionByName(good)
-            left = df.select("_rid").join(good.select("_rid"), "_rid", "left_anti") if sets else df.where("NOT __ok").select("_rid")
+            left = df.select(*numbers).join(good.select("_rid"), "_rid", "left_anti") if sets else df.where("NOT __ok").select(*numbers)
             if left.isEmpty():
-                return accepted
+                return self.keyed(entity, accepted, own=True)
         broken = "; ".join(r.error or r.check for _, r in [*rules, *sets])
         raise ConstraintViolation(f"{entity.name}: rows still break a rule after {RULE_ATTEMPTS} attempts: {broken}")
 
-    def child_of(self, entity: Entity, collection: str) -> tuple[Entity, str]:
-        """The entity that a has-many field holds, and its field that refers back."""
-        g = entity.field(collection)
-        inner = g.type.items[0].name if g is not None and g.type.kind == "list" and g.type.items[0].kind == "named" else g.type.name if g is not None and g.type.many else None
-        if inner not in self.doc.entities:
-            raise GenerationError(f"{entity.name}.{collection} is no collection of an entity")
-        child = self.doc.entities[inner]
-        ref = next((c.name for c in child.fields if c.type.kind == "ref" and c.type.name == entity.name and not c.type.many), None)
-        if ref is None:
-            raise GenerationError(f"{inner} has no reference to {entity.name}")
-        return child, ref
-
-    def children(self, entity: Entity) -> DataFrame:
-        """entity with derived fields that go over its children: one aggregation of a child table for each of them."""
-        df = self.frames[entity.name]
-        for f in entity.fields:
-            found = {}
-            for i, (function, collection, name) in enumerate(self.over_children(entity, f)):
-                child, ref = self.child_of(entity, collection)
-                rows = self.made(child.name)
-                of = Value(F.count("*"), "int") if function == "count" else columns_of(rows.schema)((name,))
-                made = of.col if function == "count" else getattr(F, function)(of.col)
-                sums = rows.where(F.col(ref).isNotNull()).groupBy(F.col(ref).alias("__ref")).agg(made.alias(f"__agg{i}"))
-                df = df.join(sums, df[entity.key.name] == sums["__ref"], "left").drop("__ref")
-                empty = {"count": F.lit(0), "avg": F.lit(0.0), "sum": F.lit(0)}.get(function, F.lit(None))
-                found[function, (collection, name) if name else (collection,)] = Value(F.coalesce(F.col(f"__agg{i}"), empty), "float" if function == "avg" else of.kind)
-            if found:
-                plain = columns_of(df.schema)
-                v = Compiler(plain, aggregate=lambda function, p, found=found: found.get((function, p)), today=self.now.date()).compile(f.get("derived").args[0])
-                df = df.withColumn(f.name, v.col.cast(spark_type(f.type))).drop(*[c for c in df.columns if c.startswith("__agg")])
-        return df.select("_rid", *self.columns(entity))
+    def counts(self, child: Entity) -> list[tuple[Entity, str, int, int | None, float]]:
+        """(parent, reference, least, most, share) for each collection of an entity that says how many children there are, by
+        @count or a rule on the count; the rule binds a share of the parents."""
+        out = []
+        for parent in self.doc.entities.values():
+            for f in parent.fields:
+                if f.type.kind != "list" or not is_collection(self.doc, f) or child_of(self.doc, parent, f.name)[0] is not child:
+                    continue
+                low, high, share = (*length_of(f), 1.0) if length_of(f) else (None, None, 1.0)
+                for r in self.doc.rules:
+                    if r.kind == "count" and r.entity == parent.name and r.mode != "warn":
+                        path, a, b = count_bounds(r.check)
+                        if path[-1] == f.name:
+                            share = r.probability if r.mode == "probability" and low is None else share
+                            low, high = max(low or 0, a or 0), b if high is None else high if b is None else min(b, high)
+                if low is None:
+                    continue
+                if high is not None and low > high:
+                    raise GenerationError(f"{parent.name}.{f.name}: no number is in {low}..{high}")
+                if low or high is not None:
+                    out.append((parent, child_of(self.doc, parent, f.name)[1], low, high, share))
+        return out
+
+    def count_children(self, entity: Entity) -> None:
+        """How an entity's rows are dealt to parents that say how many children they have.
+
+        If nothing says how many rows there are, each parent draws its number; a running sum over the parents gives each of them
+        its children's row numbers, so children are made from parents. Otherwise row numbers are spread and cut evenly.
+        """
+        for parent, ref, low, high, share in self.counts(entity):
+            n, parents = self.rows[entity.name], self.rows[parent.name]
+            if entity.name not in self.fixed and entity.name not in self.owners:
+                most = low + SPAN if high is None else high
+                d = self.draw(parent.name, f"children:{entity.name}.{ref}", F.col("_rid"))
+                drawn = d.integer(low, most, "n")
+                if share < 1:
+                    drawn = F.when(d.chance(share, "bind"), drawn).otherwise(d.integer(0, 2 * most, "free"))
+                rows, total = running_sum(self.spark.range(parents).select(F.col("id").alias("_rid")).withColumn("__n", drawn), ["_rid"], F.col("__n"), "__from")
+                made = rows.where("__n > 0").select(F.explode(F.sequence(F.col("__from"), F.col("__from") + F.col("__n") - 1)).alias("__rid"), F.col("_rid").alias("__parent"))
+                self.owners[entity.name], self.rows[entity.name] = (ref, made.withColumnRenamed("__rid", "_rid")), total
+            elif low * parents <= n and (high is None or n <= high * parents):
+                self.even.add((entity.name, ref))
+            elif share == 1:
+                raise ConstraintViolation(f"{entity.name}: {n} rows cannot give each of {parents} rows of {parent.name} from {low} to {'any number' if high is None else high}")
+
+    def shared(self, rule: Rule) -> None:
+        """A rule `sum(E.children.f) == total`: f of the children becomes their share of the total, in proportion to what it was."""
+        entity = self.doc.entities[rule.entity]
+        collection, name, text = share_rule(self.doc, rule)
+        child, ref = child_of(self.doc, entity, collection)
+        df, total = self.compiled(entity, self.made(entity.name), text)
+        rows = self.made(child.name)
+        kind = spark_type(child.field(name).type)
+        unit = F.lit(10 ** (int(m[1]) if (m := re.search(r",(\d+)", kind)) else 0 if kind in ("long", "int", "smallint", "tinyint") else 2))
+        scaled = lambda x: F.round(x * unit).cast("long")
+        sums = df.select(F.col(entity.key.name).alias("__parent"), F.coalesce(scaled(total.col), F.lit(0)).alias("__sum"))
+        met = rows.join(sums, F.col(ref) == F.col("__parent"))
+        met = apportioned(met, ref, F.greatest(scaled(F.col(name)), F.lit(0)), F.col("__sum"), "__new")
+        met = met.withColumn(name, (F.col("__new") / unit).cast(kind)).select(*rows.columns)
+        self.frames[child.name] = written(met.unionByName(rows.where(F.col(ref).isNull())), f"gen-{child.name}")
 
     def crossed(self, rule: Rule, number: int) -> None:
         """A rule across rows: groups of two rows or more that do not agree get, with the rule's probability, what `set` says;
@@ -573,29 +690,60 @@ class Generator:
 
     def links(self, entity: Entity) -> None:
         """A bridge table `Entity.field` for each many-to-many field."""
-        from ..operators.references import bridge
-
         for f in entity.fields:
             if f.type.kind == "ref" and f.type.many:
                 low, high = length_of(f) or (0, 4)
                 target = self.doc.entities[f.type.name]
                 rows = self.spark.range(self.rows[entity.name]).select(F.col("id").alias("_rid"))
                 b = bridge(rows, self.draw(entity.name, f.name, F.col("_rid")), self.rows[target.name], low, high)
-                self.bridges[f"{entity.name}.{f.name}"] = b.select(self.key(entity, F.col("left")).alias(f"{entity.name}_id".lower()), self.key(target, F.col("right")).alias(f"{target.name}_id".lower()))
+                for side, e in (("left", entity), ("right", target)):
+                    if self.late_key(e):
+                        b = with_keys(b, side, self.made(e.name).select(F.col("_rid").alias("__at"), F.col(e.key.name).alias("__key")))
+                    else:
+                        b = b.withColumn(side, self.key(e, F.col(side)))
+                self.bridges[f"{entity.name}.{f.name}"] = b.select(F.col("left").alias(f"{entity.name}_id".lower()), F.col("right").alias(f"{target.name}_id".lower()))
 
     def run(self, only: set[str] | None = None) -> dict[str, DataFrame]:
+        wanted = set(self.doc.entities) if only is None else only
+        needed = self.stages.needed(wanted, lambda e: closure(self.doc, e))
         for name in entity_order(self.doc):
-            if only is None or name in only:
+            if name in needed:
                 self.frames[name] = self.make(self.doc.entities[name])
-                for i, r in enumerate(self.doc.rules):
-                    if r.kind == "cross_row" and r.entity == name and r.set_values:
-                        self.crossed(r, i)
-        for n in self.frames:
-            self.frames[n] = self.children(self.doc.entities[n])
+        self.staged()
         self.check()
-        for n in self.frames:
+        for n in wanted:
             self.links(self.doc.entities[n])
-        return {n: self.described(self.doc.entities[n], self.frames[n].drop("_rid")) for n in self.doc.entities if n in self.frames} | self.bridges
+        return {n: self.described(self.doc.entities[n], self.frames[n].drop("_rid")) for n in self.doc.entities if n in wanted} | self.bridges
+
+    def staged(self) -> None:
+        """Late fields and the rules that set fields, stage by stage. A stage sees what the stages before left; a table that
+        later ones may read is written, so that each stage is planned and run once."""
+        last = max(self.stages.stage.values(), default=0)
+        for k in range(1, last + 1):
+            nodes = [n for n, at in self.stages.stage.items() if at == k and (n[0] in self.frames)]
+            before = dict(self.frames)
+            made = {}
+            for name in dict.fromkeys(e for e, n in nodes if isinstance(n, str)):
+                entity, df = self.doc.entities[name], before[name]
+                fields = [entity.field(n) for e, n in nodes if e == name and isinstance(n, str)]
+                for f in [f for f in fields if not f.is_derived]:
+                    df = self.temporal(entity, self.base(entity, df, f), F.lit(0), f)
+                df = self.derive_all(entity, df, [f for f in fields if f.is_derived])
+                kept = [c for c in self.columns(entity) if c in df.columns]
+                made[name] = df.select("_rid", *kept)
+                if k < last or self.late_rules():
+                    made[name] = written(made[name], f"gen-{name}")
+            self.frames |= made
+            for _, i in sorted((n for n in nodes if isinstance(n[1], int)), key=lambda n: n[1]):
+                rule = self.doc.rules[i]
+                if all(e in self.frames for e, _ in self.stages.sets[rule.entity, i]):
+                    self.crossed(rule, i) if rule.kind == "cross_row" else self.shared(rule)
+        for n in self.frames:
+            self.frames[n] = self.frames[n].select("_rid", *self.columns(self.doc.entities[n]))
+
+    def base(self, entity: Entity, df: DataFrame, f: Field) -> DataFrame:
+        """df with a moment that is late only by what it comes after or before."""
+        return df.withColumn(f.name, self.field(entity, f, self.draw(entity.name, f.name, F.col("_rid"))))
 
     def described(self, entity: Entity, df: DataFrame) -> DataFrame:
         """df with what the document says of its fields (label, description, decorators without an effect on values) as the
@@ -616,7 +764,7 @@ class Generator:
             return duplicates(df, [p[-1] for p in fields_of(rule.check)])
         if rule.kind == "count":
             path, low, high = count_bounds(rule.check)
-            child, ref = self.child_of(entity, path[-1])
+            child, ref = child_of(self.doc, entity, path[-1])
             return cardinality(df, self.made(child.name), entity.key.name, ref, low, high)
         if rule.kind == "cross_row":
             columns = {c: Value(F.col(f"`{c}`"), kind_of(df.schema[c].dataType)) for c in df.columns}
@@ -624,17 +772,26 @@ class Generator:
         df, ok = self.verdict(entity, df, rule)
         return df.where(~ok)
 
-    def check(self) -> None:
-        """Strict rules that need the children: counts of them, and what is derived from them."""
+    def late_rules(self) -> list[Rule]:
+        """Strict rules that bind once all fields are there."""
         bound = {i for e in self.frames for kind in ("row", "unique") for i, _ in self.rules_of(self.doc.entities[e], kind)}
-        for i, r in enumerate(self.doc.rules):
-            if r.mode == "strict" and r.kind in ("row", "count") and i not in bound and r.entity in self.frames and not self.broken(r).isEmpty():
+        return [r for i, r in enumerate(self.doc.rules) if r.mode == "strict" and r.kind in ("row", "unique", "count") and i not in bound and r.entity in self.frames]
+
+    def check(self) -> None:
+        for r in self.late_rules():
+            if all(e in self.frames for e in self.read_by(r)) and not self.broken(r).isEmpty():
                 raise ConstraintViolation(f"{r.entity}: {r.error or r.check}")
 
+    def read_by(self, rule: Rule) -> set[str]:
+        entity = self.doc.entities[rule.entity]
+        if rule.kind == "count":
+            return {rule.entity, child_of(self.doc, entity, count_bounds(rule.check)[0][-1])[0].name}
+        return {rule.entity} | {x.entity for t in (rule.check, rule.when) if t for x in text_reads(self.doc, entity, t)}
+
 
 def generate(spark: SparkSession, doc: Document, *, seed: int | None = None, volume: dict[str, int] | None = None, entity: str | None = None, now: datetime = NOW) -> dict[str, DataFrame]:
     """The entities of doc (or one of them with all that it refers to), by name, in the document's order."""
-    g = Generator(spark, doc, doc.seed if seed is None else seed, volumes(doc, volume), now)
+    g = Generator(spark, doc, doc.seed if seed is None else seed, volumes(doc, volume), now, fixed={*doc.volume, *(volume or {})})
     return g.run(closure(doc, entity) if entity else None)
 
 

@@ -11,7 +11,7 @@ DEFAULT_VOLUME = 100
 def targets(t: Type) -> list[str]:
     if t.kind == "ref":
         return [t.name]
-    return [x for i in t.items if isinstance(i, Type) for x in targets(i)] if t.kind in ("poly", "optional") else []
+    return [x for i in t.items if isinstance(i, Type) for x in targets(i)] if t.kind in ("poly", "optional", "list") else []
 
 
 def parents(entity: Entity) -> set[str]:

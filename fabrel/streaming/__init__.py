@@ -26,7 +26,8 @@ def entity_rows(spark: SparkSession, doc: Document, entity: str, numbers: DataFr
             break
         g.frames[name] = g.make(doc.entities[name])
     e = doc.entities[entity]
-    if g.resolved_unique(e) or g.rules_of(e, "row") or g.rules_of(e, "unique"):
-        raise GenerationError(f"{entity} has unique fields or rules that need all rows at once")
+    late = any(n == entity for n, _ in g.stages.stage) or any(n == entity for n, _ in g.stages.numbers)
+    if late or g.counts(e) or g.resolved_unique(e) or g.rules_of(e, "row") or g.rules_of(e, "unique"):
+        raise GenerationError(f"{entity} has fields or rules that need all rows at once")
     first = F.lit(0)
     return g.derived(e, g.plain(e, numbers, first), first).select("_rid", *g.columns(e))
