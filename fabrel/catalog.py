@@ -54,8 +54,8 @@ def h(name: str, salt: str = "", rid: str = "rid", entity: str = "G", attempt: i
     return f"('0x' || substr(md5(concat_ws('|', '{SEED}|{entity}|{name}', ({rid})::VARCHAR, '{salt}', '{attempt}')), 1, 13))::BIGINT"
 
 
-def u(name: str, salt: str = "", rid: str = "rid") -> str:
-    return f"(({h(name, salt, rid)})::DOUBLE / 4503599627370496.0)"
+def u(name: str, salt: str = "", rid: str = "rid", entity: str = "G") -> str:
+    return f"(({h(name, salt, rid, entity)})::DOUBLE / 4503599627370496.0)"
 
 
 def u_open(name: str, salt: str = "") -> str:
@@ -462,6 +462,175 @@ rules: ["T.x <= 9 @strict"]
 """, "G", "T")["T"]
 
 
+_kids = f"""c as (select rid, ({h('p', 'ref', 'rid', 'C')}) % (select count(*) from customer) as p, 1 + ({h('v', 'v', 'rid', 'C')}) % 500 as v from {numbered}),
+    t as (select p, sum(v)::BIGINT as total, count(*) as n from c group by p)"""
+KIDS = """
+entities:
+  P: {id: int @primary, cs: "[C]", size: {type: string, compute: [{when: "count(cs) > 1", value: "'many'"}, {else: "'few'"}]}, total: int @derived(sum(cs.v)), twice: int @derived(total * 2), best: int @derived(max(cs.share))}
+  C: {id: int @primary, p: ->P, v: int @range(1..500), ptotal: int @derived(p.total), share: int @derived(ptotal - v), shown: {type: int, default_chain: [share]}}
+rules: ["sum(P.cs.v) >= 0 @strict", "C.share >= 0 @strict"]
+"""
+
+
+@query(f"with {_kids} select g.rid + 1 as id, case when n > 1 then 'many' else 'few' end as size, coalesce(total, 0)::BIGINT as total, coalesce(total, 0)::BIGINT * 2 as twice, (select max(total - v) from c where c.p = g.rid)::BIGINT as best from {numbered} g left join t on t.p = g.rid")
+def doc_derived_over_children(spark, sf_dir):
+    """What builds on a sum over children, in the same row and, over the children, in it again."""
+    return made(spark, sf_dir, KIDS, "P", "C")["P"]
+
+
+@query(f"with {_kids} select rid + 1 as id, c.p + 1 as p, v, total as ptotal, (total - v)::BIGINT as share, (total - v)::BIGINT as shown from c join t on t.p = c.p")
+def doc_child_reads_total(spark, sf_dir):
+    """Children read the sum over themselves and their siblings from their parent, and build on it."""
+    return made(spark, sf_dir, KIDS, "P", "C")["C"]
+
+
+@query(f"""with c as (select rid, ({h('p', 'ref', 'rid', 'C')}) % (select count(*) from customer) as p, (['a', 'b'])[({h('v', 'v', 'rid', 'C')}) % 2 + 1] as v from {numbered}),
+    hit as (select p from c group by p having count(*) >= 2 and min(v) <> max(v) and (('0x' || substr(md5(concat_ws('|', '{SEED}|C|rule0', (p + 1)::VARCHAR, 'bind', '0')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0) < 0.6)
+    select rid + 1 as id, p + 1 as p, v, case when p in (select p from hit) then 7 else 0 end::BIGINT as seen, case when p in (select p from hit) then 8 else 1 end::BIGINT as after from c""")
+def doc_cross_row_rederived(spark, sf_dir):
+    """What reads a field that a rule across rows sets sees what is set, in its own row and from others."""
+    return made(spark, sf_dir, """
+entities:
+  P: {id: int @primary, mixed: int @range(0..0), after: int @derived(mixed + 1)}
+  C: {id: int @primary, p: ->P, v: "enum(a, b)", seen: int @derived(p.mixed), after: int @derived(p.after)}
+rules:
+  - cross_row: {entity: C, group_by: p, check: all_equal(v), probability: 0.6, on_violation: {set: {P.mixed: "7"}}}
+  - P.after > P.mixed @strict
+""", "P", "C")["C"]
+
+
+_late = _rounds("1 + (" + h("k", "v", "rid", "A").replace(chr(39) + "0" + chr(39), chr(39) + "ATTEMPT" + chr(39)) + ") % 100000")
+LATE = """
+entities:
+  A: {k: "int @range(1..100000) @unique", pal: "->self?"}
+  P: {id: int @primary, name: string}
+  B: {id: int @primary, x: "->A | ->P", as: "[->A] @len(0..2)", friends: "<->A @count(1..3)"}
+rules: [A.k > 0 @strict]
+"""
+
+
+@query(f"""with {_late}, b as (select rid, ({h('x', 'type', 'rid', 'B')}) % 2 as type, ({h('x', 'A.ref', 'rid', 'B')}) % (select count(*) from customer) as a, ({h('x', 'P.ref', 'rid', 'B')}) % (select count(*) from customer) as p,
+        ({h('as', 'len', 'rid', 'B')}) % 3 as n, ({h('as', '0.ref', 'rid', 'B')}) % (select count(*) from customer) as a0, ({h('as', '1.ref', 'rid', 'B')}) % (select count(*) from customer) as a1 from {numbered})
+    select b.rid + 1 as id, case when type = 0 then 'A' else 'P' end as type, case when type = 0 then w.v else b.p + 1 end as key, case n when 0 then '' when 1 then w0.v::VARCHAR else concat_ws(',', w0.v, w1.v) end as keys
+    from b join won w on w.rid = b.a join won w0 on w0.rid = b.a0 join won w1 on w1.rid = b.a1""")
+def doc_poly_key(spark, sf_dir):
+    """Polymorphic references and lists of references hold keys that are known only once their rows are made."""
+    b = made(spark, sf_dir, LATE, "A", "P", "B")["B"]
+    return b.select("id", F.col("x.type").alias("type"), F.col("x.id").alias("key"), F.array_join(F.col("as").cast("array<string>"), ",").alias("keys"))
+
+
+@query(f"""with {_late}, a as (select rid, case when {u('pal', 'null', 'rid', 'A')} < 0.7::DOUBLE or rid = 0 then null else ({h('pal', 'ref', 'rid', 'A')}) % greatest(rid, 1) end as pal from {numbered}),
+    b as (select rid, ({h('friends', 'n', 'rid', 'B')}) % 3 + 1 as n from {numbered}),
+    l as (select distinct rid, ({h('friends', 'to', '(rid * 3 + i)', 'B')}) % (select count(*) from customer) as a from (select rid, unnest(range(1, n + 1)) as i from b))
+    select l.rid + 1 as b_id, w.v as a_id, p.v as pal from l join a on a.rid = l.a join won w on w.rid = l.a left join won p on p.rid = a.pal""")
+def doc_m2m_key(spark, sf_dir):
+    """Many-to-many links, and references to rows of the same entity, hold keys that are known late."""
+    out = made(spark, sf_dir, LATE, "A", "P", "B")
+    return out["B.friends"].join(out["A"].select(F.col("k").alias("a_id"), "pal"), "a_id")
+
+
+_dealt = f"""p as (select rid, 2 + ({h('children:C.p', 'n', 'rid', 'P')}) % 3 as n from {numbered}),
+    placed as (select rid, n, coalesce(sum(n) over (order by rid rows between unbounded preceding and 1 preceding), 0)::BIGINT as start from p),
+    c as (select start + i as rid, rid as p from (select rid, start, unnest(range(n)) as i from placed))"""
+
+
+@query(f"with {_dealt} select rid + 1 as id, p + 1 as p, 1 + ({h('v', 'v', 'rid', 'C')}) % 500 as v from c")
+def doc_count_rule(spark, sf_dir):
+    """Parents draw how many children they have, within what @count and a rule allow; children are made from parents."""
+    return made(spark, sf_dir, """
+entities:
+  P: {id: int @primary, cs: "[C] @count(2..6)"}
+  C: {id: int @primary, p: ->P, v: int @range(1..500)}
+rules: ["count(P.cs) in 1..4 @strict", "C.v > 0 @strict"]
+""", "P")["C"]
+
+
+_dealt_items = f"""p as (select rid, 1 + ({h('children:I.o', 'n', 'rid', 'O')}) % 4 as n, round((10.0::DOUBLE + {u('total', 'v', 'rid', 'O')} * 490.0::DOUBLE) * 100)::HUGEINT as t from {numbered}),
+    placed as (select rid, n, t, coalesce(sum(n) over (order by rid rows between unbounded preceding and 1 preceding), 0)::BIGINT as start from p),
+    i as (select start + i as rid, o, t from (select rid as o, t, start, unnest(range(n)) as i from placed)),
+    s as (select rid, o, t, round((1.0::DOUBLE + {u('price', 'v', 'rid', 'I')} * 49.0::DOUBLE) * 100)::HUGEINT as w from i)"""
+
+
+def _shares(rows: str, group: str) -> str:
+    """CTEs q and r of rows (rid, group, t, w): t dealt out by w, as cents."""
+    return f"""q as (select *, (t * w) // sum(w) over (partition by {group}) as share, (t * w) % sum(w) over (partition by {group}) as rest from {rows}),
+    r as (select *, (share + case when row_number() over (partition by {group} order by rest desc, rid) <= t - sum(share) over (partition by {group}) then 1 else 0 end)::DOUBLE as cents from q)"""
+
+
+@query(f"with {_dealt_items}, {_shares('s', 'o')} select rid + 1 as id, o + 1 as o, cents / 100.0::DOUBLE as price, round(cents / 100.0::DOUBLE * 2.0::DOUBLE * 100) / 100.0::DOUBLE as fee from r")
+def doc_sum_rule(spark, sf_dir):
+    """A rule on a sum over children deals the parent's total out to them by largest remainders, and what builds on it follows."""
+    return made(spark, sf_dir, """
+entities:
+  O: {id: int @primary, items: "[I] @count(1..4)", total: float @range(10..500)}
+  I: {id: int @primary, o: ->O, price: float @range(1..50), fee: {type: float, compute: [{else: "round(price * 2.0, 2)"}]}}
+rules: ["sum(O.items.price) == O.total @strict"]
+""", "O")["I"]
+
+
+@query(f"""with p as (select rid, 1 + ({h('children:Claim.policy', 'n', 'rid', 'Policy')}) % 3 as n, ({h('holder', 'ref', 'rid', 'Policy')}) % (select count(*) from customer) as holder from {numbered}),
+    pat as (select *, coalesce(sum(n) over (order by rid rows between unbounded preceding and 1 preceding), 0)::BIGINT as start from p),
+    c0 as (select start + i as rid, policy, holder from (select rid as policy, holder, start, unnest(range(n)) as i from pat)),
+    c as (select c0.*, (['open', 'closed'])[({h('status', 'v', 'rid', 'Claim')}) % 2 + 1] as status, round((10.0::DOUBLE + {u('amount', 'v', 'rid', 'Claim')} * 390.0::DOUBLE) * 100)::HUGEINT as t,
+                 (['N', 'S', 'E', 'W'])[({h('code', 'v', '(' + h('region', 'ref', 'holder', 'Holder') + ') % 7', 'Region')}) % 4 + 1] as gl, 1 + ({h('children:Line.claim', 'n', 'rid', 'Claim')}) % 4 as n from c0),
+    cat as (select *, coalesce(sum(n) over (order by rid rows between unbounded preceding and 1 preceding), 0)::BIGINT as start from c),
+    l as (select start + i as rid, claim, policy, t, gl, status from (select rid as claim, policy, t, gl, status, start, unnest(range(n)) as i from cat)),
+    s as (select l.*, round((1.0::DOUBLE + {u('cost', 'v', 'rid', 'Line')} * 49.0::DOUBLE) * 100)::HUGEINT as w from l), {_shares('s', 'claim')},
+    pol as (select policy, sum(case when status = 'closed' then t else 0 end)::DOUBLE / 100.0::DOUBLE as paid, count(*) >= 2 and min(status) <> max(status) as mixed from c group by 1)
+    select r.rid + 1 as id, claim + 1 as claim, cents / 100.0::DOUBLE as cost, concat(gl, '-', case when paid > 300 then 'high' when mixed then 'mixed' else 'low' end) as posted from r join pol using (policy)""")
+def doc_gl_scenario(spark, sf_dir):
+    """Claims of policies end to end: children by counts, lines that sum up to their claim, a chain over three hops, a rule across
+    the claims of a policy, sums and classes of policies, and lines that read them all."""
+    return made(spark, sf_dir, """
+volume: {Region: 7}
+entities:
+  Region: {id: int @primary, code: "enum(N, S, E, W)"}
+  Holder: {id: int @primary, region: ->Region, name: person.full}
+  Policy:
+    id: int @primary
+    holder: ->Holder
+    claims: "[Claim] @count(1..3)"
+    mixed: int @range(0..0)
+    paid: float @derived(sum(claims.paid))
+    class: {type: string, compute: [{when: "paid > 300", value: "'high'"}, {when: "mixed == 1", value: "'mixed'"}, {else: "'low'"}]}
+  Claim:
+    id: int @primary
+    policy: ->Policy
+    lines: "[Line]"
+    status: "enum(open, closed)"
+    amount: float @range(10..400)
+    paid: {type: float, compute: [{when: "status == 'closed'", value: "amount"}, {else: "0.0"}]}
+    gl: {type: string, default_chain: [policy.holder.region.code], fallback: "'none'"}
+  Line: {id: int @primary, claim: ->Claim, cost: float @range(1..50), posted: 'string @derived(concat(claim.gl, "-", claim.policy.class))'}
+rules:
+  - count(Claim.lines) in 1..4 @strict
+  - sum(Claim.lines.cost) == Claim.amount @strict
+  - Claim.amount >= 10 @strict
+  - cross_row: {entity: Claim, group_by: policy, check: all_equal(status), on_violation: {set: {Policy.mixed: "1"}}}
+""", "Holder", "Policy")["Line"]
+
+
+_n = f"(({h('code', 'regex')}) % 2028000)"
+
+
+@query(f"""with g as (select rid, {_n} as n, {spread('code2', 676000)[0]} as m, {spread('k', 50000)[0]} as k from {numbered}),
+    t as (select *, n // 3 % 1000 as digits, n // 3000 as letters from g)
+    select rid + 1 as id, concat(chr((65 + letters // 26)::INTEGER), chr((65 + letters % 26)::INTEGER), '-', lpad(digits::VARCHAR, 3, '0'), (['', 'x', 'yz'])[n % 3 + 1]) as code,
+        concat(chr((65 + m // 26000)::INTEGER), chr((65 + m // 1000 % 26)::INTEGER), lpad((m % 1000)::VARCHAR, 3, '0')) as code2, k + 10 as k from t""")
+def gen_pattern_regex(spark, sf_dir):
+    """Texts of regular expressions, drawn or, where they must be unique, spread over all texts; and unique whole numbers."""
+    return made(spark, sf_dir, """
+entities:
+  G: {id: int @primary, code: 'string @pattern("[A-Z]{2}-[0-9]{3}(x|yz)?")', code2: 'string @pattern("^[A-Z]{2}[0-9]{3}$") @unique', k: 'int @range(10..50009) @unique'}
+""")["G"]
+
+
+@query(f"select rid + 1 as id, {spread('n', 20000)[0]} + 1 as n from {numbered}")
+def gen_unique_finite(spark, sf_dir):
+    """A unique field of a space of little more than its rows: a bijection, no rounds."""
+    return made(spark, sf_dir, "entities: {G: {id: int @primary, n: 'int @range(1..20000) @unique'}}")["G"]
+
+
 # ---- expressions over the tables ---------------------------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ not / in, calls and dotted paths. `if(c, a, b)`, `null`, `true` and `false` are
 from __future__ import annotations
 
 import ast
+import keyword
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -134,10 +135,17 @@ def _list_aggregate(name: str, v: Value) -> Value:
     return made[name]()
 
 
+#: Words of Python that are names here, unless they are operators of expressions.
+_WORDS = "|".join(sorted(set(keyword.kwlist) - {"and", "or", "not", "in", "is", "None", "True", "False"}))
+_NAMES = re.compile(rf"(\"[^\"]*\"|'[^']*')|\bif\s*\(|(?<=\.)(?:{'|'.join(keyword.kwlist)})\b|\b(?:{_WORDS})\b(?!\s*\()")
+_MARK = "__name"
+
+
 def parsed(text: str) -> ast.expr:
-    """The syntax tree of an expression."""
+    """The syntax tree of an expression; Python's own words may name fields."""
+    plain = _NAMES.sub(lambda m: m[0] if m[1] else "if_(" if m[0].endswith("(") else m[0] + _MARK, text.strip())
     try:
-        return ast.parse(re.sub(r"\bif\s*\(", "if_(", text.strip()), mode="eval").body
+        return ast.parse(plain, mode="eval").body
     except SyntaxError as e:
         raise ParseError(f"not an expression: {text}") from e
 
@@ -155,9 +163,9 @@ class Compiler:
 
     def path(self, node: ast.expr) -> tuple[str, ...] | None:
         if isinstance(node, ast.Name):
-            return (node.id,)
+            return (node.id.removesuffix(_MARK),)
         if isinstance(node, ast.Attribute) and (head := self.path(node.value)):
-            return (*head, node.attr)
+            return (*head, node.attr.removesuffix(_MARK))
         return None
 
     def value(self, node: ast.expr) -> Value:
@@ -209,7 +217,7 @@ class Compiler:
         a = self.value(left)
         if isinstance(op, (ast.In, ast.NotIn)):
             # Bare words in a list are enum values.
-            items = [self.value(x) if not isinstance(x, ast.Name) or x.id in ("null", "true", "false") else Value(F.lit(x.id), "str") for x in getattr(right, "elts", [])]
+            items = [self.value(x) if not isinstance(x, ast.Name) or x.id in ("null", "true", "false") else Value(F.lit(x.id.removesuffix(_MARK)), "str") for x in getattr(right, "elts", [])]
             inside = F.lit(False)
             for i in items:
                 inside = inside | a.col.eqNullSafe(i.col)
