@@ -28,11 +28,12 @@ HELD, ROW_PAIRS = 1 << 19, 1 << 14
 SENT = 1 << 21
 
 #: Segments, and characters of them, that a worker remembers before it starts anew.
-KNOWN, KNOWN_CHARS = 1 << 17, 1 << 23
+KNOWN, KNOWN_CHARS = 1 << 18, 1 << 23
 #: What may be or join white space for one encoder or another; a text is cut at no space beside it.
 _ODD = r"\s\x00-\x1f\x7f-\xa0\u180e\u200b-\u200f\u2028-\u202f\u205f-\u206f\u2581\ufeff"
 PROBE = " two  spaces, a ligature \ufb01, e\u0301 and a blank "
 CUT = re.compile(f"(?<=[^{_ODD}]) (?=[^{_ODD}])")
+WHOLE = re.compile(f"(?=[^{_ODD}]).*[^{_ODD}]", re.DOTALL)
 
 _CODES = pa.schema([("counts", pa.bool_()), ("row", pa.int64()), ("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string()), ("pairs", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))])
 
@@ -94,6 +95,7 @@ class Aligner:
         self.span = len(a.bytes) * self.width
         # What a token adds to the text of groups: its id and what stands behind it.
         self.text = [f"{i}{sep}".encode() for e, seps in ((a, ",|"), (b, ",;")) for sep in seps for i in range(len(e.bytes))]
+        self.length_text = np.array([len(x) for x in self.text], np.int64)
         self.cuts = a.cuts and b.cuts
         self.forget()
 
@@ -103,13 +105,17 @@ class Aligner:
         self.ends, self.pair, self.times = (np.zeros(0, np.int64) for _ in range(3))
 
     def learn(self, segments: list[str]) -> None:
-        for x, y in chunks(segments):
-            good, numbers, groups, link, times = self.align(segments[x:y])
-            self.place.update(zip(segments[x:y], range(len(self.groups), len(self.groups) + y - x), strict=True))
-            self.groups += groups
-            ends = np.cumsum(np.bincount(link // self.span, minlength=y - x)) + len(self.pair)
-            self.good, self.numbers, self.ends = np.append(self.good, good), np.concatenate([self.numbers, numbers]), np.append(self.ends, ends)
-            self.pair, self.times = np.append(self.pair, link % self.span), np.append(self.times, times)
+        """Remembers segments; those that may stand between two cuts are encoded as one text."""
+        plain = [s for s in segments if self.cuts and WHOLE.fullmatch(s)]
+        rest = segments if not plain else [s for s in segments if not WHOLE.fullmatch(s)]
+        for some, joined in ((plain, True), (rest, False)):
+            for x, y in chunks(some):
+                good, numbers, groups, link, times = self.align(some[x:y], joined)
+                self.place.update(zip(some[x:y], range(len(self.groups), len(self.groups) + y - x), strict=True))
+                self.groups += groups
+                ends = np.cumsum(np.bincount(link // self.span, minlength=y - x)) + len(self.pair)
+                self.good, self.numbers, self.ends = np.append(self.good, good), np.concatenate([self.numbers, numbers]), np.append(self.ends, ends)
+                self.pair, self.times = np.append(self.pair, link % self.span), np.append(self.times, times)
         self.chars += sum(map(len, segments))
 
     def documents(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -135,17 +141,29 @@ class Aligner:
         key, times = summed([(np.repeat(doc, size) * self.span + self.pair[link], np.repeat(n, size) * self.times[link])])
         return numbers, digests, key // self.span, key % self.span, times
 
-    def align(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    def encoded(self, texts: list[str], joined: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(the places of the texts that both encoders give back; the tokens of those, of A and of B; where the bytes of each end)."""
+        if joined:
+            text = " ".join(texts)
+            a, b = (e.encode([text])[0] for e in (self.a, self.b))
+            if b"".join(map(self.a.bytes.__getitem__, a)) == b"".join(map(self.b.bytes.__getitem__, b)) == b" " + text.encode():
+                size = np.array([len(t.encode()) for t in texts])
+                return np.arange(len(texts)), np.array(a, np.int64), np.array(b, np.int64), np.cumsum(size + 1)
+        ids_a, ids_b = self.a.encode(texts), self.b.encode(texts)
+        goals = [b" " + t.encode() for t in texts]
+        good = [i for i, g in enumerate(goals) if b"".join(map(self.a.bytes.__getitem__, ids_a[i])) == b"".join(map(self.b.bytes.__getitem__, ids_b[i])) == g]
+        a, b = (np.fromiter(chain.from_iterable(ids[i] for i in good), np.int64) for ids in (ids_a, ids_b))
+        return np.array(good, np.int64), a, b, np.cumsum([len(goals[i]) for i in good])
+
+    def align(self, texts: list[str], joined: bool) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
         """(whether both encoders give a text back; n_a, n_b, n_groups, n_links; the text of its groups; and the links, each
         distinct one once for each text, as place of the text * span + id pair, with the times it is there)."""
-        ids_a, ids_b = self.a.encode(texts), self.b.encode(texts)
-        same = [b"".join(map(self.a.bytes.__getitem__, a)) == b"".join(map(self.b.bytes.__getitem__, b)) == b" " + t.encode() for t, a, b in zip(texts, ids_a, ids_b, strict=True)]
-        good = np.flatnonzero(same)
+        good, a, b, last = self.encoded(texts, joined)
+        same = np.zeros(len(texts), bool)
+        same[good] = True
         numbers, groups = np.zeros((len(texts), 4), np.int64), [b""] * len(texts)
         if not len(good):
-            return np.array(same, bool), numbers, groups, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        count_a, count_b = (np.array([len(ids[i]) for i in good]) for ids in (ids_a, ids_b))
-        a, b = (np.fromiter(chain.from_iterable(ids[i] for i in good), np.int64) for ids in (ids_a, ids_b))
+            return same, numbers, groups, np.zeros(0, np.int64), np.zeros(0, np.int64)
         # The texts stand one behind the other; where one ends, both have an end.
         ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
         cuts = np.union1d(ends_a, ends_b)  # an elementary interval ends at each cut
@@ -154,8 +172,11 @@ class Aligner:
         group = np.cumsum(closes) - closes
         group_a, group_b = group[np.searchsorted(cuts, ends_a)], group[np.searchsorted(cuts, ends_b)]
         in_a, in_b = np.bincount(group_a), np.bincount(group_b)
-        doc = np.repeat(good, count_a)[np.cumsum(in_a) - in_a]  # of each group
-        numbers[good, 0], numbers[good, 1] = count_a, count_b
+        doc_a, doc_b = np.searchsorted(last, ends_a), np.searchsorted(last, ends_b)
+        count = np.bincount(doc_a, minlength=len(good)) + np.bincount(doc_b, minlength=len(good))
+        doc = good[doc_a[np.cumsum(in_a) - in_a]]  # of each group
+        numbers[good, 0] = np.bincount(doc_a, minlength=len(good))
+        numbers[good, 1] = count - numbers[good, 0]
         numbers[:, 2], numbers[:, 3] = np.bincount(doc, minlength=len(texts)), np.bincount(doc, in_a * in_b, len(texts))
 
         # Text of groups: a group's tokens of A, then those of B; the last of each has another sign behind it.
@@ -164,9 +185,11 @@ class Aligner:
         last_a, last_b = (np.append(g[1:] != g[:-1], True) for g in (group_a, group_b))
         code[np.arange(len(a)) + before_b[group_a]] = a + len(self.length_a) * last_a
         code[np.arange(len(b)) + through_a[group_b]] = b + 2 * len(self.length_a) + self.width * last_b
-        for i, (x, y) in zip(good, pairwise(np.concatenate([[0], np.cumsum(count_a + count_b)]).tolist()), strict=True):
-            groups[i] = b"".join(map(self.text.__getitem__, code[x:y].tolist()))[:-1]
-        return np.array(same, bool), numbers, groups, *self.links(a, b, in_a, in_b, doc)
+        text = b"".join(map(self.text.__getitem__, code.tolist()))
+        ends = np.cumsum(self.length_text[code])[np.cumsum(count) - 1]
+        for i, (x, y) in zip(good.tolist(), pairwise([0, *ends.tolist()]), strict=True):
+            groups[i] = text[x : y - 1]
+        return same, numbers, groups, *self.links(a, b, in_a, in_b, doc)
 
     def links(self, a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The distinct links of groups that have in_a and in_b of the tokens a and b, in order, as (doc, a, b) in one number,
