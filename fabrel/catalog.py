@@ -631,6 +631,43 @@ def gen_unique_finite(spark, sf_dir):
     return made(spark, sf_dir, "entities: {G: {id: int @primary, n: 'int @range(1..20000) @unique'}}")["G"]
 
 
+_alias = """
+    l as (select row_number() over (order by code, price, p_size) - 1 as slot, * from (select p_name as code, p_retailprice as price, p_size from part where p_size > 0)),
+    z as (select count(*) as n, sum(p_size)::BIGINT as total from l),
+    light as (select slot, gap, coalesce(sum(gap) over (order by slot rows between unbounded preceding and 1 preceding), 0)::BIGINT as low from (select slot, total - p_size::BIGINT * n as gap from l, z) where gap > 0),
+    heavy as (select slot, more, coalesce(sum(more) over (order by slot rows between unbounded preceding and 1 preceding), 0)::BIGINT as low, lead(slot) over (order by slot) as following from (select slot, p_size::BIGINT * n - total as more from l, z) where more > 0),
+    al as (select light.slot, total - gap as keep, heavy.slot as alias from z, light asof join heavy on light.low >= heavy.low
+           union all select h.slot, total + h.last + 1 - (light.low + light.gap), h.following from z, (select *, low + more - 1 as last from heavy) h asof join light on h.last >= light.low),
+    d as (select l.slot, coalesce(keep, total) as keep, l.code, l.price, coalesce(o.code, l.code) as other_code, coalesce(o.price, l.price) as other_price, n, total
+          from z, l left join al using (slot) left join l o on o.slot = al.alias)"""
+
+
+def _drawn(column: str, name: str) -> str:
+    return f"(select case when ({h(name, 'coin', 'g.rid')}) % total < keep then {column} else other_{column} end from d where d.slot = ({h(name, 'slot', 'g.rid')}) % n)"
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {"product": read(spark, sf_dir, "part").select(F.col("p_name").alias("code"), F.col("p_retailprice").alias("price"), F.col("p_size").alias("weight"))}
+
+
+@query(f"with {_alias} select rid + 1 as id, {_drawn('code', 'item.product')} as item from {numbered} g")
+def gen_list_weighted(spark, sf_dir):
+    """A semantic type that draws rows of a prepared list by their weights, through an alias table."""
+    from .plans.generate import generate
+
+    doc = parse_document(f"domain: x\nseed: {SEED}\nentities: {{G: {{id: int @primary, item: product.code}}}}")
+    return generate(spark, doc, volume={"G": read(spark, sf_dir, "customer").count()}, lists=_parts(spark, sf_dir))["G"]
+
+
+@query(f"with {_alias} select rid + 1 as id, {_drawn('code', 'bought.product')} as item, {_drawn('price', 'bought.product')} as price, {_drawn('code', 'gift.product')} as gift from {numbered} g")
+def gen_list_coherent(spark, sf_dir):
+    """The fields of a coherence group come from one row of a list; another field draws for itself."""
+    from .plans.generate import generate
+
+    doc = parse_document(f"domain: x\nseed: {SEED}\nentities: {{G: {{_coherence: {{bought: [item, price]}}, id: int @primary, item: product.code, price: product.price, gift: product.code}}}}")
+    return generate(spark, doc, volume={"G": read(spark, sf_dir, "customer").count()}, lists=_parts(spark, sf_dir))["G"]
+
+
 # ---- expressions over the tables ---------------------------------------------------------------------------------------
 
 

@@ -24,9 +24,11 @@ from ..functions.rng import Draw
 from ..functions.semantic import CITIES, area_code, email_of, person, phone, semantic, street, username_of, words
 from ..model import Document, Entity, Field, Rule, Type
 from ..operators.constraints import UNIQUE_ATTEMPTS, bounds_of, decorated, length_of, unique_values
+from ..operators.dimensions import LISTED, Dimension, dimension, list_of
 from ..operators.references import bridge, dereference, earlier_index, parent_index, with_keys
 from ..operators.rules import cardinality, count_bounds, cross_row, duplicates, fields_of, first_of_each
 from ..operators.totals import apportioned, running_sum
+from ..sources.files import prepared_lists
 from ..storage import written
 from .order import closure, entity_order, targets, volumes
 from .stages import Read, Stages, child_of, is_collection, names_in, own, share_rule, text_reads
@@ -73,6 +75,9 @@ class Generator:
     owners: dict[str, tuple[str, DataFrame]] = field(default_factory=dict)  # (reference, rows with __parent) of entities that are made as children
     even: set[tuple[str, str]] = field(default_factory=set)  # references that give each parent as many children, or one more
 
+    lists: dict[str, DataFrame] = field(default_factory=dict)  # prepared lists that semantic types draw from
+    dimensions: dict[str, Dimension | None] = field(default_factory=dict)
+
     def __post_init__(self) -> None:
         self.stages = Stages(self.doc, self.late_key)
 
@@ -197,7 +202,8 @@ class Generator:
         if t.kind == "prim":
             return self.primitive(t, f, d)
         if t.kind == "semantic":
-            x = semantic(t.name, t.items, d)
+            found = self.list_of(entity, f)
+            x = semantic(t.name, t.items, d) if found is None else F.col(f"`{found[0]}`")[found[2]]
             b = bounds_of(f)
             if t.name.startswith("currency") and (b.low is not None or b.high is not None or f.has("dist")):
                 return self.primitive(Type("prim", "float"), f, d)
@@ -334,7 +340,8 @@ class Generator:
         for n in names:
             f = entity.field(n)
             if f is not None:
-                out[n] = made.get(n, self.field(entity, f, self.draw(entity.name, n, rid, attempt)))
+                own = self.field(entity, f, self.draw(entity.name, n, rid, attempt))
+                out[n] = own if self.list_of(entity, f) else made.get(n, own)
         return out
 
     def copied(self, f: Field, source: Column, d: Draw) -> Column:
@@ -358,12 +365,36 @@ class Generator:
         """Fields that are columns: has-many and many-to-many ones live on the other side."""
         return [f for f in entity.fields if not is_collection(self.doc, f)]
 
+    def list_of(self, entity: Entity, f: Field) -> tuple[str, str, str] | None:
+        """(draw, list, column) of a semantic field that draws from a prepared list; the fields of a coherence group share a draw.
+        Fields within others, and unique ones, take the built-in values."""
+        t = f.type.items[0] if f.type.kind == "optional" else f.type
+        if not self.lists or entity.field(f.name) is not f or t.kind != "semantic" or f.has("unique", "primary", "dist"):
+            return None
+        found = list_of(t.name, {n: df.columns for n, df in self.lists.items()})
+        if found is None:
+            return None
+        if found[0] not in self.dimensions:
+            self.dimensions[found[0]] = dimension(self.lists[found[0]])
+        group = next((g for g, names in entity.coherence if f.name in names), None)
+        return None if self.dimensions[found[0]] is None else (f"__list.{group or f.name}.{found[0]}", *found)
+
+    def listed(self, entity: Entity, rows: DataFrame, attempt: Column) -> DataFrame:
+        """rows with the rows of prepared lists that their fields draw: a join for each draw."""
+        for f in self.stored(entity):
+            found = self.list_of(entity, f)
+            if found and found[0] not in rows.columns and f.name not in rows.columns:
+                rows = self.dimensions[found[1]].drawn(rows, self.draw(entity.name, found[0].removeprefix("__list."), F.col("_rid"), attempt), found[0])
+        return rows
+
     def plain(self, entity: Entity, rows: DataFrame, attempt: Column) -> DataFrame:
         rid = F.col("_rid")
         made: dict[str, Column] = {}
+        given = [n for n in rows.columns if n != "_rid"]
+        rows = self.listed(entity, rows, attempt)
         for group, names in entity.coherence:
             made |= self.bundle(entity, group, names, rid, attempt)
-        made |= {n: F.col(n) for n in rows.columns if n != "_rid"}
+        made |= {n: F.col(n) for n in given}
         fixed = entity.key.name if self.referred_to(entity) else None  # others know it by the row's number
         for f in self.stored(entity):
             if f.name not in made and not f.is_derived and not f.has("from") and (entity.name, f.name) not in self.stages.late:
@@ -789,9 +820,19 @@ class Generator:
         return {rule.entity} | {x.entity for t in (rule.check, rule.when) if t for x in text_reads(self.doc, entity, t)}
 
 
-def generate(spark: SparkSession, doc: Document, *, seed: int | None = None, volume: dict[str, int] | None = None, entity: str | None = None, now: datetime = NOW) -> dict[str, DataFrame]:
-    """The entities of doc (or one of them with all that it refers to), by name, in the document's order."""
-    g = Generator(spark, doc, doc.seed if seed is None else seed, volumes(doc, volume), now, fixed={*doc.volume, *(volume or {})})
+def lists_for(spark: SparkSession, doc: Document, folder: str) -> dict[str, DataFrame]:
+    """The prepared lists of a folder that the document's semantic types may draw from."""
+    types = {t.name for e in doc.entities.values() for f in e.fields for t in (f.type, *f.type.items) if isinstance(t, Type) and t.kind == "semantic"}
+    names = {n for t in types for n in (LISTED.get(t, ("",))[0], t, t.replace(".", "_"), t.partition(".")[0]) if n}
+    return prepared_lists(spark, folder, sorted(names))
+
+
+def generate(
+    spark: SparkSession, doc: Document, *, seed: int | None = None, volume: dict[str, int] | None = None, entity: str | None = None, now: datetime = NOW, lists: str | dict[str, DataFrame] | None = None
+) -> dict[str, DataFrame]:
+    """The entities of doc (or one of them with all that it refers to), by name, in the document's order. Semantic types draw from
+    `lists` (prepared lists by name, or the folder where they are) where a list fits them (`operators.dimensions.list_of`)."""
+    g = Generator(spark, doc, doc.seed if seed is None else seed, volumes(doc, volume), now, fixed={*doc.volume, *(volume or {})}, lists=lists_for(spark, doc, lists) if isinstance(lists, str) else dict(lists or {}))
     return g.run(closure(doc, entity) if entity else None)
 
 
