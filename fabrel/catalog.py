@@ -14,7 +14,7 @@ from .functions.patterns import WORDS, expand, uuid_of
 from .functions.rng import Draw
 from .functions.semantic import CITIES, DOMAINS, FIRST, LAST, email_of, luhn_card, person
 from .model import Decorator, Field, Rule, Type
-from .operators import lists, prepare, references, rules, tools
+from .operators import changes, lists, prepare, references, rules, tools
 from .operators.constraints import decorated, fitted, snapped, within
 from .sinks import csv_rows, display_rows, insert_batches, ndjson_rows
 from .sources.ddl import parse_document, parse_field
@@ -668,6 +668,68 @@ def gen_list_coherent(spark, sf_dir):
     return generate(spark, doc, volume={"G": read(spark, sf_dir, "customer").count()}, lists=_parts(spark, sf_dir))["G"]
 
 
+TREE = """
+domain: x
+entities:
+  Region: {r_regionkey: int @primary, r_name: string}
+  Nation:
+    _triggers: [{on: customers.c_acctbal, recompute: [total]}]
+    n_nationkey: int @primary
+    n_name: string
+    n_regionkey: ->Region @cascade
+    customers: "[Customer]"
+    total: float @derived(round(sum(customers.c_acctbal), 2))
+  Customer:
+    _triggers: [{on: c_acctbal, recompute: [tier], validate: [c_acctbal]}]
+    c_custkey: int @primary
+    c_nationkey: ->Nation @cascade
+    c_acctbal: float
+    tier: {type: string, compute: [{when: "c_acctbal > 5000", value: "'gold'"}, {else: "'plain'"}]}
+  Supplier: {s_suppkey: int @primary, s_nationkey: "->Nation? @set_null"}
+  Orders: {o_orderkey: int @primary, o_custkey: ->Customer @cascade}
+rules: [Customer.c_acctbal < 1000000 @strict]
+"""
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    take = lambda n, *c: read(spark, sf_dir, n.lower()).select(*c)
+    return {
+        "Region": take("Region", "r_regionkey", "r_name"), "Supplier": take("Supplier", "s_suppkey", "s_nationkey"), "Orders": take("Orders", "o_orderkey", "o_custkey"),
+        "Nation": take("Nation", "n_nationkey", "n_name", "n_regionkey", F.lit(0.5).alias("total")), "Customer": take("Customer", "c_custkey", "c_nationkey", "c_acctbal", F.lit("old").alias("tier")),
+    }
+
+
+_left_nations = "(select n_nationkey from nation where n_regionkey <> 1)"
+
+
+@query(f"select 'order' as kind, o_orderkey as key, o_custkey as of from orders where o_custkey in (select c_custkey from customer where c_nationkey in {_left_nations}) union all select 'supplier', s_suppkey, case when s_nationkey in {_left_nations} then s_nationkey end from supplier")
+def tool_delete_cascade(spark, sf_dir):
+    """A region is deleted; nations, their customers and their orders go with it, suppliers lose their nation."""
+    tables = _tree(spark, sf_dir)
+    out = changes.apply_changes(tables, parse_document(TREE), [changes.Change("Region", "delete", tables["Region"].where("r_regionkey = 1"))])
+    orders = out["Orders"].select(F.lit("order").alias("kind"), F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("of"))
+    return orders.unionByName(out["Supplier"].select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("key"), F.col("s_nationkey").cast("long").alias("of")))
+
+
+def _updated(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    tables = _tree(spark, sf_dir)
+    more = tables["Customer"].where("c_custkey % 7 = 0 and c_nationkey < 12").select("c_custkey", (F.round(F.col("c_acctbal") + 1000, 2)).alias("c_acctbal"))
+    return changes.apply_changes(tables, parse_document(TREE), [changes.Change("Customer", "update", more)])
+
+
+@query("select c_custkey, case when hit then round(c_acctbal + 1000, 2) else c_acctbal end as c_acctbal, case when not hit then 'old' when round(c_acctbal + 1000, 2) > 5000 then 'gold' else 'plain' end as tier from (select *, c_custkey % 7 = 0 and c_nationkey < 12 as hit from customer)")
+def tool_update_trigger(spark, sf_dir):
+    """An update computes the fields anew that its triggers name, in the touched rows only."""
+    return _updated(spark, sf_dir)["Customer"].select("c_custkey", "c_acctbal", "tier")
+
+
+@query("""with t as (select c_nationkey, sum(case when c_custkey % 7 = 0 and c_nationkey < 12 then round(c_acctbal + 1000, 2) else c_acctbal end) as total, bool_or(c_custkey % 7 = 0 and c_nationkey < 12) as hit from customer group by 1)
+    select n_nationkey, round(case when hit then round(total, 2) else 0.5 end, 2) as total from nation left join t on c_nationkey = n_nationkey""")
+def tool_update_parents(spark, sf_dir):
+    """Parents of touched rows sum up their children anew; the others keep what they have."""
+    return _updated(spark, sf_dir)["Nation"].select("n_nationkey", F.round("total", 2).alias("total"))
+
+
 # ---- expressions over the tables ---------------------------------------------------------------------------------------
 
 

@@ -552,6 +552,7 @@ class Generator:
 
     def derive_all(self, entity: Entity, df: DataFrame, left: list[Field]) -> DataFrame:
         """df with derived fields, those first whose inputs in the row are there, else in the order of the document."""
+        left = list(left)
         while left:
             names = {f.name for f in left}
             ready = next((f for f in left if not {r.field for r in self.stages.reads.get((entity.name, f.name), ()) if r.local} & (names - {f.name})), None)
