@@ -14,7 +14,7 @@ from .functions.patterns import WORDS, expand, uuid_of
 from .functions.rng import Draw
 from .functions.semantic import CITIES, DOMAINS, FIRST, LAST, email_of, luhn_card, person
 from .model import Decorator, Field, Rule, Type
-from .operators import changes, lists, prepare, references, rules, tools
+from .operators import changes, gazetteer, lists, prepare, references, rules, taxonomy, tools
 from .operators.constraints import decorated, fitted, snapped, within
 from .sinks import csv_rows, display_rows, insert_batches, ndjson_rows
 from .sources.ddl import parse_document, parse_field
@@ -730,6 +730,40 @@ def tool_update_parents(spark, sf_dir):
     return _updated(spark, sf_dir)["Nation"].select("n_nationkey", F.round("total", 2).alias("total"))
 
 
+# ---- names in texts, taxonomies ----------------------------------------------------------------------------------------
+
+
+@query("""with t as (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') as w from documents),
+    p as (select words, min(doc_id) as place from (select doc_id, array_to_string(w[1:n], ' ') as words from t, (values (2), (3)) v(n) where len(w) >= n) group by 1),
+    r as (select doc_id, unnest(range(1, len(w) - n + 2)) as pos, n, w from t, (values (2), (3)) v(n) where len(w) >= n),
+    m as (select r.doc_id, p.place, row_number() over (partition by r.doc_id order by n desc, length(words) desc, pos, words) as k from r join p on p.words = array_to_string(w[pos:pos + n - 1], ' '))
+    select t.doc_id, place from t left join m on m.doc_id = t.doc_id and k = 1""")
+def text_longest_name(spark, sf_dir):
+    """The longest of many names in each text; names are the first two and three words of all documents."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    words = gazetteer.words_of(F.col("text"))
+    names = docs.select("doc_id", F.explode(F.array(*[F.when(F.size(words) >= n, F.array_join(F.slice(words, 1, n), " ")) for n in (2, 3)])).alias("name")).where("name IS NOT NULL")
+    return gazetteer.longest_name(docs, "doc_id", "text", names.select("doc_id", "name"), "name").select("doc_id", F.col("place.doc_id").alias("place"))
+
+
+@query("""with recursive n as (select c_custkey as id, case when c_custkey >= 3 and c_custkey % 40 <> 7 then c_custkey // 3 end as up from customer),
+    l as (select id, up, id::VARCHAR as line, 0 as depth from n where up is null or up not in (select id from n)
+          union all select n.id, n.up, l.line || '>' || n.id, depth + 1 from n join l on n.up = l.id)
+    select id, depth, split_part(line, '>', 1)::BIGINT as root, line from l""")
+def taxonomy_lineage(spark, sf_dir):
+    """The line of ancestors of each node of a tree, by doubling."""
+    nodes = read(spark, sf_dir, "customer").selectExpr("c_custkey as id", "case when c_custkey >= 3 and c_custkey % 40 <> 7 then c_custkey div 3 end as parent")
+    return taxonomy.lineage(nodes).select("id", "depth", "root", F.array_join(F.col("line").cast("array<string>"), ">").alias("line"))
+
+
+@query("select n.n_nationkey as id, r_name as name from nation n join region on r_regionkey = n.n_regionkey where n_regionkey < 4 order by 1 limit 12")
+def taxonomy_names_nodes(spark, sf_dir):
+    """Nodes with their names of one kind, up to a number of them."""
+    nodes = read(spark, sf_dir, "nation").selectExpr("n_nationkey as id", "n_regionkey")
+    names = nodes.join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("id", F.col("r_name").alias("name"), F.when(F.col("n_regionkey") < 4, "scientific name").otherwise("synonym").alias("kind"))
+    return taxonomy.named_nodes(nodes, names, limit=12).select("id", "name")
+
+
 # ---- expressions over the tables ---------------------------------------------------------------------------------------
 
 

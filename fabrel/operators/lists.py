@@ -1,17 +1,19 @@
 """Jobs that make prepared lists of public source tables.
 
 A job takes tables that `sources.files` has read and returns the list; its docstring names the columns that it reads. `probed`
-finds them where sources name them differently. `prepare_lists` runs jobs and writes the lists where `prepared_lists` reads them.
+finds them where sources name them differently. `prepare_lists` runs jobs and publishes the lists where `prepared_lists` reads
+them; a `Registry` names them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sinks.documents import write_json_parts
+from ..sinks.publish import manifest, publish
 from ..storage import Scratch
 from .prepare import last_segment, lookup, prefix_rollup, top
 
@@ -152,9 +154,9 @@ def titles(df: DataFrame, kinds: Sequence[str], k: int) -> DataFrame:
 
 
 def prepare_lists(jobs: Mapping[str, Callable[[], DataFrame]], folder: str) -> dict[str, str]:
-    """Runs jobs one after another and writes each list, sorted by its columns, as `<folder>/<name>.json`.
+    """Runs jobs one after another and publishes each list, sorted by its columns, in the folder (`sinks.publish`).
 
-    Returns {name: error} of the jobs that failed; their older lists stay, as a list is replaced only once its rows are made. If
+    Returns {name: error} of the jobs that failed; their older lists stay, as readers see a list only once it is written whole. If
     every job fails, ValueError tells all errors.
     """
     failed: dict[str, str] = {}
@@ -162,10 +164,44 @@ def prepare_lists(jobs: Mapping[str, Callable[[], DataFrame]], folder: str) -> d
         try:
             df = job()
             made = Scratch(df.sparkSession, f"list-{name}")
-            write_json_parts(made.written(df, "rows").orderBy(*[f"`{c}`" for c in df.columns]), f"{folder}/{name}.json")
+            rows = made.written(df, "rows").orderBy(*[f"`{c}`" for c in df.columns])
+            publish(df.sparkSession, folder, {name: lambda path, rows=rows: write_json_parts(rows, path)})
             made.drop("rows")
         except Exception as e:  # noqa: BLE001 - one source's failure must not stop the others
             failed[name] = f"{type(e).__name__}: {e}"
     if jobs and len(failed) == len(jobs):
         raise ValueError(f"no list could be prepared: {failed}")
     return failed
+
+
+class Registry:
+    """Named jobs with the lists that they make: what there is, what is there, and a run of some of them."""
+
+    def __init__(self) -> None:
+        self.jobs: dict[str, tuple[str, str, Callable[[], DataFrame]]] = {}
+
+    def add(self, name: str, job: Callable[[], DataFrame], *, group: str = "", description: str = "") -> None:
+        if name in self.jobs:
+            raise ValueError(f"{name} is there already")
+        self.jobs[name] = (group, description or (job.__doc__ or "").strip().split("\n")[0], job)
+
+    def names(self, group: str | None = None) -> list[str]:
+        return [n for n, (g, _, _) in self.jobs.items() if group in (None, g)]
+
+    def info(self, spark: SparkSession, folder: str) -> DataFrame:
+        """(name, group, description, rows, columns) of each job; rows and columns are null where its list is not in the folder."""
+        there = manifest(spark, folder)
+        told = []
+        for name, (group, description, _) in self.jobs.items():
+            rows = columns = None
+            if name in there:
+                df = spark.read.json(f"{folder}/{there[name]}", multiLine=True)
+                rows, columns = df.count(), ", ".join(df.columns)
+            told.append((name, group, description, rows, columns))
+        return spark.createDataFrame(told, "name string, group string, description string, rows long, columns string")
+
+    def update(self, folder: str, *, names: Sequence[str] | None = None, group: str | None = None) -> dict[str, str]:
+        """Runs the named jobs, those of a group, or all; the errors of those that failed."""
+        if unknown := set(names or ()) - self.jobs.keys():
+            raise ValueError(f"unknown: {', '.join(sorted(unknown))}")
+        return prepare_lists({n: self.jobs[n][2] for n in (names or self.names(group))}, folder)

@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sinks.publish import manifest
+
 from ..storage import written
 
 
@@ -102,12 +104,12 @@ def zipped(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
 
 
 def prepared_lists(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[str, DataFrame]:
-    """Prepared JSON lists (a file `<name>.json` holds an array of objects) of a folder, by name. Lists that are missing or
-    cannot be read are left out, so a caller falls back to the built-in ones."""
-    out = {}
+    """Prepared JSON lists of a folder, by name: what is published there, else a file `<name>.json` that holds an array of objects.
+    Lists that are missing or cannot be read are left out, so a caller falls back to the built-in ones."""
+    out, versions = {}, manifest(spark, folder)
     for name in names:
         try:
-            df = spark.read.json(f"{folder}/{name}.json", multiLine=True, mode="PERMISSIVE")
+            df = spark.read.json(f"{folder}/{versions.get(name, f'{name}.json')}", multiLine=True, mode="PERMISSIVE")
         except AnalysisException:  # no such file
             continue
         if set(df.columns) - {"_corrupt_record"}:
