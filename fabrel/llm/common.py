@@ -20,6 +20,8 @@ CHUNK_BYTES = 1 << 19
 BATCH_ROWS = 1000
 #: Column of the key of a row.
 ROW = "__row"
+#: Keys of many rows that a join broadcasts, at most; and how many rows a key has for that, at least.
+HOT_KEYS, HOT_ROWS = 200_000, 1000
 #: Bits of a filter of keys: 2**FILTER_BITS.
 FILTER_BITS = 23
 
@@ -137,11 +139,11 @@ def met(df: DataFrame, column: str, bits: np.ndarray, *, want: bool = True) -> D
 def looked_up(rows: DataFrame, facts: DataFrame, on: list[str], total: int, how: str = "inner") -> DataFrame:
     """rows joined with facts, which has one row for each key `on` and `__n`, how many of the `total` rows have it.
 
-    Keys of more than a thousandth of the rows (1000 at least) are broadcast: there are below a thousand of them, whatever
-    the input, and their rows stay where they are. The others are few rows each and are joined by a shuffle. Both tables
-    are read twice, so they should be written ones.
+    Keys of more than a 200,000th of the rows (HOT_ROWS at least) are broadcast: there are below HOT_KEYS of them, whatever
+    the input, and their rows stay where they are. The others have few rows each, 5 in a million of all at most, less than a
+    task's share, and are joined by a shuffle. Both tables are read twice, so they should be written ones.
     """
-    most = max(1000, total // 1000)
+    most = max(HOT_ROWS, total // HOT_KEYS)
     hot = facts.where(F.col("__n") > most).drop("__n")
     cold = facts.where(F.col("__n") <= most).drop("__n")
     rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how)

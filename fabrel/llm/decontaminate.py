@@ -204,11 +204,13 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, *, rate: float = EDIT_
     An item stands where some stretch of the text is within rate * length edits of it (bytes; A-Z as a-z, runs of
     blanks as one). edits is the least of all places, end the byte of the text behind the first of those. Null and
     empty texts hold nothing; null and short (under Q bytes) items stand nowhere. Rows that share an id count together.
-    The benchmark goes out in blocks of bounded size, so it may grow; documents are never shuffled.
+    Repeated rows of the benchmark count once. It goes out in blocks of bounded size, so it may grow; documents are never
+    shuffled.
     """
     spark = docs.sparkSession
     small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.octet_length("text") >= Q)
+    items = written(items.distinct(), "items")  # else copies of a row would share a block
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("edits", pa.int32()), ("end", pa.int64())])

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fabrel.llm import decontaminate, license_scan, quality
+from fabrel.llm import common, decontaminate, license_scan, quality
 from fabrel.llm.decontaminate import contaminations, decontaminated, fold
 from fabrel.llm.license_scan import PHRASES, scan_licenses, signature_rules
 from fabrel.llm.quality import ACCEPT, score_documents, train
@@ -273,3 +273,27 @@ def test_leaks_of_items_and_texts_of_one_repeated_letter(spark):
     docs = [(1, "a" * 60_000), (2, "b" * 50_000), (3, "x " * 400_000 + "the quick brown fox jumps over it"), (4, "item number 00077"), (5, None)]
     out = contaminations(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string"), rate=0.0).collect()
     assert sorted((x.doc_id, x.item_id) for x in out) == [(1, 1), (3, 2), (4, 87)]
+
+
+def test_repeated_benchmark_rows_are_one_item_of_one_block(spark, monkeypatch):
+    """Copies of an item neither fill a block nor count again."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
+    item = "the quick brown fox jumps over the lazy dog once more"
+    items = spark.createDataFrame([(1, item)] * 50 + [(2, item), (3, "an unrelated sentence of the benchmark")], "item_id long, text string")
+    built = []
+    make = decontaminate.build_index
+    monkeypatch.setattr(decontaminate, "build_index", lambda rows, **how: built.append(len(rows)) or make(rows, **how))
+    found = decontaminate.contaminations(spark.createDataFrame([(7, f"Well, {item}!")], "doc_id long, text string"), items)
+    assert sorted((r["doc_id"], r["item_id"], r["edits"], r["n_places"]) for r in found.collect()) == [(7, 1, 0, 1), (7, 2, 0, 1)]
+    assert sum(built) == 3
+
+
+@pytest.mark.parametrize("most", [1, 3, 1000])
+def test_hot_keys_of_a_join(spark, monkeypatch, most):
+    """Keys above the bound are met by broadcast, the others by a shuffle, with equal rows; few keys are broadcast."""
+    monkeypatch.setattr(common, "HOT_ROWS", most)
+    monkeypatch.setattr(common, "HOT_KEYS", 10)
+    rows = spark.createDataFrame([(k, i) for k in range(12) for i in range(k)], "k long, i long")
+    facts = spark.createDataFrame([(k, k, k * k) for k in range(1, 12)], "k long, __n long, sq long")
+    found = sorted(tuple(r) for r in common.looked_up(rows, facts, ["k"], 66).select("k", "i", "sq").collect())
+    assert found == sorted((k, i, k * k) for k in range(12) for i in range(k))
