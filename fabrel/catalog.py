@@ -54,6 +54,14 @@ def h(name: str, salt: str = "", rid: str = "rid", entity: str = "G", attempt: i
     return f"('0x' || substr(md5(concat_ws('|', '{SEED}|{entity}|{name}', ({rid})::VARCHAR, '{salt}', '{attempt}')), 1, 13))::BIGINT"
 
 
+def rows_of(spark: SparkSession, sf_dir: str, fields: str, *, types: str = "") -> DataFrame:
+    """Rows of an entity G of these fields, for the customers' keys as row numbers."""
+    from .streaming import entity_rows
+
+    doc = parse_document(f"domain: x\nseed: {SEED}\ntypes: {{{types}}}\nentities: {{G: {{{fields}}}}}")
+    return entity_rows(spark, doc, "G", people(spark, sf_dir).withColumnRenamed("rid", "_rid")).withColumnRenamed("_rid", "rid")
+
+
 def u(name: str, salt: str = "", rid: str = "rid", entity: str = "G") -> str:
     return f"(({h(name, salt, rid, entity)})::DOUBLE / 4503599627370496.0)"
 
@@ -79,52 +87,47 @@ def spread(text: str, total: int, rid: str = "rid") -> tuple[str, int]:
 
 @query(f"select rid, 18 + ({h('a', 'v')}) % 48 as age" + FROM)
 def gen_int_range(spark, sf_dir):
-    return people(spark, sf_dir).select("rid", draw("a").integer(18, 65, "v").alias("age"))
+    return rows_of(spark, sf_dir, "a: int @range(18..65)").select("rid", F.col("a").alias("age"))
 
 
 @query(f"select rid, round((1.0::DOUBLE + {u('f', 'v')} * 499.0::DOUBLE) * 100) / 100.0::DOUBLE as price" + FROM)
 def gen_float_range(spark, sf_dir):
-    x = F.lit(1.0) + draw("f").u("v") * F.lit(499.0)
-    return people(spark, sf_dir).select("rid", scaled_round(x, 2).alias("price"))
+    return rows_of(spark, sf_dir, "f: float @range(1..500)").select("rid", F.col("f").alias("price"))
 
 
 @query(f"select rid, (round({u('d', 'v')} * 5.0::DOUBLE * 10) / 10.0::DOUBLE)::DECIMAL(3,1)::VARCHAR as rating" + FROM)
 def gen_decimal(spark, sf_dir):
-    return people(spark, sf_dir).select("rid", scaled_round(draw("d").u("v") * F.lit(5.0), 1).cast("decimal(3,1)").cast("string").alias("rating"))
+    return rows_of(spark, sf_dir, "d: 'decimal(3,1) @range(0..5)'").select("rid", F.col("d").cast("string").alias("rating"))
 
 
 @query(f"select rid, {u('b', 'v')} < 0.5 as flag" + FROM)
 def gen_bool(spark, sf_dir):
-    return people(spark, sf_dir).select("rid", draw("b").chance(0.5, "v").alias("flag"))
+    return rows_of(spark, sf_dir, "b: bool").select("rid", F.col("b").alias("flag"))
 
 
 @query(f"select rid, date '2020-01-01' + (({h('day', 'v')}) % 2190)::INTEGER as day" + FROM)
 def gen_date(spark, sf_dir):
-    return people(spark, sf_dir).select("rid", F.date_add(F.lit("2020-01-01").cast("date"), (draw("day").h("v") % 2190).cast("int")).alias("day"))
+    return rows_of(spark, sf_dir, "day: date").select("rid", "day")
 
 
 @query(f"select rid, timestamp '2020-01-01 00:00:00' + to_seconds(({h('ts', 'v')}) % 189388800) as moment" + FROM)
 def gen_datetime(spark, sf_dir):
-    s = (draw("ts").h("v") % 189_388_800).cast("int")
-    return people(spark, sf_dir).select("rid", F.timestamp_add("SECOND", s, F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")).alias("moment"))
+    return rows_of(spark, sf_dir, "ts: datetime").select("rid", F.col("ts").alias("moment"))
 
 
 @query("select rid, " + " || ':' || ".join(f"lpad((({h('tm', s)}) % {n})::VARCHAR, 2, '0')" for s, n in (("h", 24), ("m", 60), ("s", 60))) + " as clock" + FROM)
 def gen_time(spark, sf_dir):
-    d = draw("tm")
-    two = lambda n, s: F.lpad((d.h(s) % n).cast("string"), 2, "0")
-    return people(spark, sf_dir).select("rid", F.concat_ws(":", two(24, "h"), two(60, "m"), two(60, "s")).alias("clock"))
+    return rows_of(spark, sf_dir, "tm: time").select("rid", F.col("tm").alias("clock"))
 
 
 @query(f"select rid, 'PT' || (({h('du', 'h')}) % 72)::VARCHAR || 'H' || (({h('du', 'm')}) % 60)::VARCHAR || 'M' as lasting" + FROM)
 def gen_duration(spark, sf_dir):
-    d = draw("du")
-    return people(spark, sf_dir).select("rid", F.concat(F.lit("PT"), (d.h("h") % 72).cast("string"), F.lit("H"), (d.h("m") % 60).cast("string"), F.lit("M")).alias("lasting"))
+    return rows_of(spark, sf_dir, "du: duration").select("rid", F.col("du").alias("lasting"))
 
 
 @query(f"select rid, {pick(('red', 'green', 'blue', 'yellow'), 'c', 'v')} as color" + FROM)
 def gen_enum_uniform(spark, sf_dir):
-    return people(spark, sf_dir).select("rid", draw("c").pick(("red", "green", "blue", "yellow"), "v").alias("color"))
+    return rows_of(spark, sf_dir, "c: 'enum(red, green, blue, yellow)'").select("rid", F.col("c").alias("color"))
 
 
 @query(f"select rid, case when {u('t', 'v')} < 0.7 then 'free' when {u('t', 'v')} < 0.95 then 'pro' else 'enterprise' end as tier" + FROM)
@@ -236,15 +239,12 @@ def gen_unique_pattern(spark, sf_dir):
 
 @query(f"select rid, case when {u('o', 'null')} < 0.3 then null else ({h('o', 'v')}) % 100 end as score" + FROM)
 def gen_null_rate(spark, sf_dir):
-    d = draw("o")
-    return people(spark, sf_dir).select("rid", F.when(d.chance(0.3, "null"), F.lit(None)).otherwise(d.h("v") % 100).alias("score"))
+    return rows_of(spark, sf_dir, "o: int @range(0..99) @null_rate(0.3)").select("rid", F.col("o").alias("score"))
 
 
 @query(f"select rid, coalesce(case when {u('df', 'null')} < 0.3 then null else {pick(('active', 'disabled'), 'df', 'v')} end, 'pending') as status" + FROM)
 def gen_default(spark, sf_dir):
-    d = draw("df")
-    x = F.when(d.chance(0.3, "null"), F.lit(None)).otherwise(d.pick(("active", "disabled"), "v"))
-    return people(spark, sf_dir).select("rid", decorated(x, parse_field("status", '"string" @default("pending")'.replace('"string"', "string")), d, "string").alias("status"))
+    return rows_of(spark, sf_dir, "df: 'enum(active, disabled) @null_rate(0.3) @default(pending)'").select("rid", F.col("df").alias("status"))
 
 
 @query(f"select rid, {pick(('electronics', 'clothing', 'food'), 'va', 'values')} as category" + FROM)
@@ -312,10 +312,9 @@ def gen_email_from_name(spark, sf_dir):
     return people(spark, sf_dir).select("rid", email_of(F.concat_ws(" ", *person(d)), d).alias("email"))
 
 
-@query("select rid, " + ", ".join(f"{pick([c[i] for c in CITIES], 'loc', 'row')} as {n}" for i, n in ((0, "city"), (1, "state"), (2, "zip"), (3, "timezone"))) + FROM)
+@query("select rid, " + ", ".join(f"{pick([c[i] for c in CITIES], 'group:loc', 'row')} as {n}" for i, n in ((0, "city"), (1, "state"), (2, "zip"), (3, "timezone"))) + FROM)
 def gen_location_bundle(spark, sf_dir):
-    d = draw("loc")
-    return people(spark, sf_dir).select("rid", *[d.pick([c[i] for c in CITIES], "row").alias(n) for i, n in ((0, "city"), (1, "state"), (2, "zip"), (3, "timezone"))])
+    return rows_of(spark, sf_dir, "_coherence: {loc: [city, state, zip, timezone]}, city: string, state: string, zip: string, timezone: string").select("rid", "city", "state", "zip", "timezone")
 
 
 def _luhn_sql() -> str:
@@ -730,6 +729,19 @@ def tool_update_parents(spark, sf_dir):
     return _updated(spark, sf_dir)["Nation"].select("n_nationkey", F.round("total", 2).alias("total"))
 
 
+_int = lambda salt, name: f"(({h(name, salt)}) % 2000001 - 1000000)"
+
+
+@query(f"""select rid, case ({h('l', 'len')}) % 3 + 1 when 1 then [{_int('0.v', 'l')}] when 2 then [{_int('0.v', 'l')}, {_int('1.v', 'l')}] else [{_int('0.v', 'l')}, {_int('1.v', 'l')}, {_int('2.v', 'l')}] end::VARCHAR as items,
+    {_int('0.v', 't')} as first, {u('t', '1.v')} < 0.5 as second, case when ({h('x', 'branch')}) % 2 = 0 then {_int('0.v', 'x')} end as number, case when ({h('x', 'branch')}) % 2 = 1 then {u('x', '1.v')} < 0.5 end as flag, {pick(('a', 'b'), 's', 'part.v')} as part""" + FROM)
+def gen_compound(spark, sf_dir):
+    """Lists, tuples, named structures, and unions, which are variants: each branch reads back as its own type."""
+    made = rows_of(spark, sf_dir, "l: '[int] @len(1..3)', t: '(int, bool)', x: 'int | bool', s: Inner", types="Inner: {part: 'enum(a, b)'}")
+    kind, shown = F.schema_of_variant("x"), F.concat(F.lit("["), F.array_join(F.col("l").cast("array<string>"), ", "), F.lit("]"))
+    of = lambda t, k: F.when(kind == k, F.try_variant_get("x", "$", t))
+    return made.select("rid", shown.alias("items"), F.col("t._1").alias("first"), F.col("t._2").alias("second"), of("bigint", "BIGINT").alias("number"), of("boolean", "BOOLEAN").alias("flag"), F.col("s.part").alias("part"))
+
+
 # ---- names in texts, taxonomies ----------------------------------------------------------------------------------------
 
 

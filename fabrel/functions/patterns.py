@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from datetime import UTC
 from math import gcd
 
 from pyspark.sql import Column
@@ -26,6 +27,26 @@ def uuid_of(text: Column) -> Column:
     return F.concat(cut(1, 8), F.lit("-"), cut(9, 4), F.lit("-4"), cut(14, 3), F.lit("-"), variant, cut(18, 3), F.lit("-"), cut(21, 12))
 
 
+def _base(text: Column, alphabet: str, n: int) -> Column:
+    """n characters of an alphabet, two hex digits of the SHA-256 of text for each."""
+    h = F.sha2(text, 256)
+    return F.concat(*[F.substring(F.lit(alphabet), (F.conv(F.substring(h, 2 * k + 1, 2), 16, 10).cast("int") % len(alphabet) + 1).cast("int"), F.lit(1)) for k in range(n)])
+
+
+def ulid_of(text: Column, now) -> Column:
+    """26 characters of Crockford's base 32: ten for the milliseconds of `now` (UTC), the others from text."""
+    digits, left, head = "0123456789ABCDEFGHJKMNPQRSTVWXYZ", int(now.replace(tzinfo=UTC).timestamp() * 1000), ""
+    for _ in range(10):
+        left, k = divmod(left, 32)
+        head = digits[k] + head
+    return F.concat(F.lit(head), _base(text, digits, 16))
+
+
+def cuid_of(text: Column) -> Column:
+    """`c` and 24 characters in base 36 from text."""
+    return F.concat(F.lit("c"), _base(text, "0123456789abcdefghijklmnopqrstuvwxyz", 24))
+
+
 def _alphabet(slot: str) -> str | None:
     for letters, pattern in (("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A+"), ("abcdefghijklmnopqrstuvwxyz", "a+"), ("0123456789", "0+"), ("0123456789ABCDEF", "#+")):
         if re.fullmatch(pattern, slot):

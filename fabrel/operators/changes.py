@@ -79,7 +79,7 @@ def _create(state: Tables, doc: Document, entity: Entity, rows: DataFrame, now:
     made = []
     for c in old.columns:
         f = entity.field(c)
-        given = F.lit(f.get("default").args[0]) if f and f.has("default") else stamps.get(c, F.lit(None))
+        given = F.lit(tools.defaults[c]) if c in tools.defaults else F.lit(f.get("default").args[0]) if f and f.has("default") else stamps.get(c, F.lit(None))
         made.append((F.col(f"`{c}`") if c in rows.columns else given).cast(old.schema[c].dataType).alias(c))
     new = written(rows.select(*made), f"create-{entity.name}")
     _once(new, key, f"create {entity.name}")

@@ -118,7 +118,7 @@ def decorated(x: Column, f: Field, d: Draw, spark_type: str) -> Column:
         y = within(x if whole else x.cast("double"), low, high, whole=whole)
         if b.step:
             y = snapped(y, b.step, low, high, whole=whole)
-        x = y.cast(spark_type)
+        x = F.when(x.isNotNull(), y.cast(spark_type))  # bounds leave null alone
     return x
 
 

@@ -24,6 +24,8 @@ class Tools:
     sorts: list[str] = field(default_factory=list)
     search: list[str] = field(default_factory=list)
     page: int = PAGE
+    max_page: int | None = None
+    defaults: dict[str, Any] = field(default_factory=dict)
     required: list[str] = field(default_factory=list)
     optional: list[str] = field(default_factory=list)
     mutable: list[str] = field(default_factory=list)
@@ -67,11 +69,21 @@ def infer(doc: Document, entity: Entity) -> Tools:
     t.children = [(e.name, f.name) for e in doc.entities.values() for f in e.fields if f.type.kind == "ref" and f.type.name == entity.name]
     for key, value in (doc.tools.get(entity.name) or {}).items():
         spec = value if isinstance(value, dict) else {}
-        if value is False and key in t.operations:
-            t.operations.remove(key)
-        if key == "list":
-            t.filters, t.sorts, t.search = (list(spec.get(k, getattr(t, a))) for k, a in (("filters", "filters"), ("sort", "sorts"), ("search", "search")))
-            t.page = int(spec.get("page_size", t.page))
+        if value in (False, "disabled") or spec.get("strategy") == "disabled":
+            t.operations = [o for o in t.operations if o != key]
+            t.delete = None if key == "delete" else t.delete
+        elif key == "list":
+            t.filters, t.sorts, t.search = list(spec.get("filters", t.filters)), list(spec.get("sorts", spec.get("sort", t.sorts))), list(spec.get("search", t.search))
+            t.page, t.max_page = int(spec.get("page_size", t.page)), spec.get("max_page_size")
+        elif key == "create":
+            t.defaults = dict(spec.get("defaults", {}))
+            t.required = [n for n in spec.get("required", t.required) if n not in t.defaults]
+            known = [*t.optional, *t.defaults, *(n for n in t.mutable if n not in t.required)]
+            t.optional = [n for n in dict.fromkeys(spec.get("optional", known)) if n not in t.required] + [n for n in t.defaults if n not in spec.get("optional", known)]
+        elif key == "update":
+            t.mutable = [n for n in spec.get("mutable", t.mutable) if n not in spec.get("immutable", ())]
+        elif key == "delete":
+            t.delete = spec.get("strategy", t.delete)
     return t
 
 

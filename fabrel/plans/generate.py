@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..errors import ConstraintViolation, GenerationError, UniquenessExhausted
 from ..functions.distributions import sample
 from ..functions.expressions import Compiler, Value, columns_of, compute, default_chain, display, kind_of, parsed
-from ..functions.patterns import expand, is_template, spread, uuid_of
+from ..functions.patterns import cuid_of, expand, is_template, spread, ulid_of, uuid_of
 from ..functions.regexes import Regex, is_regex
 from ..functions.rng import Draw
 from ..functions.semantic import CITIES, area_code, email_of, person, phone, semantic, street, username_of, words
@@ -42,7 +42,14 @@ DESCRIBING = frozenset("index immutable sortable filterable searchable hidden se
 SPAN = 4
 
 
+def as_variant(c: Column, t: Type) -> Column:
+    """A value as a variant, which keeps its own type."""
+    return F.to_variant_object(c) if t.kind in ("list", "map", "tuple", "poly") else c.cast("variant")
+
+
 def spark_type(t: Type) -> str:
+    if t.kind == "union" or (t.kind == "prim" and t.name == "any"):
+        return "variant"
     if t.kind == "prim":
         bits = {"8": "tinyint", "16": "smallint", "32": "int"}
         if t.name == "int":
@@ -99,7 +106,18 @@ class Generator:
             return expand(p.args[0], d, distinct=True)
         if spark_type(f.type) in ("long", "int", "smallint", "tinyint"):
             return (rid + 1).cast(spark_type(f.type))
-        return uuid_of(F.concat_ws("|", F.lit(f"{self.seed}|{entity.name}|{f.name}"), rid.cast("string")))
+        text = F.concat_ws("|", F.lit(f"{self.seed}|{entity.name}|{f.name}"), rid.cast("string"))
+        kind = self.doc.generation.get("id_format", "uuid")
+        if kind == "sequential":
+            return (rid + 1).cast("string")
+        return {"ulid": lambda: ulid_of(text, self.now), "cuid": lambda: cuid_of(text)}.get(kind, lambda: uuid_of(text))()
+
+    def null_share(self, usual: float, f: Field) -> float:
+        """The share of nulls: what the field says, else the usual one; `null_strategy` never: none, sparse: 0.6 unless given."""
+        strategy, share = self.doc.generation.get("null_strategy", "realistic"), f.get("null_rate")
+        if strategy == "never":
+            return 0.0
+        return float(share.args[0]) if share else 0.6 if strategy == "sparse" and usual else usual
 
     def resolved_unique(self, entity: Entity) -> list[Field]:
         """Unique fields whose values are made unique in rounds."""
@@ -184,7 +202,7 @@ class Generator:
             "uuid": lambda: uuid_of(d.h("v").cast("string")),
             "bytes": lambda: F.unhex(F.substring(F.concat(*[F.sha2(d.h(f"v{i}").cast("string"), 256) for i in range(8)]), 1, 2 * min(int(t.items[0]) if t.items else 16, 256))),
             "null": lambda: F.lit(None).cast("string"),
-            "any": lambda: F.to_json(F.struct(F.when(d.chance(0.5, "k"), d.integer(0, 1000, "v").cast("string")).otherwise(F.concat(F.lit("val_"), d.integer(0, 1000, "v").cast("string"))).alias("value"))),
+            "any": lambda: F.when(d.chance(0.5, "k"), d.integer(0, 1000, "v").cast("variant")).otherwise(F.concat(F.lit("val_"), d.integer(0, 1000, "v").cast("string")).cast("variant")),
         }
         return made[t.name]()
 
@@ -220,8 +238,8 @@ class Generator:
             parts = [self.field(entity, g, d.sub(g.name)).alias(g.name) for g in self.doc.types[t.name]]
             return F.struct(*parts)
         if t.kind == "optional":
-            share = f.get("null_rate")
-            return F.when(d.chance(float(share.args[0]) if share else 0.2, "null"), F.lit(None)).otherwise(self.typed(t.items[0], f, d, entity))
+            p, x = self.null_share(0.2, f), self.typed(t.items[0], f, d, entity)
+            return F.when(d.chance(p, "null"), F.lit(None)).otherwise(x) if p else x
         if t.kind == "list":
             low, high = length_of(f) or (0, 4)
             inner = Field(f.name, t.items[0])
@@ -240,7 +258,7 @@ class Generator:
             n = d.h("branch") % len(t.items)
             out = None
             for k, i in enumerate(t.items):
-                v = F.to_json(F.struct(self.typed(i, Field(f.name, i), d.sub(str(k)), entity).alias("value")))
+                v = as_variant(self.typed(i, Field(f.name, i), d.sub(str(k)), entity), i)
                 out = F.when(n == k, v) if out is None else out.when(n == k, v)
             return out
         if t.kind == "ref":
@@ -280,8 +298,7 @@ class Generator:
             n = self.rows[entity.name]
             return known(F.call_function("div", spread(d, n) * F.lit(self.rows[target.name]).cast("long"), F.lit(n).cast("long")))
         found = known(earlier_index(d) if own else parent_index(d, self.rows[target.name]))
-        share = f.get("null_rate")
-        p = float(share.args[0]) if share else 0.7 if own and t.optional else 0.2 if t.optional else 0
+        p = self.null_share(0.7 if own and t.optional else 0.2 if t.optional else 0, f)
         return F.when(d.chance(p, "null"), F.lit(None)).otherwise(found) if p else found
 
     def keyed(self, entity: Entity, df: DataFrame, *, own: bool) -> DataFrame:
@@ -315,12 +332,17 @@ class Generator:
         else:
             x = self.typed(f.type, f, d, entity)
         if f.type.kind not in ("optional", "ref", "poly"):
-            if share := f.get("null_rate"):
-                x = F.when(d.chance(float(share.args[0]), "null"), F.lit(None)).otherwise(x)
-            if f.has("optional"):
-                x = F.when(d.chance(0.15, "opt"), F.lit(None)).otherwise(x)
+            if f.has("null_rate") and (p := self.null_share(0, f)):
+                x = F.when(d.chance(p, "null"), F.lit(None)).otherwise(x)
+            if f.has("optional") and (p := 0.15 if f.has("null_rate") and self.null_share(1, f) else self.null_share(0.15, f)):
+                x = F.when(d.chance(p, "opt"), F.lit(None)).otherwise(x)
+        if f.type.kind == "list" and f.has("not_empty"):
+            x = F.when(F.size(x) == 0, F.array(F.lit(None))).otherwise(x)
         if f.type.kind in ("prim", "enum", "semantic", "named", "optional") and not (f.type.kind == "named" and f.type.name in self.doc.types):
             x = decorated(x, f, d, kind)
+            inner = f.type.items[0] if f.type.kind == "optional" else f.type
+            if inner.kind == "semantic" and inner.name.startswith("currency") and self.doc.generation.get("currency_format") == "integer_cents":
+                x = F.round(x * 100).cast("long")
         return x
 
     def bundle(self, entity: Entity, group: str, names: tuple[str, ...], rid: Column, attempt: Column) -> dict[str, Column]:
@@ -784,7 +806,8 @@ class Generator:
             f = entity.field(name)
             if f is None:
                 return {}
-            found = {"label": f.label, "description": f.description, "decorators": [d.name for d in f.decorators if d.name in DESCRIBING]}
+            dated = self.doc.generation.get("date_format", "iso8601") if spark_type(f.type) in ("date", "timestamp_ntz") else "iso8601"
+            found = {"primary": f.has("primary"), "date_format": None if dated == "iso8601" else dated, "label": f.label, "description": f.description, "decorators": [d.name for d in f.decorators if d.name in DESCRIBING]}
             return {k: v for k, v in found.items() if v}
 
         return df.select(*[F.col(c).alias(c, metadata=m) if (m := told(c)) else F.col(c) for c in df.columns])

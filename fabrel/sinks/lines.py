@@ -22,8 +22,15 @@ def plain(c: Column, t: T.DataType) -> Column:
     return c
 
 
+def dated(df: DataFrame) -> DataFrame:
+    """df with dates and times as texts where their column's metadata name a format."""
+    formats = {f.name: f.metadata["date_format"] for f in df.schema.fields if "date_format" in f.metadata and isinstance(f.dataType, (T.DateType, T.TimestampNTZType, T.TimestampType))}
+    return df.withColumns({n: F.date_format(F.col(f"`{n}`"), x) for n, x in formats.items()}) if formats else df
+
+
 def ndjson_rows(df: DataFrame) -> DataFrame:
     """(line): a JSON object for each row, nulls kept, fields in the order of the columns."""
+    df = dated(df)
     row = F.struct(*[plain(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
     return df.select(F.to_json(row, {"ignoreNullFields": "false"}).alias("line"))
 
@@ -47,6 +54,7 @@ def text_of(c: Column, t: T.DataType) -> Column:
 
 def display_rows(df: DataFrame) -> DataFrame:
     """df with every column as its display text."""
+    df = dated(df)
     return df.select(*[text_of(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
 
 

@@ -37,13 +37,14 @@ def _swap(spark: SparkSession, folder: str, entries: dict[str, str]) -> None:
     context.rename(new, jvm.org.apache.hadoop.fs.Path(f"{folder}/{MANIFEST}"), options)
 
 
-def publish(spark: SparkSession, folder: str, writers: dict[str, Callable[[str], None]], *, keep: int = 2) -> dict[str, str]:
+def publish(spark: SparkSession, folder: str, writers: dict[str, Callable[[str], None]]) -> dict[str, str]:
     """Writes each dataset into a folder of its own, then lets the manifest name all of them at once; returns the manifest.
 
-    A write that fails changes nothing that readers see. The `keep` newest versions of a dataset stay, so readers that opened the
-    one before still find it; older ones go. One publisher at a time: two would each keep only their own entries.
+    A write that fails changes nothing that readers see. The version before stays, so readers that opened it still find it; older
+    ones, and what failed writes left, go. One publisher at a time: two would each keep only their own entries.
     """
-    entries = manifest(spark, folder)
+    before = manifest(spark, folder)
+    entries = dict(before)
     for name, write in writers.items():
         version = f"versions/{name}/{uuid.uuid4().hex}"
         write(f"{folder}/{version}")
@@ -51,9 +52,10 @@ def publish(spark: SparkSession, folder: str, writers: dict[str, Callable[[str],
     _swap(spark, folder, entries)
     for name in writers:
         fs, path = _fs(spark, f"{folder}/versions/{name}")
-        old = sorted((s for s in fs.listStatus(path) if not entries[name].endswith(f"/{s.getPath().getName()}")), key=lambda s: -s.getModificationTime())
-        for s in old[keep - 1 :]:
-            fs.delete(s.getPath(), True)
+        kept = {x[name].rpartition("/")[2] for x in (before, entries) if name in x}
+        for status in fs.listStatus(path):
+            if status.getPath().getName() not in kept:
+                fs.delete(status.getPath(), True)
     return entries
 
 

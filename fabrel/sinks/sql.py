@@ -18,7 +18,7 @@ TYPES = {
 
 
 def _kind(t: T.DataType) -> str:
-    for kind, classes in (("bool", T.BooleanType), ("int", T.IntegralType), ("float", (T.FractionalType, T.DecimalType)), ("datetime", (T.TimestampType, T.TimestampNTZType)), ("date", T.DateType), ("bytes", T.BinaryType), ("nested", (T.ArrayType, T.MapType, T.StructType))):
+    for kind, classes in (("bool", T.BooleanType), ("int", T.IntegralType), ("float", (T.FractionalType, T.DecimalType)), ("datetime", (T.TimestampType, T.TimestampNTZType)), ("date", T.DateType), ("bytes", T.BinaryType), ("nested", (T.ArrayType, T.MapType, T.StructType, T.VariantType))):
         if isinstance(t, classes):
             return kind
     return "text"
@@ -79,12 +79,20 @@ def insert_batches(df: DataFrame, table: str, order: list[str], *, dialect: str
     rows = F.transform(F.sort_array(F.collect_list(F.struct("__n", "__row"))), lambda x: x["__row"])  # `batch` rows
     names = ", ".join(quoted(c, dialect) for c in df.columns)
     head = f"INSERT INTO {quoted(table, dialect)} ({names}) VALUES\n"
-    return numbered.groupBy(F.expr(f"__n div {batch}").alias("batch")).agg(F.concat(F.lit(head), F.array_join(rows, ",\n"), F.lit(";")).alias("statement"))
+    placed = numbered.select(F.expr(f"__n div {batch}").alias("batch"), "__n", "__row").repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "batch")
+    return placed.groupBy("batch").agg(F.concat(F.lit(head), F.array_join(rows, ",\n"), F.lit(";")).alias("statement"))
+
+
+def row_order(schema: T.StructType) -> list[str]:
+    """The columns that order a table's rows: its primary key, if the columns' metadata tell one, else all that can be ordered."""
+    key = [f.name for f in schema.fields if f.metadata.get("primary")]
+    return key or [f.name for f in schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
 
 
 def write_sql(df: DataFrame, table: str, path: str, *, dialect: str = "postgres", batch: int = BATCH) -> None:
-    """A folder with the CREATE TABLE statement first, then the INSERT statements."""
+    """A folder with the CREATE TABLE statement first, then the INSERT statements in order. Rows are shuffled by their key, and by
+    ranges of batches, which stay in order."""
     spark = df.sparkSession
-    numbered = insert_batches(df, table, [c for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)], dialect=dialect, batch=batch)
-    first = spark.createDataFrame([(-1, create_table(df.schema, table, dialect))], "batch long, statement string")
-    first.unionByName(numbered).orderBy("batch").select("statement").write.mode("overwrite").text(path)
+    numbered = insert_batches(df, table, row_order(df.schema), dialect=dialect, batch=batch).sortWithinPartitions("batch")
+    first = spark.createDataFrame([(-1, create_table(df.schema, table, dialect))], "batch long, statement string").coalesce(1)
+    first.unionByName(numbered).select("statement").write.mode("overwrite").text(path)

@@ -178,6 +178,10 @@ def parse_enum(values: Any) -> tuple[tuple[str, float], ...]:
     return tuple((str(v["value"]), float(v.get("weight", 1))) if isinstance(v, dict) else (str(v), 1.0) for v in values)
 
 
+# What the generation section may say.
+CHOICES = {"null_strategy": ("realistic", "never", "sparse"), "id_format": ("uuid", "sequential", "cuid", "ulid"), "currency_format": ("decimal", "integer_cents")}
+
+
 def parse_document(text: str) -> Document:
     """A document from YAML text; `domain` is mandatory."""
     try:
@@ -187,6 +191,9 @@ def parse_document(text: str) -> Document:
     if not isinstance(raw, dict) or not raw.get("domain"):
         raise ParseError("a document is a mapping with `domain`")
     generation = raw.get("generation") or {}
+    for name, known in CHOICES.items():
+        if generation.get(name, known[0]) not in known:
+            raise ParseError(f"unknown {name}: {generation[name]}")
     seed = raw.get("seed", generation.get("seed", 0))
     doc = Document(str(raw["domain"]), raw.get("version") and str(raw["version"]), raw.get("description"), str(raw.get("locale", generation.get("locale", "en-US"))), int(seed or 0))
     doc.generation = dict(generation)
