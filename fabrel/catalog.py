@@ -742,6 +742,25 @@ def gen_compound(spark, sf_dir):
     return made.select("rid", shown.alias("items"), F.col("t._1").alias("first"), F.col("t._2").alias("second"), of("bigint", "BIGINT").alias("number"), of("boolean", "BOOLEAN").alias("flag"), F.col("s.part").alias("part"))
 
 
+@query("""with k as (select o_orderkey, o_custkey, strftime(o_orderdate, '%Y-%m-%d') as day from orders where o_orderkey % 7 = 0)
+    select distinct o_orderkey as "order", day, case when c_nationkey < 20 then n_name else 'unknown' end as city, case when p_size > 5 then p_name else 'unknown' end as name, l_quantity as quantity, l_extendedprice as price
+    from k join lineitem on l_orderkey = o_orderkey join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey join part on p_partkey = l_partkey""")
+def list_sales(spark, sf_dir):
+    """Items of a modular sample of orders with looked-up places and names, each row once."""
+    take = lambda n: read(spark, sf_dir, n)
+    orders = take("orders").select(F.col("o_orderkey").alias("order"), F.col("o_custkey").alias("customer"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("o_orderkey").alias("number"))
+    items = take("lineitem").select(F.col("l_orderkey").alias("order"), F.col("l_partkey").alias("product"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"))
+    places = take("customer").where("c_nationkey < 20").join(take("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("customer"), F.col("n_name").alias("city"))
+    return lists.sales(orders, items, places, take("part").where("p_size > 5").select(F.col("p_partkey").alias("product"), F.col("p_name").alias("name")), 7)
+
+
+@query("select lang as country, source as code, min(doc_id) as place from documents where lang in ('de', 'fr') and source is not null and source <> '' group by 1, 2")
+def list_postal_codes(spark, sf_dir):
+    """Codes of the wanted countries, each once with its first place."""
+    df = read(spark, sf_dir, "documents").select(F.col("lang").alias("country"), F.col("source").alias("code"), F.format_string("%09d", "doc_id").alias("place"), F.lit("r").alias("region"), F.lit(0.0).alias("latitude"), F.lit(0.0).alias("longitude"))
+    return lists.postal_codes(df, ("de", "fr")).select("country", "code", F.col("place").cast("long").alias("place"))
+
+
 # ---- names in texts, taxonomies ----------------------------------------------------------------------------------------
 
 

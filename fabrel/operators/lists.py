@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..sinks.documents import write_json_parts
 from ..sinks.publish import manifest, publish
 from ..storage import Scratch
-from .prepare import last_segment, lookup, prefix_rollup, top
+from .prepare import every, label_of, last_segment, lookup, prefix_rollup, top
 
 
 def probed(df: DataFrame, wanted: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -153,6 +153,86 @@ def titles(df: DataFrame, kinds: Sequence[str], k: int) -> DataFrame:
     return top(kept.select("title_id", "title", F.col("year").cast("int").alias("year")), k, F.col("title_id"))
 
 
+def countries(df: DataFrame) -> DataFrame:
+    """(code, code3, name, capital, continent, currency, phone, languages) in, with comment lines, languages as `en-GB,cy`; each
+    country that has a code of two letters, with its first language."""
+    kept = df.where(F.col("code").rlike("^[A-Z]{2}$") & filled(F.col("name")))
+    language = F.split(F.split("languages", ",")[0], "-")[0]
+    return kept.select("code", "code3", "name", "capital", "continent", "currency", F.regexp_replace("phone", r"[^0-9]", "").alias("phone"), F.coalesce(F.when(language != "", language), F.lit("en")).alias("language"))
+
+
+def postal_codes(df: DataFrame, wanted: Sequence[str] = ()) -> DataFrame:
+    """(country, code, place, region, latitude, longitude) in; each code of the wanted countries (all, if none are named) once, with
+    its first place by name."""
+    kept = df.where(filled(F.col("code")) & filled(F.col("place")) & (F.col("country").isin(list(wanted)) if wanted else F.lit(True)))
+    first = F.min(F.struct("place", "region", "latitude", "longitude"))
+    return kept.groupBy("country", "code").agg(first.alias("x")).select("country", "code", "x.*")
+
+
+def phone_formats(territories: DataFrame) -> DataFrame:
+    """Rows of an XML file of territories (_id, _countryCode, _internationalPrefix, mobile and fixedLine with exampleNumber,
+    availableFormats.numberFormat with _pattern and format) in; a row for each format of each territory, at least one, in order."""
+    formats = F.coalesce(F.col("availableFormats.numberFormat"), F.array().cast("array<struct<_pattern:string,format:string>>"))
+    rows = territories.where(F.col("_id").rlike("^[A-Z]{2}$")).select(F.col("_id").alias("country"), F.col("_countryCode").alias("code"), F.col("_internationalPrefix").alias("prefix"), F.col("mobile.exampleNumber").alias("mobile"), F.col("fixedLine.exampleNumber").alias("landline"), F.posexplode_outer(formats).alias("place", "f"))
+    return rows.select("country", "code", "prefix", "mobile", "landline", F.coalesce("place", F.lit(0)).alias("place"), F.col("f._pattern").alias("pattern"), F.col("f.format").alias("format"))
+
+
+def domains(df: DataFrame) -> DataFrame:
+    """(value) in, a line each, with comment lines; top-level domains in lower case."""
+    return df.where(F.trim("value").rlike("^[A-Za-z0-9-]+$")).select(F.lower(F.trim("value")).alias("domain"), F.when(F.length(F.trim("value")) == 2, "country").otherwise("generic").alias("kind")).distinct()
+
+
+def mime_types(df: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """(type, extensions: array) in; a row for each extension of the types whose first part is among kinds, an extension once."""
+    rows = df.where(F.split("type", "/")[0].isin(list(kinds))).select("type", F.explode("extensions").alias("extension")).where(filled(F.col("extension")))
+    return rows.groupBy(F.lower("extension").alias("extension")).agg(F.min("type").alias("type"))
+
+
+#: What the codes of control of a college stand for.
+CONTROL = {"1": "public", "2": "private nonprofit", "3": "private for-profit"}
+
+
+def institutions(df: DataFrame) -> DataFrame:
+    """(id, name, city, region, control: a code) in; those that have a name, with what their control means."""
+    return df.where(filled(F.col("name"))).select("id", F.trim("name").alias("name"), "city", "region", label_of(F.col("control").cast("string"), CONTROL, "unknown").alias("control"))
+
+
+def device_prefixes(df: DataFrame, k: int) -> DataFrame:
+    """(prefix, maker) in, prefixes of six hex digits in any spelling; the first k as `AA:BB:CC`, each once."""
+    hex_ = F.upper(F.regexp_replace("prefix", "[^0-9A-Fa-f]", ""))
+    shown = F.concat_ws(":", *[F.substring(hex_, i, 2) for i in (1, 3, 5)])
+    kept = df.where((F.length(hex_) == 6) & filled(F.col("maker"))).groupBy(shown.alias("prefix")).agg(F.min(F.trim("maker")).alias("maker"))
+    return top(kept, k, F.col("prefix"))
+
+
+def tickers(df: DataFrame) -> DataFrame:
+    """(fields: array of text, data: array of arrays of text) in, as exchanges publish them; (symbol, name, exchange), a symbol once."""
+    at = lambda n: F.get("row", F.array_position("fields", n).cast("int") - 1)
+    rows = df.select("fields", F.explode("data").alias("row")).select(at("ticker").alias("symbol"), at("name").alias("name"), at("exchange").alias("exchange"))
+    return rows.where(filled(F.col("symbol"))).groupBy("symbol").agg(F.min("name").alias("name"), F.min("exchange").alias("exchange"))
+
+
+def translations(df: DataFrame) -> DataFrame:
+    """(locale, names: map of code to name) in; a row for each code and locale."""
+    return df.select("locale", F.explode("names").alias("code", "name")).where(filled(F.col("name")))
+
+
+def products(df: DataFrame, k: int) -> DataFrame:
+    """(title, categories: array, price: text) in; the first k titles, each once, with the last of their categories and the least price."""
+    price = F.regexp_replace("price", r"[^0-9.]", "").try_cast("double")
+    kept = df.where(filled(F.col("title")) & (F.size("categories") > 0)).select(F.trim("title").alias("title"), F.element_at("categories", -1).alias("category"), price.alias("price"))
+    return top(kept.groupBy("title").agg(F.min("category").alias("category"), F.min("price").alias("price")), k, F.col("title"))
+
+
+def sales(orders: DataFrame, items: DataFrame, customers: DataFrame, goods: DataFrame, step: int, number: str = "number") -> DataFrame:
+    """orders (order, customer, day), items (order, product, quantity, price), customers (customer, city), goods (product, name) in; an
+    item of every step-th order by number, with where it went and what it was; `unknown` where either is not listed. Repeated
+    rows once."""
+    kept = every(orders, number, step).join(items, "order")
+    where = lookup(kept, customers, {"customer": "customer"}, {"city": ("city", F.lit("unknown"))})
+    return lookup(where, goods, {"product": "product"}, {"name": ("name", F.lit("unknown"))}).select("order", "day", "city", "name", "quantity", "price").distinct()
+
+
 def prepare_lists(jobs: Mapping[str, Callable[[], DataFrame]], folder: str) -> dict[str, str]:
     """Runs jobs one after another and publishes each list, sorted by its columns, in the folder (`sinks.publish`).
 

@@ -25,6 +25,7 @@ from ..functions.semantic import CITIES, area_code, email_of, person, phone, sem
 from ..model import Document, Entity, Field, Rule, Type
 from ..operators.constraints import UNIQUE_ATTEMPTS, bounds_of, decorated, length_of, unique_values
 from ..operators.dimensions import LISTED, Dimension, dimension, list_of
+from ..operators.gazetteer import longest_name
 from ..operators.references import bridge, dereference, earlier_index, parent_index, with_keys
 from ..operators.rules import cardinality, count_bounds, cross_row, duplicates, fields_of, first_of_each
 from ..operators.totals import apportioned, running_sum
@@ -401,6 +402,10 @@ class Generator:
         group = next((g for g, names in entity.coherence if f.name in names), None)
         return None if self.dimensions[found[0]] is None else (f"__list.{group or f.name}.{found[0]}", *found)
 
+    def gazetteer(self, f: Field) -> bool:
+        """Whether a field @from an address takes its time zone from the list of cities: that of the longest name in the address."""
+        return "timezone" in f.name.lower() and {"name", "timezone"} <= set(self.lists["cities"].columns if "cities" in self.lists else ())
+
     def listed(self, entity: Entity, rows: DataFrame, attempt: Column) -> DataFrame:
         """rows with the rows of prepared lists that their fields draw: a join for each draw."""
         for f in self.stored(entity):
@@ -421,8 +426,9 @@ class Generator:
         for f in self.stored(entity):
             if f.name not in made and not f.is_derived and not f.has("from") and (entity.name, f.name) not in self.stages.late:
                 made[f.name] = self.field(entity, f, self.draw(entity.name, f.name, rid, None if f.name == fixed else attempt))
+        placed = [f for f in self.stored(entity) if f.has("from") and f.name not in made and self.gazetteer(f)]
         for f in self.stored(entity):
-            if (s := f.get("from")) and f.name not in made:
+            if (s := f.get("from")) and f.name not in made and f not in placed:
                 source = made.get(s.args[0])
                 if source is None:
                     raise GenerationError(f"{entity.name}.{f.name}: no field {s.args[0]}")
@@ -430,6 +436,11 @@ class Generator:
                 by_zip = "phone" in f.name.lower() and any(w in s.args[0].lower() for w in ("zip", "postal"))
                 made[f.name] = phone(d, area_code(source)) if by_zip else self.copied(f, source, d)
         df = rows.select("_rid", *[c.alias(n) for n, c in made.items()])
+        for f in placed:
+            if f.get("from").args[0] not in df.columns:
+                raise GenerationError(f"{entity.name}.{f.name}: no field {f.get('from').args[0]}")
+            df = longest_name(df, "_rid", f.get("from").args[0], self.lists["cities"], "name", weight="population" if "population" in self.lists["cities"].columns else None, into="__place")
+            df = df.withColumn(f.name, F.coalesce("__place.timezone", F.lit("America/New_York"))).drop("__place")
         df = self.keyed(entity, df, own=False)
         return self.temporal(entity, df, attempt)
 
@@ -847,7 +858,7 @@ class Generator:
 def lists_for(spark: SparkSession, doc: Document, folder: str) -> dict[str, DataFrame]:
     """The prepared lists of a folder that the document's semantic types may draw from."""
     types = {t.name for e in doc.entities.values() for f in e.fields for t in (f.type, *f.type.items) if isinstance(t, Type) and t.kind == "semantic"}
-    names = {n for t in types for n in (LISTED.get(t, ("",))[0], t, t.replace(".", "_"), t.partition(".")[0]) if n}
+    names = {"cities"} | {n for t in types for n in (LISTED.get(t, ("",))[0], t, t.replace(".", "_"), t.partition(".")[0]) if n}
     return prepared_lists(spark, folder, sorted(names))
 
 

@@ -240,3 +240,11 @@ def test_lists_from_a_folder(spark, tmp_path):
     text = "entities: {A: {id: int @primary, f: person.first, g: 'person.first @unique', l: person.last, o: 'person.first?'}}"
     rows = generate(spark, doc(text, A=20), lists=folder)["A"].collect()
     assert {r["f"] for r in rows} <= {"Zoe", "Yan"} and {r["o"] for r in rows} <= {"Zoe", "Yan", None} and not {r["g"] for r in rows} <= {"Zoe", "Yan"}
+
+
+def test_time_zones_of_listed_cities(spark):
+    cities = spark.createDataFrame([("Albany", "Europe/Own", 5), ("Austin", "Europe/Other", 3), ("Boston Heights", "Europe/None", 1)], "name string, timezone string, population long")
+    text = "entities: {A: {id: int @primary, where: address.full, timezone: 'string @from(where)', zone: 'string @from(where)'}}"
+    df = generate(spark, doc(text, A=300), lists={"cities": cities})["A"]
+    odd = df.where("timezone <> case when where like '%Albany%' then 'Europe/Own' when where like '%Austin%' then 'Europe/Other' else 'America/New_York' end")
+    assert odd.isEmpty() and df.where("timezone like 'Europe%'").count() > 5 and df.columns == ["id", "where", "timezone", "zone"]

@@ -88,3 +88,35 @@ def test_documents_in_parts(spark, tmp_path, n):
     assert sum((json.loads(t) for t in read("j") if t or n), []) == want  # no rows: the part may be empty
     assert (yaml.safe_load("".join(read("y"))) or []) == want
     assert spark.read.json(f"{tmp_path}/j/T", schema="id long, s string", multiLine=True).where("id is not null").count() == n
+
+
+def test_countries_and_postal_codes(spark):
+    rows = [("GB", "GBR", "Britain", "London", "EU", "GBP", "+44 ", "en-GB,cy-GB"), ("#x", "", "", "", "", "", "", ""), ("AQ", "ATA", "Antarctica", None, "AN", None, None, ""), ("XX", "XXX", None, "", "", "", "", "")]
+    df = spark.createDataFrame(rows, "code string, code3 string, name string, capital string, continent string, currency string, phone string, languages string")
+    assert [tuple(r) for r in lists.countries(df).orderBy("code").collect()] == [("AQ", "ATA", "Antarctica", None, "AN", None, None, "en"), ("GB", "GBR", "Britain", "London", "EU", "GBP", "44", "en")]
+    codes = spark.createDataFrame([("DE", "10115", "Mitte", "BE", 1.0, 2.0), ("DE", "10115", "Berlin", "BE", 3.0, 4.0), ("FR", "75001", "Paris", "", 5.0, 6.0), ("DE", "", "x", "", 0.0, 0.0)], "country string, code string, place string, region string, latitude double, longitude double")
+    assert [tuple(r) for r in lists.postal_codes(codes, ["DE"]).collect()] == [("DE", "10115", "Berlin", "BE", 3.0, 4.0)] and lists.postal_codes(codes).count() == 2
+
+
+def test_phone_formats(spark, tmp_path):
+    (tmp_path / "p.xml").write_text("""<t><territory id="GB" countryCode="44" internationalPrefix="00"><availableFormats><numberFormat pattern="(\\d{2})(\\d{4})"><format>$1 $2</format></numberFormat><numberFormat pattern="(\\d{3})"><format>$1</format></numberFormat></availableFormats><fixedLine><exampleNumber>121</exampleNumber></fixedLine><mobile><exampleNumber>740</exampleNumber></mobile></territory><territory id="AC" countryCode="247"/><territory id="001" countryCode="800"/></t>""")
+    schema = "_id string, _countryCode string, _internationalPrefix string, mobile struct<exampleNumber: string>, fixedLine struct<exampleNumber: string>, availableFormats struct<numberFormat: array<struct<_pattern: string, format: string>>>"
+    got = [tuple(r) for r in lists.phone_formats(files.xml(spark, f"file://{tmp_path}/p.xml", "territory", schema)).orderBy("country", "place").collect()]
+    assert got == [("AC", "247", None, None, None, 0, None, None), ("GB", "44", "00", "740", "121", 0, r"(\d{2})(\d{4})", "$1 $2"), ("GB", "44", "00", "740", "121", 1, r"(\d{3})", "$1")]
+
+
+def test_lists_of_codes(spark):
+    lines = spark.createDataFrame([("# Version 1",), ("COM",), ("de",), ("XN--P1AI",), ("com",), ("",)], "value string")
+    assert sorted(tuple(r) for r in lists.domains(lines).collect()) == [("com", "generic"), ("de", "country"), ("xn--p1ai", "generic")]
+    types = spark.createDataFrame([("image/png", ["png"]), ("image/jpeg", ["jpg", "JPEG"]), ("image/a", ["jpg"]), ("font/otf", ["otf"]), ("text/x", None)], "type string, extensions array<string>")
+    assert sorted(tuple(r) for r in lists.mime_types(types, ["image", "text"]).collect()) == [("jpeg", "image/jpeg"), ("jpg", "image/a"), ("png", "image/png")]
+    colleges = spark.createDataFrame([(1, " A ", "c", "r", 1), (2, "B", "c", "r", 9), (3, "", "c", "r", 2)], "id long, name string, city string, region string, control int")
+    assert [tuple(r) for r in lists.institutions(colleges).orderBy("id").collect()] == [(1, "A", "c", "r", "public"), (2, "B", "c", "r", "unknown")]
+    makers = spark.createDataFrame([("00-1b-63", "Apple"), ("001B63", "Zeta"), ("aabbcc", "B"), ("zz", "C"), ("ddeeff", "")], "prefix string, maker string")
+    assert [tuple(r) for r in lists.device_prefixes(makers, 9).orderBy("prefix").collect()] == [("00:1B:63", "Apple"), ("AA:BB:CC", "B")] and lists.device_prefixes(makers, 1).count() == 1
+    exchange = spark.createDataFrame([(["cik", "name", "ticker", "exchange"], [["1", "One", "ONE", "N"], ["2", "Two", "TWO", None], ["3", "Uno", "ONE", "Q"]])], "fields array<string>, data array<array<string>>")
+    assert sorted(tuple(r) for r in lists.tickers(exchange).collect()) == [("ONE", "One", "N"), ("TWO", "Two", None)]
+    names = spark.createDataFrame([("de", {"FR": "Frankreich", "XX": ""}), ("en", {"FR": "France"})], "locale string, names map<string, string>")
+    assert sorted(tuple(r) for r in lists.translations(names).collect()) == [("de", "FR", "Frankreich"), ("en", "FR", "France")]
+    goods = spark.createDataFrame([("Pen ", ["Office", "Pens"], "$1.50"), ("Pen", ["Office", "Pens"], "1.2"), ("Cup", [], "2"), ("Ink", ["A"], "?")], "title string, categories array<string>, price string")
+    assert [tuple(r) for r in lists.products(goods, 5).orderBy("title").collect()] == [("Ink", "A", None), ("Pen", "Pens", 1.2)]
