@@ -15,6 +15,8 @@ from ..model import Field
 from ..storage import written
 
 UNIQUE_ATTEMPTS = 100
+#: Rounds whose values are put together into one table.
+ROUNDS = 4
 
 
 @dataclass(frozen=True)
@@ -140,6 +142,8 @@ def unique_values(rows: DataFrame, make: Callable[[Column], Column], name: str,
         tried = written(marked.select(key, name, (F.col(name).isNull() | F.coalesce("__won", F.lit(False))).alias("__ok")), f"unique-{name}")
         good = tried.where("__ok").select(key, name)
         found = good if found is None else found.unionByName(good)
+        if attempt % ROUNDS == ROUNDS - 1:  # so that later rounds read one table of what is taken
+            found = written(found, f"unique-{name}")
         left = tried.where("NOT __ok").select(key)
         if left.isEmpty():
             return found

@@ -126,10 +126,14 @@ class Generator:
         return [f for f in self.stored(entity) if f.has("unique") and not apart(f) and not f.has("from") and not f.is_derived and all(f.name not in g for _, g in entity.coherence)]
 
     def values_of(self, entity: Entity, f: Field) -> int | None:
-        """How many values a unique field can take, if row numbers can be spread over them: a range of whole numbers, an enum or
-        a regex that makes each of its texts in one way. Not if a rule may ask for other values of a row."""
-        plain = not f.has("dist", "values", "multiple_of", "len", "not_empty", "default", "emin", "emax") and f.type.kind in ("prim", "enum", "named")
-        if not f.has("unique") or not plain or any(Read(entity.name, f.name, True) in text_reads(self.doc, entity, x) for r in self.doc.rules if r.entity == entity.name and r.kind in ("row", "unique") for x in (r.check, r.when) if x):
+        """The size of a unique field's space, if row numbers can be spread over it: not if a rule may ask for other values."""
+        size = self.space(entity, f) if f.has("unique") else None
+        asked = (Read(entity.name, f.name, True) in text_reads(self.doc, entity, x) for r in self.doc.rules if r.entity == entity.name and r.kind in ("row", "unique") for x in (r.check, r.when) if x)
+        return None if size is None or any(asked) else size
+
+    def space(self, entity: Entity, f: Field) -> int | None:
+        """How many values a field can take: a range of whole numbers, an enum or a regex that makes each of its texts in one way."""
+        if f.has("dist", "values", "multiple_of", "len", "not_empty", "default", "emin", "emax") or f.type.kind not in ("prim", "enum", "named"):
             return None
         if (p := f.get("pattern")) and f.type.name == "string":
             return Regex(p.args[0]).spread if is_regex(p.args[0]) else None
@@ -637,6 +641,8 @@ class Generator:
         """The rows of left at an attempt; unique fields first, apart from the values of the rows that are accepted."""
         rows, number = left, F.lit(attempt)
         for f in self.resolved_unique(entity):
+            if (size := self.space(entity, f)) is not None and size < self.rows[entity.name] and not f.has("null_rate", "optional"):
+                raise UniquenessExhausted(f"{entity.name}.{f.name}: {self.rows[entity.name]} rows, {size} values")
             make = lambda a, f=f: self.field(entity, f, self.draw(entity.name, f.name, F.col("_rid"), a + F.lit(attempt * UNIQUE_ATTEMPTS)))
             values = unique_values(left.select("_rid"), make, f.name, taken=None if accepted is None else accepted.select("_rid", f.name))
             rows = rows.join(values, "_rid")

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sinks.publish import manifest
-
 from ..storage import written
+from .archives import archive_lines
 
 
 def tables(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[str, DataFrame]:
@@ -66,41 +66,8 @@ def xml(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
 
 
 def zipped(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
-    """(archive, member, line): the text lines of the members of zip and tar archives (tar.gz and tar.bz2 too) whose names end
-    in suffix. Each archive is read by one task, line by line; many archives spread over the cluster."""
-    import io
-    import tarfile
-    import zipfile
-    from collections.abc import Iterator
-
-    import pandas as pd
-
-    def members(content: bytes) -> Iterator[tuple[str, io.BufferedIOBase]]:
-        if zipfile.is_zipfile(io.BytesIO(content)):
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                for name in z.namelist():
-                    with z.open(name) as f:
-                        yield name, f
-        else:
-            with tarfile.open(fileobj=io.BytesIO(content)) as t:
-                for m in t:
-                    if m.isfile():
-                        yield m.name, t.extractfile(m)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for archive, content in zip(frame["path"], frame["content"], strict=True):
-                for member, f in members(content):
-                    if member.endswith(suffix):
-                        lines: list[str] = []
-                        for line in io.TextIOWrapper(f, "utf-8", errors="replace"):
-                            lines.append(line.rstrip("\r\n"))
-                            if len(lines) == 10_000:
-                                yield pd.DataFrame({"archive": archive, "member": member, "line": lines})
-                                lines = []
-                        yield pd.DataFrame({"archive": archive, "member": member, "line": lines})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, member string, line string")
+    """(archive, member, line): the text lines of the members of zip and tar archives whose names end in suffix (`archives`)."""
+    return archive_lines(spark, path, suffix=suffix)
 
 
 def prepared_lists(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[str, DataFrame]:

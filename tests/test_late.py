@@ -187,6 +187,8 @@ def test_unique_values_of_finite_spaces(spark):
     assert {r["n"] for r in rows} == set(range(3, 53)) and len({r["s"] for r in rows}) == 50
     with pytest.raises(UniquenessExhausted, match="A.e: 4 rows, 3 values"):
         generate(spark, doc(text, A=4))
+    with pytest.raises(UniquenessExhausted, match="A.n: 41 rows, 40 values"):  # at once, though a rule makes it go by rounds
+        generate(spark, doc("entities: {A: {id: int @primary, n: 'int @range(1..40) @unique'}}\nrules: [A.n > 0 @strict]", A=41))
     bound = generate(spark, doc("entities: {A: {id: int @primary, n: 'int @range(1..400) @unique'}}\nrules: [A.n > 100 @strict]", A=20))["A"].collect()
     assert len({r["n"] for r in bound}) == 20 and all(r["n"] > 100 for r in bound)
 
