@@ -23,6 +23,8 @@ PIECE = 1 << 20
 #: Counters of bucket sizes: 2**SKETCH_BITS. A bucket of more suffixes than HOT, and than 4 times the mean counter, is split; so
 #: one that is not has 2**(2 - SKETCH_BITS) of all suffixes at most (0.003 %), whatever the input.
 SKETCH_BITS, HOT = 17, 20_000
+#: Rows of whole buckets that are sorted at once; a bucket of more is sorted by itself.
+GATHERED = 1 << 16
 
 _SYMBOL = mix(np.arange(1, 257, dtype=np.uint64))
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
@@ -205,6 +207,71 @@ def ordered_keys(docs: DataFrame) -> DataFrame:
     return written(docs.orderBy("doc_id", "text").withColumn("__key", F.monotonically_increasing_id()), "suffix-keys")
 
 
+def whole_buckets(batches: Iterator[pa.RecordBatch], rows: int = GATHERED) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of consecutive whole buckets, about `rows` rows at once, of batches that are in order of bucket."""
+    kept: list[pa.RecordBatch] = []
+    held, enough = 0, rows
+
+    def columns(part: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
+        return {n: np.concatenate([b.column(n).to_numpy() for b in part]) for n in part[0].schema.names}
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        kept.append(b)
+        held += b.num_rows
+        if held < enough:
+            continue
+        last = kept[-1].column("bucket")[-1].as_py()
+        begin = [int(np.searchsorted(x.column("bucket").to_numpy(), last)) for x in kept]  # where the last bucket begins, which may go on
+        done = [x.slice(0, n) for x, n in zip(kept, begin, strict=True) if n]
+        kept = [x.slice(n) for x, n in zip(kept, begin, strict=True) if n < x.num_rows]
+        held = sum(x.num_rows for x in kept)
+        enough = max(rows, 2 * held)
+        if done:
+            yield columns(done)
+    if kept:
+        yield columns(kept)
+
+
+def pointers(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, pointer): the order of rows by the keys, and for each row the place in it where its bucket of equal keys begins."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    for i, k in enumerate(keys):
+        at = k[order]
+        new[1:] = at[1:] != at[:-1] if not i else new[1:] | (at[1:] != at[:-1])
+    begin = np.flatnonzero(new)
+    pointer = np.empty(len(order), np.int64)
+    pointer[order] = np.repeat(begin, np.diff(np.append(begin, len(order))))
+    return order, pointer
+
+
+def _survivors(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[pa.RecordBatch]:
+    """(key, repeat, first, last): runs of starts whose strings all repeat an earlier one, or may. Each bucket of q-grams is sorted on
+    the identifiers of all bytes around its anchors, then its firsts, by the bucket's pointer, on those of each stretch."""
+    few = (1 << WAY) - 1
+    for c in whole_buckets(batches):
+        n, place = len(c["key"]), c["place"]
+        lo, way, more, split = place >> (2 * WAY + 1), (place >> (WAY + 1)) & few, (place >> 1) & few, (place & 1) == 1
+        _, bucket = pointers(c["bucket"])
+        _, fine = pointers(bucket, c["refined"])
+        order = np.lexsort((place, c["key"], fine))
+        first = np.zeros(n, bool)
+        first[order[np.flatnonzero(np.diff(fine[order], prepend=-1))]] = True
+        open_ = np.flatnonzero((np.bincount(bucket[first], minlength=n)[bucket] > 1) | split)
+        begin, end = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
+        for k in range(QUARTERS):
+            _, side = pointers(bucket[open_], (c["sides"][open_] >> (16 * k)) & 65535)
+            shared = open_[split[open_] | (np.bincount(side[first[open_]], minlength=len(open_))[side] > 1)]
+            # Strings that start k to k + 1 steps before the anchor have stretch k in them.
+            begin[shared] = np.minimum(begin[shared], (lo + way - (k + 1) * step)[shared])
+            end[shared] = np.maximum(end[shared], (lo + way - k * step)[shared])
+        begin, end = np.where(first, np.maximum(begin, lo), lo), np.where(first, np.minimum(end, lo + more), lo + more)
+        left = np.flatnonzero(begin <= end)
+        yield pa.RecordBatch.from_arrays([pa.array(x[left]) for x in (c["key"], ~first, begin, end)], names=["key", "repeat", "first", "last"])
+
+
 def repeated_strings(docs: DataFrame, scratch: Scratch, *, length: int = LENGTH, q: int = Q) -> DataFrame:
     """(key, spans: array of first start and end): bytes covered by a string of `length` bytes that also starts earlier.
 
@@ -217,24 +284,8 @@ def repeated_strings(docs: DataFrame, scratch: Scratch, *, length: int = LENGTH,
     """
     spark = docs.sparkSession
     sizes = spark.sparkContext.broadcast(bucket_sizes(docs, length, q))
-    rows = suffixes(docs, length, q, sizes)
-    bucket, refined = Window.partitionBy("bucket"), Window.partitionBy("bucket", "refined").orderBy("key", "place")
-    split = F.col("place").bitwiseAND(1) == 1
-    rows = rows.withColumn("turn", F.row_number().over(refined)).withColumns({"low": F.min("refined").over(bucket), "high": F.max("refined").over(bucket)})
-    rows = rows.where((F.col("turn") > 1) | (F.col("low") != F.col("high")) | split).drop("low", "high", "refined")
-    step = (length - q) // QUARTERS
-    rows = rows.withColumns({f"side{k}": F.shiftright("sides", 16 * k).bitwiseAND(65535) for k in range(QUARTERS)})
-    peers = lambda k: F.count(F.when(F.col("turn") == 1, 1)).over(Window.partitionBy("bucket", f"side{k}"))
-    rows = rows.withColumns({f"shared{k}": split | (peers(k) > 1) for k in range(QUARTERS)})
-    few = (1 << WAY) - 1
-    lo, way, more = F.shiftright("place", 2 * WAY + 1), F.shiftright("place", WAY + 1).bitwiseAND(few), F.shiftright("place", 1).bitwiseAND(few)
-    # Strings that start k to k + 1 steps before the anchor have stretch k in them.
-    start = lambda k: lo + way - k * step
-    first = F.greatest(lo, F.least(*[F.when(F.col(f"shared{k}"), start(k + 1)) for k in range(QUARTERS)]))
-    last = F.least(lo + more, F.greatest(*[F.when(F.col(f"shared{k}"), start(k)) for k in range(QUARTERS)]))
-    rows = rows.where(F.greatest(F.col("turn") > 1, *[F.col(f"shared{k}") for k in range(QUARTERS)]))
-    repeat = F.col("turn") > 1
-    rows = rows.select("key", repeat.alias("repeat"), F.when(repeat, lo).otherwise(first).alias("first"), F.when(repeat, lo + more).otherwise(last).alias("last")).where("first <= last")
+    rows = suffixes(docs, length, q, sizes).repartition("bucket").sortWithinPartitions("bucket")
+    rows = rows.mapInArrow(lambda it: _survivors(it, (length - q) // QUARTERS), "key long, repeat boolean, first long, last long")
     rows = scratch.written(rows, "buckets")
 
     whole = rows.where("repeat").select("key", F.struct(F.col("first").alias("lo"), (F.col("last") + length).alias("hi")).alias("span"))
