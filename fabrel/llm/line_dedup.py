@@ -19,10 +19,12 @@ UNITS = {"line": r"[^\n]*\n|[^\n]+", "sentence": r"[^\n.!?]*(?:[.!?]+(?:\s+|$)|\
 MIN_WORDS = 5
 #: Words of a stretch of repeated units, at least, for the query: half of a passage of 50 words, whose ends may lie within units.
 MIN_RUN = 25
+#: Words of a whole line, at least, that goes for the query whatever its neighbours: shorter lines are often common by nature.
+MIN_LINE = 15
 
 #: What is told of a unit that goes.
 SHOWN = ("start", "end", "kept_doc_id", "kept_start")
-_UNIT_SCHEMA = pa.schema([(c, pa.int64()) for c in ("d1", "d2", "doc_id", "row", "start", "end", "seq", "words")])
+_UNIT_SCHEMA = pa.schema([(c, pa.int64()) for c in ("d1", "d2", "doc_id", "row", "start", "end", "seq", "words", "whole")])
 
 
 def runs(words: list[int], least: int) -> list[tuple[int, int]]:
@@ -51,11 +53,25 @@ def runs(words: list[int], least: int) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def units(docs: DataFrame, *, unit: str = "sentence", min_words: int = MIN_WORDS, join_short: bool = False) -> DataFrame:
-    """d1, d2 (a 128-bit digest), doc_id, row, start, end, seq, words of each unit of min_words words or more; with join_short
-    also of the runs of units that `runs` joins.
+def whole_lines(found: list[tuple[int, int, list[str]]], text: str, least: int) -> list[tuple[int, int]]:
+    """(first, last) of the units with words that make up each line of `least` words or more."""
+    out, line, n = [], [], 0
+    for k, (start, end, words) in enumerate(found):
+        if words:
+            line.append(k)
+            n += len(words)
+        if k + 1 == len(found) or "\n" in text[start:end]:
+            if line and n >= least:
+                out.append((line[0], line[-1]))
+            line, n = [], 0
+    return out
 
-    Normalised: lower case, single blanks, no punctuation at the ends. start and end are characters of the text as it is;
+
+def units(docs: DataFrame, *, unit: str = "sentence", min_words: int = MIN_WORDS, join_short: bool = False, min_line: int = 0) -> DataFrame:
+    """d1, d2 (a 128-bit digest), doc_id, row, start, end, seq, words, whole of each unit of min_words words or more; with
+    join_short also of the runs of units that `runs` joins; with min_line also of each whole line of so many words.
+
+    whole is 1 for a unit that is such a line, 2 for a line of several units, else 0. Normalised: lower case, single blanks, no punctuation at the ends. start and end are characters of the text as it is;
     seq numbers the text's units that have words. row is the row's number, if docs have one (`row_keys`), or 0.
     """
     cut = re.compile(UNITS[unit])
@@ -68,11 +84,13 @@ def units(docs: DataFrame, *, unit: str = "sentence", min_words: int = MIN_WORDS
                 found = [(m.start(), m.end(), m[0].lower().split()) for m in cut.finditer(text or "")]
                 counts = [len(w) for _, _, w in found]
                 seq = np.cumsum(np.array([0, *counts]) > 0).tolist()
-                for i, j in runs(counts, min_words) if join_short else [(k, k) for k, n in enumerate(counts) if n >= min_words]:
+                whole = {ij: 1 if ij[0] == ij[1] else 2 for ij in whole_lines(found, text or "", min_line)} if min_line else {}
+                cuts = runs(counts, min_words) if join_short else [(k, k) for k, n in enumerate(counts) if n >= min_words]
+                for i, j in dict.fromkeys([*cuts, *whole]):
                     start, end = found[i][0], found[j][1]
                     words = found[i][2] if i == j else text[start:end].lower().split()
                     key = hashlib.blake2b(" ".join(words).strip(".,;:!?\"'()").encode("utf-8", "replace"), digest_size=16).digest()
-                    row = (int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True), doc, at, start, end, seq[i], sum(counts[i : j + 1]))
+                    row = (int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True), doc, at, start, end, seq[i], sum(counts[i : j + 1]), whole.get((i, j), 0))
                     for c, v in zip(out, row, strict=True):
                         c.append(v)
                 if len(out[0]) >= 50_000:
@@ -86,7 +104,7 @@ def units(docs: DataFrame, *, unit: str = "sentence", min_words: int = MIN_WORDS
 
 def repeated_units(docs: DataFrame, **how) -> DataFrame:
     """One row for each unit that also stands earlier (smaller doc_id, or earlier in the document), as a written table:
-    doc_id, row, start, end, seq, words of what goes and kept_doc_id, kept_start of the occurrence that stays.
+    doc_id, row, start, end, seq, words, whole of what goes and kept_doc_id, kept_start of the occurrence that stays.
 
     Null and empty texts have no units; a null id ranks before all others, and rows that share an id rank by row. A run of
     units that overlaps the occurrence that stays is no repeat. Texts are cut once. Digests are counted before the shuffle;
@@ -98,7 +116,7 @@ def repeated_units(docs: DataFrame, **how) -> DataFrame:
     first = scratch.written(first.select("d1", "d2", "__n", *(F.col(f"kept.{c}").alias(f"kept_{c}") for c in ("doc_id", "row", "start", "end"))), "firsts")
     stays = F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("row") == F.col("kept_row")) & (F.col("start") < F.col("kept_end"))
     found = looked_up(cut, first, ["d1", "d2"], cut.count()).where(~stays)
-    found = scratch.written(found.select("doc_id", "row", "start", "end", "seq", "words", "kept_doc_id", "kept_start"), "repeats")
+    found = scratch.written(found.select("doc_id", "row", "start", "end", "seq", "words", "whole", "kept_doc_id", "kept_start"), "repeats")
     scratch.drop("units", "firsts")
     return found
 
@@ -113,15 +131,17 @@ def _long_runs(row: np.ndarray, seq: np.ndarray, words: np.ndarray, least: int)
 
 def _outer(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, row, spans) as (doc_id, row, n_removed, removed_chars, removed): spans that lie in another one are left out, and
-    so are stretches of fewer than `least` words."""
+    so are stretches of fewer than `least` words in which no whole line repeats."""
     for b in batches:
         spans = b.column(2)
         flat, size = spans.flatten(), spans.value_lengths().to_numpy()
-        start, end, seq, words = (flat.field(k).to_numpy() for k in ("start", "end", "seq", "words"))
+        start, end, seq, words, whole = (flat.field(k).to_numpy() for k in ("start", "end", "seq", "words", "whole"))
         row = np.repeat(np.arange(len(size)), size)
         order = np.lexsort((-end, start, row))
         if least:
-            order = order[_long_runs(row[order], seq[order], words[order], least)]
+            goes, part = whole > 0, order[whole[order] < 2]
+            goes[part] |= _long_runs(row[part], seq[part], words[part], least)
+            order = order[goes[order]]
         start, end, row = start[order], end[order], row[order]
         base = row * (int(end.max(initial=0)) + 1)  # the farthest end so far does not pass from one document to the next
         before = np.concatenate([[0], np.maximum.accumulate(base + end)[:-1]])[: len(end)] - base
@@ -137,7 +157,7 @@ def _outer(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
 
 
 def _losses(docs: DataFrame, min_run: int = 0, **how) -> DataFrame:
-    rows = repeated_units(docs, **how).groupBy("doc_id", "row").agg(F.collect_list(F.struct(*SHOWN, "seq", "words")).alias("spans"))
+    rows = repeated_units(docs, **how).groupBy("doc_id", "row").agg(F.collect_list(F.struct(*SHOWN, "seq", "words", "whole")).alias("spans"))
     return rows.mapInArrow(lambda it: _outer(it, min_run), "doc_id long, row long, n_removed long, removed_chars long, removed array<struct<start: long, end: long, kept_doc_id: long, kept_start: long>>")
 
 
@@ -145,8 +165,8 @@ def deduplicate_units(docs: DataFrame, **how) -> DataFrame:
     """doc_id, n_removed (units), removed_chars and removed (sorted array of start, end, kept_doc_id, kept_start),
     a row for each row of docs that loses something, whether or not others share its id. Other documents stay as they are.
 
-    how: unit, min_words and join_short of `units`, and min_run: repeated units go only in stretches of neighbours that have
-    that many words in all, so that single common lines and sentences stay. Runs that are joined may overlap: none lies
+    how: unit, min_words, join_short and min_line of `units`, and min_run: repeated units go only in stretches of neighbours that
+    have that many words in all, so that single common sentences stay; whole lines of min_line words go by themselves. Runs that are joined may overlap: none lies
     in another, and removed_chars counts each character once. Of rows that share an id, the first by row number stays
     whole; null ids rank first. Null and empty texts and an empty table lose nothing; other columns are not read.
     """

@@ -10,7 +10,7 @@ from .common import table
 from .decontaminate import contaminations
 from .jaccard import near_duplicates
 from .license_scan import scan_licenses
-from .line_dedup import MIN_RUN, deduplicate_units
+from .line_dedup import MIN_LINE, MIN_RUN, deduplicate_units
 from .mixing import MIX_SQL, mix_sources
 from .prefix_trie import TRIE_SQL, shared_prefixes
 from .quality import score_documents, train
@@ -22,8 +22,9 @@ from .url_filter import filter_urls
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of lines, each with a digest; what repeats goes in stretches of `MIN_RUN` words or more."""
-    return deduplicate_units(table(spark, sf_dir, "documents"), min_words=1, min_run=MIN_RUN)
+    """Lines and their sentences, each with a digest: a line of `MIN_LINE` words that repeats goes, and so do repeated sentences in
+    stretches of `MIN_RUN` words or more."""
+    return deduplicate_units(table(spark, sf_dir, "documents"), min_words=1, min_run=MIN_RUN, min_line=MIN_LINE)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -263,6 +265,72 @@ def test_only_long_stretches_of_repeated_units_go(spark):
     assert out == brute_runs(docs, 25) and 0 < len(out) < 60
 
 
+def brute_lines(docs, min_run, min_line):
+    """doc_id: places of characters, no blanks, of repeated lines of min_line words and of repeated sentences in stretches of min_run."""
+    norm = lambda t: " ".join(t.lower().split()).strip(".,;:!?\"'()")
+    found = {}
+    for i, t in docs:
+        cuts = [[(m.start(), m.end()) for m in re.finditer(p, t or "") if m[0].split()] for p in (r"[^\n.!?]*(?:[.!?]+(?:\s+|$)|\n|$|[.!?])", r"[^\n]+")]
+        found[i] = [cuts[0], [(a, b) for a, b in cuts[1] if len(t[a:b].split()) >= min_line]]
+    first = {}
+    for i, t in docs:
+        for a, b in sorted(x for part in found[i] for x in part):
+            first.setdefault(norm(t[a:b]), (i, a, b))
+    out = {}
+    for i, t in docs:
+        again = lambda a, b: not (first[norm(t[a:b])][0] == i and a < first[norm(t[a:b])][2])  # noqa: B023, E731
+        gone = [x for x in found[i][1] if again(*x)]
+        run = []
+        for x in [*found[i][0], None]:
+            if x and again(*x):
+                run.append(x)
+                continue
+            if sum(len(t[a:b].split()) for a, b in run) >= min_run:
+                gone += run
+            run = []
+        if gone:
+            out[i] = {k for a, b in gone for k in range(a, b) if not t[k].isspace()}
+    return out
+
+
+def test_repeated_lines_go_whatever_their_neighbours(spark):
+    """Lines of min_line words go alone, whether of one sentence or of several; shorter ones stay, but in long stretches."""
+    r = random.Random(21)
+    sentence = lambda n: " ".join(r.choice("abcdefgh") + str(r.randrange(40)) for _ in range(n)) + "."
+    common = [sentence(20), f"{sentence(8)} {sentence(9)}", sentence(9), f"{sentence(3)} {sentence(4)}", sentence(15)]
+    docs = []
+    for i in range(60):
+        lines = [" ".join(sentence(r.randint(2, 9)) for _ in range(r.randint(1, 3))) for _ in range(r.randint(0, 5))]
+        for line in r.sample(common, r.randint(0, 3)):
+            lines.insert(r.randrange(len(lines) + 1), line)
+        docs.append((i, r.choice(["\n", "\n\n"]).join(lines)))
+    docs += [(60, "\n".join([common[0]] * 3)), (61, None), (62, ""), (63, common[1].replace(". ", "; ")), (64, " \n \n"), (65, f"{common[1]} {sentence(4)}"), (66, "\n".join(sentence(16) for _ in range(5000)))]
+    df = spark.createDataFrame([(*d, 1) for d in docs], SCHEMA + ", whole int").repartition(3)
+    rows = {x.doc_id: x for x in deduplicate_units(df, min_words=1, min_run=25, min_line=15).collect()}
+    text = dict(docs)
+    out = {i: {k for s in x.removed for k in range(s.start, s.end) if not text[i][k].isspace()} for i, x in rows.items()}
+    assert out == brute_lines(docs, 25, 15) and 0 < len(out) < 60
+    assert rows[60].n_removed >= 2 and 66 not in rows and 65 not in rows
+    line = sentence(15)
+    five = spark.createDataFrame([(i, f"{sentence(20)}\n{line}\n{sentence(20)}") for i in range(5)], SCHEMA)
+    assert sorted(x.doc_id for x in deduplicate_units(five, min_words=1, min_run=25, min_line=15).collect()) == [1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("rows", [1, 7, 40, 1000])
+def test_buckets_are_gathered_whole(rows):
+    r = np.random.default_rng(rows)
+    values = np.sort(np.concatenate([r.integers(-50, 50, 300), np.full(200, 3)]))
+    batches, at = [], 0
+    while at < len(values):
+        n = int(r.integers(0, 30))
+        batches.append(pa.RecordBatch.from_arrays([pa.array(values[at : at + n]), pa.array(np.arange(at, min(at + n, len(values))))], names=["bucket", "key"]))
+        at += n
+    parts = list(suffix_dedup.whole_buckets(iter(batches), rows))
+    assert np.concatenate([p["key"] for p in parts]).tolist() == list(range(len(values)))
+    assert all(a["bucket"][-1] < b["bucket"][0] for a, b in zip(parts, parts[1:]))
+    assert list(suffix_dedup.whole_buckets(iter(batches[:0]), rows)) == []
+
+
 @pytest.mark.parametrize(("length", "q"), [(24, 8), (60, 20), (420, 20), (1020, 20)])
 def test_strings_of_other_lengths(spark, length, q):
     r = random.Random(length)
