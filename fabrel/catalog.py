@@ -8,16 +8,21 @@ from math import pi
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import OutputError
 from .functions.distributions import sample, zipf
 from .functions.expressions import Compiler, Value, columns_of, compute, default_chain, scaled_round, two_places, with_expressions
 from .functions.patterns import WORDS, expand, uuid_of
 from .functions.rng import Draw
-from .functions.semantic import CITIES, DOMAINS, FIRST, LAST, email_of, luhn_card, person
+from .functions.semantic import AREA_CODES, CITIES, DOMAINS, FIRST, LAST, email_of, luhn_card, person
 from .model import Decorator, Field, Rule, Type
 from .operators import changes, gazetteer, lists, prepare, references, rules, taxonomy, tools
 from .operators.constraints import decorated, fitted, snapped, within
-from .sinks import csv_rows, display_rows, insert_batches, ndjson_rows
+from .sinks import csv_rows, display_rows, insert_batches, ndjson_rows, write_json_parts, write_yaml_parts
+from .sinks.publish import publish, publish_tables, published_tables
+from .sources import files
+from .sources.archives import archive_lines
 from .sources.ddl import parse_document, parse_field
+from .storage import Scratch
 
 SEED = 42
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -317,6 +322,42 @@ def gen_location_bundle(spark, sf_dir):
     return rows_of(spark, sf_dir, "_coherence: {loc: [city, state, zip, timezone]}, city: string, state: string, zip: string, timezone: string").select("rid", "city", "state", "zip", "timezone")
 
 
+_LOC = ", ".join(f"{pick([c[i] for c in CITIES], 'group:loc', 'row')} as {n}" for i, n in ((0, "city"), (2, "zip")))
+_AREA = "case substr(zip, 1, 2) " + " ".join(f"when '{k}' then '{v}'" for k, v in AREA_CODES.items()) + " else '555' end"
+
+
+@query(f"select rid, zip, '+1-' || {_AREA} || '-' || lpad((({h('phone', 'p1')}) % 1000)::VARCHAR, 3, '0') || '-' || lpad((({h('phone', 'p2')}) % 10000)::VARCHAR, 4, '0') as phone from (select rid, {_LOC}{FROM})")
+def gen_phone_of_zip(spark, sf_dir):
+    """A phone whose area code is that of the row's zip code."""
+    return rows_of(spark, sf_dir, "_coherence: {loc: [city, zip]}, city: string, zip: string, phone: 'string @from(zip)'").select("rid", "zip", "phone")
+
+
+@query("select rid, city, case " + " ".join(f"when contains(city, '{c[0]}') then '{c[3]}'" for c in CITIES) + f" else 'America/New_York' end as home_timezone from (select rid, {_LOC}{FROM})")
+def gen_timezone_of_city(spark, sf_dir):
+    """The time zone of the city that the row names."""
+    return rows_of(spark, sf_dir, "_coherence: {loc: [city, zip]}, city: string, zip: string, home_timezone: 'string @from(city)'").select("rid", "city", "home_timezone")
+
+
+@query(f"select rid, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:n], ',') as items from (select rid, ({h('l', 'len')}) % 3 + 1 as n, [{', '.join(pick('abcd', 'l', f'{i}.v') for i in range(9))}] as l{FROM})")
+def gen_unique_items(spark, sf_dir):
+    """Lists whose items differ, in the order in which they were drawn."""
+    return rows_of(spark, sf_dir, "l: '[enum(a, b, c, d)] @len(1..3) @unique_items'").select("rid", F.array_join("l", ",").alias("items"))
+
+
+@query(f"select rid, case when {u('n', 'opt')} < 0.15 then null else ({h('n', 'v')}) % 100 end as n, 1::BIGINT as version, null::VARCHAR as note, '2025-01-15 10:30:00' as created_at, '2025-01-15 10:30:00' as updated_at{FROM}")
+def gen_optional_auto(spark, sf_dir):
+    """@optional leaves out 15 %; @auto fields and @timestamps are told by the time of the run."""
+    made = rows_of(spark, sf_dir, "n: 'int @range(0..99) @optional', version: int @auto, note: string @auto, created_at: datetime @auto, updated_at: datetime @auto")
+    return made.select("rid", "n", "version", "note", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("created_at", "updated_at")])
+
+
+@query(f"""select rid, x, least(1000.0::DOUBLE, greatest(0.0::DOUBLE, round(500.0::DOUBLE + (0.8::DOUBLE * ((x::DOUBLE - 49.5::DOUBLE) / {99 / 12**0.5!r}::DOUBLE) + {(1 - 0.8 * 0.8) ** 0.5!r}::DOUBLE * (({u('y', 'corr')} - 0.5::DOUBLE) * {12**0.5!r}::DOUBLE)) * {1000 / 12**0.5!r}::DOUBLE)))::BIGINT as y
+    from (select rid, ({h('x', 'v')}) % 100 as x{FROM})""")
+def gen_correlated(spark, sf_dir):
+    """A number that goes with another one of the row, kept in its range."""
+    return rows_of(spark, sf_dir, "x: int @range(0..99), y: 'int @range(0..1000) @correlated(x, 0.8)'").select("rid", "x", "y")
+
+
 def _luhn_sql() -> str:
     """Sixteen digits: a 4, fourteen draws, and what makes the sum of Luhn a multiple of ten."""
     body = ["4", *[f"({h('cc', f'c{i}')}) % 10" for i in range(14)]]
@@ -1206,4 +1247,98 @@ def write_display_rows(spark, sf_dir):
     return display_rows(read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"))
 
 
+# ---- files: what the executors write of a table, read by the library's readers ------------------------------------------
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    return f"{Scratch(spark, 'files').folder}/{name}"
+
+
+@query("select c_custkey as key, c_name as name, round(c_acctbal * 100)::BIGINT as cents from customer where c_custkey % 97 <> 0")
+def read_delimited(spark, sf_dir):
+    """Quoted, compressed text with a header; rows that do not fit the schema are left out."""
+    path = folder(spark, "piped")
+    rows = read(spark, sf_dir, "customer").select(F.expr("if(c_custkey % 97 = 0, 'n/a', cast(c_custkey as string))").alias("key"), F.concat(F.col("c_name"), F.lit(" | x")).alias("name"), F.expr("cast(round(c_acctbal * 100) as long)").alias("cents"))
+    rows.write.csv(path, sep="|", header=True, compression="gzip")
+    back = files.delimited(spark, path, "key long, name string, cents long", sep="|")
+    return back.withColumn("name", F.replace("name", F.lit(" | x"), F.lit("")))
+
+
+@query("select 'n/a|' || c_name as line from customer where c_custkey % 97 = 0")
+def read_rejected(spark, sf_dir):
+    """The lines of the rows that do not fit the schema."""
+    path = folder(spark, "rejects")
+    read(spark, sf_dir, "customer").select(F.expr("if(c_custkey % 97 = 0, 'n/a', cast(c_custkey as string))").alias("key"), "c_name").write.csv(path, sep="|", header=True)
+    return files.rejected(spark, path, "key long, name string", sep="|").select(F.col("_line").alias("line"))
+
+
+@query("select o_orderkey, o_orderstatus, case when o_orderkey % 50 <> 0 then o_custkey end as o_custkey, strftime(o_orderdate, '%Y-%m-%d') as day from orders")
+def read_fixed_width(spark, sf_dir):
+    """Columns by place; what is no number there is null."""
+    path = folder(spark, "fixed")
+    customer = F.expr("if(o_orderkey % 50 = 0, '-', cast(o_custkey as string))")
+    read(spark, sf_dir, "orders").select(F.format_string("%-12d%-3s%12s%s", F.col("o_orderkey").cast("long"), "o_orderstatus", customer, F.date_format("o_orderdate", "yyyy-MM-dd"))).write.text(path)
+    back = files.fixed_width(spark, path, [("o_orderkey", 1, 12, "long"), ("o_orderstatus", 13, 3, "string"), ("o_custkey", 16, 12, "long"), ("day", 28, 10, "date")])
+    return back.withColumn("day", F.col("day").cast("string"))
+
+
+@query("select l_orderkey, l_linenumber::INTEGER as l_linenumber, l_partkey from lineitem")
+def read_whitespace(spark, sf_dir):
+    """Columns parted by any number of blanks."""
+    path = folder(spark, "blanks")
+    read(spark, sf_dir, "lineitem").select(F.format_string("  %d \t %d    %d ", *[F.col(c).cast("long") for c in ("l_orderkey", "l_linenumber", "l_partkey")])).write.text(path)
+    return files.whitespace(spark, path, [("l_orderkey", "long"), ("l_linenumber", "int"), ("l_partkey", "long")])
+
+
+@query("select doc_id, text, source from documents")
+def write_json_documents(spark, sf_dir):
+    """Whole texts as arrays of JSON objects, a part file for each task, and back."""
+    path = folder(spark, "json")
+    write_json_parts(read(spark, sf_dir, "documents").select("doc_id", "text", "source"), path)
+    return files.json_document(spark, path, "doc_id long, text string, source string")
+
+
+@query("""select unnest(['- s_suppkey: ' || s_suppkey::VARCHAR, '  s_name: ' || s_name, '  s_nationkey: ' || s_nationkey::VARCHAR]) as line from supplier""")
+def write_yaml_lines(spark, sf_dir):
+    """Rows as sequences of YAML mappings, keys in the order of the columns."""
+    path = folder(spark, "yaml")
+    write_yaml_parts(read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey"), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query("select p_partkey, p_name || ' <&> \"' as p_name, case when p_size > 5 then p_size end::INTEGER as p_size from part")
+def read_xml(spark, sf_dir):
+    """Records by their tag; marks in texts come back, what is missing is null."""
+    path = folder(spark, "xml")
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit(' <&> "')).alias("p_name"), F.expr("if(p_size > 5, p_size, null)").alias("p_size"))
+    rows.write.format("xml").option("rowTag", "part").option("rootTag", "parts").save(path)
+    return files.xml(spark, path, "part", "p_partkey long, p_name string, p_size int")
+
+
+@query("select o_orderkey::VARCHAR || '|' || o_orderstatus || '|' || o_orderpriority as line from orders where o_orderstatus = 'F'")
+def read_dump_lines(spark, sf_dir):
+    """The lines of compressed dumps that hold a pattern, each dump read as a stream by a task."""
+    path = folder(spark, "dumps")
+    read(spark, sf_dir, "orders").select(F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority")).write.text(path, compression="gzip")
+    return archive_lines(spark, path, pattern=r"\|F\|").select("line")
+
+
+@query("select o_orderkey, o_totalprice from orders where o_orderkey % 2 = 0")
+def publish_keeps_versions(spark, sf_dir):
+    """A second version takes the place of the first; a third, which fails as it is written, changes nothing that readers see."""
+    path, rows = folder(spark, "published"), read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    publish_tables({"orders": rows, "other": rows.where("o_orderkey < 0")}, path)
+    publish_tables({"orders": rows.where("o_orderkey % 2 = 0")}, path)
+
+    def fails(at: str) -> None:
+        rows.write.parquet(at)
+        raise OutputError("the disk is full")
+
+    try:
+        publish(spark, path, {"orders": fails})
+    except OutputError:
+        return published_tables(spark, path)["orders"]
+    raise AssertionError("the failed write was published")
+
+
 __all__ = ["ORACLE_SQL", "QUERIES", "Field", "Type", "two_places"]

@@ -43,7 +43,8 @@ def _files(path: str) -> list[str]:
     info = system.get_file_info(inner)
     if info.type == fs.FileType.File:
         return [path]
-    return sorted(head + f.path for f in system.get_file_info(fs.FileSelector(inner)) if f.type == fs.FileType.File)
+    found = system.get_file_info(fs.FileSelector(inner))
+    return sorted(head + f.path for f in found if f.type == fs.FileType.File and f.base_name[0] not in "._")  # hidden ones as Spark does
 
 
 def _lines(stream) -> Iterator[str]:

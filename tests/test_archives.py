@@ -3,6 +3,7 @@
 import bz2
 import gzip
 import io
+import os
 import resource
 import tarfile
 import zipfile
@@ -81,3 +82,10 @@ def test_the_rest_is_not_read(folder, monkeypatch):
     before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
     assert sum(b.num_rows for b in ArchiveReader({"path": str(path)}).read(Member(str(path), "large.txt"))) == 4_800_000
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 100_000  # KB
+
+
+def test_hidden_files_of_a_folder_are_not_read(spark, tmp_path):
+    folder = str(tmp_path / "dump")
+    spark.createDataFrame([("a",), ("b",)], "value string").write.text(folder, compression="gzip")
+    assert {n[0] for n in os.listdir(folder)} >= {"_", "."}
+    assert sorted(r.line for r in archive_lines(spark, f"file://{folder}").collect()) == ["a", "b"]
