@@ -13,7 +13,7 @@ from .functions.distributions import sample, zipf
 from .functions.expressions import Compiler, Value, columns_of, compute, default_chain, scaled_round, two_places, with_expressions
 from .functions.patterns import WORDS, expand, uuid_of
 from .functions.rng import Draw
-from .functions.semantic import AREA_CODES, CITIES, DOMAINS, FIRST, LAST, email_of, luhn_card, person
+from .functions.semantic import AREA_CODES, CHARTS, CITIES, DOMAINS, FIRST, LAST, LISTS, LOREM, TAXONOMIES, email_of, luhn_card, person
 from .model import Decorator, Field, Rule, Type
 from .operators import changes, gazetteer, lists, prepare, references, rules, taxonomy, tools
 from .operators.constraints import decorated, fitted, snapped, within
@@ -358,6 +358,82 @@ def gen_correlated(spark, sf_dir):
     return rows_of(spark, sf_dir, "x: int @range(0..99), y: 'int @range(0..1000) @correlated(x, 0.8)'").select("rid", "x", "y")
 
 
+# ---- semantic families: types of one family as the fields of a row ----------------------------------------------------------
+
+
+def _text(t: str) -> str:
+    """The field that holds a type, as its name in SQL."""
+    return t.replace(".", "_")
+
+
+def _family(prefixes: tuple[str, ...]) -> dict[str, str]:
+    """The types with a list behind them, with the SQL of their draw."""
+    return {t: pick(values, _text(t), "v") for t, values in LISTS.items() if t.split(".")[0] in prefixes}
+
+
+def _sentence(name: str, salt: str, n: int = 8) -> str:
+    text = " || ' ' || ".join(pick(LOREM, name, f"{salt}{i}") for i in range(n))
+    return f"upper(substr({text}, 1, 1)) || substr({text}, 2) || '.'"
+
+
+def _hex(name: str, salt: str, digits: int) -> str:
+    return f"lower(lpad(to_hex(({h(name, salt)}) % {16**digits}), {digits}, '0'))"
+
+
+def _below(name: str, salt: str, low: int, high: int) -> str:
+    return f"({low} + ({h(name, salt)}) % {high - low + 1})::VARCHAR"
+
+
+def semantic_query(name: str, types: dict[str, str], doc: str) -> None:
+    """Registers a query whose rows hold a value of each type, in fields named after them."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rows_of(spark, sf_dir, ", ".join(f"{_text(t)}: {t}" for t in types)).select("rid", *[_text(t) for t in types])
+
+    run.__name__, run.__doc__ = name, doc
+    query("select rid, " + ", ".join(f"{sql} as {_text(t)}" for t, sql in types.items()) + FROM)(run)
+
+
+_ACCOUNTS = {(low, high): [r for _, chart in sorted(CHARTS.items()) for r in chart if low <= len(r[0]) <= high] for low, high in ((1, 1), (2, 2), (3, 4))}
+semantic_query("gen_family_erp", _family(("erp",)), "Terms, units, taxes and kinds of accounts.")
+semantic_query("gen_family_ecommerce", _family(("ecommerce",)), "States, methods, carriers and departments of orders.")
+semantic_query("gen_family_product", _family(("product", "company", "job", "person", "file", "color")) | {
+    "product.title": pick(LISTS["product.adjective"], "product_title", "a") + " || ' ' || " + pick(LISTS["product.noun"], "product_title", "n"),
+    "company.name": pick(LAST, "company_name", "c") + " || ' ' || " + pick(["Ltd", "Inc", "GmbH", "SA", "Group", "Partners"], "company_name", "k"),
+    "file.name": pick(LOREM, "file_name", "n") + " || '.' || " + pick(LISTS["file.extension"], "file_name", "e"),
+}, "Products, companies, jobs and files.")
+semantic_query("gen_family_text", {
+    "text.word": pick(LOREM, "text_word", "w"),
+    "text.sentence": _sentence("text_sentence", "s"),
+    "text.paragraph": " || ' ' || ".join(_sentence("text_paragraph", f"par{i}") for i in range(3)),
+    "text.slug": " || '-' || ".join(pick(LOREM, "text_slug", f"w{i}") for i in range(3)),
+    "text.html": "'<p>' || " + " || ' ' || ".join(_sentence("text_html", f"par{i}") for i in range(3)) + " || '</p>'",
+}, "Words, sentences, paragraphs and marked-up text.")
+semantic_query("gen_family_ids", {
+    "color.hex": f"'#' || {_hex('color_hex', 'c', 6)}",
+    "color.rgb": "'rgb(' || " + " || ', ' || ".join(_below("color_rgb", c, 0, 255) for c in "rgb") + " || ')'",
+    "hash.md5": f"md5(({h('hash_md5', 'x')})::VARCHAR)",
+    "hash.sha256": f"sha256(({h('hash_sha256', 'x')})::VARCHAR)",
+    "mac": " || ':' || ".join(_hex("mac", f"o{i}", 2) for i in range(6)),
+    "ipv6": " || ':' || ".join(_hex("ipv6", f"o{i}", 4) for i in range(8)),
+    "ipv4": " || '.' || ".join(_below("ipv4", f"o{i}", 1, 254) for i in range(4)),
+    "url": f"'https://' || {pick(DOMAINS, 'url', 'dom')} || '/' || {pick(WORDS, 'url', 'path')}",
+}, "Colours, hashes and addresses of networks.")
+semantic_query("gen_family_finance", {
+    "iban": f"'DE' || lpad((98 - (({h('iban', 'p1')}) % 97 * {10**6 % 97} + 131400) % 97)::VARCHAR, 2, '0') || lpad(({h('iban', 'p1')})::VARCHAR, 18, '0')",
+    "swift": pick(LISTS["swift"], "swift", "v"),
+    "credit_card.type": pick(LISTS["credit_card.type"], "credit_card_type", "v"),
+}, "Account numbers whose check digits hold, banks and cards.")
+semantic_query("gen_family_accounting", {
+    f"accounting.{name}{suffix}": pick([r[part] for r in _ACCOUNTS[size]], f"accounting_{name}{suffix}", "row")
+    for name, size in (("group", (1, 1)), ("subgroup", (2, 2)), ("account", (3, 4)))
+    for suffix, part in (("", 0), ("_name", 1), ("_name_en", 2))
+}, "Charts of accounts, by the length of their codes.")
+semantic_query("gen_family_taxonomy", {
+    f"taxonomy.{name}_{suffix}": pick([r[part] for r in rows], f"taxonomy_{name}_{suffix}", "row") for name, rows in TAXONOMIES.items() for suffix, part in (("code", 0), ("description", 1))
+}, "Codes of public classifications and their titles.")
+
+
 def _luhn_sql() -> str:
     """Sixteen digits: a 4, fourteen draws, and what makes the sum of Luhn a multiple of ten."""
     body = ["4", *[f"({h('cc', f'c{i}')}) % 10" for i in range(14)]]
