@@ -1299,6 +1299,111 @@ def list_accounts(spark, sf_dir):
     return lists.accounts(part.select(F.col("p_brand").alias("code"), F.col("p_name").alias("name")), supplier.select(F.col("s_name").alias("code"), F.col("s_name").alias("name")))
 
 
+@query("""select upper(n[1]) || lower(n[2:]) as name, lower(p_type) as sex, sum(p_size)::BIGINT as weight
+    from (select split_part(p_name, ' ', 1) as n, p_type, p_size from part where p_size > 0) group by 1, 2""")
+def list_given_names(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    return lists.given_names(part.select(F.concat(F.lit(" "), F.upper(F.split("p_name", " ")[0])).alias("name"), F.col("p_type").alias("sex"), F.col("p_size").alias("n")))
+
+
+@query("select c_name as name, n_name as country, c_mktsegment as region, floor(c_acctbal)::BIGINT as population, c_custkey::BIGINT as latitude, -c_custkey::BIGINT as longitude from customer join nation on c_nationkey = n_nationkey where floor(c_acctbal) >= 1000")
+def list_cities(spark, sf_dir):
+    df = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return lists.cities(df.select(F.col("c_name").alias("name"), F.col("n_name").alias("country"), F.col("c_mktsegment").alias("region"), F.floor("c_acctbal").alias("population"), F.col("c_custkey").alias("latitude"), (-F.col("c_custkey")).alias("longitude")), 1000)
+
+
+@query("""select distinct code, title, coalesce(n_name, 'Other') as "group" from (select lpad((p_partkey % 40)::VARCHAR, 2, '0') || '-' || p_size as code, unnest([p_name, p_type]) as title from part)
+    left join nation on lpad(n_nationkey::VARCHAR, 2, '0') = substr(code, 1, 2)""")
+def list_occupations(spark, sf_dir):
+    """Titles and alternate titles with the group of their code's prefix."""
+    part = read(spark, sf_dir, "part").withColumn("code", F.format_string("%02d-%d", F.col("p_partkey") % 40, F.col("p_size")))
+    groups = read(spark, sf_dir, "nation").select(F.format_string("%02d", F.col("n_nationkey").cast("int")).alias("prefix"), F.col("n_name").alias("name"))
+    return lists.occupations(part.select("code", F.col("p_name").alias("title")), part.select("code", F.col("p_type").alias("title")), groups)
+
+
+@query("select distinct p_brand as make, p_name as model from part where p_size + 1990 >= 2015 order by 1, 2 limit 50")
+def list_vehicles(spark, sf_dir):
+    return lists.vehicles(read(spark, sf_dir, "part").select(F.col("p_brand").alias("make"), F.col("p_name").alias("model"), (F.col("p_size") + 1990).alias("year")), 2015, 50)
+
+
+@query("""select p_partkey as food_id, p_name as name, coalesce(n_name, 'Other') as "group" from part left join nation on p_size = n_nationkey""")
+def list_foods(spark, sf_dir):
+    groups = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("group_id"), F.col("n_name").alias("name"))
+    return lists.foods(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("food_id"), F.col("p_name").alias("name"), F.col("p_size").alias("group_id")), groups)
+
+
+@query("""select case when len(c) > 3 then c[1:3] || '.' || c[4:] else c end as code, o_orderpriority || ' ' || o_orderstatus as name
+    from (select 'D' || o_orderkey as c, o_orderpriority, o_orderstatus from orders)""")
+def list_diagnoses(spark, sf_dir):
+    return lists.diagnoses(read(spark, sf_dir, "orders").select(F.concat(F.lit(" D"), F.col("o_orderkey").cast("string"), F.lit("   "), "o_orderpriority", F.lit(" "), "o_orderstatus").alias("value")))
+
+
+@query("""select p[1:2] || ':' || p[3:4] || ':' || p[5:6] as prefix, min(c_name) as maker
+    from (select upper(substr(md5((c_custkey % 500)::VARCHAR), 1, 6)) as p, c_name from customer) group by 1 order by 1 limit 100""")
+def list_device_prefixes(spark, sf_dir):
+    """Prefixes in two spellings, each once."""
+    key = F.md5((F.col("c_custkey") % 500).cast("string"))
+    shown = F.when(F.col("c_custkey") % 2 == 0, F.substring(key, 1, 6)).otherwise(F.concat_ws("-", *[F.upper(F.substring(key, i, 2)) for i in (1, 3, 5)]))
+    return lists.device_prefixes(read(spark, sf_dir, "customer").select(shown.alias("prefix"), F.concat(F.lit(" "), "c_name").alias("maker")), 100)
+
+
+@query("select p_name as title, min(p_brand) as category, min(p_retailprice) as price from part where p_size > 3 group by 1 order by 1 limit 40")
+def list_products(spark, sf_dir):
+    """The last of nested categories and the least of prices that are texts."""
+    part = read(spark, sf_dir, "part")
+    return lists.products(part.select(F.concat("p_name", F.lit(" ")).alias("title"), F.when(F.col("p_size") > 3, F.array("p_type", "p_brand")).otherwise(F.array().cast("array<string>")).alias("categories"), F.concat(F.lit("$"), F.col("p_retailprice").cast("string")).alias("price")), 40)
+
+
+@query("select lpad(event_id::VARCHAR, 12, '0') as title_id, props as title, year(ts)::INTEGER as year from events where event_type in ('purchase', 'error') and event_id % 5 <> 0 and event_id % 7 <> 0 order by 1 limit 200")
+def list_titles(spark, sf_dir):
+    """Null marks of dumps count as nothing said."""
+    marked = lambda c, n: F.when(F.col("event_id") % n == 0, r"\N").otherwise(c)
+    df = read(spark, sf_dir, "events").select(F.lpad(F.col("event_id").cast("string"), 12, "0").alias("title_id"), F.col("event_type").alias("kind"), marked(F.col("props"), 5).alias("title"), marked(F.year("ts").cast("string"), 7).alias("year"))
+    return lists.titles(df, ("purchase", "error"), 200)
+
+
+@query("select s_suppkey as id, s_name as name, s_nationkey as city, 'r' as region, case s_nationkey % 4 when 1 then 'public' when 2 then 'private nonprofit' when 3 then 'private for-profit' else 'unknown' end as control from supplier")
+def list_institutions(spark, sf_dir):
+    df = read(spark, sf_dir, "supplier")
+    return lists.institutions(df.select(F.col("s_suppkey").alias("id"), F.concat("s_name", F.lit(" ")).alias("name"), F.col("s_nationkey").alias("city"), F.lit("r").alias("region"), (F.col("s_nationkey") % 4).alias("control")))
+
+
+@query("select upper(substr(md5(s_suppkey::VARCHAR), 1, 2)) as code, s_name as name from supplier where s_suppkey % 3 <> 0")
+def list_airlines(spark, sf_dir):
+    active = F.when(F.col("s_suppkey") % 3 == 0, r"\N").when(F.col("s_suppkey") % 3 == 1, "y").otherwise("Y")
+    return lists.airlines(read(spark, sf_dir, "supplier").select(F.upper(F.substring(F.md5(F.col("s_suppkey").cast("string")), 1, 2)).alias("code"), F.col("s_name").alias("name"), active.alias("active")))
+
+
+@query("""select locale, code, name from (select c_mktsegment as locale, unnest(['n' || c_custkey, 's' || c_custkey]) as code, unnest([c_name, case when c_custkey % 4 = 0 then ' ' else c_mktsegment end]) as name from customer) where trim(name) <> ''""")
+def list_translations(spark, sf_dir):
+    key = F.col("c_custkey").cast("string")
+    names = F.create_map(F.concat(F.lit("n"), key), F.col("c_name"), F.concat(F.lit("s"), key), F.expr("if(c_custkey % 4 = 0, ' ', c_mktsegment)"))
+    return lists.translations(read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("locale"), names.alias("names")))
+
+
+@query("select o_orderkey::VARCHAR as id, o_orderpriority as priority, case when o_orderkey % 3 = 0 then o_custkey::VARCHAR end as customer from orders where o_orderstatus = 'O'")
+def list_erp_records(spark, sf_dir):
+    """Records of one model with their fields by name; of a field that comes twice the first."""
+    field = lambda n, v: F.struct(F.lit(n).alias("_name"), v.cast("string").alias("_VALUE"))
+    some = F.array(field("priority", F.col("o_orderpriority")), field("priority", F.lit("x")), field("customer", F.col("o_custkey")))
+    df = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("_id"), F.col("o_orderstatus").alias("_model"), F.when(F.col("o_orderkey") % 3 == 0, some).otherwise(F.slice(some, 1, 2)).alias("field"))
+    return lists.records(df, "O", ("priority", "customer"))
+
+
+@query("select 'S' || (o_custkey % 900) as symbol, min(o_orderpriority) as name, min(o_orderstatus) as exchange from orders group by 1")
+def list_tickers(spark, sf_dir):
+    """Arrays of arrays whose places are named beside them."""
+    symbol = F.concat(F.lit("S"), (F.col("o_custkey") % 900).cast("string"))
+    df = read(spark, sf_dir, "orders").select(F.array(*map(F.lit, ("cik", "name", "ticker", "exchange"))).alias("fields"), F.array(F.array(F.lit("0"), "o_orderpriority", symbol, "o_orderstatus")).alias("data"))
+    return lists.tickers(df)
+
+
+@query("select lower(e) as extension, min(t) as type from (select case when p_size % 2 = 0 then 'text/' else 'font/' end || p_type as t, unnest([p_brand, replace(p_name, ' ', '_')]) as e, p_size from part) where p_size % 2 = 0 group by 1")
+def list_mime_types(spark, sf_dir):
+    kind = F.concat(F.expr("if(p_size % 2 = 0, 'text/', 'font/')"), "p_type")
+    return lists.mime_types(read(spark, sf_dir, "part").select(kind.alias("type"), F.array("p_brand", F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(" ")).alias("extensions")), ("text",))
+
+
 # ---- writers -------------------------------------------------------------------------------------------------------------
 
 
