@@ -332,10 +332,24 @@ def gen_phone_of_zip(spark, sf_dir):
     return rows_of(spark, sf_dir, "_coherence: {loc: [city, zip]}, city: string, zip: string, phone: 'string @from(zip)'").select("rid", "zip", "phone")
 
 
-@query("select rid, city, case " + " ".join(f"when contains(city, '{c[0]}') then '{c[3]}'" for c in CITIES) + f" else 'America/New_York' end as home_timezone from (select rid, {_LOC}{FROM})")
+_TOWNS = ("Buffalo NY", "Plano TX", "AUSTIN", "near boise", "OKLAHOMA", "Springfield XX / IL", "Nowhere")
+_STATES = {c[1]: c[3] for c in reversed(CITIES)}
+
+
+def _zone(c: str) -> str:
+    """SQL of the time zone of a place: of the first city that it names, or of the first state whose code stands in it."""
+    city = " ".join(f"when contains(lower({c}), '{x[0].lower()}') then '{x[3]}'" for x in CITIES)
+    state = " ".join(f"when s = '{k}' then '{v}'" for k, v in _STATES.items())
+    known = f"list_filter(list_transform(regexp_extract_all({c}, '\\b([A-Z]{{2}})\\b', 1), lambda s: case {state} end), lambda z: z is not null)"
+    return f"case {city} else coalesce({known}[1], 'America/New_York') end"
+
+
+@query(f"select rid, city, {_zone('city')} as home_timezone, town, {_zone('town')} as town_timezone from (select rid, {_LOC}, {pick(_TOWNS, 'town', 'v')} as town{FROM})")
 def gen_timezone_of_city(spark, sf_dir):
-    """The time zone of the city that the row names."""
-    return rows_of(spark, sf_dir, "_coherence: {loc: [city, zip]}, city: string, zip: string, home_timezone: 'string @from(city)'").select("rid", "city", "home_timezone")
+    """The time zone of the city, in any case, or of the state that the row names."""
+    towns = ", ".join(_TOWNS)
+    made = rows_of(spark, sf_dir, f"_coherence: {{loc: [city, zip]}}, city: string, zip: string, home_timezone: 'string @from(city)', town: 'enum({towns})', town_timezone: 'string @from(town)'")
+    return made.select("rid", "city", "home_timezone", "town", "town_timezone")
 
 
 @query(f"select rid, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:n], ',') as items from (select rid, ({h('l', 'len')}) % 3 + 1 as n, [{', '.join(pick('abcd', 'l', f'{i}.v') for i in range(9))}] as l{FROM})")

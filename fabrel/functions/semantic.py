@@ -150,6 +150,14 @@ def area_code(zip_code: Column) -> Column:
     return F.coalesce(F.try_element_at(listed, F.substring(zip_code, 1, 2)), F.lit("555"))
 
 
+def timezone_of_state(text: Column) -> Column:
+    """The time zone of the first known state whose code is a word of a text; New York's where there is none."""
+    first = {c[1]: c[3] for c in reversed(CITIES)}  # of a state the first city counts
+    zones = F.create_map(*[F.lit(x) for pair in first.items() for x in pair])
+    known = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"\b([A-Z]{2})\b")), lambda code: F.try_element_at(zones, code)), lambda z: z.isNotNull())
+    return F.coalesce(F.get(known, 0), F.lit("America/New_York"))
+
+
 def city_row(d: Draw, i: int, salt: str = "city") -> Column:
     """Field i of a city drawn by population: the same city for the same draw."""
     return d.weighted([c[i] for c in CITIES], [c[6] for c in CITIES], salt)

@@ -21,7 +21,7 @@ from ..functions.expressions import Compiler, Value, columns_of, compute, defaul
 from ..functions.patterns import cuid_of, expand, is_template, spread, ulid_of, uuid_of
 from ..functions.regexes import Regex, is_regex
 from ..functions.rng import Draw
-from ..functions.semantic import CITIES, area_code, email_of, person, phone, semantic, street, username_of, words
+from ..functions.semantic import CITIES, area_code, email_of, person, phone, semantic, street, timezone_of_state, username_of, words
 from ..model import Document, Entity, Field, Rule, Type
 from ..operators.constraints import UNIQUE_ATTEMPTS, bounds_of, decorated, length_of, unique_values
 from ..operators.dimensions import LISTED, Dimension, dimension, list_of
@@ -372,18 +372,19 @@ class Generator:
         return out
 
     def copied(self, f: Field, source: Column, d: Draw) -> Column:
-        """@from(source): an e-mail, time zone, phone or user name that fits it, else a copy."""
+        """@from(source): an e-mail, time zone, phone or user name that fits it, else a copy. A city is met in any
+        case; where a text names none, a time zone is that of the first state whose code stands in it."""
         name = f.name.lower()
         if "email" in name:
             return email_of(source, d)
         if "username" in name or "user_name" in name:
             return username_of(source, d)
         if "timezone" in name or "phone" in name:
-            out = None
+            out, text = None, F.lower(source)
             for c in CITIES:
                 v = F.lit(c[3]) if "timezone" in name else phone(d, F.lit(c[4]))
-                out = F.when(source.contains(c[0]), v) if out is None else out.when(source.contains(c[0]), v)
-            return out.otherwise(F.lit("America/New_York") if "timezone" in name else phone(d, F.lit("555")))
+                out = F.when(text.contains(c[0].lower()), v) if out is None else out.when(text.contains(c[0].lower()), v)
+            return out.otherwise(timezone_of_state(source) if "timezone" in name else phone(d, F.lit("555")))
         return source
 
     # -- entities ----------------------------------------------------------------------------------------------
