@@ -20,9 +20,10 @@ QUARTERS = 4
 WAY = 11
 #: Bytes of a long document that are looked at together.
 PIECE = 1 << 20
-#: Counters of bucket sizes: 2**SKETCH_BITS. A bucket of more suffixes than HOT, and than 4 times the mean counter, is split; so
-#: one that is not has 2**(2 - SKETCH_BITS) of all suffixes at most (0.003 %), whatever the input.
-SKETCH_BITS, HOT = 17, 20_000
+#: Counters of bucket sizes: ROWS of 2**SKETCH_BITS; the least of a bucket's counters bounds its size. A bucket of more suffixes
+#: than HOT, and than 4 times the mean counter, is split; so one that is not has 2**(2 - SKETCH_BITS) of all suffixes at most
+#: (0.003 %), whatever the input.
+SKETCH_BITS, ROWS, HOT = 17, 3, 20_000
 #: Rows of whole buckets that are sorted at once; a bucket of more is sorted by itself.
 GATHERED = 1 << 16
 
@@ -98,28 +99,35 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tupl
         yield at, part, np.array([0, len(part)])
 
 
-def _counter(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def _counters(bucket: np.ndarray) -> list[np.ndarray]:
+    """The counter of each bucket in each row. Anchors are least identifiers, so buckets are small numbers: they are mixed again."""
+    return [(mix(bucket + c) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64) for c in np.arange(1, ROWS + 1, dtype=np.uint64) * _A]
+
+
+def size_bounds(sizes: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """How many anchors each bucket has at most: what other buckets add differs from row to row."""
+    return np.minimum.reduce([row[c] for row, c in zip(sizes, _counters(bucket), strict=True)])
 
 
 def bucket_sizes(docs: DataFrame, length: int, q: int) -> np.ndarray:
-    """How many anchors each counter holds, over all documents; summed by Spark, 2**SKETCH_BITS numbers arrive."""
+    """How many anchors each counter of each row holds, over all documents; summed by Spark, ROWS * 2**SKETCH_BITS numbers arrive."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros((ROWS, 1 << SKETCH_BITS), np.int64)
         for b in batches:
             for _, _, whole, bounds in text_chunks(b.column(0)):
                 for _, data, offsets in _pieces(whole, bounds, length):
                     r = Refinement(data)
                     _, _, at = anchors(r, offsets, length, q)
-                    total += np.bincount(_counter(mix(r.of(q)[at])), minlength=1 << SKETCH_BITS)
+                    for row, c in zip(total, _counters(mix(r.of(q)[at])), strict=True):
+                        row += np.bincount(c, minlength=1 << SKETCH_BITS)
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["counter", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total.ravel()[used], pa.int64())], names=["counter", "n"])
 
     sums = docs.select("text").mapInArrow(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
+    out = np.zeros(ROWS << SKETCH_BITS, np.int64)
     out[sums["counter"].to_numpy()] = sums["n"].to_numpy()
-    return out
+    return out.reshape(ROWS, -1)
 
 
 def suffixes(docs: DataFrame, length: int, q: int, sizes) -> DataFrame:
@@ -149,7 +157,7 @@ def suffixes(docs: DataFrame, length: int, q: int, sizes) -> DataFrame:
                 bucket = mix(r.of(q)[at])
                 doc = np.searchsorted(offsets, lo, "right") - 1
                 key = keys[row + doc]
-                parts = np.maximum(-(-counts[_counter(bucket)] // hot), 1)
+                parts = np.maximum(-(-size_bounds(counts, bucket) // hot), 1)
                 part = (mix(key.view(np.uint64)) >> np.uint64(33)).astype(np.int64) % parts
                 split = (parts > 1).astype(np.int64)
                 bucket = bucket ^ mix(part.astype(np.uint64) * _B) * split.astype(np.uint64)

@@ -345,3 +345,16 @@ def test_strings_of_other_lengths(spark, length, q):
 def test_lengths_that_cannot_be_packed_are_refused(spark, length, q):
     with pytest.raises(ValueError, match="length"):
         deduplicate_strings(spark.createDataFrame([(1, "a")], SCHEMA), length=length, q=q)
+
+
+def test_small_buckets_are_not_split_with_large_ones(spark, monkeypatch):
+    """Counters tell a large bucket from small ones: of texts without repeats no bucket is split."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 10)
+    r = random.Random(5)
+    docs = spark.createDataFrame([(i, "".join(r.choices("abcdefghijklmnop ", k=20_000))) for i in range(40)], "__key long, text string")
+    sizes = spark.sparkContext.broadcast(suffix_dedup.bucket_sizes(docs, 100, 20))
+    rows = suffix_dedup.suffixes(docs, 100, 20, sizes)
+    assert rows.count() > 15_000 and rows.where("place & 1 = 1").isEmpty()
+    same = spark.createDataFrame([(i, "".join(r.choices("abcdefgh", k=100)) + "a passage that many texts have, of a hundred bytes or more, so that its anchors are the same in each of them") for i in range(50)], "__key long, text string")
+    sizes = spark.sparkContext.broadcast(suffix_dedup.bucket_sizes(same, 100, 20))
+    assert not suffix_dedup.suffixes(same, 100, 20, sizes).where("place & 1 = 1").isEmpty()
