@@ -57,8 +57,10 @@ def columns_of(schema: T.StructType) -> Resolver:
 
 
 def two_places(x: Column) -> Column:
-    """Two digits after the point, halves away from zero."""
-    return F.format_string("%.2f", F.round(x * 100) / F.lit(100.0))
+    """Two digits after the point, halves away from zero; a negative number keeps its sign where it rounds to zero."""
+    near, sign = F.round(x * 100) / F.lit(100.0), x.cast("string").startswith("-")  # rounding makes -0.0 positive
+    odd = F.when(F.isnan(near), "nan").when(near == float("inf"), "inf").when(near == float("-inf"), "-inf")
+    return F.when(near.isNotNull(), F.coalesce(odd.when((near == 0) & sign, "-0.00"), F.format_string("%.2f", near)))
 
 
 def display(v: Value) -> Column:

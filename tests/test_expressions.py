@@ -46,3 +46,24 @@ def test_distributions_have_their_moments(spark):
     )
     r = df.agg(*[F.avg(c).alias(c) for c in df.columns[:4]], F.stddev("normal").alias("sd"), F.avg((F.col("w") == "a").cast("int")).alias("a")).first()
     assert abs(r["normal"] - 50) < 0.5 and abs(r["sd"] - 10) < 0.5 and abs(r["exponential"] - 0.5) < 0.02 and abs(r["geometric"] - 3) < 0.15 and abs(r["uniform"] - 5) < 0.1 and abs(r["a"] - 0.75) < 0.02
+
+
+@pytest.mark.parametrize("name", ["expr_concat", "write_csv_display", "write_display_rows"])
+def test_displayed_numbers_are_those_of_the_sql(spark, tmp_path, name):
+    """A negative number that rounds to zero prints its sign, as do negative zeros."""
+    import duckdb
+
+    from fabrel.catalog import ORACLE_SQL, QUERIES
+
+    values = [-0.0, 0.0, -0.001, 0.001, -0.005, 0.005, -0.0049999, 1.005, -1.005, 2.675, 999999.995, -999.85, 9999.8, float("inf"), float("-inf"), float("nan")]
+    rows = [(i, f"Customer#{i}", 1, v, "A") for i, v in enumerate(values)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view customer as select * from read_parquet('{tmp_path}/customer.parquet/*.parquet')")
+    assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == sorted(con.sql(ORACLE_SQL[name]).fetchall())
+
+
+def test_displayed_nulls_are_empty(spark):
+    from fabrel.sinks import display_rows
+
+    assert [r.x for r in display_rows(spark.createDataFrame([(None,), (1.0,), (-0.0,)], "x double")).collect()] == ["", "1.00", "-0.00"]
