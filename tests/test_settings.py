@@ -144,3 +144,30 @@ def test_sql_statements_stand_in_order_of_the_key(spark, tmp_path):
     text = "".join(x.read_text() for x in files)
     assert text.startswith("CREATE TABLE") and text.count("INSERT INTO") == 5
     assert [int(x) for x in re.findall(r"^\((\d+), '", text, re.M)] == list(range(1, 451))
+
+
+@pytest.mark.parametrize("bits", [6, 27])
+def test_only_runs_that_may_be_names_are_shuffled(spark, monkeypatch, bits):
+    """Results are those of a walk over each text, also where the filter of names is full (64 bits)."""
+    import random
+
+    from fabrel.operators import gazetteer
+
+    monkeypatch.setattr(gazetteer, "LEAST_BITS", min(bits, 16))
+    monkeypatch.setattr(gazetteer, "MOST_BITS", bits)
+    r = random.Random(4)
+    some = lambda n: " ".join(r.choice("ab abc ça d E".split()) for _ in range(n))
+    names = sorted({some(r.randint(1, 8)).lower() for _ in range(60)})
+    texts = [(f"k{i}", some(r.randint(0, 40)) + " zz" * 300) for i in range(80)]
+    df = spark.createDataFrame(texts, "k string, t string").repartition(3)
+    places = spark.createDataFrame([(n,) for n in names], "name string")
+    met, kept, runs = {}, [], gazetteer._runs
+    monkeypatch.setattr(gazetteer, "_runs", lambda *a: kept.append(runs(*a)) or kept[-1])
+    for row in longest_name(df, "k", "t", places, "name").collect():
+        met[row["k"]] = row["place"] and row["place"]["name"]
+    for k, t in texts:
+        w = t.lower().split()
+        found = [(-n, -len(x), i, x) for n in range(1, 9) for i in range(len(w) - n + 1) if (x := " ".join(w[i : i + n])) in names]
+        assert met[k] == (min(found)[3] if found else None)
+    if bits == 27:
+        assert all(row.n for row in kept[0].collect()) and kept[0].count() < sum(min(len(t.split()), 40) * 8 for _, t in texts) / 2
