@@ -297,3 +297,21 @@ def test_hot_keys_of_a_join(spark, monkeypatch, most):
     facts = spark.createDataFrame([(k, k, k * k) for k in range(1, 12)], "k long, __n long, sq long")
     found = sorted(tuple(r) for r in common.looked_up(rows, facts, ["k"], 66).select("k", "i", "sq").collect())
     assert found == sorted((k, i, k * k) for k in range(12) for i in range(k))
+
+
+def test_all_tokens_of_a_url_combine_where_asked(spark):
+    """Ten tokens of a url combine, of which the two that decide say least by themselves."""
+    r = random.Random(9)
+    rows = []
+    for _ in range(400):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        block = a != b if a or b else r.random() < 0.5
+        rest = [f"s{i}" for i in range(8) if r.random() < (0.97 if block else 0.9)]
+        rows.append(([*["a"] * a, *["b"] * b, *rest], "block" if block else "allow"))
+    df = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    for n in (None, 3):
+        out = mine_rules(df, min_support=0.05, min_confidence=0.9, combined=n).collect()
+        assert n == 3 or ("a", "b") in {tuple(x.tokens) for x in out}
+        for x in out:  # confidence and support are those over whole urls, whatever combines
+            having = [v for t, v in rows if set(x.tokens) <= set(t)]
+            assert x.confidence == pytest.approx(having.count(x.verdict) / len(having)) and x.support == pytest.approx(having.count(x.verdict) / len(rows))
