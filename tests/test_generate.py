@@ -143,6 +143,34 @@ def test_unique_rule_that_cannot_hold(spark):
     assert len({(r.k, r.v) for r in rows}) == 30 and all(r.k <= r.v for r in rows)
 
 
+PAIRS = "volume: {A: %d}\nentities: {A: {id: int @primary, k: int @range(1..6), v: int @range(4..9), w: int @range(1..9), e: 'enum(p, q, r)', s: 'string @pattern(\"[ab]{2}\")'}}\n"
+
+
+def test_unique_rule_that_takes_all_combinations(spark):
+    """What draws do not find is dealt; the first row that draws a combination keeps it."""
+    rows = generate(spark, doc(PAIRS % 36 + "rules: ['unique(A.k, A.v) @strict']"))["A"].collect()
+    assert sorted(r.id for r in rows) == list(range(1, 37)) and {(r.k, r.v) for r in rows} == {(k, v) for k in range(1, 7) for v in range(4, 10)}
+    drawn = {}
+    for r in sorted(generate(spark, doc(PAIRS % 36))["A"].collect()):
+        drawn.setdefault((r.k, r.v), r.id)
+    assert drawn.items() <= {(r.k, r.v): r.id for r in rows}.items() and len(drawn) < 36
+    texts = generate(spark, doc(PAIRS % 12 + "rules: ['unique(A.e, A.s) @strict']"))["A"].collect()
+    assert {(r.e, r.s) for r in texts} == {(e, a + b) for e in "pqr" for a in "ab" for b in "ab"} and len(texts) == 12
+
+
+def test_dealt_rows_keep_the_other_rules(spark):
+    """21 pairs keep the first rule, which is on them alone; the second is on another field; two sets of fields bind at once."""
+    text = PAIRS % 21 + "rules: ['unique(A.k, A.v) @strict', A.k + 3 <= A.v @strict, A.w > A.k @strict, 'unique(A.v, A.w, A.e, A.s) @strict']"
+    rows = generate(spark, doc(text))["A"].collect()
+    assert sorted((r.k, r.v) for r in rows) == [(k, v) for k in range(1, 7) for v in range(k + 3, 10)]
+    assert all(r.w > r.k for r in rows) and len({(r.v, r.w, r.e, r.s) for r in rows}) == 21
+
+
+def test_unique_rule_with_more_rows_than_combinations(spark):
+    with pytest.raises(ConstraintViolation, match="A: 37 rows, 36 combinations"):
+        generate(spark, doc(PAIRS % 37 + "rules: ['unique(A.k, A.v) @strict']"))
+
+
 def test_parents_known_by_any_first_field(spark):
     """A text, a unique number (known only once rows are made), and rules that make parents again."""
     out = generate(spark, doc("volume: {A: 8, U: 9, B: 30}\nentities:\n  A: {name: string, n: int @range(1..9), up: '->self?'}\n  U: {n: 'int @range(1..40) @unique', t: string}\n  B: {id: uuid @primary, a: ->A, u: ->U, t: string @derived(u.t)}\nrules: [A.n > 3 @strict]"))
