@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fabrel.errors import ConstraintViolation, CycleError, GenerationError, ParseError, UniquenessExhausted
 from fabrel.functions.regexes import LARGE, Regex, is_regex
 from fabrel.operators import totals
+from fabrel.operators.constraints import DRAWS, unique_values
 from fabrel.operators.dimensions import dimension, list_of
 from fabrel.plans.generate import generate
 from fabrel.plans.stages import Stages
@@ -193,6 +194,22 @@ def test_unique_values_of_finite_spaces(spark):
     assert len({r["n"] for r in bound}) == 20 and all(r["n"] > 100 for r in bound)
 
 
+def test_unique_values_of_rounds_take_a_whole_space(spark):
+    """What draws do not find is dealt, so keys that are known late are whole too."""
+    text = "entities:\n  A: {n: 'int @range(3..322) @unique', up: '->self?'}\n  B: {id: int @primary, a: ->A}\nrules: [A.n > 0 @strict]"
+    out = generate(spark, doc(text, A=320, B=900))
+    rows = out["A"].collect()
+    assert sorted(r["n"] for r in rows) == list(range(3, 323)) and {r["up"] for r in rows} <= set(range(3, 323)) | {None}
+    assert out["B"].count() == 900 and out["B"].where("a is null or a not between 3 and 322").isEmpty()
+
+
+def test_draws_go_on_where_a_deal_has_too_few_values(spark):
+    """Draws of 1 for all rows until the attempt after the deal, then null."""
+    rows = spark.range(5).select(F.col("id").alias("_rid"))
+    made = unique_values(rows, lambda a: F.when(a <= DRAWS, F.lit(1)), "c", space=spark.createDataFrame([(1,), (2,)], "c int"))
+    assert {r["_rid"]: r["c"] for r in made.collect()} == {0: 1, 1: 2, 2: None, 3: None, 4: None}
+
+
 def test_narrow_integers(spark):
     out = generate(spark, doc("entities: {A: {id: int @primary, a: int(8) @range(100..300), b: int(16) @range(-99999..5)}}", A=40))["A"]
     assert out.where("a not between 100 and 127 or b not between -32768 and 5").isEmpty()
